@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hiddenpath.llm.common import table
 from hiddenpath.llm.near_dedup import near_duplicates
+from hiddenpath.llm.suffix_dedup import repeated_substrings
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,14 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without strings of 50 bytes that a smaller doc_id has."""
+    return repeated_substrings(table(spark, sf_dir, "documents"), length=50, texts=False).drop("kept_bytes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
