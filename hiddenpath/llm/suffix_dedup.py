@@ -2,7 +2,7 @@
 
 Suffixes are sorted by bucket-pointer refinement, spread over tasks so that each holds a bounded share:
 
-1. Anchors. Every window of ``length`` bytes takes the smallest fingerprint among its 16-byte grams as its
+1. Anchors. Every window of ``length`` bytes takes the smallest fingerprint among its 24-byte grams as its
    anchor; equal windows have equal anchors. Each task reduces its anchors to one entry per value and sends
    them to buckets; a value held by two documents is matched.
 2. Runs. Documents that hold matched anchors cut their windows into runs of one anchor. Windows repeated inside
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from hiddenpath.llm.common import _BYTE, blocks, cut, mix, span_hashes, utf8
 
-GRAM, FIRST_GRAM = 16, 25
+GRAM, FIRST_GRAM = 24, 25
+#: Buckets of runs for each shuffle partition: a task refines one bucket, of about a megabyte, at a time.
+SPLIT = 16
 #: At most so many anchors can hold more than this share of all entries; so the list sent to tasks is bounded.
 HOT_SHARE = 10_000
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -39,10 +41,11 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, n
     none = np.zeros(0, np.int64)
     if len(raw) < length:
         return none, none, np.zeros(0, np.uint64), none
-    h = _BYTE[raw]
+    h, eight = _BYTE[raw], None
     for k, step in enumerate(_STEP):
         h = h[: -(1 << k)] * step + h[1 << k :]
-    h = mix(h)
+        eight = h if k == 2 else eight
+    h = mix(h[:-8] * _STEP[0] + eight[16:])
     span = length - GRAM + 1
     low, width = h, 1
     while width < span:
@@ -207,13 +210,13 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _FOUND_TYPES, strict=True)], names=_FOUND_NAMES)
 
 
-def _cut_runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _cut_runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, fine: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, ths = batch.column("did").to_numpy(zero_copy_only=False), batch.column("th").to_numpy(zero_copy_only=False)
         lists = batch.column("keys")
         offs = np.asarray(lists.offsets)
         matched = np.asarray(lists.values).view(np.uint64)
-        for lo, hi, raw, at in blocks(batch.column("text"), 4_000_000):
+        for lo, hi, raw, at in blocks(batch.column("text")):
             start, end, value, row = anchors(raw, at, length)
             key = _key(value, buckets)[1]
             own = mix(matched[offs[lo] : offs[hi]] + mix(np.repeat(np.arange(hi - lo), np.diff(offs[lo : hi + 1])).astype(np.uint64)))
@@ -238,7 +241,7 @@ def _cut_runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, hot:
             p, r, g = pos[rest], row[run][rest], run[rest]
             each = np.where(common[rest], np.arange(len(p)), -1)
             a, b = _joined(p, r, g, each)
-            to = np.where(common[rest][a], print_[rest][a] % np.uint64(buckets), key[g[a]] >> np.uint64(32)).astype(np.int64)
+            to = (np.where(common[rest][a], print_[rest][a], mix(key[g[a]])) % np.uint64(fine)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             a, b, to = a[order], b[order], to[order]
             cuts = _runs_of(to)
@@ -346,7 +349,7 @@ def repeated_substrings(docs: DataFrame, length: int = 50, texts: bool = True) -
     # each bucket names the anchors that hold too much of it; of those, at most HOT_SHARE hold that share of all
     hot = np.array([r[0] for r in matches.where("did is null").select(F.element_at("keys", 1), "n").orderBy(F.desc("n")).limit(HOT_SHARE).collect()], np.int64).view(np.uint64)
     matched = matches.where("did is not null").groupBy("did").agg(F.flatten(F.collect_list("keys")).alias("keys"))
-    runs = docs.join(matched, "did").select("did", "th", "text", "keys").mapInArrow(partial(_cut_runs, length=length, buckets=buckets, hot=hot), _FOUND)
+    runs = docs.join(matched, "did").select("did", "th", "text", "keys").mapInArrow(partial(_cut_runs, length=length, buckets=buckets, fine=buckets * SPLIT, hot=hot), _FOUND)
     here = runs.repartition(buckets, F.coalesce("bucket", F.xxhash64("did"))).sortWithinPartitions("bucket")
     covers = here.mapInArrow(partial(_settle_or_pass, length=length), "did long, th long, starts binary, ends binary")
     by_doc = covers.groupBy("did").agg(F.collect_list(F.struct("th", "starts", "ends")).alias("covers"))
