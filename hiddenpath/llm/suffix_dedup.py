@@ -2,6 +2,8 @@
 
 Suffixes are sorted by bucket-pointer refinement, spread over tasks so that each holds a bounded share:
 
+Exact copies of a smaller doc_id's text are removed whole; the steps below see one document of each text.
+
 1. Anchors. Every window of ``length`` bytes takes the smallest fingerprint among its 24-byte grams as its
    anchor; equal windows have equal anchors. Each task reduces its anchors to one entry per value and sends
    them to buckets; a value held by two documents is matched.
@@ -29,7 +31,7 @@ from hiddenpath.llm.common import _BYTE, blocks, cut, mix, span_hashes, utf8
 
 GRAM, FIRST_GRAM = 24, 25
 #: Buckets of runs for each shuffle partition: a task refines one bucket, of about a megabyte, at a time.
-SPLIT = 16
+SPLIT = 8
 #: At most so many anchors can hold more than this share of all entries; so the list sent to tasks is bounded.
 HOT_SHARE = 10_000
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -88,7 +90,7 @@ def _packed(bucket: int, local: bool, docs: np.ndarray, keys: np.ndarray, counts
 
 def _entries(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("did").to_numpy(zero_copy_only=False)
+        ids = batch.column("th").to_numpy(zero_copy_only=False)
         keys, docs = [], []
         for lo, _, raw, at in blocks(batch.column("text")):
             _, _, value, row = anchors(raw, at, length)
@@ -147,7 +149,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = np.repeat(np.frombuffer(r["docs"], np.int64), np.frombuffer(r["lens"], np.int32))
             if r["local"]:
                 at = np.concatenate([[0], np.cumsum(np.frombuffer(r["lens"], np.int32))])
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["docs"], np.int64)), _lists(at, np.frombuffer(r["keys"], np.int64)), pa.nulls(len(at) - 1, pa.int64())], names=["did", "keys", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["docs"], np.int64)), _lists(at, np.frombuffer(r["keys"], np.int64)), pa.nulls(len(at) - 1, pa.int64())], names=["th", "keys", "n"])
                 continue
             keys.append(np.frombuffer(r["keys"], np.uint32))
             docs.append(doc)
@@ -162,14 +164,14 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.add.reduceat(n, at[:-1])
         hot = np.flatnonzero(total * HOT_SHARE > total.sum() + 100 * HOT_SHARE)
         if len(hot):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.int64()), _lists(np.arange(len(hot) + 1), full[at[hot]].view(np.int64)), pa.array(total[hot])], names=["did", "keys", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.int64()), _lists(np.arange(len(hot) + 1), full[at[hot]].view(np.int64)), pa.array(total[hot])], names=["th", "keys", "n"])
         hit = np.repeat(doc[at[:-1]] != doc[at[1:] - 1], np.diff(at))
         if hit.any():
             key, doc = full[hit], doc[hit]
             order = np.argsort(doc, kind="stable")
             key, doc = key[order], doc[order]
             at = _runs_of(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at[:-1]]), _lists(at, key.view(np.int64)), pa.nulls(len(at) - 1, pa.int64())], names=["did", "keys", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at[:-1]]), _lists(at, key.view(np.int64)), pa.nulls(len(at) - 1, pa.int64())], names=["th", "keys", "n"])
 
 
 def _expand(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,13 +307,14 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 def _remains(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, at = utf8(batch.column("text"))
-        ths, covers = batch.column("th").to_pylist(), batch.column("covers").to_pylist()
+        covers, copies = batch.column("covers").to_pylist(), batch.column("copy").to_pylist()
         out = []
-        for i, spans in enumerate(covers):
+        for i, (mine, copy) in enumerate(zip(covers, copies, strict=True)):
             data = raw[at[i] : at[i + 1]]
-            mine = [c for c in spans or () if c["th"] == ths[i]]
             if not mine:
                 kept, removed, n_spans = data.tobytes(), 0, 0
+            elif copy:
+                kept, removed, n_spans = b"", len(data), 1
             else:
                 step = np.zeros(len(data) + 1, np.int64)
                 for c in mine:
@@ -344,16 +347,22 @@ def repeated_substrings(docs: DataFrame, length: int = 50, texts: bool = True) -
     least = F.lit(-(2**63)).cast("long")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), least).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
-    entries = docs.select("did", "text").mapInArrow(partial(_entries, length=length, buckets=buckets), _ENTRIES)
-    matches = cut(entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, "did long, keys array<long>, n long"))
+    known = docs.select("did", "th", F.xxhash64(F.lit(length), "text").alias("th2"), F.octet_length("text").alias("n"))
+    first = known.groupBy("th", "th2", "n").agg(F.min("did").alias("first"))
+    copies = known.join(first, ["th", "th2", "n"]).where(f"did > first and n >= {length}")
+    entries = docs.select("th", "text").mapInArrow(partial(_entries, length=length, buckets=buckets), _ENTRIES)
+    matches = cut(entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, "th long, keys array<long>, n long"))
     # each bucket names the anchors that hold too much of it; of those, at most HOT_SHARE hold that share of all
-    hot = np.array([r[0] for r in matches.where("did is null").select(F.element_at("keys", 1), "n").orderBy(F.desc("n")).limit(HOT_SHARE).collect()], np.int64).view(np.uint64)
-    matched = matches.where("did is not null").groupBy("did").agg(F.flatten(F.collect_list("keys")).alias("keys"))
-    runs = docs.join(matched, "did").select("did", "th", "text", "keys").mapInArrow(partial(_cut_runs, length=length, buckets=buckets, fine=buckets * SPLIT, hot=hot), _FOUND)
+    hot = np.array([r[0] for r in matches.where("th is null").select(F.element_at("keys", 1), "n").orderBy(F.desc("n")).limit(HOT_SHARE).collect()], np.int64).view(np.uint64)
+    matched = matches.where("th is not null").groupBy("th").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    one = first.join(matched, "th").select(F.col("first").alias("did"), "th", "keys")
+    # the same columns as in the last join, so that Spark deals the texts out once
+    runs = docs.join(one, ["did", "th"]).select("doc_id", "did", "th", "text", "keys").mapInArrow(partial(_cut_runs, length=length, buckets=buckets, fine=buckets * SPLIT, hot=hot), _FOUND)
     here = runs.repartition(buckets, F.coalesce("bucket", F.xxhash64("did"))).sortWithinPartitions("bucket")
     covers = here.mapInArrow(partial(_settle_or_pass, length=length), "did long, th long, starts binary, ends binary")
-    by_doc = covers.groupBy("did").agg(F.collect_list(F.struct("th", "starts", "ends")).alias("covers"))
-    whole = docs.join(by_doc, "did", "left").select("doc_id", "th", "text", "covers")
+    covers = covers.unionByName(copies.select("did", "th", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("ends")))
+    by_doc = covers.groupBy("did", "th").agg(F.collect_list(F.struct("starts", "ends")).alias("covers"), F.bool_or(F.col("starts").isNull()).alias("copy"))
+    whole = docs.join(by_doc, ["did", "th"], "left").select("doc_id", "text", "covers", "copy")
     return whole.mapInArrow(partial(_remains, texts=texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
 
 
