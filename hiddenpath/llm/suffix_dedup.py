@@ -31,7 +31,7 @@ from hiddenpath.llm.common import _BYTE, blocks, cut, mix, span_hashes, utf8
 
 GRAM, FIRST_GRAM = 24, 25
 #: Buckets of runs for each shuffle partition: a task refines one bucket, of about a megabyte, at a time.
-SPLIT = 8
+SPLIT = 16
 #: At most so many anchors can hold more than this share of all entries; so the list sent to tasks is bounded.
 HOT_SHARE = 10_000
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -88,6 +88,18 @@ def _packed(bucket: int, local: bool, docs: np.ndarray, keys: np.ndarray, counts
     return bucket, local, docs[at[:-1]].tobytes(), np.diff(at).astype(np.int32).tobytes(), (keys if local else (keys & _LOW).astype(np.uint32)).tobytes(), counts.astype(np.uint16).tobytes()
 
 
+_ZSTD = pa.Codec("zstd")
+
+
+def _small(data: np.ndarray) -> bytes:
+    """The bytes of an array, their number first, compressed: runs are most of what is shuffled."""
+    return data.nbytes.to_bytes(8, "little") + _ZSTD.compress(data.tobytes(), asbytes=True)
+
+
+def _back(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(_ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), kind)
+
+
 def _entries(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("th").to_numpy(zero_copy_only=False)
@@ -250,7 +262,7 @@ def _cut_runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, fine
             s, e, r = p[a], p[b - 1] + length, r[a]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 text = raw[_expand(s[x:y], e[x:y])[0]]
-                rows.append((int(to[x]), None, None, None, None, ids[lo + r[x:y]].tobytes(), ths[lo + r[x:y]].tobytes(), (s[x:y] - at[r[x:y]]).astype(np.int32).tobytes(), (e[x:y] - s[x:y]).astype(np.int32).tobytes(), text.tobytes()))
+                rows.append((int(to[x]), None, None, None, None, _small(ids[lo + r[x:y]]), ths[lo + r[x:y]].tobytes(), _small((s[x:y] - at[r[x:y]]).astype(np.int32)), _small((e[x:y] - s[x:y]).astype(np.int32)), _small(text)))
             if rows:
                 yield _rows(rows)
 
@@ -284,9 +296,9 @@ def refine(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) ->
 
 def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for rows in _by_bucket(batches):
-        raw = np.frombuffer(b"".join(r["text"] for r in rows), np.uint8)
-        doc, th = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in ("docs", "ths"))
-        at, lens = (np.concatenate([np.frombuffer(r[k], np.int32) for r in rows]).astype(np.int64) for k in ("at", "lens"))
+        raw = np.concatenate([_back(r["text"], np.uint8) for r in rows])
+        doc, th = np.concatenate([_back(r["docs"], np.int64) for r in rows]), np.concatenate([np.frombuffer(r["ths"], np.int64) for r in rows])
+        at, lens = (np.concatenate([_back(r[k], np.int32) for r in rows]).astype(np.int64) for k in ("at", "lens"))
         end = np.cumsum(lens)
         begin = end - lens
         pos, run, ids = refine(raw, begin, end, length)
