@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hiddenpath.llm import decontamination, html_extract, lang_id, near_dedup, packing, quality, suffix_dedup, toxicity
+from hiddenpath.llm import decontamination, html_extract, lang_id, license_scan, near_dedup, packing, quality, secret_scan, suffix_dedup, toxicity
 from hiddenpath.llm.common import table
 from hiddenpath.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -44,11 +44,22 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's verdict."""
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("row.doc_id", F.explode("findings").alias("x")).select("doc_id", "x.*")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside 10-word windows of benchmark items."""
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("spans")
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph with a licence cue of every document, with its family."""
+    return license_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents of Jaccard similarity 0.8 or more on four-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -67,5 +78,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cross_parsing_language_id, op2_best_fit_packing, op3_quality_rules, op4_html_extraction, op6_benchmark_decontamination, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_toxicity)
+    f.__name__: f for f in (op1_cross_parsing_language_id, op2_best_fit_packing, op3_quality_rules, op4_html_extraction, op5_secret_scans, op6_benchmark_decontamination, op7_license_scans, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_toxicity)
 }
