@@ -1,17 +1,72 @@
-"""The corpus pipeline: quality rules, near-dedup, decontamination, secret masking, packing."""
+"""The corpus pipeline: quality rules, near-dedup, decontamination, secret masking, packing.
+
+Each stage works on all that its predecessor kept, which is written as Parquet in the shared folder and read again.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hiddenpath.llm import decontamination, near_dedup, packing, quality, secret_scan
+from hiddenpath.llm.common import table, use_shared_dir
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not among ``ids``; rows without one stay."""
+    return docs.join(ids.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.apply_quality_rules(docs).where("quality.kept").drop("quality")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of similarity 0.8 on five-word shingles."""
+    return _without(docs, near_dedup.near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a ten-word window of a benchmark item."""
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10)
+    return _without(docs, found.where("contaminated").select("doc_id"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked and n_chars counted again."""
+    found = secret_scan.scan_secrets(docs)
+    new = {"text": F.col("masked"), "n_chars": F.char_length("masked").cast("long")}
+    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, ids=False).drop("ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("best-fit packing", best_fit_packing),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: SQL has no tokenizer; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{use_shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs
