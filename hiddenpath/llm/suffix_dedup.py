@@ -32,6 +32,8 @@ from hiddenpath.llm.common import _BYTE, blocks, cut, mix, span_hashes, utf8
 GRAM, FIRST_GRAM = 24, 25
 #: Buckets of runs for each shuffle partition: a task refines one bucket, of about a megabyte, at a time.
 SPLIT = 16
+#: Bytes of runs that a task gathers before it packs and sends them.
+GATHERED = 32_000_000
 #: At most so many anchors can hold more than this share of all entries; so the list sent to tasks is bounded.
 HOT_SHARE = 10_000
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -224,7 +226,35 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _FOUND_TYPES, strict=True)], names=_FOUND_NAMES)
 
 
+class _Gathered:
+    """Runs on their way to buckets: bucket, document, text fingerprint, start, length and bytes."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, to: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray, lens: np.ndarray, text: np.ndarray) -> None:
+        self.parts.append((to, doc, th, start, lens, text))
+        self.size += len(text)
+
+    def packed(self) -> list[tuple]:
+        """A row per bucket."""
+        if not self.parts:
+            return []
+        to, doc, th, start, lens, text = (np.concatenate([p[k] for p in self.parts]) for k in range(6))
+        self.parts, self.size = [], 0
+        order = np.lexsort((start, doc, to))
+        begin = (np.cumsum(lens) - lens)[order]
+        to, doc, th, start, lens = to[order], doc[order], th[order], start[order], lens[order]
+        cuts, rows = _runs_of(to), []
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            own = text[_expand(begin[x:y], begin[x:y] + lens[x:y])[0]]
+            rows.append((int(to[x]), None, None, None, None, _small(doc[x:y]), th[x:y].tobytes(), _small(start[x:y].astype(np.int32)), _small(lens[x:y].astype(np.int32)), _small(own)))
+        return rows
+
+
 def _cut_runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, fine: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    gathered = _Gathered()
     for batch in batches:
         ids, ths = batch.column("did").to_numpy(zero_copy_only=False), batch.column("th").to_numpy(zero_copy_only=False)
         lists = batch.column("keys")
@@ -256,15 +286,14 @@ def _cut_runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, fine
             each = np.where(common[rest], np.arange(len(p)), -1)
             a, b = _joined(p, r, g, each)
             to = (np.where(common[rest][a], print_[rest][a], mix(key[g[a]])) % np.uint64(fine)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            a, b, to = a[order], b[order], to[order]
-            cuts = _runs_of(to)
-            s, e, r = p[a], p[b - 1] + length, r[a]
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                text = raw[_expand(s[x:y], e[x:y])[0]]
-                rows.append((int(to[x]), None, None, None, None, _small(ids[lo + r[x:y]]), ths[lo + r[x:y]].tobytes(), _small((s[x:y] - at[r[x:y]]).astype(np.int32)), _small((e[x:y] - s[x:y]).astype(np.int32)), _small(text)))
+            begin, stop, r = p[a], p[b - 1] + length, r[a]
+            gathered.add(to, ids[lo + r], ths[lo + r], begin - at[r], stop - begin, raw[_expand(begin, stop)[0]])
+            if gathered.size > GATHERED:
+                rows += gathered.packed()
             if rows:
                 yield _rows(rows)
+    if rest := gathered.packed():
+        yield _rows(rest)
 
 
 def refine(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,7 +323,8 @@ def refine(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) ->
         width += step
 
 
-def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Removed stretches of each bucket: document, text fingerprint, start and end."""
     for rows in _by_bucket(batches):
         raw = np.concatenate([_back(r["text"], np.uint8) for r in rows])
         doc, th = np.concatenate([_back(r["docs"], np.int64) for r in rows]), np.concatenate([np.frombuffer(r["ths"], np.int64) for r in rows])
@@ -311,9 +341,7 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         gone = least < doc[run]
         p, r = pos[gone], run[gone]
         a, b = _joined(p, r)
-        found = _covers(doc[r[a]], th[r[a]], p[a] - begin[r[a]] + at[r[a]], p[b - 1] + length - begin[r[a]] + at[r[a]])
-        for k in range(0, len(found), 20_000):
-            yield _rows(found[k : k + 20_000])
+        yield doc[r[a]], th[r[a]], p[a] - begin[r[a]] + at[r[a]], p[b - 1] + length - begin[r[a]] + at[r[a]]
 
 
 def _remains(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
@@ -391,9 +419,15 @@ def _settle_or_pass(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
             if done.num_rows < batch.num_rows:
                 yield batch.filter(batch.column("did").is_null())
 
+    held: list[tuple[np.ndarray, ...]] = []
     for got in _settle(rest(), length):
-        yield got.select(names)
+        held.append(got)
         while found:
             yield found.pop().select(names)
+        if sum(len(x[0]) for x in held) > 1_000_000:
+            yield _rows(_covers(*(np.concatenate(x) for x in zip(*held, strict=True)))).select(names)
+            held = []
     while found:
         yield found.pop().select(names)
+    if held and any(len(x[0]) for x in held):
+        yield _rows(_covers(*(np.concatenate(x) for x in zip(*held, strict=True)))).select(names)
