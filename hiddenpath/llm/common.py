@@ -78,7 +78,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         made = np.full(max(n, BLOCK_BYTES + 1024), base, np.uint64)
         made[0] = 1
         got = np.multiply.accumulate(made)
-        if n <= BLOCK_BYTES + 1024:
+        if n <= 4 * BLOCK_BYTES:
             _powers[int(base)] = got
     return got[:n]
 

@@ -8,6 +8,8 @@ unpacked pieces that fill the expanded gap best, if they fill it better.
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -21,7 +23,7 @@ from hiddenpath.llm.common import blocks, span_hashes, word_spans
 
 SIZE, SHARD_PIECES = 2048, 16_384
 #: Words whose ids a worker remembers at most; then it forgets them all.
-MOST_CACHED = 400_000
+MOST_CACHED = 3_000_000
 
 _SPACE = np.ones(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -36,25 +38,47 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, tuple[int, ...]] = {}
-        self.tails = {c: tuple(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"}
+        self.tails = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Fingerprints of known words in ascending order, their slots, and by slot the place of their ids in ``ids``.
+        self.prints, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _tokenise(self, words: list[str]) -> dict[str, list[int]]:
+        """Ids of distinct words. Words of letters go through the tokenizer many in a text, which it takes apart again."""
+        letters, others, out = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()], {}
+        for k in range(0, len(letters), 512):
+            part = letters[k : k + 512]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, owner = got.ids, np.array(got.word_ids, np.int64)
+            cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+            if len(cuts) + 1 != len(part):
+                others += part
+                continue
+            edges = [0, *cuts.tolist(), len(ids)]
+            out.update((w, ids[a:b]) for w, a, b in zip(part, edges[:-1], edges[1:], strict=True))
+        for w, got in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            out[w] = got.ids
+        return out
 
     def _learn(self, prints: np.ndarray, words: list[str]) -> None:
-        """Ids of new words; a final stop or comma after a letter is a token of its own."""
-        bare, tail = [], []
-        for w in words:
-            alone = len(w) > 1 and w[-1] in self.tails and w[-2].isalpha() and "'" not in w
-            bare.append(w[:-1] if alone else w)
-            tail.append(self.tails[w[-1]] if alone else ())
-        got = self.tokenizer.encode_batch_fast(bare, add_special_tokens=False)
-        for p, g, t in zip(prints.tolist(), got, tail, strict=True):
-            self.known[p] = (*g.ids, *t)
+        """Adds new words; a final stop or comma after a letter is a token of its own."""
+        alone = [len(w) > 1 and w[-1] in self.tails and w[-2].isalpha() and "'" not in w for w in words]
+        bare = [w[:-1] if x else w for w, x in zip(words, alone, strict=True)]
+        got = self._tokenise(list(dict.fromkeys(bare)))
+        ids = [got[b] + self.tails[w[-1]] if x else got[b] for w, b, x in zip(words, bare, alone, strict=True)]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        new = np.arange(len(ids)) + len(self.begin) - 1
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(lens))
+        self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lens.sum())))
+        at = np.searchsorted(self.prints, prints)
+        self.prints, self.slots = np.insert(self.prints, at, prints), np.insert(self.slots, at, new)
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and the offsets of the rows in them."""
@@ -62,19 +86,17 @@ class WordTokenizer:
         text = raw if (raw == 124).any() and b"<|" in raw.tobytes() else _LOWER[raw]
         s, e, first = word_spans(text, at, _SPACE)
         prints, index, inverse = np.unique(span_hashes(text, s, e), return_index=True, return_inverse=True)
-        if len(self.known) > MOST_CACHED:
-            self.known.clear()
-        known, data = self.known, text.tobytes()
-        new = np.array([k for k, p in enumerate(prints.tolist()) if p not in known], np.int64)
+        if len(self.prints) > MOST_CACHED:
+            self._forget()
+        data = text.tobytes()
+        known = np.searchsorted(self.prints, prints)
+        new = np.flatnonzero(self.prints[np.minimum(known, len(self.prints) - 1)] != prints) if len(self.prints) else np.arange(len(prints))
         if len(new):
             self._learn(prints[new], [data[a:b].decode("utf-8", "replace") for a, b in zip(s[index[new]].tolist(), e[index[new]].tolist(), strict=True)])
-        ids = [known[p] for p in prints.tolist()]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for w in ids for x in w), np.uint32, int(lens.sum()))
-        begin = np.cumsum(lens) - lens
-        n = lens[inverse]
+        slot = self.slots[np.searchsorted(self.prints, prints)][inverse]
+        begin, n = self.begin[slot], self.begin[slot + 1] - self.begin[slot]
         total = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.arange(total[-1]) + np.repeat(begin[inverse] - total[:-1], n)]
+        out = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)]
         return out, total[first]
 
 
@@ -82,7 +104,9 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, ids: bool) -> Iterator[pa.RecordBatch]:
-    words = _tokenizers.setdefault(tokenizer, None) or _tokenizers.__setitem__(tokenizer, WordTokenizer(tokenizer)) or _tokenizers[tokenizer]
+    if tokenizer not in _tokenizers:
+        _tokenizers[tokenizer] = WordTokenizer(tokenizer)
+    words = _tokenizers[tokenizer]
     for batch in batches:
         for lo, _, raw, at in blocks(batch.column("text"), 4_000_000):
             token, offs = words.encode(raw, at)
