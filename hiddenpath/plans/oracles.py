@@ -1,0 +1,130 @@
+"""DuckDB SQL of the registered queries: recursions as recursive tables over rows of (sequence, step, state)."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from hiddenpath.model import ContinuousHmm, DiscreteHmm, Hmm
+from hiddenpath.plans.catalog import EVENTS, MIXED, NORMAL, ORDER1, OTHER, PLAIN, SILENT, SWITCHING
+
+_LIST = ", ".join(f"'{e}'" for e in EVENTS)
+#: Steps of all sequences: code, value, the code before, and whether the value is 250 or more.
+S = f"s AS MATERIALIZED (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS t, list_position([{_LIST}], event_type) - 1 AS sym, lag(list_position([{_LIST}], event_type) - 1) OVER (PARTITION BY user_id ORDER BY ts) AS prev, value AS x, CAST(value >= 250 AS INTEGER) AS high, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
+
+
+def _literal(x: object) -> str:
+    """Reals with an exponent: plain ones would be decimals."""
+    return f"{x!r}e0" if isinstance(x, float) and "e" not in repr(x) else repr(x)
+
+
+def _values(head: str, rows: list[tuple]) -> str:
+    return f"{head} AS (VALUES {', '.join('(' + ', '.join(_literal(x) for x in r) + ')' for r in rows)})"
+
+
+def _chain(model: Hmm, k: str = "") -> str:
+    tr = [(c, i, j, float(p)) for (c, i, j), p in np.ndenumerate(model.a) if p > 0]
+    ini = [(i, float(p)) for i, p in enumerate(model.pi) if p > 0]
+    return _values(f"tr{k}(c, src, dst, p)", tr) + ", " + _values(f"ini{k}(st, p)", ini)
+
+
+def _emissions(model: Hmm, k: str = "") -> str:
+    """A table e(id, t, st, p)."""
+    if isinstance(model, DiscreteHmm):
+        rows = [(i, x, float(p)) for i, b in enumerate(model.b) for x, p in enumerate(b) if p > 0 and len(b) == 5]
+        longer = [(i, x // 5, x % 5, float(p)) for i, b in enumerate(model.b) for x, p in enumerate(b) if len(b) == 25]
+        out = _values(f"em{k}(st, sym, p)", rows) + f", e{k} AS (SELECT s.id, s.t, em.st, em.p FROM s JOIN em{k} em ON em.sym = s.sym"
+        return (_values("em1(st, prev, sym, p)", longer) + ", " + out + " UNION ALL SELECT s.id, s.t, em1.st, em1.p FROM s JOIN em1 ON em1.sym = s.sym AND em1.prev = s.prev)") if longer else out + ")"
+    assert isinstance(model, ContinuousHmm)
+    parts = []
+    for i, comps in enumerate(model.components):
+        terms = [f"{c.weight} * (CASE WHEN x BETWEEN {c.lo} AND {c.hi} THEN 1 / {c.hi - c.lo} ELSE 0 END)" if c.kind == "uniform" else f"{c.weight} * exp(-pow(x - {c.mean}, 2) / {2 * c.var}) / sqrt(2 * pi() * {c.var})" for c in comps]
+        parts.append(f"SELECT id, t, {i} AS st, {' + '.join(terms)} AS p FROM s")
+    return f"e{k} AS ({' UNION ALL '.join(parts)})"
+
+
+def _forward(k: str = "", cls: str = "0", allow: str = "true") -> str:
+    """f(id, t, st, v): unscaled forward values. ``cls``: class of the step before; ``allow``: which states a step may have."""
+    return (
+        f"f{k}(id, t, st, v) AS (SELECT e.id, e.t, e.st, ini.p * e.p FROM e{k} e JOIN ini{k} ini USING (st) JOIN s USING (id, t) WHERE e.t = 0 AND {allow} UNION ALL "
+        f"SELECT e.id, e.t, e.st, sum(f.v * tr.p) * any_value(e.p) FROM f{k} f JOIN s p ON p.id = f.id AND p.t = f.t JOIN tr{k} tr ON tr.src = f.st AND tr.c = {cls} JOIN e{k} e ON e.id = f.id AND e.t = f.t + 1 AND e.st = tr.dst "
+        f"JOIN s ON s.id = e.id AND s.t = e.t WHERE {allow} GROUP BY e.id, e.t, e.st)"
+    )
+
+
+def _backward() -> str:
+    return (
+        "b(id, t, st, v) AS (SELECT s.id, s.t, q.st, CAST(1 AS DOUBLE) FROM s CROSS JOIN (SELECT DISTINCT src AS st FROM tr) q WHERE s.t = s.n - 1 UNION ALL "
+        "SELECT b.id, b.t - 1, tr.src, sum(tr.p * e.p * b.v) FROM b JOIN tr ON tr.dst = b.st JOIN e ON e.id = b.id AND e.t = b.t AND e.st = b.st WHERE b.t > 0 GROUP BY b.id, b.t, tr.src)"
+    )
+
+
+def _viterbi(cls: str = "0") -> str:
+    return (
+        "v(id, t, st, v, src) AS (SELECT e.id, e.t, e.st, ln(ini.p) + ln(e.p), -1 FROM e JOIN ini USING (st) WHERE e.t = 0 UNION ALL "
+        f"SELECT e.id, e.t, e.st, max(v.v + ln(tr.p)) + ln(any_value(e.p)), arg_max(v.st, v.v + ln(tr.p)) FROM v JOIN s p ON p.id = v.id AND p.t = v.t JOIN tr ON tr.src = v.st AND tr.c = {cls} JOIN e ON e.id = v.id AND e.t = v.t + 1 AND e.st = tr.dst GROUP BY e.id, e.t, e.st), "
+        "w(id, t, st, src, lp) AS (SELECT s.id, s.t, arg_max(v.st, v.v), arg_max(v.src, v.v), max(v.v) FROM v JOIN s USING (id, t) WHERE s.t = s.n - 1 GROUP BY s.id, s.t UNION ALL SELECT v.id, v.t, v.st, v.src, w.lp FROM w JOIN v ON v.id = w.id AND v.t = w.t - 1 AND v.st = w.src)"
+    )
+
+
+def _with(*parts: str) -> str:
+    return "WITH RECURSIVE " + ", ".join(parts) + " "
+
+
+def _logp(model: Hmm, **how: str) -> str:
+    return _with(S, _chain(model), _emissions(model), _forward(**how)) + "SELECT f.id AS seq_id, round(ln(sum(f.v)), 4) AS logp FROM f JOIN s USING (id, t) WHERE s.t = s.n - 1 GROUP BY f.id"
+
+
+_TWO = _with(S, _chain(PLAIN, "x"), _emissions(PLAIN, "x"), _forward("x"), _chain(OTHER, "y"), _emissions(OTHER, "y"), _forward("y")) + "lx AS (SELECT f.id, ln(sum(f.v)) AS l FROM fx f JOIN s USING (id, t) WHERE s.t = s.n - 1 GROUP BY f.id), ly AS (SELECT f.id, ln(sum(f.v)) AS l FROM fy f JOIN s USING (id, t) WHERE s.t = s.n - 1 GROUP BY f.id), z AS (SELECT id, lx.l AS p, ly.l AS q FROM lx JOIN ly USING (id)) "
+_TWO = _TWO.replace(" lx AS", ", lx AS", 1)
+_PATH = "SELECT id AS seq_id, string_agg(st, ',' ORDER BY t) AS path, round(any_value(lp), 4) AS logp FROM w GROUP BY id"
+# the silent state taken out: what passes through it becomes a transition of its own
+_thru = SILENT.a[0][:2, :2] + np.outer(SILENT.a[0][:2, 2], SILENT.a[0][2, :2]) / (1 - SILENT.a[0][2, 2])
+_LOUD = DiscreteHmm(pi=SILENT.pi[:2], a=_thru, b=SILENT.b[:2], alphabet=EVENTS)
+_A0 = "CASE WHEN s.t = 0 THEN ln(i.p) ELSE ln(tr.p) END"
+
+ORACLE_SQL: dict[str, str] = {
+    "seq_build": _with(S) + "SELECT id AS seq_id, CAST(count(*) AS INTEGER) AS n, string_agg(sym, ',' ORDER BY t) AS obs FROM s GROUP BY id",
+    "symbol_counts": _with(S) + "SELECT CAST(sym AS INTEGER) AS symbol, count(*) AS n FROM s GROUP BY sym",
+    "bigram_counts": _with(S) + "SELECT CAST(prev AS INTEGER) AS src, CAST(sym AS INTEGER) AS dst, count(*) AS n FROM s WHERE prev IS NOT NULL GROUP BY ALL",
+    "forward_logp": _logp(PLAIN),
+    "forward_logp_arrow": _logp(PLAIN),
+    "filtered_states": _with(S, _chain(PLAIN), _emissions(PLAIN), _forward()) + "SELECT f.id AS seq_id, CAST(f.st AS INTEGER) AS state, round(f.v / sum(f.v) OVER (PARTITION BY f.id), 6) AS p FROM f JOIN s USING (id, t) WHERE s.t = s.n - 1",
+    "posterior_at": _with(S, _chain(PLAIN), _emissions(PLAIN), _forward(), _backward()) + "SELECT id AS seq_id, CAST(st AS INTEGER) AS state, round(f.v * b.v / sum(f.v * b.v) OVER (PARTITION BY id), 6) AS p FROM f JOIN b USING (id, t, st) WHERE t = 10",
+    "viterbi_path": _with(S, _chain(PLAIN), _emissions(PLAIN), _viterbi()) + _PATH,
+    "viterbi_labels": _with(S, _chain(PLAIN), _emissions(PLAIN), _viterbi()) + "SELECT id AS seq_id, string_agg(CASE WHEN st = 0 THEN '0' ELSE '1' END, ',' ORDER BY t) AS labels FROM w GROUP BY id",
+    "joint_logp": _with(S, _chain(PLAIN), _emissions(PLAIN)) + f"SELECT s.id AS seq_id, round(sum({_A0} + ln(e.p)), 4) AS logp FROM s JOIN e ON e.id = s.id AND e.t = s.t AND e.st = s.sym % 3 LEFT JOIN ini i ON i.st = s.sym % 3 LEFT JOIN tr ON tr.src = s.prev % 3 AND tr.dst = s.sym % 3 GROUP BY s.id",
+    "normal_logp": _logp(NORMAL),
+    "mixed_logp": _logp(MIXED),
+    "normal_viterbi": _with(S, _chain(NORMAL), _emissions(NORMAL), _viterbi()) + _PATH,
+    "labelled_logp": _logp(PLAIN, allow="(e.st > 0) = (s.high = 1)"),
+    "switching_logp": _logp(SWITCHING, cls="p.high"),
+    "switching_viterbi": _with(S, _chain(SWITCHING), _emissions(SWITCHING), _viterbi("p.high")) + _PATH,
+    "order1_logp": _logp(ORDER1),
+    "silent_logp": _logp(_LOUD),
+    "em_step": _with(S, _chain(PLAIN), _emissions(PLAIN), _forward(), _backward())
+    + ", z AS (SELECT f.id, sum(f.v) AS v FROM f JOIN s USING (id, t) WHERE s.t = s.n - 1 GROUP BY f.id), g AS (SELECT id, t, st, f.v * b.v / z.v AS p FROM f JOIN b USING (id, t, st) JOIN z USING (id)) "
+    "SELECT 'pi' AS stat, 0 AS i, CAST(st AS INTEGER) AS j, round(sum(p), 4) AS value FROM g WHERE t = 0 GROUP BY st "
+    "UNION ALL SELECT 'b', CAST(st AS INTEGER), CAST(sym AS INTEGER), round(sum(p), 4) FROM g JOIN s USING (id, t) GROUP BY st, sym "
+    "UNION ALL SELECT 'a', CAST(tr.src AS INTEGER), CAST(tr.dst AS INTEGER), round(sum(f.v * tr.p * e.p * b.v / z.v), 4) FROM f JOIN tr ON tr.src = f.st JOIN e ON e.id = f.id AND e.t = f.t + 1 AND e.st = tr.dst JOIN b ON b.id = f.id AND b.t = e.t AND b.st = tr.dst JOIN z ON z.id = f.id GROUP BY tr.src, tr.dst",
+    "normal_em_step": _with(S, _chain(NORMAL), _emissions(NORMAL), _forward(), _backward())
+    + ", z AS (SELECT f.id, sum(f.v) AS v FROM f JOIN s USING (id, t) WHERE s.t = s.n - 1 GROUP BY f.id), g AS (SELECT st, s.x, f.v * b.v / z.v AS p FROM f JOIN b USING (id, t, st) JOIN z USING (id) JOIN s USING (id, t)) "
+    "SELECT CAST(st AS INTEGER) AS state, round(sum(p * x) / sum(p), 4) AS mean, round(sum(p * pow(x - CASE st WHEN 0 THEN 80.0 WHEN 1 THEN 220.0 ELSE 400.0 END, 2)) / sum(p), 3) AS var FROM g GROUP BY st",
+    "bayes_classify": _TWO + "SELECT id AS seq_id, CASE WHEN p >= q THEN 0 ELSE 1 END AS model_id, round(1 / (1 + exp(-abs(p - q))), 6) AS posterior FROM z",
+    "best_model": _TWO + "SELECT id AS seq_id, CASE WHEN p >= q THEN 0 ELSE 1 END AS model_id, round(greatest(p, q), 4) AS logp FROM z",
+    "ranked": f"SELECT * FROM ({_logp(PLAIN)}) ORDER BY logp DESC, seq_id LIMIT 20",
+    "set_logp": _TWO + "SELECT round(sum(p), 2) AS logp, count(*) AS n FROM z",
+    "mixture_logp": _TWO + "SELECT round(sum(greatest(p, q) + ln(0.3 * exp(p - greatest(p, q)) + 0.7 * exp(q - greatest(p, q)))), 2) AS logp FROM z",
+    "mixture_decode": _TWO + ", r AS (SELECT id, p >= q AS first, 1 / (1 + exp(-abs(p - q))) AS h, 1 / (1 + exp(abs(p - q))) AS l FROM z) SELECT id AS seq_id, CASE WHEN -h * ln(h) - l * ln(l) <= 0.3 THEN CASE WHEN first THEN 0 ELSE 1 END END AS model_id, round(-h * ln(h) - l * ln(l), 5) AS entropy FROM r",
+    "log_odds": _TWO + "SELECT id AS seq_id, round(CASE id % 2 WHEN 0 THEN p - q ELSE q - p END, 4) AS odds, round(1 / (1 + exp(CASE id % 2 WHEN 0 THEN q - p ELSE p - q END)), 6) AS gain FROM z",
+    "confusion": _TWO + "SELECT CAST(id % 2 AS INTEGER) AS label, CASE WHEN p >= q THEN 0 ELSE 1 END AS model_id, count(*) AS n FROM z GROUP BY ALL",
+    "mean_sequence": _with(S) + "SELECT CAST(t AS INTEGER) AS t, round(sum(x) / (SELECT count(DISTINCT id) FROM s), 4) AS mean FROM s GROUP BY t",
+    "scatter_matrix": _with(S) + "SELECT CAST(p.t AS INTEGER) AS k, CAST(q.t AS INTEGER) AS l, round(avg(p.x * q.x) - avg(p.x) * avg(q.x), 2) AS value FROM s p JOIN s q ON p.id = q.id AND p.t <= q.t WHERE least(q.t, 8) < 8 GROUP BY ALL",
+    "extremes": _with(S) + "SELECT count(DISTINCT id) AS n, CAST(max(n) AS INTEGER) AS longest, count(*) AS items, CAST(min(sym) AS INTEGER) AS least, CAST(max(sym) AS INTEGER) AS most FROM s",
+    "background_estimate": _with(S) + ", k AS (SELECT h.i AS history, y.i AS symbol, 1 + (SELECT count(*) FROM s WHERE prev = h.i AND sym = y.i) AS n FROM range(5) h(i), range(5) y(i)) SELECT CAST(history AS INTEGER) AS history, CAST(symbol AS INTEGER) AS symbol, round(n / sum(n) OVER (PARTITION BY history), 8) AS p FROM k",
+    "pair_counts": _with(S) + ", m AS (SELECT DISTINCT id, least(n, 40) AS n FROM s), w AS (SELECT x.id, greatest(x.n, y.n) AS n FROM m x JOIN m y ON y.id = x.id + 1) SELECT CAST(p.sym AS INTEGER) AS a, CAST(q.sym AS INTEGER) AS b, count(*) AS n FROM w CROSS JOIN range(40) r(t) LEFT JOIN s p ON p.id = w.id AND p.t = r.t LEFT JOIN s q ON q.id = w.id + 1 AND q.t = r.t WHERE r.t < w.n GROUP BY ALL",
+    "subset": _with(S) + ", w(pos, id) AS (VALUES (0, 7), (1, 3), (2, 7)) SELECT pos, s.id AS seq_id, string_agg(sym, ',' ORDER BY t) AS obs FROM w JOIN s ON s.id = w.id GROUP BY pos, s.id",
+    "merge": _with(S) + "SELECT id AS seq_id, CAST(2 AS BIGINT) AS n, 2 * count(*) AS items FROM s GROUP BY id",
+    "all_words": "SELECT (a * 27 + b * 9 + c * 3 + d) AS seq_id, concat_ws(',', a, b, c, d) AS obs FROM range(3) w(a), range(3) x(b), range(3) y(c), range(3) z(d)",
+    "order_statuses": "SELECT o_custkey AS seq_id, string_agg(o_orderstatus, '' ORDER BY o_orderdate, o_orderkey) AS obs FROM orders GROUP BY o_custkey",
+    "value_blocks": _with(S) + ", d AS (SELECT id, t, x, CAST(coalesce(abs(x - lag(x) OVER (PARTITION BY id ORDER BY t)) >= 150, false) AS INTEGER) AS new FROM s), k AS (SELECT id, t, x, sum(new) OVER (PARTITION BY id ORDER BY t) AS block FROM d) SELECT id AS seq_id, CAST(block AS BIGINT) AS block, CAST(min(t) AS INTEGER) AS start, count(*) AS n, round(avg(x), 8) AS mean FROM k GROUP BY id, block",
+}
