@@ -32,6 +32,8 @@ from hiddenpath.llm.common import _BYTE, blocks, cut, mix, span_hashes, utf8
 GRAM, FIRST_GRAM = 24, 25
 #: Buckets of runs for each shuffle partition: a task refines one bucket, of about a megabyte, at a time.
 SPLIT = 16
+#: Slots of documents for each shuffle partition; a slot's covers travel as one row.
+SLOTS = 4
 #: Bytes of runs that a task gathers before it packs and sends them.
 GATHERED = 32_000_000
 #: At most so many anchors can hold more than this share of all entries; so the list sent to tasks is bounded.
@@ -137,15 +139,15 @@ def _entries(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "local", "docs", "lens", "keys", "counts"])
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+def _by_bucket(batches: Iterator[pa.RecordBatch], key: str = "bucket") -> Iterator[list[dict]]:
     """Rows sorted by bucket, a list per bucket."""
     now, rows = None, []
     for batch in batches:
         for r in batch.to_pylist():
-            if r["bucket"] != now:
+            if r[key] != now:
                 if rows:
                     yield rows
-                now, rows = r["bucket"], []
+                now, rows = r[key], []
             rows.append(r)
     if rows:
         yield rows
@@ -207,19 +209,20 @@ def _joined(pos: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[:-1], at[1:]
 
 
-_FOUND = "bucket int, did long, th long, starts binary, ends binary, docs binary, ths binary, at binary, lens binary, text binary"
-_FOUND_TYPES = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 7]
+_FOUND = "bucket int, slot int, docs binary, ths binary, at binary, lens binary, text binary"
+_FOUND_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
 _FOUND_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
 
 
-def _covers(doc: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple]:
-    """Removed stretches, a row per document text."""
+def _covers(doc: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray, slots: int) -> list[tuple]:
+    """Removed stretches of document texts, a row for each slot of documents."""
     if not len(doc):
         return []
-    order = np.lexsort((start, th, doc))
-    doc, th, start, end = doc[order], th[order], start[order], end[order]
-    at = np.append(np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]))), len(doc))
-    return [(None, int(doc[a]), int(th[a]), start[a:b].astype(np.int32).tobytes(), end[a:b].astype(np.int32).tobytes(), *[None] * 5) for a, b in zip(at[:-1], at[1:], strict=True)]
+    slot = (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(slots)).astype(np.int64)
+    order = np.lexsort((start, th, doc, slot))
+    slot, doc, th, start, end = slot[order], doc[order], th[order], start[order], end[order]
+    at = _runs_of(slot)
+    return [(None, int(slot[a]), _small(doc[a:b]), _small(th[a:b]), _small(start[a:b].astype(np.int32)), _small((end[a:b] - start[a:b]).astype(np.int32)), None) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -249,11 +252,11 @@ class _Gathered:
         cuts, rows = _runs_of(to), []
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             own = text[_expand(begin[x:y], begin[x:y] + lens[x:y])[0]]
-            rows.append((int(to[x]), None, None, None, None, _small(doc[x:y]), th[x:y].tobytes(), _small(start[x:y].astype(np.int32)), _small(lens[x:y].astype(np.int32)), _small(own)))
+            rows.append((int(to[x]), None, _small(doc[x:y]), _small(th[x:y]), _small(start[x:y].astype(np.int32)), _small(lens[x:y].astype(np.int32)), _small(own)))
         return rows
 
 
-def _cut_runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, fine: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _cut_runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, fine: int, slots: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     gathered = _Gathered()
     for batch in batches:
         ids, ths = batch.column("did").to_numpy(zero_copy_only=False), batch.column("th").to_numpy(zero_copy_only=False)
@@ -278,7 +281,7 @@ def _cut_runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, fine
             gone = least < doc
             a, b = _joined(pos[gone], row[run][gone])
             p, r = pos[gone], row[run][gone]
-            rows = _covers(ids[lo + r[a]], ths[lo + r[a]], p[a] - at[r[a]], p[b - 1] + length - at[r[a]])
+            rows = _covers(ids[lo + r[a]], ths[lo + r[a]], p[a] - at[r[a]], p[b - 1] + length - at[r[a]], slots)
             # the rest goes on: runs by anchor, windows of very common anchors by content
             rest = ~gone
             common = np.isin(key, hot)[run] if len(hot) else np.zeros(len(pos), bool)
@@ -327,7 +330,7 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np
     """Removed stretches of each bucket: document, text fingerprint, start and end."""
     for rows in _by_bucket(batches):
         raw = np.concatenate([_back(r["text"], np.uint8) for r in rows])
-        doc, th = np.concatenate([_back(r["docs"], np.int64) for r in rows]), np.concatenate([np.frombuffer(r["ths"], np.int64) for r in rows])
+        doc, th = np.concatenate([_back(r["docs"], np.int64) for r in rows]), np.concatenate([_back(r["ths"], np.int64) for r in rows])
         at, lens = (np.concatenate([_back(r[k], np.int32) for r in rows]).astype(np.int64) for k in ("at", "lens"))
         end = np.cumsum(lens)
         begin = end - lens
@@ -347,19 +350,18 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np
 def _remains(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, at = utf8(batch.column("text"))
-        covers, copies = batch.column("covers").to_pylist(), batch.column("copy").to_pylist()
+        starts, ends, copies = (batch.column(c).to_pylist() for c in ("starts", "ends", "copy"))
         out = []
-        for i, (mine, copy) in enumerate(zip(covers, copies, strict=True)):
+        for i, copy in enumerate(copies):
             data = raw[at[i] : at[i + 1]]
-            if not mine:
+            if copy is None:
                 kept, removed, n_spans = data.tobytes(), 0, 0
             elif copy:
                 kept, removed, n_spans = b"", len(data), 1
             else:
                 step = np.zeros(len(data) + 1, np.int64)
-                for c in mine:
-                    np.add.at(step, np.frombuffer(c["starts"], np.int32), 1)
-                    np.add.at(step, np.frombuffer(c["ends"], np.int32), -1)
+                np.add.at(step, np.frombuffer(starts[i], np.int32), 1)
+                np.add.at(step, np.frombuffer(ends[i], np.int32), -1)
                 gone = np.cumsum(step[:-1]) > 0
                 kept, removed = data[~gone].tobytes(), int(gone.sum())
                 n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
@@ -397,37 +399,49 @@ def repeated_substrings(docs: DataFrame, length: int = 50, texts: bool = True) -
     matched = matches.where("th is not null").groupBy("th").agg(F.flatten(F.collect_list("keys")).alias("keys"))
     one = first.join(matched, "th").select(F.col("first").alias("did"), "th", "keys")
     # the same columns as in the last join, so that Spark deals the texts out once
-    runs = docs.join(one, ["did", "th"]).select("doc_id", "did", "th", "text", "keys").mapInArrow(partial(_cut_runs, length=length, buckets=buckets, fine=buckets * SPLIT, hot=hot), _FOUND)
-    here = runs.repartition(buckets, F.coalesce("bucket", F.xxhash64("did"))).sortWithinPartitions("bucket")
-    covers = here.mapInArrow(partial(_settle_or_pass, length=length), "did long, th long, starts binary, ends binary")
-    covers = covers.unionByName(copies.select("did", "th", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("ends")))
-    by_doc = covers.groupBy("did", "th").agg(F.collect_list(F.struct("starts", "ends")).alias("covers"), F.bool_or(F.col("starts").isNull()).alias("copy"))
-    whole = docs.join(by_doc, ["did", "th"], "left").select("doc_id", "text", "covers", "copy")
+    runs = docs.join(one, ["did", "th"]).select("doc_id", "did", "th", "text", "keys").mapInArrow(partial(_cut_runs, length=length, buckets=buckets, fine=buckets * SPLIT, slots=buckets * SLOTS, hot=hot), _FOUND)
+    here = runs.repartition(buckets, F.coalesce("bucket", "slot")).sortWithinPartitions("bucket")
+    covers = here.mapInArrow(partial(_settle_or_pass, length=length, slots=buckets * SLOTS), _FOUND).drop("bucket", "text")
+    by_slot = covers.repartition(buckets, "slot").sortWithinPartitions("slot").mapInArrow(_by_document, "did long, th long, starts binary, ends binary")
+    every = by_slot.unionByName(copies.select("did", "th", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("ends")))
+    by_doc = every.groupBy("did", "th").agg(F.first("starts", ignorenulls=True).alias("starts"), F.first("ends", ignorenulls=True).alias("ends"), F.bool_or(F.col("starts").isNull()).alias("copy"))
+    whole = docs.join(by_doc, ["did", "th"], "left").select("doc_id", "text", "starts", "ends", "copy")
     return whole.mapInArrow(partial(_remains, texts=texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
 
 
-def _settle_or_pass(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _settle_or_pass(batches: Iterator[pa.RecordBatch], length: int, slots: int) -> Iterator[pa.RecordBatch]:
     """Covers found earlier go through; runs are settled by bucket."""
-    names = ["did", "th", "starts", "ends"]
     found: list[pa.RecordBatch] = []
 
     def rest() -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = batch.filter(batch.column("did").is_valid())
+            done = batch.filter(batch.column("slot").is_valid())
             if done.num_rows:
                 found.append(done)
             if done.num_rows < batch.num_rows:
-                yield batch.filter(batch.column("did").is_null())
+                yield batch.filter(batch.column("slot").is_null())
 
     held: list[tuple[np.ndarray, ...]] = []
     for got in _settle(rest(), length):
         held.append(got)
         while found:
-            yield found.pop().select(names)
+            yield found.pop()
         if sum(len(x[0]) for x in held) > 1_000_000:
-            yield _rows(_covers(*(np.concatenate(x) for x in zip(*held, strict=True)))).select(names)
+            yield _rows(_covers(*(np.concatenate(x) for x in zip(*held, strict=True)), slots))
             held = []
     while found:
-        yield found.pop().select(names)
+        yield found.pop()
     if held and any(len(x[0]) for x in held):
-        yield _rows(_covers(*(np.concatenate(x) for x in zip(*held, strict=True)))).select(names)
+        yield _rows(_covers(*(np.concatenate(x) for x in zip(*held, strict=True)), slots))
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Covers sorted by slot to a row per document text."""
+    for rows in _by_bucket(batches, "slot"):
+        doc, th = (np.concatenate([_back(r[k], np.int64) for r in rows]) for k in ("docs", "ths"))
+        start, lens = (np.concatenate([_back(r[k], np.int32) for r in rows]) for k in ("at", "lens"))
+        order = np.lexsort((start, th, doc))
+        doc, th, start, end = doc[order], th[order], start[order], (start + lens)[order]
+        at = np.append(np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]))), len(doc))
+        parts = [[x[a:b].astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] for x in (start, end)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at[:-1]]), pa.array(th[at[:-1]]), *[pa.array(x, pa.binary()) for x in parts]], names=["did", "th", "starts", "ends"])
