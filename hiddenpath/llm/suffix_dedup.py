@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from hiddenpath.llm.common import _BYTE, blocks, cut, mix, span_hashes, utf8
 
 GRAM, FIRST_GRAM = 24, 25
-#: Buckets of runs for each shuffle partition: a task refines one bucket, of about a megabyte, at a time.
-SPLIT = 16
+#: Buckets of runs for each shuffle partition, and parts of a bucket: a task refines one part, of about a megabyte, at a time.
+KEYS, SPLIT = 2, 8
 #: Slots of documents for each shuffle partition; a slot's covers travel as one row.
-SLOTS = 4
+SLOTS = 1
 #: Bytes of runs that a task gathers before it packs and sends them.
 GATHERED = 32_000_000
 #: At most so many anchors can hold more than this share of all entries; so the list sent to tasks is bounded.
@@ -209,8 +209,8 @@ def _joined(pos: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[:-1], at[1:]
 
 
-_FOUND = "bucket int, slot int, docs binary, ths binary, at binary, lens binary, text binary"
-_FOUND_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+_FOUND = "bucket int, slot int, parts binary, docs binary, ths binary, at binary, lens binary, text binary"
+_FOUND_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
 _FOUND_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
 
 
@@ -222,7 +222,7 @@ def _covers(doc: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray,
     order = np.lexsort((start, th, doc, slot))
     slot, doc, th, start, end = slot[order], doc[order], th[order], start[order], end[order]
     at = _runs_of(slot)
-    return [(None, int(slot[a]), _small(doc[a:b]), _small(th[a:b]), _small(start[a:b].astype(np.int32)), _small((end[a:b] - start[a:b]).astype(np.int32)), None) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [(None, int(slot[a]), None, _small(doc[a:b]), _small(th[a:b]), _small(start[a:b].astype(np.int32)), _small((end[a:b] - start[a:b]).astype(np.int32)), None) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -249,10 +249,11 @@ class _Gathered:
         order = np.lexsort((start, doc, to))
         begin = (np.cumsum(lens) - lens)[order]
         to, doc, th, start, lens = to[order], doc[order], th[order], start[order], lens[order]
-        cuts, rows = _runs_of(to), []
+        cuts, rows = _runs_of(to // SPLIT), []
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             own = text[_expand(begin[x:y], begin[x:y] + lens[x:y])[0]]
-            rows.append((int(to[x]), None, _small(doc[x:y]), _small(th[x:y]), _small(start[x:y].astype(np.int32)), _small(lens[x:y].astype(np.int32)), _small(own)))
+            sizes = np.bincount(to[x:y] % SPLIT, minlength=SPLIT).astype(np.int32)
+            rows.append((int(to[x]) // SPLIT, None, sizes.tobytes(), _small(doc[x:y]), _small(th[x:y]), _small(start[x:y].astype(np.int32)), _small(lens[x:y].astype(np.int32)), _small(own)))
         return rows
 
 
@@ -327,24 +328,29 @@ def refine(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) ->
 
 
 def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Removed stretches of each bucket: document, text fingerprint, start and end."""
+    """Removed stretches of each part of a bucket: document, text fingerprint, start and end."""
     for rows in _by_bucket(batches):
-        raw = np.concatenate([_back(r["text"], np.uint8) for r in rows])
-        doc, th = np.concatenate([_back(r["docs"], np.int64) for r in rows]), np.concatenate([_back(r["ths"], np.int64) for r in rows])
-        at, lens = (np.concatenate([_back(r[k], np.int32) for r in rows]).astype(np.int64) for k in ("at", "lens"))
-        end = np.cumsum(lens)
-        begin = end - lens
-        pos, run, ids = refine(raw, begin, end, length)
-        if not len(pos):
-            continue
-        order = np.argsort(ids, kind="stable")
-        runs = _runs_of(ids[order])
-        least = np.empty(len(pos), np.int64)
-        least[order] = np.repeat(np.minimum.reduceat(doc[run[order]], runs[:-1]), np.diff(runs))
-        gone = least < doc[run]
-        p, r = pos[gone], run[gone]
-        a, b = _joined(p, r)
-        yield doc[r[a]], th[r[a]], p[a] - begin[r[a]] + at[r[a]], p[b - 1] + length - begin[r[a]] + at[r[a]]
+        held = []
+        for r in rows:
+            lens = _back(r["lens"], np.int32).astype(np.int64)
+            cuts = np.concatenate([[0], np.cumsum(np.frombuffer(r["parts"], np.int32))])
+            held.append((cuts, np.concatenate([[0], np.cumsum(lens)])[cuts], _back(r["docs"], np.int64), _back(r["ths"], np.int64), _back(r["at"], np.int32).astype(np.int64), lens, _back(r["text"], np.uint8)))
+        for k in range(SPLIT):
+            doc, th, at, lens = (np.concatenate([h[c][h[0][k] : h[0][k + 1]] for h in held]) for c in (2, 3, 4, 5))
+            raw = np.concatenate([h[6][h[1][k] : h[1][k + 1]] for h in held])
+            end = np.cumsum(lens)
+            begin = end - lens
+            pos, run, ids = refine(raw, begin, end, length)
+            if not len(pos):
+                continue
+            order = np.argsort(ids, kind="stable")
+            runs = _runs_of(ids[order])
+            least = np.empty(len(pos), np.int64)
+            least[order] = np.repeat(np.minimum.reduceat(doc[run[order]], runs[:-1]), np.diff(runs))
+            gone = least < doc[run]
+            p, r = pos[gone], run[gone]
+            a, b = _joined(p, r)
+            yield doc[r[a]], th[r[a]], p[a] - begin[r[a]] + at[r[a]], p[b - 1] + length - begin[r[a]] + at[r[a]]
 
 
 def _remains(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
@@ -399,9 +405,9 @@ def repeated_substrings(docs: DataFrame, length: int = 50, texts: bool = True) -
     matched = matches.where("th is not null").groupBy("th").agg(F.flatten(F.collect_list("keys")).alias("keys"))
     one = first.join(matched, "th").select(F.col("first").alias("did"), "th", "keys")
     # the same columns as in the last join, so that Spark deals the texts out once
-    runs = docs.join(one, ["did", "th"]).select("doc_id", "did", "th", "text", "keys").mapInArrow(partial(_cut_runs, length=length, buckets=buckets, fine=buckets * SPLIT, slots=buckets * SLOTS, hot=hot), _FOUND)
+    runs = docs.join(one, ["did", "th"]).select("doc_id", "did", "th", "text", "keys").mapInArrow(partial(_cut_runs, length=length, buckets=buckets, fine=buckets * KEYS * SPLIT, slots=buckets * SLOTS, hot=hot), _FOUND)
     here = runs.repartition(buckets, F.coalesce("bucket", "slot")).sortWithinPartitions("bucket")
-    covers = here.mapInArrow(partial(_settle_or_pass, length=length, slots=buckets * SLOTS), _FOUND).drop("bucket", "text")
+    covers = here.mapInArrow(partial(_settle_or_pass, length=length, slots=buckets * SLOTS), _FOUND).drop("bucket", "parts", "text")
     by_slot = covers.repartition(buckets, "slot").sortWithinPartitions("slot").mapInArrow(_by_document, "did long, th long, starts binary, ends binary")
     every = by_slot.unionByName(copies.select("did", "th", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("ends")))
     by_doc = every.groupBy("did", "th").agg(F.first("starts", ignorenulls=True).alias("starts"), F.first("ends", ignorenulls=True).alias("ends"), F.bool_or(F.col("starts").isNull()).alias("copy"))
