@@ -35,7 +35,9 @@ KEYS, SPLIT = 2, 8
 #: Slots of documents for each shuffle partition; a slot's covers travel as one row.
 SLOTS = 1
 #: Bytes of runs that a task gathers before it packs and sends them.
-GATHERED = 32_000_000
+GATHERED = 24_000_000
+#: Text bytes whose windows are expanded side by side.
+WINDOW_BYTES = 1_000_000
 #: At most so many anchors can hold more than this share of all entries; so the list sent to tasks is bounded.
 HOT_SHARE = 10_000
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -264,7 +266,7 @@ def _cut_runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, fine
         lists = batch.column("keys")
         offs = np.asarray(lists.offsets)
         matched = np.asarray(lists.values).view(np.uint64)
-        for lo, hi, raw, at in blocks(batch.column("text")):
+        for lo, hi, raw, at in blocks(batch.column("text"), WINDOW_BYTES):
             start, end, value, row = anchors(raw, at, length)
             key = _key(value, buckets)[1]
             own = mix(matched[offs[lo] : offs[hi]] + mix(np.repeat(np.arange(hi - lo), np.diff(offs[lo : hi + 1])).astype(np.uint64)))
