@@ -1,3 +1,27 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_benchmark_decontamination": f"""
+WITH b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark WHERE text IS NOT NULL),
+k AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i + 1 : i + 10], ' ') AS g FROM b, unnest(range(greatest(len(w) - 9, 1))) u(i) WHERE len(w) > 0),
+d AS (SELECT doc_id, coalesce({_ALNUM}, []) AS w FROM documents),
+g AS (SELECT doc_id, i AS pos, size, array_to_string(w[i + 1 : i + size], ' ') AS g FROM d, (SELECT DISTINCT size FROM k) z, unnest(range(len(w) - size + 1)) u(i)),
+h AS (SELECT doc_id, pos, size, item_id FROM g JOIN k USING (size, g)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op8_minhash_near_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce({_SPACED}, []) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS g FROM w, unnest(range(greatest(len(w) - 3, 1))) u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a AS doc_id, least(min(b), a) AS c FROM r GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, doc_id) AS component_id, coalesce(m.c, doc_id) = doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+}
