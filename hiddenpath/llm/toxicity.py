@@ -91,26 +91,29 @@ def fit(texts: list[str], toxic: np.ndarray) -> ToxicityModel:
     if not len(texts):
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -4.0)
     data = pa.array(texts, pa.large_string())
-    words, sentence, rows, base = [], [], [], 0
-    for lo, _, raw, at in blocks(data):
-        w, s, starts, row = _sentences(raw, at)
-        words.append(w)
-        sentence.append(s + base)
-        rows.append(row + lo)
-        base += len(starts)
-    word, sentence, row = np.concatenate(words), np.concatenate(sentence), np.concatenate(rows)
-    names, index = np.unique(word, return_inverse=True)
-    pairs = np.unique(np.stack([index.reshape(-1), row[sentence]]), axis=1)
-    held = np.bincount(pairs[0], minlength=len(names))
-    with_label = np.bincount(pairs[0], toxic[pairs[1]], len(names))
+    # one pass counts the documents of each word, block by block; another keeps the places of the words chosen
+    parts: list[tuple[np.ndarray, ...]] = []
+    for lo, hi, raw, at in blocks(data):
+        word, sentence, _, row = _sentences(raw, at)
+        own, index = np.unique(word, return_inverse=True)
+        pairs = np.unique(index.reshape(-1) * np.int64(hi - lo) + row[sentence])
+        which = pairs // (hi - lo)
+        parts.append((own, np.bincount(which, minlength=len(own)), np.bincount(which, toxic[lo + pairs % (hi - lo)], len(own))))
+    names, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    held, with_label = (np.bincount(back.reshape(-1), np.concatenate([p[k] for p in parts]), len(names)) for k in (1, 2))
     odds = np.log((with_label + 0.5) / (toxic.sum() + 1)) - np.log((held - with_label + 0.5) / (len(toxic) - toxic.sum() + 1))
     rank = np.where(held >= LEAST_ROWS, np.abs(odds) * np.sqrt(held), -1)
     chosen = np.sort(np.argsort(-rank, kind="stable")[: min(MOST_WORDS, int((rank >= 0).sum()))])
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    feature = place[index.reshape(-1)]
-    use = feature >= 0
-    cells = np.unique(np.stack([sentence[use], feature[use]]), axis=1)
+    known = ToxicityModel(names[chosen], np.zeros(len(chosen)), 0.0)
+    slots, found, rows, base = _slots(known), [], [], 0
+    for lo, _, raw, at in blocks(data):
+        word, sentence, starts, row = _sentences(raw, at)
+        where, feature = _weights_of(word, known, slots)
+        found.append(np.unique((sentence[where] + base) * np.int64(len(chosen) + 1) + feature))
+        rows.append(row + lo)
+        base += len(starts)
+    both = np.concatenate(found)
+    cells, row = np.stack([both // (len(chosen) + 1), both % (len(chosen) + 1)]), np.concatenate(rows)
     n_sentences, n_rows = len(row), len(texts)
     w, b = np.zeros(len(chosen)), -np.log(2.0 * n_sentences / n_rows)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
