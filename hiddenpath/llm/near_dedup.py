@@ -195,8 +195,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     while True:
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members")).where("n > 1")
         sizes = sizes.withColumn("large", (F.col("n") > node_records) | (F.col("s") > NODE_SHINGLES) & (F.col("n") > 2))
-        # nodes of several trees with the same members need one comparison
-        once = sizes.groupBy("n", "s", "members", "large").agg(F.min("node").alias("node"))
+        # small nodes of several trees with the same members need one comparison; large ones branch on, each by its own hash
+        once = sizes.groupBy("n", "s", "members", "large", F.when(F.col("large"), F.col("node"))).agg(F.min("node").alias("node"))
         members = cut(nodes.join(once.select("node", "large"), "node"))
         small.append(members.where("not large").select("node", "rep"))
         large = members.where("large")
