@@ -4,13 +4,15 @@ Documents become sets of word shingles; equal sets form classes, and one record
 In each of ``trees`` independent trees a record walks a path: every node chooses, by a hash of its own, the
 minwise token of the record's set, and records that choose the same token go to the same child. Two sets
 of Jaccard similarity s stay together at a node with probability s. Nodes that are small are compared
-exhaustively on full sets; larger ones branch on, a record taking a second child with the probability
-that keeps about one copy of a pair of similarity ``threshold`` per tree. Nodes that stay large to the last
-depth are compared block by block. Components of the confirmed links are the groups.
+exhaustively on full sets. Records of larger ones form groups, of all that large nodes connect. A group is compared
+block by block if that takes no more copies of a record than the next trees would; else its records walk
+new trees, deeper and so many more that they lose next to no pair. Groups left after the last depth are compared block by block,
+so depth never costs recall. Components of the confirmed links are the groups of documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 from hiddenpath.llm.common import SPACE_WORD, ascii_lower, blocks, cut, mix, span_hashes, word_spans
 from hiddenpath.llm.graph import connected_components
 
-#: Independent trees, and levels that each walks before sizes are looked at: a pair of similarity 0.8 is
-#: missed with probability (1 - 0.8 ** 2) ** 16, about 8e-8.
-TREES, FIRST_DEPTH, LAST_DEPTH = 16, 2, 24
+#: Independent trees of the first levels, the last depth and the step to it: a pair of similarity 0.8 is missed by the
+#: first trees with probability (1 - 0.8 ** 2) ** 16, about 7.96e-8, and by those of each later depth with LATER_MISS at most:
+#: under 8e-8 in all at whatever depth a group is settled.
+TREES, FIRST_DEPTH, LAST_DEPTH, STEP, LATER_MISS = 16, 2, 24, 2, 3e-11
 #: Records and shingles of a node that one task compares exhaustively.
 NODE_RECORDS, NODE_SHINGLES = 4096, 4_000_000
 
@@ -160,19 +163,22 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
         yield done()
 
 
-def _branch(batches: Iterator[pa.RecordBatch], width: int, percent: int, depth: int) -> Iterator[pa.RecordBatch]:
-    """Members of large nodes to the children they choose; about 100 / percent children each."""
-    second = np.uint64(int((100 / percent - 1) * 2**32))
+def trees_at(depth: int, percent: int) -> int:
+    """Trees of ``depth`` levels that lose a pair of similarity ``percent`` with a probability of at most LATER_MISS."""
+    return math.ceil(math.log(LATER_MISS) / math.log1p(-((percent / 100) ** depth))) if percent < 100 else 1
+
+
+def _regrow(batches: Iterator[pa.RecordBatch], width: int, trees: int, depth: int) -> Iterator[pa.RecordBatch]:
+    """Records to their nodes at ``depth`` in ``trees`` trees that no other depth has."""
+    roots = mix(np.arange(1, trees + 1, dtype=np.uint64) * _C[0] + np.uint64(depth) * _C[3])
     for batch in batches:
-        nodes = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
-        reps = batch.column("rep").to_numpy(zero_copy_only=False)
-        sizes = batch.column("n_shingles").to_numpy(zero_copy_only=False)
         for lo, hi, raw, at in blocks(batch.column("text")):
             tokens, offs = shingle_sets(raw, at, width)
-            one = children(tokens, offs, nodes[lo:hi], depth)
-            two = children(tokens, offs, nodes[lo:hi], depth + LAST_DEPTH)
-            more = (mix(nodes[lo:hi] + np.uint64(depth)) >> np.uint64(32)) < second
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one, two[more]]).view(np.int64)), pa.array(np.concatenate([reps[lo:hi], reps[lo:hi][more]])), pa.array(np.concatenate([sizes[lo:hi], sizes[lo:hi][more]]))], names=["node", "rep", "n_shingles"])
+            for root in roots:
+                node = np.full(hi - lo, root, np.uint64)
+                for _ in range(depth):
+                    node = children(tokens, offs, node, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("rep").slice(lo, hi - lo), batch.column("n_shingles").slice(lo, hi - lo)], names=["node", "rep", "n_shingles"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, node_records: int = NODE_RECORDS) -> DataFrame:
@@ -193,23 +199,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     small: list[DataFrame] = []
     depth = FIRST_DEPTH
     while True:
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members")).where("n > 1")
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"), F.min("rep").alias("least")).where("n > 1")
         sizes = sizes.withColumn("large", (F.col("n") > node_records) | (F.col("s") > NODE_SHINGLES) & (F.col("n") > 2))
-        # small nodes of several trees with the same members need one comparison; large ones branch on, each by its own hash
-        once = sizes.groupBy("n", "s", "members", "large", F.when(F.col("large"), F.col("node"))).agg(F.min("node").alias("node"))
-        members = cut(nodes.join(once.select("node", "large"), "node"))
+        # nodes of several trees with the same members need one comparison, and join the same records to a group
+        once = sizes.groupBy("n", "s", "members", "large", "least").agg(F.min("node").alias("node"))
+        members = cut(nodes.join(once.select("node", "large", "least"), "node"))
         small.append(members.where("not large").select("node", "rep"))
         large = members.where("large")
         if large.isEmpty():
             break
-        if depth == LAST_DEPTH:
-            side = F.ceil(F.greatest(F.col("n") / node_records, F.col("s") / NODE_SHINGLES) * 2).cast("int")
-            mine = large.join(sizes.select("node", side.alias("k")), "node").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")))
-            cells = mine.select("node", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-            small.append(cells.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep"))
+        found = connected_components(large.select(F.col("rep").alias("a"), F.col("least").alias("b")))
+        hot = large.select("rep", "n_shingles").distinct().join(found, F.col("rep") == found.v).select("rep", "n_shingles", F.col("component").alias("hot"))
+        side = F.ceil(F.greatest(F.count("*") / node_records, F.sum("n_shingles") / NODE_SHINGLES) * 2).cast("int")
+        hot = cut(hot.join(hot.groupBy("hot").agg(side.alias("k")), "hot"))
+        depth += STEP
+        more = trees_at(depth, percent)
+        whole = F.lit(depth > LAST_DEPTH) | (F.col("k") <= more)
+        cells = hot.where(whole).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        small.append(cells.select(F.xxhash64("hot", F.lit(depth), F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep"))
+        left = hot.where(~whole)
+        if left.isEmpty():
             break
-        nodes = cut(large.join(texts, large.rep == texts.doc_id).select("node", "rep", "n_shingles", "text").mapInArrow(partial(_branch, width=width, percent=percent, depth=depth), "node long, rep long, n_shingles long")).distinct()
-        depth += 1
+        nodes = cut(left.join(texts, left.rep == texts.doc_id).select("rep", "n_shingles", "text").mapInArrow(partial(_regrow, width=width, trees=more, depth=depth), "node long, rep long, n_shingles long").distinct())
     pairs = small[0]
     for x in small[1:]:
         pairs = pairs.unionByName(x)

@@ -25,3 +25,26 @@ def test_long_near_copies(spark, monkeypatch):
         rows += [(3 * g, " ".join(a)), (3 * g + 1, " ".join(changed(a, 1, f"g{g}a"))), (3 * g + 2, " ".join(changed(a, 10, f"g{g}b")))]
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 3 for i, _ in rows}
+
+
+def test_miss_of_all_depths():
+    """A pair at the threshold is lost with less than 8e-8 over the first trees and those of every later depth."""
+    miss = (1 - 0.8**near_dedup.FIRST_DEPTH) ** near_dedup.TREES
+    for depth in range(near_dedup.FIRST_DEPTH + near_dedup.STEP, near_dedup.LAST_DEPTH + 1, near_dedup.STEP):
+        miss += (1 - 0.8**depth) ** near_dedup.trees_at(depth, 80)
+    assert miss < 8e-8
+
+
+@pytest.mark.parametrize("node_records", [2, 8])
+def test_hot_group(spark, node_records):
+    """Pairs just over 0.8 in a group whose records all share boilerplate, similarity about 0.7."""
+    rng, shared = random.Random(7), [f"b{k}" for k in range(500)]
+    rows = []
+    for g in range(150):
+        a = shared + [f"g{g}w{rng.random()}" for _ in range(90)]
+        rows += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(changed(a, 12, f"g{g}c")))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    near = {i: {j for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} for i in sets}
+    assert all(near[i] == {i, i ^ 1} for i in sets)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), node_records=node_records).collect()}
+    assert got == {i: i - i % 2 for i in sets}
