@@ -33,6 +33,11 @@ _DIGIT[48:58] = True
 _ASSIGN = np.zeros(256, bool)
 _ASSIGN[[ord("="), ord(":")]] = True
 
+#: Bytes that end a quoted value and one without quotes.
+_STOP, _BARE_STOP = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b"\"' \t\n\r\f\v")] = True
+_BARE_STOP[list(b"\"' \t\n\r\f\v,;")] = True
+
 # Words near credentials, words near other long strings, path parts of files without live secrets, and
 # common parts of identifiers and placeholders.
 CREDENTIAL = "token secret password passwd pwd apikey api_key api-key access_key accesskey auth authorization bearer credential credentials private client_secret key login".split()
@@ -45,7 +50,7 @@ DICTIONARY = (
 ).split()
 _WORDS = frozenset(w for w in DICTIONARY if len(w) >= 3)
 _NAME = re.compile(rb"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)[\w-]*[\"']?\s*$", re.I)
-_VALUE = re.compile(rb"\s*(?:[\"']([^\"'\s]{6,256})[\"']|([^\"'\s,;]{8,256}))")
+_OPEN = re.compile(rb"\s*([\"']?)")
 _KEY = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
 _NEAR_WORD = re.compile(r"[a-z0-9_-]+")
 _CLASS = {**{c: 0 for c in string.ascii_lowercase}, **{c: 1 for c in string.ascii_uppercase}, **{c: 2 for c in string.digits}}
@@ -189,8 +194,20 @@ def train_default(count: int = TRAINING_FINDINGS) -> Forest:
     return fit_forest(np.array([features(*r[:4]) for r in rows]), np.array([r[4] for r in rows], float))
 
 
+def _value(data: bytes, k: int, end: int, stops: np.ndarray, bare: np.ndarray) -> tuple[int, int] | None:
+    """The whole value assigned at ``k``: 6 bytes and more up to the closing quote, or 8 and more without quotes."""
+    m = _OPEN.match(data, k, end)
+    a, quoted = m.end(), bool(m[1])
+    ends = stops if quoted else bare
+    j = int(np.searchsorted(ends, a))
+    b = min(int(ends[j]), end) if j < len(ends) else end
+    if quoted and (b == end or data[b] not in b"\"'"):
+        return None
+    return (a, b) if b - a >= (6 if quoted else 8) else None
+
+
 def candidates(raw: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, str]]:
-    """Row, start, end (in the block's bytes) and kind, without overlaps, in order."""
+    """Row, start, end (in the block's bytes) and kind, without overlaps, in order; what overlaps is one, of the union of spans."""
     data = raw.tobytes()
     s, e, _ = word_spans(raw, at, _TOKEN)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
@@ -204,10 +221,11 @@ def candidates(raw: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, str
             b -= 1
         if b - a >= LEAST_LENGTH:
             found.append((a, b, "token"))
+    stops, bare = np.flatnonzero(_STOP[raw]), np.flatnonzero(_BARE_STOP[raw])
     for k in np.flatnonzero(_ASSIGN[raw]).tolist():
         row = int(np.searchsorted(at, k, "right")) - 1
-        if _NAME.search(data[max(int(at[row]), k - 40) : k]) and (m := _VALUE.match(data, k + 1, int(at[row + 1]))):
-            found.append((*(m.span(1) if m[1] else m.span(2)), "assigned"))
+        if _NAME.search(data[max(int(at[row]), k - 40) : k]) and (span := _value(data, k + 1, int(at[row + 1]), stops, bare)):
+            found.append((*span, "assigned"))
     if b"PRIVATE KEY-----" in data:
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             found += [(*m.span(), "private_key") for m in _KEY.finditer(data, lo, hi)]
@@ -216,6 +234,9 @@ def candidates(raw: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, str
     for x in sorted(found, key=lambda x: (x[0], rank[x[2]])):
         if not taken or x[0] >= taken[-1][1]:
             taken.append(x)
+        else:
+            a, b, kind = taken[-1]
+            taken[-1] = (a, max(b, x[1]), min(kind, x[2], key=rank.__getitem__))
     rows = np.searchsorted(at, [x[0] for x in taken], "right") - 1 if taken else []
     return [(int(r), *x) for r, x in zip(rows, taken, strict=True)]
 
@@ -234,7 +255,7 @@ def _scan(batches: Iterator[pa.RecordBatch], forest: Forest, least_score: float)
             for r, a, b, kind in found:
                 begin, end = int(at[r]), int(at[r + 1])
                 value, before, after = (raw[x:y].tobytes().decode("utf-8", "replace") for x, y in ((a, b), (max(begin, a - NEAR), a), (b, min(end, b + NEAR))))
-                rows.append(features(value[:512], before, after, paths[lo + r].as_py() or ""))
+                rows.append(features(value, before, after, paths[lo + r].as_py() or ""))
                 head = len(raw[begin:a].tobytes().decode("utf-8", "replace"))
                 per[r].append({"start": head, "end": head + len(value), "kind": kind})
             scores = forest.predict(np.array(rows)).tolist() if rows else []

@@ -1,10 +1,13 @@
 """Inputs on which a cut of the work would show."""
 
 import random
+import string
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from hiddenpath.llm import near_dedup
+from hiddenpath.llm import near_dedup, secret_scan
 
 
 def changed(words, count, tag):
@@ -48,3 +51,32 @@ def test_hot_group(spark, node_records):
     assert all(near[i] == {i, i ^ 1} for i in sets)
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), node_records=node_records).collect()}
     assert got == {i: i - i % 2 for i in sets}
+
+
+def test_long_secrets(spark):
+    """Values over 256 characters are found and masked to their end, quoted or not."""
+    rng = random.Random(11)
+    mixed = string.ascii_letters + string.digits
+    jwt = "eyJ" + "".join(rng.choices(mixed, k=40)) + ".eyJ" + "".join(rng.choices(mixed, k=300)) + "." + "".join(rng.choices(mixed + "_-", k=342))
+    odd = "".join(rng.choices(mixed + "!@#%^*", k=700))
+    rows = [(1, f"set token = {jwt} here"), (2, f"auth: {jwt}\nnext"), (3, f'password = "{odd}" end'), (4, f"secret={odd} end"), (5, f"api_key=abc+{'Qz7' * 4}!x{jwt} end")]
+    got = {r.row.doc_id: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), path=None).collect()}
+    assert [got[i].masked for i in (1, 2, 3, 4)] == ["set token = [SECRET] here", "auth: [SECRET]\nnext", 'password = "[SECRET]" end', "secret=[SECRET] end"]
+    assert [(f.start, f.end) for f in got[5].findings] == [(8, len(rows[4][1]) - 4)]
+
+
+def test_long_values_are_judged_whole():
+    """The scores' features hold what stands after the first 512 characters."""
+    value = "a1" * 300 + "Z" * 400
+    raw = np.frombuffer(f"token = {value} x".encode(), np.uint8)
+    assert [(a, b) for _, a, b, _ in secret_scan.candidates(raw, np.array([0, len(raw)]))] == [(8, 8 + len(value))]
+    batch = pa.RecordBatch.from_pydict({"row": [1], "scan_text": [raw.tobytes().decode()], "scan_path": [""]})
+    seen = []
+
+    class Judge:
+        def predict(self, rows):
+            seen.extend(rows[:, 0])
+            return np.ones(len(rows))
+
+    list(secret_scan._scan(iter([batch]), Judge(), 0.5))
+    assert seen == [len(value)]
