@@ -78,13 +78,13 @@ def mean_sequence(seqs: DataFrame) -> DataFrame:
     return to_long(seqs).groupBy("t").agg(F.sum("x").alias("s")).join(F.broadcast(total)).select("t", (F.col("s") / F.col("n")).alias("mean"))
 
 
-def scatter_matrix(seqs: DataFrame, most: int = 64) -> DataFrame:
-    """Covariances of positions: ``k, l, value`` for k <= l < ``most``.
+def scatter_matrix(seqs: DataFrame, most: int | None = None) -> DataFrame:
+    """Covariances of positions: ``k, l, value`` for k <= l, and l < ``most`` if given.
 
     Each sequence gives the products of its own positions, added up before they are shuffled; means and counts are
     of the sequences that reach the later position.
     """
-    x = F.slice("obs", 1, most)
+    x = F.col("obs") if most is None else F.slice("obs", 1, most)
     cells = seqs.select(F.posexplode(x).alias("k", "a"), x.alias("v")).select("k", "a", F.posexplode("v").alias("l", "b")).where("k <= l")
     return cells.groupBy("k", "l").agg((F.avg(F.col("a") * F.col("b")) - F.avg("a") * F.avg("b")).alias("value"))
 

@@ -188,6 +188,11 @@ def scatter_matrix(spark, d):
     return sequences.scatter_matrix(reals(spark, d), 8).select("k", "l", F.round("value", 2).alias("value"))
 
 
+def scatter_matrix_whole(spark, d):
+    """All positions; :func:`scatter_matrix` has those that its SQL names."""
+    return sequences.scatter_matrix(reals(spark, d)).select("k", "l", F.round("value", 2).alias("value"))
+
+
 def extremes(spark, d):
     return sequences.extremes(symbols(spark, d)).select("n", "longest", "items", "least", "most")
 
@@ -203,6 +208,12 @@ def pair_counts(spark, d):
     return sequences.pair_counts(both)
 
 
+def pair_counts_whole(spark, d):
+    """Whole sequences; :func:`pair_counts` has the first 40 items, as its SQL."""
+    s = symbols(spark, d)
+    return sequences.pair_counts(s.join(s.select((F.col("seq_id") - 1).alias("seq_id"), F.col("obs").alias("y")), "seq_id").select(F.col("obs").alias("x"), "y"))
+
+
 def subset(spark, d):
     return sequences.subset(symbols(spark, d), [7, 3, 7]).select("pos", "seq_id", _text("obs").alias("obs"))
 
@@ -228,10 +239,10 @@ def likeliest_labels(spark, d):
 
 
 def pair_alignment(spark, d):
-    """Each user's first events aligned with those of the next user."""
+    """Each user's events aligned with those of the next user."""
     s = symbols(spark, d)
-    y = s.select((F.col("seq_id") - 1).alias("seq_id"), F.slice("obs", 1, 40).alias("y"))
-    both = s.join(y, "seq_id").select(F.col("seq_id").alias("pair_id"), F.slice("obs", 1, 40).alias("x"), "y")
+    y = s.select((F.col("seq_id") - 1).alias("seq_id"), F.col("obs").alias("y"))
+    both = s.join(y, "seq_id").select(F.col("seq_id").alias("pair_id"), F.col("obs").alias("x"), "y")
     return pairs.align_pairs(both, _PAIR).select("pair_id", _text("path").alias("path"), F.round("logp", 4).alias("logp"))
 
 
@@ -280,7 +291,7 @@ def value_blocks(spark, d):
 
 _ALL = (
     seq_build, symbol_counts, bigram_counts, forward_logp, forward_logp_arrow, filtered_states, posterior_at, viterbi_path, viterbi_labels, joint_logp, normal_logp, mixed_logp, normal_viterbi, labelled_logp,
-    switching_logp, switching_viterbi, order1_logp, silent_logp, em_step, normal_em_step, bayes_classify, best_model, ranked, set_logp, mixture_logp, mixture_decode, log_odds, confusion, mean_sequence, scatter_matrix,
-    extremes, background_estimate, pair_counts, subset, merge, all_words, order_statuses, likeliest_labels, pair_alignment, baum_welch, hard_clusters, soft_mixture, gradient_search, discriminative, sampled, extended, gibbs_paths, value_blocks,
+    switching_logp, switching_viterbi, order1_logp, silent_logp, em_step, normal_em_step, bayes_classify, best_model, ranked, set_logp, mixture_logp, mixture_decode, log_odds, confusion, mean_sequence, scatter_matrix, scatter_matrix_whole,
+    extremes, background_estimate, pair_counts, pair_counts_whole, subset, merge, all_words, order_statuses, likeliest_labels, pair_alignment, baum_welch, hard_clusters, soft_mixture, gradient_search, discriminative, sampled, extended, gibbs_paths, value_blocks,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
