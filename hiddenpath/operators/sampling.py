@@ -6,7 +6,7 @@ Randomness is keyed by seed and sequence, so results don't depend on how rows ar
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 from hiddenpath.functions import chain
 from hiddenpath.model import Component, ContinuousHmm, DiscreteHmm, Hmm
+from hiddenpath.operators.decoding import _pick, _whole
+
+#: The class of the step after some emissions.
+Rule = Callable[[list], int]
 
 
 def generator(*key: int) -> np.random.Generator:
@@ -49,8 +53,15 @@ def _emit(rng: np.random.Generator, model: Hmm, state: int, past: list) -> float
             return float(x[0])
 
 
-def walk(rng: np.random.Generator, model: Hmm, length: int, start: np.ndarray | None = None, past: list | None = None) -> tuple[list, list[int]]:
-    """``length`` emissions and the states passed, silent ones too; shorter where the model ends."""
+def _known_classes(model: Hmm, given: bool, what: str) -> None:
+    if len(model.a) > 1 and not given:
+        raise ValueError(f"a model of {len(model.a)} transition classes needs {what}")
+
+
+def walk(rng: np.random.Generator, model: Hmm, length: int, start: np.ndarray | None = None, past: list | None = None, rule: Rule | None = None) -> tuple[list, list[int]]:
+    """``length`` emissions and the states passed, silent ones too; shorter where the model ends. ``rule`` gives the
+    class of the step after the emissions so far, those of ``past`` included."""
+    _known_classes(model, rule is not None, "a rule")
     silent = set(model.silent)
     usable = np.array([not isinstance(model, DiscreteHmm) or i in silent or model.order(i) == 0 for i in range(model.n)])
     obs, states, p = list(past or []), [], model.pi if start is None else start
@@ -63,69 +74,89 @@ def walk(rng: np.random.Generator, model: Hmm, length: int, start: np.ndarray |
         states.append(state)
         if state not in silent:
             obs.append(_emit(rng, model, state, obs))
-        p = model.a[0][state]
+        p = model.a[rule(obs) if rule and obs else 0][state]
     return obs[base:], states
 
 
-def _sample(batches: Iterator[pa.RecordBatch], model: Hmm, length: int, seed: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _sample(batches: Iterator[pa.RecordBatch], model: Hmm, length: int, seed: int, kind: pa.DataType, rule: Rule | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("id").to_pylist()
-        got = [walk(generator(seed, i), model, length) for i in ids]
+        got = [walk(generator(seed, i), model, length, rule=rule) for i in ids]
         labels = [[str(model.labels[q]) for q in s] if model.labels else None for _, s in got]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([o for o, _ in got], pa.list_(kind)), pa.array([s for _, s in got], pa.list_(pa.int32())), pa.array(labels, pa.list_(pa.string()))], names=["seq_id", "obs", "states", "state_labels"])
 
 
-def sample(spark: SparkSession, model: Hmm, count: int, length: int, seed: int = 0) -> DataFrame:
-    """``count`` sequences of ``length`` emissions: ``seq_id, obs, states, state_labels`` (null without labels)."""
+def sample(spark: SparkSession, model: Hmm, count: int, length: int, seed: int = 0, rule: Rule | None = None) -> DataFrame:
+    """``count`` sequences of ``length`` emissions: ``seq_id, obs, states, state_labels`` (null without labels).
+
+    A model with several transition classes needs a ``rule`` from the emissions so far to the class of the next step.
+    """
+    _known_classes(model, rule is not None, "a rule")
     kind, sql = (pa.int32(), "int") if isinstance(model, DiscreteHmm) else (pa.float64(), "double") if model.dim == 1 else (pa.list_(pa.float64()), "array<double>")
-    return spark.range(count).mapInArrow(partial(_sample, model=model, length=length, seed=seed, kind=kind), f"seq_id long, obs array<{sql}>, states array<int>, state_labels array<string>")
+    return spark.range(count).mapInArrow(partial(_sample, model=model, length=length, seed=seed, kind=kind, rule=rule), f"seq_id long, obs array<{sql}>, states array<int>, state_labels array<string>")
 
 
-def _extend(batches: Iterator[pa.RecordBatch], model: Hmm, length: int, seed: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _extend(batches: Iterator[pa.RecordBatch], model: Hmm, length: int, seed: int, kind: pa.DataType, rule: Rule | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         obs = chain.ragged(batch.column("obs"))
         more: list = [None] * batch.num_rows
         ids, raw = batch.column("seq_id").to_pylist(), batch.column("obs").to_pylist()
         for at, n, x in chain.padded(*obs, model.n):
-            alpha, _, logp = chain.forward(model, chain.emissions(model, x), n)
+            c = None
+            if rule:
+                c = np.zeros(x.shape[:2], np.int64)
+                for k, r in enumerate(at.tolist()):
+                    c[k, : n[k]] = [rule(raw[r][: t + 1]) for t in range(int(n[k]))]
+            alpha, _, logp = chain.forward(model, chain.emissions(model, x), n, c)
             for k, r in enumerate(at.tolist()):
                 if raw[r] is not None and np.isfinite(logp[k]):
-                    start = model.pi if not n[k] else alpha[k, n[k] - 1] @ model.a[0]
-                    more[r] = walk(generator(seed, r if ids[r] is None else ids[r]), model, length, start, raw[r])[0]
+                    start = model.pi if not n[k] else alpha[k, n[k] - 1] @ model.a[0 if c is None else c[k, n[k] - 1]]
+                    more[r] = walk(generator(seed, r if ids[r] is None else ids[r]), model, length, start, raw[r], rule)[0]
         yield pa.RecordBatch.from_arrays([batch.column("seq_id"), pa.array(more, pa.list_(kind))], names=["seq_id", "next"])
 
 
-def extend(seqs: DataFrame, model: Hmm, length: int, seed: int = 0) -> DataFrame:
-    """``seq_id, next``: ``length`` further items sampled given each sequence; null where the model can't emit it."""
+def extend(seqs: DataFrame, model: Hmm, length: int, seed: int = 0, rule: Rule | None = None) -> DataFrame:
+    """``seq_id, next``: ``length`` further items sampled given each sequence; null where the model can't emit it.
+
+    ``rule`` as in :func:`sample`; it gives the classes inside the sequence too.
+    """
+    _known_classes(model, rule is not None, "a rule")
     kind, sql = (pa.int32(), "int") if isinstance(model, DiscreteHmm) else (pa.float64(), "double")
     name = seqs.schema["seq_id"].dataType.simpleString()
-    return seqs.select("seq_id", "obs").mapInArrow(partial(_extend, model=model, length=length, seed=seed, kind=kind), f"seq_id {name}, next array<{sql}>")
+    return seqs.select("seq_id", "obs").mapInArrow(partial(_extend, model=model, length=length, seed=seed, kind=kind, rule=rule), f"seq_id {name}, next array<{sql}>")
 
 
-def _draw(batches: Iterator[pa.RecordBatch], model: Hmm, seed: int, sweep: int) -> Iterator[pa.RecordBatch]:
+def _draw(batches: Iterator[pa.RecordBatch], model: Hmm, seed: int, sweep: int, classes: str | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         obs, ids = chain.ragged(batch.column("obs")), batch.column("seq_id").to_pylist()
         paths: list = [None] * batch.num_rows
+        cls = _whole(batch, classes, obs) if classes else None
         for at, n, x in chain.padded(*obs, model.n):
-            alpha, _, logp = chain.forward(model, chain.emissions(model, x), n)
+            c = np.zeros(x.shape[:2], np.int64) if cls is None else np.nan_to_num(_pick(cls, obs[1], at, n)).astype(np.int64)
+            alpha, _, logp = chain.forward(model, chain.emissions(model, x), n, None if cls is None else c)
             for k, r in enumerate(at.tolist()):
                 if not np.isfinite(logp[k]):
                     continue
                 u = generator(seed, sweep, ids[r]).random(int(n[k]))
                 path = np.zeros(int(n[k]), np.int32)
                 for t in range(int(n[k]) - 1, -1, -1):
-                    p = alpha[k, t] if t == n[k] - 1 else alpha[k, t] * model.a[0][:, path[t + 1]]
+                    p = alpha[k, t] if t == n[k] - 1 else alpha[k, t] * model.a[c[k, t]][:, path[t + 1]]
                     total = np.cumsum(p)
                     path[t] = min(int(np.searchsorted(total, u[t] * total[-1], "right")), model.n - 1)
                 paths[r] = path
         yield pa.RecordBatch.from_arrays([batch.column("seq_id"), batch.column("obs"), pa.array(paths, pa.list_(pa.int32()))], names=["seq_id", "obs", "path"])
 
 
-def sample_paths(seqs: DataFrame, model: Hmm, seed: int = 0, sweep: int = 0) -> DataFrame:
-    """``seq_id, obs, path``: a path of each sequence from its posterior (forward filter, backward sampling)."""
+def sample_paths(seqs: DataFrame, model: Hmm, seed: int = 0, sweep: int = 0, classes: str | None = None) -> DataFrame:
+    """``seq_id, obs, path``: a path of each sequence from its posterior (forward filter, backward sampling).
+
+    ``classes`` names a column with the class of the step after each item, as in ``decode``; a model with several needs it.
+    """
+    _known_classes(model, classes is not None, "a column of classes")
     s = seqs.select("seq_id", "obs")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema) + ", path array<int>"
-    return s.mapInArrow(partial(_draw, model=model, seed=seed, sweep=sweep), schema)
+    s = seqs.select("seq_id", "obs", *([classes] if classes else []))
+    return s.mapInArrow(partial(_draw, model=model, seed=seed, sweep=sweep, classes=classes), schema)
 
 
 def gibbs(seqs: DataFrame, model: DiscreteHmm, sweeps: int = 20, prior: float = 1.0, seed: int = 0) -> tuple[DiscreteHmm, DataFrame]:

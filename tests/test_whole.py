@@ -4,8 +4,10 @@ from collections import Counter
 from itertools import zip_longest
 
 import numpy as np
+import pytest
 
-from hiddenpath.operators import sequences
+from hiddenpath.model import DiscreteHmm
+from hiddenpath.operators import sampling, sequences
 from hiddenpath.plans import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -27,3 +29,23 @@ def test_whole_sequences(spark):
     for k, l in [(0, 3), (2, 50), (5, n - 1), (70, 70)]:
         a, b = (np.array([float(v[j]) for v in x.values() if len(v) > l]) for j in (k, l))
         assert abs(cells[k, l] - ((a * b).mean() - a.mean() * b.mean())) < 1e-6
+
+
+def test_sampling_with_classes(spark):
+    """Class 0 keeps the state, class 1 changes it; the class is the last symbol."""
+    m = DiscreteHmm(pi=[0.5, 0.5], a=[np.eye(2), [[0, 1], [1, 0]]], b=[[0.7, 0.3], [0.4, 0.6]], alphabet=("0", "1"))
+    rows = sampling.sample(spark, m, 30, 25, seed=2, rule=_last).collect()
+    assert all(p ^ q == x for r in rows for p, q, x in zip(r.states, r.states[1:], r.obs))
+    s = spark.createDataFrame([(r.seq_id, r.obs, r.obs) for r in rows], "seq_id long, obs array<int>, cls array<int>")
+    for r in sampling.sample_paths(s, m, 1, classes="cls").collect():
+        assert all(p ^ q == x for p, q, x in zip(r.path, r.path[1:], r.obs))
+    sure = DiscreteHmm(pi=[1, 0], a=[np.eye(2), [[0, 1], [1, 0]]], b=[[0, 1], [1, 0]], alphabet=("0", "1"))
+    one = spark.createDataFrame([(1, [1])], "seq_id long, obs array<int>")
+    assert sampling.extend(one, sure, 4, rule=_last).first().next == [0, 0, 0, 0]
+    for call in (lambda: sampling.sample(spark, m, 2, 2), lambda: sampling.extend(one, m, 2), lambda: sampling.sample_paths(one, m), lambda: sampling.gibbs(one, m, 1)):
+        with pytest.raises(ValueError, match="classes"):
+            call()
+
+
+def _last(obs):
+    return obs[-1]
