@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 TRAINING_PAGES, STEPS, RATE, DECAY = 600, 150, 0.15, 1e-3
 
-# Element names of HTML.
+# Element names of HTML. What RAW elements hold is no text of the page; other names are inline unless they are
+# of BLOCK or have a hyphen; fallback content, formulas and labels of drawings are text where they stand.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-KNOWN_TAGS = frozenset("article main nav header footer aside form ul ol li dl table td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption section div body details dialog address fieldset".split())
+RAW = frozenset("script style template textarea title iframe select noembed noframes".split())
+KNOWN_TAGS = frozenset("article main nav header footer aside form ul ol li dl table td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption section div body details dialog address fieldset button noscript".split())
+BLOCK = KNOWN_TAGS | frozenset("html head center dir dt dd hgroup legend summary option optgroup menu search tbody thead tfoot tr caption colgroup video audio hr frameset marquee listing xmp plaintext".split())
+_LISTS, _ITEMS = ("ul", "ol", "dl", "table"), frozenset("li dt dd tr td th option".split())
 # Words in class and id names that tell what an element holds.
 HINTS = (
     "ad ads advert advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer copyright "
@@ -36,7 +38,10 @@ HINTS = (
 ).split()
 _HINT = {w: f"c={w}" for w in HINTS}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile(r">|=\s*([\"'])")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+_LONG_REFERENCE = re.compile(r"&#(?:[xX]([0-9a-fA-F]{7,})|([0-9]{8,}));?")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -51,76 +56,158 @@ class Block:
     link_chars: int
 
 
+def _decoded(text: str) -> str:
+    """Character references decoded; the number of a long one is cut down to what the decoder can take."""
+
+    def shorter(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0")
+        return f"&#{'x' if m[1] else ''}{digits or '0'};" if len(digits) < 8 else "\ufffd"
+
+    return html_lib.unescape(_LONG_REFERENCE.sub(shorter, text) if "&#" in text else text) if "&" in text else text
+
+
+class _Page:
+    """A cursor over a page; what a search once did not find after a place is not searched for again."""
+
+    def __init__(self, page: str):
+        self.page, self.size = page, len(page)
+        self.lacking: set[str] = set()
+
+    def after(self, mark: str, at: int) -> int:
+        """The place after the next ``mark``, or -1."""
+        if mark in self.lacking:
+            return -1
+        k = self.page.find(mark, at)
+        if k < 0:
+            self.lacking.add(mark)
+            return -1
+        return k + len(mark)
+
+    def tag_end(self, at: int) -> int:
+        """The place after the ``>`` that ends a tag: not one in a quoted value, unless the quote is never closed."""
+        while m := _QUOTE_OR_END.search(self.page, at):
+            at = m.end()
+            if m[1] is None:
+                return at
+            close = self.after(m[1], at)
+            at = close if close >= 0 else at
+        return self.size
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """The place after a raw element's end tag, or the end of the page."""
+        m = _RAW_END[tag].search(self.page, at)
+        end = self.after(">", m.end()) if m else -1
+        return end if end >= 0 else self.size
+
+
+class _Stack:
+    """Open elements: what is looked up for a tag or a block takes the same time at any depth."""
+
+    def __init__(self) -> None:
+        #: Name, features and nearest known name of each open element; places of each name; features in force.
+        self.open: list[tuple[str, tuple[str, ...], str]] = []
+        self.places: dict[str, list[int]] = {}
+        self.active: dict[str, int] = {}
+
+    def last(self, tag: str) -> int:
+        return (self.places.get(tag) or (-1,))[-1]
+
+    def push(self, tag: str, hints: tuple[str, ...]) -> None:
+        known = tag in KNOWN_TAGS
+        parent = tag if known else self.open[-1][2] if self.open else "none"
+        names = (f"t={tag}", *hints) if known else hints
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, names, parent))
+        for x in names:
+            self.active[x] = self.active.get(x, 0) + 1
+
+    def cut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            tag, names, _ = self.open.pop()
+            self.places[tag].pop()
+            for x in names:
+                if self.active[x] == 1:
+                    del self.active[x]
+                else:
+                    self.active[x] -= 1
+
+    def start(self, tag: str, hints: tuple[str, ...]) -> None:
+        """Opens an element, after the ends that its start tag implies."""
+        if self.open and self.open[-1][0] == "p":
+            self.cut(len(self.open) - 1)
+        elif tag in _ITEMS and (place := self.last(tag)) >= 0 and all(self.last(t) < place for t in _LISTS):
+            self.cut(place)
+        self.push(tag, hints)
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """Blocks of visible text in page order: character references decoded, white space made single, trimmed."""
+    """Blocks of visible text in page order: character references decoded, white space made single, trimmed.
+
+    The page is gone through once, in time proportional to its length whatever is nested, unclosed or unquoted in it.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack, cursor = _Stack(), _Page(page)
     parts: list[str] = []
-    links, linked = 0, 0
+    links, linked = 0, False
     at, size = 0, len(page)
 
     def flush() -> None:
         nonlocal links
         if parts:
-            text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
+            text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                names = [t for t, _ in stack if t in KNOWN_TAGS]
-                seen = dict.fromkeys([f"t={t}" for t in names])
-                for _, hints in stack:
-                    seen.update(dict.fromkeys(hints))
-                out.append(Block(text, tuple(seen), next((t for t in reversed(names)), "none"), min(links, len(text))))
+                out.append(Block(text, tuple(stack.active), stack.open[-1][2] if stack.open else "none", min(links, len(text))))
             parts.clear()
         links = 0
 
     def put(text: str) -> None:
         nonlocal links
-        parts.append(text)
+        parts.append(_decoded(text))
         if linked:
-            links += len(text)
+            links += len(parts[-1])
 
     while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        k = page.find("<", at)
+        if k < 0:
             put(page[at:])
             break
-        if m.start() > at:
-            put(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
+        if k > at:
+            put(page[at:k])
+        closing = page.startswith("/", k + 1)
+        name = _NAME.match(page, k + 1 + closing)
+        if name is None:
+            if page.startswith("<!--", k):
+                end = cursor.after("-->", k + 4)
+            elif page.startswith("<![CDATA[", k) and (end := cursor.after("]]>", k + 9)) >= 0:
+                pass
+            elif closing or page.startswith(("!", "?"), k + 1):
+                end = cursor.after(">", k + 2)
+            else:
+                put("<")
+                end = k + 1
+            at = end if end >= 0 else size
             continue
-        tag, closing, rest = tag.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
-        if tag in RAW and not closing:
-            if not rest.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+        tag, at = name[0].lower(), cursor.tag_end(name.end())
+        if tag in RAW:
+            if not closing:
+                at = cursor.raw_end(tag, at)
             continue
-        if tag == "br" or tag == "hr":
+        if tag in ("br", "hr"):
             parts.append(" ")
-            if tag == "br":
-                continue
-        if tag not in INLINE:
-            flush()
-        if tag in VOID:
-            continue
         if tag == "a":
-            linked = 0 if closing else 1
-            continue
-        if tag in INLINE:
+            linked = not closing
+        block = tag in BLOCK or "-" in tag
+        if block:
+            flush()
+        if not block or tag in VOID:
             continue
-        names = [t for t, _ in stack]
         if closing:
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
+            if (place := stack.last(tag)) >= 0:
+                stack.cut(place)
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and tag in names:
-            last = len(names) - 1 - names[::-1].index(tag)
-            if not any(t in ("ul", "ol", "dl", "table") for t in names[last:]):
-                del stack[last:]
+        rest = page[name.end() : at - 1]
         hints = dict.fromkeys(_HINT[p.lower()] for v in _NAMES.findall(rest) for p in _PART.findall(v[0] or v[1] or v[2]) if p.lower() in _HINT) if rest else {}
-        stack.append((tag, tuple(hints)))
+        stack.start(tag, tuple(hints))
     flush()
     return out
 
@@ -251,13 +338,16 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 4) -> Iterator[tuple
             return wrap(["section", "div", "ol"], ["comments", "comment-list", "discussion", "reader-comments", "disqus"], f"<h3>{words(1, 3)}</h3>" * rng.randint(0, 1) + one)
 
         def form() -> str:
-            return f"<form>{wrap(['div', 'p'], ['field', 'form-row'], f'<label>{words(1, 4)}</label><input name=q>')}<p>{sentence()}</p></form>" if rng.random() < 0.6 else wrap(["div"], ["newsletter", "subscribe", "login", "signup", "search-form"], f"<p>{sentence()}</p><form><label>{words(1, 3)}</label><input></form>")
+            return f"<form>{wrap(['div', 'p'], ['field', 'form-row'], f'<label>{words(1, 4)}</label><input name=q>')}<p>{sentence()}</p><button>{words(1, 2)}</button></form>" if rng.random() < 0.6 else wrap(["div"], ["newsletter", "subscribe", "login", "signup", "search-form"], f"<p>{sentence()}</p><form><label>{words(1, 3)}</label><input></form>")
 
         def side() -> str:
             return wrap(["aside", "div"], ["sidebar", "widget", "related", "side", "recommended"], f"<h3>{words(1, 4)}</h3>" + rng.choice([links(), f"<p>{prose(3)}</p>", f"<p>{prose(2)}</p>" + links()]))
 
         def notice() -> str:
-            return wrap(["div", "div", "section"], ["cookie-notice", "notice", "alert", "consent", "popup", "cookie-banner"], rng.choice([sentence(), f"<p>{prose(3)}</p>"]))
+            if rng.random() < 0.2:
+                return f"<noscript>{rng.choice((sentence(), f'<p>{prose(2)}</p>'))}</noscript>"
+            close = f"<button>{words(1, 3)}</button>" if rng.random() < 0.3 else ""
+            return wrap(["div", "div", "section"], ["cookie-notice", "notice", "alert", "consent", "popup", "cookie-banner"], rng.choice([sentence(), f"<p>{prose(3)}</p>"]) + close)
 
         title = sentence(4, 12)
         body = [f"<h1>{keep(title)}</h1>"] if rng.random() < 0.8 else []
@@ -338,8 +428,9 @@ def extract_main_text(pages: DataFrame, crf: Crf | None = None) -> DataFrame:
     """The main text of each page: ``page_id, url, text, n_chars``, a row per input row.
 
     ``pages`` has ``page_id, url, html``; other columns are ignored. Blocks of main text are joined by a line break in page
-    order. Null and empty pages give an empty text; unclosed tags and comments run to where a browser would end
-    them or to the end. An empty table gives an empty result.
+    order. Null and empty pages give an empty text; a null page_id or url stays null; rows that repeat are done each. Tags and
+    comments that are never closed run to where a browser would end them, or to the end; a quoted value that is never closed ends
+    at the next ``>``. Time grows with a page's length, whatever it holds. An empty table gives an empty result.
     """
     crf = crf or train_default()
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(partial(_extract, crf=crf), "page_id long, url string, text string, n_chars long")
