@@ -1,7 +1,7 @@
 """Best-two-fit packing of tokenised documents into sequences of a fixed length.
 
 Documents are tokenised once per distinct word of a batch; pieces of at most ``size`` tokens are dealt to shards by a
-hash of what they are. A shard, of a few thousand pieces whatever the input, fills sequences greedily,
+hash of what they are. A shard, of some thousand pieces whatever the input, fills sequences greedily,
 each time with the longest piece that fits; then a sequence with a gap gives up its smallest piece for the two
 unpacked pieces that fill the expanded gap best, if they fill it better.
 """
@@ -9,6 +9,7 @@ unpacked pieces that fill the expanded gap best, if they fill it better.
 from __future__ import annotations
 
 import itertools
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ _SPACE = np.ones(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Letters below this one are single letters still when a text is composed and lower-cased; others may end in a mark.
+_LATIN = "\u0130"
 
 
 class WordTokenizer:
@@ -52,7 +55,8 @@ class WordTokenizer:
 
     def _tokenise(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct words. Words of letters go through the tokenizer many in a text, which it takes apart again."""
-        letters, others, out = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()], {}
+        plain = [w.isalpha() and max(w) < _LATIN for w in words]
+        letters, others, out = [w for w, x in zip(words, plain, strict=True) if x], [w for w, x in zip(words, plain, strict=True) if not x], {}
         for k in range(0, len(letters), 512):
             part = letters[k : k + 512]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -68,8 +72,8 @@ class WordTokenizer:
         return out
 
     def _learn(self, prints: np.ndarray, words: list[str]) -> None:
-        """Adds new words; a final stop or comma after a letter is a token of its own."""
-        alone = [len(w) > 1 and w[-1] in self.tails and w[-2].isalpha() and "'" not in w for w in words]
+        """Adds new words; a final stop or comma after a letter that stays one is a token of its own."""
+        alone = [len(w) > 1 and w[-1] in self.tails and w[-2].isalpha() and w[-2] < _LATIN and "'" not in w for w in words]
         bare = [w[:-1] if x else w for w, x in zip(words, alone, strict=True)]
         got = self._tokenise(list(dict.fromkeys(bare)))
         ids = [got[b] + self.tails[w[-1]] if x else got[b] for w, b, x in zip(words, bare, alone, strict=True)]
@@ -181,23 +185,28 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
     return bin_of, offset
 
 
-def _pack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard to rows with their places."""
+def _pack(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard to rows with their places; a shard that copies of a row swell is packed in several goes."""
+    used = 0
 
     def place(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        nonlocal used
         table = pa.Table.from_batches(rows).combine_chunks()
         bin_of, offset = best_two_fit(table["length"].to_numpy(), size)
         shard = table["shard"].to_numpy()
-        return table.drop_columns(["shard"]).append_column("sequence_id", pa.array((shard << 32) + bin_of)).append_column("offset", pa.array(offset)).to_batches()[0]
+        first, used = used, used + int(bin_of.max()) + 1
+        return table.drop_columns(["shard"]).append_column("sequence_id", pa.array((shard << 32) + first + bin_of)).append_column("offset", pa.array(offset)).to_batches()[0]
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
         shard = batch.column("shard").to_numpy(zero_copy_only=False)
         edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if held and b > a and held[-1].column("shard")[0].as_py() != shard[a]:
-                yield place(held)
-                held = []
+            if held and b > a:
+                other = held[-1].column("shard")[0].as_py() != shard[a]
+                if other or sum(x.num_rows for x in held) >= most:
+                    yield place(held)
+                    held, used = [], 0 if other else used
             if b > a:
                 held.append(batch.slice(a, b - a))
     if held:
@@ -212,12 +221,13 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, shard_pieces: int =
     ``doc_id, piece, start, length, ids_crc32, ids`` (little-endian unsigned 32-bit ids; null unless ``ids``),
     ``sequence_id, offset``. Null and empty texts are the single id 0; repeated rows are packed each; an
     empty table gives an empty result. Shards are packed one by one, which leaves at most about one
-    unfilled sequence in every ``shard_pieces`` pieces.
+    unfilled sequence in each; they hold ``shard_pieces`` pieces at most in the mean, as a token is a byte at least.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = docs.mapInArrow(partial(_pieces, tokenizer=tokenizer, size=size, ids=ids), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
-    shards = max(1, -(-docs.count() // shard_pieces))
+    total = docs.agg(F.count("*") + F.coalesce(F.sum(F.octet_length("text") / size), F.lit(0))).first()[0]
+    shards = max(1, math.ceil(total / shard_pieces))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(shards)).alias("shard")
     dealt = pieces.select(shard, "*").repartition(min(parts, shards), "shard").sortWithinPartitions("shard", "length", "doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(partial(_pack, size=size), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long")
+    return dealt.mapInArrow(partial(_pack, size=size, most=8 * shard_pieces), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long")
