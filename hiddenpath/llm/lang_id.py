@@ -2,37 +2,39 @@
 
 A suffix automaton is built of a sample of labelled text of each language. A text is parsed from left to right
 into the longest phrases that occur in a language's sample; the language that needs the fewest phrases,
-normalised by text length and sample size, wins. Automata are dense transition tables, so a task parses all
-chunks of a batch of texts side by side, for all languages at once.
+normalised by sample size, wins. Texts are parsed as the UTF-8 bytes of their letters in lower case, so every letter
+of every script counts and the alphabet is small; what stands between letters is one break. Automata are dense
+transition tables, so a task parses all chunks of a batch of texts side by side, for all languages at once, and then
+mends the chunks whose predecessor ended inside a phrase.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hiddenpath.llm.common import blocks
 
-#: Characters of text that a language's automaton is built from, and the longest document sampled.
-SAMPLE_CHARS, LONGEST_SAMPLE = 24_000, 20_000
-MOST_LANGUAGES, MOST_LETTERS = 64, 120
-#: Phrases end at the ends of chunks of so many characters, in every language alike.
+#: Bytes of text that a language's automaton is built from at most, and those of all languages together (each has 200 at least).
+SAMPLE_CHARS, ALL_CHARS = 24_000, 200_000
+#: Characters that one document gives to a sample at most.
+PASSAGE = 4_000
+#: Characters parsed side by side; no result depends on it.
 CHUNK = 512
+_BREAK = 32
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    #: Code of each code point: 0 is a break, 1 a letter that no sample has.
+    #: Code of each byte: 0 is the break, 1 a byte that no sample has.
     codes: np.ndarray
-    n_codes: int
     #: For each language in turn, state by code: twice the row start of the next state, plus 1 where a phrase ends.
     table: np.ndarray
     roots: np.ndarray
@@ -69,103 +71,173 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return go
 
 
-def _letter_codes(letters: list[str]) -> np.ndarray:
-    codes = np.array([1 if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint8)
-    for k, letter in enumerate(letters):
-        codes[ord(letter)] = k + 2
-    for c in np.flatnonzero(codes == 1):
-        low = chr(c).lower()[0]
-        codes[c] = codes[ord(low)]
-    return codes
+_letters: list[np.ndarray] = []
+
+
+def letter_table() -> np.ndarray:
+    """The lower-case letter of each code point, or the break; made once in a worker."""
+    if not _letters:
+        points = np.full(0x110000, _BREAK, np.uint32)
+        for c in range(0x110000):
+            x = chr(c)
+            if x.isalpha():
+                points[c] = ord(x.lower()[0])
+        _letters.append(points)
+    return _letters[0]
+
+
+def letter_bytes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 bytes of the rows' letters in lower case, single breaks between, their offsets, and letters of each row."""
+    points = letter_table()
+    if len(raw) and raw.max() < 128:
+        cp = points[raw]
+    else:
+        head = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        cp, at = points[np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)], head[at]
+    keep = np.ones(len(cp), bool)
+    keep[1:] = (cp[1:] != _BREAK) | (cp[:-1] != _BREAK)
+    # a row's first character stays, whatever the row before it ends in
+    keep[at[:-1][at[:-1] < len(cp)]] = True
+    cp, at = cp[keep], np.concatenate([[0], np.cumsum(keep)])[at]
+    letters = np.diff(np.concatenate([[0], np.cumsum(cp != _BREAK)])[at])
+    if not len(cp) or cp.max() < 128:
+        return cp.astype(np.uint8), at, letters
+    size = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
+    return np.frombuffer(cp.tobytes().decode("utf-32-le").encode("utf-8"), np.uint8), np.concatenate([[0], np.cumsum(size)])[at], letters
 
 
 def build_model(samples: dict[str, str]) -> LanguageModel:
     """Automata of one text per language."""
     languages = sorted(samples)
-    letters = [c for c, _ in Counter(c for x in samples.values() for c in x.lower() if c.isalpha()).most_common(MOST_LETTERS)]
-    codes = _letter_codes(letters)
-    n = len(letters) + 2
+    texts = {}
+    for x in languages:
+        raw = np.frombuffer(samples[x].encode(), np.uint8)
+        texts[x] = letter_bytes(raw, np.array([0, len(raw)]))[0]
+    known = np.unique(np.concatenate([np.zeros(0, np.uint8), *texts.values()]))
+    codes = np.ones(256, np.int64)
+    codes[known] = np.arange(len(known)) + 2
+    codes[_BREAK] = 0
+    n = len(known) + 2
     parts, roots, weights, base = [], [], [], 0
     for language in languages:
-        text = codes[np.frombuffer(samples[language].encode("utf-32-le"), np.uint32)]
-        text = text[np.append(True, (text[1:] != 0) | (text[:-1] != 0))]
-        go = suffix_automaton(text.tolist())
+        go = suffix_automaton(codes[texts[language]].tolist())
         start = np.full(n, 2 * base + 1, np.int64)
         for c, s in go[0].items():
             start[c] = 2 * (base + s * n) + 1
-        rows = np.tile(start, (len(go), 1))
+        rows = np.tile(start, (len(go), 1)).astype(np.int32)
         for s, out in enumerate(go):
             for c, to in out.items():
                 rows[s, c] = 2 * (base + to * n)
         parts.append(rows.reshape(-1))
         roots.append(base)
-        weights.append(np.log2(max(2, len(text))))
+        weights.append(np.log2(max(2, len(texts[language]))))
         base += rows.size
-    return LanguageModel(languages, codes, n, np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32), np.array(roots, np.int64), np.array(weights))
+    return LanguageModel(languages, codes, np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(roots, np.int64), np.array(weights))
 
 
 def train(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """A model of the ``lang`` values of ``docs`` (``doc_id, text, lang``), from a bounded sample.
+    """A model of every ``lang`` value of ``docs`` (``doc_id, text, lang``), from a bounded sample of each.
 
-    For each of the MOST_LANGUAGES commonest languages, documents of 1 to LONGEST_SAMPLE characters are taken in
-    the order of a hash of doc_id until they have ``sample_chars`` characters. Rows without text or lang are not used.
+    A language gets ``sample_chars`` characters, or its share of ALL_CHARS if there are many languages. Documents are taken in the
+    order of a hash of doc_id; each gives PASSAGE characters at most, from a place that the hash names. Rows without text
+    or lang are not used; rows that repeat count once.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(F.char_length("text").between(1, LONGEST_SAMPLE))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    sizes = rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
+    h = F.xxhash64("doc_id")
+    rows = docs.where("lang is not null and text <> ''").select("lang", "text", (F.pmod(h, F.lit(1_000_000)) / 1_000_000.0).alias("at"), h.alias("h"))
+    own = F.least(F.char_length("text"), F.lit(PASSAGE))
+    sizes = rows.groupBy("lang").agg(F.sum(own).alias("n"))
+    languages = sizes.count()
+    if not languages:
         return build_model({})
-    share: Column = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, (3 * sample_chars + 3 * LONGEST_SAMPLE) / r["n"])).otherwise(share)
+    sample_chars = min(sample_chars, max(200, ALL_CHARS // languages))
+    # in the mean three times what is needed, and two passages, so that no language falls short
+    share = sizes.select("lang", F.least(F.lit(1.0), (3 * sample_chars + 2 * PASSAGE) / F.col("n")).alias("share"))
+    start = F.pmod(F.shiftright("h", 20), F.greatest(F.char_length("text") - (PASSAGE - 1), F.lit(1))).cast("int") + 1
+    some = rows.join(share, "lang").where("at <= share").select("lang", "at", F.substring("text", start, F.lit(min(PASSAGE, sample_chars))).alias("text")).distinct()
     sample: dict[str, str] = {}
-    for r in sorted(rows.where(spread <= share).select("lang", "text", spread.alias("at")).collect(), key=lambda r: (r["lang"], r["at"], r["text"])):
+    for r in sorted(some.collect(), key=lambda r: (r["lang"], r["at"], r["text"])):
         if len(sample.setdefault(r["lang"], "")) < sample_chars:
             sample[r["lang"]] += r["text"][: sample_chars - len(sample[r["lang"]])] + "\n"
-    return build_model(sample)
+    return build_model({x: t.encode()[:sample_chars].decode("utf-8", "ignore") for x, t in sample.items()})
+
+
+def _run(table: np.ndarray, codes: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that end in each lane of codes ``start:start + length``, and the states after it."""
+    order = np.argsort(-length, kind="stable")
+    start, now = start[order], state[order].astype(np.int64)
+    active = np.searchsorted(-length[order], -np.arange(int(length.max(initial=0))), "left")
+    ends = np.zeros(len(start), np.int32)
+    for t, k in enumerate(active.tolist()):
+        to = table.take(now[:k] + codes[start[:k] + t])
+        ends[:k] += to & 1
+        np.right_shift(to, 1, out=to)
+        now[:k] = to
+    phrases, after = np.empty_like(ends), np.empty_like(now)
+    phrases[order], after[order] = ends, now
+    return phrases, after
+
+
+def _differences(table: np.ndarray, codes: np.ndarray, start: np.ndarray, length: np.ndarray, old: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lanes parsed from ``old`` states: phrases more if from ``new`` ones, the new end states, and whether they differ.
+
+    Both parses of a lane go on until their states meet, which they soon do: phrases end together from there.
+    """
+    more, after, differs = np.zeros(len(start), np.int64), new.copy(), np.zeros(len(start), bool)
+    lane, x, y, t = np.arange(len(start)), old.copy(), new.copy(), 0
+    while len(lane):
+        done = t >= length[lane]
+        after[lane[done]] = y[done]
+        differs[lane[done]] = True
+        going = ~done & (x != y)
+        lane, x, y = lane[going], x[going], y[going]
+        code = codes[start[lane] + t]
+        a, b = table.take(x + code), table.take(y + code)
+        more[lane] += (b & 1).astype(np.int64) - (a & 1)
+        x, y = (a >> 1).astype(np.int64), (b >> 1).astype(np.int64)
+        t += 1
+    return more, after, differs
 
 
-def count_phrases(codes: np.ndarray, at: np.ndarray, model: LanguageModel) -> np.ndarray:
-    """Phrases of each row's codes in each language."""
-    pieces = -(-np.diff(at) // CHUNK)
+def count_phrases(codes: np.ndarray, at: np.ndarray, model: LanguageModel, chunk: int = CHUNK) -> np.ndarray:
+    """Longest-match phrases of each whole row of codes in each language; a row without codes has one."""
+    pieces = -(-np.diff(at) // chunk)
     row = np.repeat(np.arange(len(pieces)), pieces)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = at[row] + nth * CHUNK
-    length = np.minimum(at[row + 1] - start, CHUNK)
-    order = np.argsort(-length, kind="stable")
-    start, length, row = start[order], length[order], row[order]
-    active = np.searchsorted(-length, -np.arange(CHUNK), "left")
-    n_lang = len(model.roots)
-    state = np.repeat(model.roots[:, None], len(row), 1)
-    phrases = np.ones((n_lang, len(row)), np.int32)
-    for t in range(int(length[0]) if len(length) else 0):
-        k = active[t]
-        to = model.table.take(state[:, :k] + codes[start[:k] + t])
-        phrases[:, :k] += to & 1
-        np.right_shift(to, 1, out=state[:, :k])
-    out = np.zeros((n_lang, len(pieces)))
+    start = at[row] + nth * chunk
+    length = np.minimum(at[row + 1] - start, chunk)
+    n_lang, n = len(model.roots), len(row)
+    first = np.tile(nth == 0, n_lang)
+    last = np.tile(nth == pieces[row] - 1, n_lang)
+    start, length = np.tile(start, n_lang), np.tile(length, n_lang)
+    begin = np.repeat(model.roots, n)
+    phrases, end = _run(model.table, codes, start, length, begin)
+    phrases = phrases.astype(np.int64)
+    # chunks after the first go on from where their predecessor ended, until no end state changes
+    todo = np.flatnonzero(~first)
+    while len(todo):
+        new = end[todo - 1]
+        more, after, differs = _differences(model.table, codes, start[todo], length[todo], begin[todo], new)
+        begin[todo] = new
+        phrases[todo] += more
+        end[todo[differs]] = after[differs]
+        todo = todo[differs & ~last[todo]] + 1
+    out = np.ones((n_lang, len(pieces)))
     for j in range(n_lang):
-        out[j] = np.bincount(row, phrases[j], len(pieces))
+        out[j] += np.bincount(row, phrases[j * n : (j + 1) * n], len(pieces))
     return out
 
 
 def _identify(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
     names = np.array([*model.languages, "und"], object)
+    # lanes are as many as chunks times languages
+    most = max(20_000, 4_000_000 // max(len(model.languages), 1))
     for batch in batches:
-        for lo, hi, raw, at in blocks(batch.column("text"), 1_000_000):
-            head = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-            code = model.codes[np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
-            at = head[at]
-            keep = np.ones(len(code), bool)
-            keep[1:] = (code[1:] != 0) | (code[:-1] != 0)
-            kept = np.concatenate([[0], np.cumsum(keep)])
-            code, at = code[keep], kept[at]
-            letters = np.concatenate([[0], np.cumsum(code != 0)])[at]
-            letters = np.diff(letters)
+        for lo, hi, raw, at in blocks(batch.column("text"), min(most, 1_000_000)):
+            text, at, letters = letter_bytes(raw, at)
             best = np.full(hi - lo, len(model.languages))
             score = np.zeros(hi - lo)
             if len(model.languages):
-                cost = count_phrases(code, at, model) * model.weights[:, None]
+                cost = count_phrases(model.codes[text], at, model) * model.weights[:, None]
                 best = np.where(letters > 0, np.argmin(cost, 0), best)
                 low = np.sort(cost, 0)
                 second = low[1] if len(low) > 1 else low[0] * 1e9
@@ -178,8 +250,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     Only ``text`` is looked at. ``score`` is the runner-up's share of the two smallest costs (0.5: a tie; ties
     go to the first language in alphabetical order). Texts that are null or have no letter get ``und`` and 0, as
-    do all if the model knows no language. Letters that no sample has end a phrase each. An empty table gives an
-    empty result.
+    do all if the model knows no language. A letter of which a sample has no byte ends a phrase with each byte. Null ids stay
+    null, rows that repeat get a row each. An empty table gives an empty result.
     """
     # a file split holds many texts, and the model travels once with the function
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_identify, model=model), "doc_id long, lang_pred string, score double")

@@ -1,0 +1,83 @@
+"""Cross-parsing against brute-force longest matches, many scripts and languages, odd rows."""
+
+import random
+
+import numpy as np
+import pytest
+
+from hiddenpath.llm import lang_id
+
+
+def brute_phrases(text, sample):
+    """Longest-match phrases of ``text`` in ``sample``, one started for an empty text, as the parser counts them."""
+    n, k = 1, 0
+    while k < len(text):
+        size = 1
+        if text[k : k + 1] not in sample:
+            # a byte that the sample lacks ends the phrase before it and stands alone
+            n, k = n + 1, k + 1
+            continue
+        while k + size < len(text) and text[k : k + size + 1] in sample:
+            size += 1
+        k += size
+        n += k < len(text) and text[k : k + 1] in sample
+    return n
+
+
+def parsed(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return lang_id.letter_bytes(raw, np.array([0, len(raw)]))[0].tobytes()
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefghijkl ", "aбв中文ζ 1", "a"])
+def test_phrases_against_brute_force(alphabet):
+    rng = random.Random(len(alphabet))
+    for _ in range(15):
+        samples = {k: "".join(rng.choices(alphabet, k=rng.randint(3, 200))) for k in "xyz"}
+        model = lang_id.build_model(samples)
+        texts = ["".join(rng.choices(alphabet, k=rng.choice((0, 1, 5, 40, 900)))) for _ in range(6)]
+        texts += [samples["x"] * 3, samples["y"][5:] + samples["z"], "a" * 700]
+        raw = [t.encode() for t in texts]
+        got, at, _ = lang_id.letter_bytes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+        want = [[brute_phrases(parsed(t), parsed(samples[k])) for t in texts] for k in "xyz"]
+        for chunk in (3, 64, 10_000):
+            assert lang_id.count_phrases(model.codes[got], at, model, chunk).tolist() == want
+
+
+def test_every_letter_counts():
+    """Languages that share all but rare letters of a large alphabet are told apart by those."""
+    rng = random.Random(1)
+    common = [chr(0x4E00 + k) for k in range(150)]
+    own = {x: [chr(0x5E00 + 100 * k + j) for j in range(40)] for k, x in enumerate("ab")}
+    model = lang_id.build_model({x: "".join(rng.choices(common, k=2000)) + "".join(own[x] * 3) for x in "ab"})
+    for x in "ab":
+        got, at, _ = lang_id.letter_bytes(np.frombuffer("".join(own[x]).encode(), np.uint8), np.array([0, 120]))
+        counts = lang_id.count_phrases(model.codes[got], at, model)[:, 0]
+        assert counts["ab".index(x)] == 1 < 30 < counts[1 - "ab".index(x)]
+
+
+def test_many_languages_and_long_documents(spark):
+    """90 languages, one of them with documents of 60,000 characters only."""
+    rng = random.Random(2)
+    words = {x: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzåßøñ", k=rng.randint(2, 7))) for _ in range(40)] for x in (f"l{k:02}" for k in range(90))}
+    rows = []
+    for k, x in enumerate(words):
+        size = 10_000 if k == 7 else 60
+        rows += [(1000 * k + j, " ".join(rng.choices(words[x], k=size)), x) for j in range(2 if k == 7 else 30)]
+    model = lang_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(words)
+    held = [(k, " ".join(rng.choices(words[x], k=30)), x) for k, x in enumerate(words)]
+    got = {r.doc_id: r.lang_pred for r in lang_id.identify_languages(spark.createDataFrame(held, "doc_id long, text string, lang string"), model).collect()}
+    assert sum(got[k] == x for k, _, x in held) >= 86
+
+
+def test_odd_rows(spark):
+    rows = [(1, "the cat sat", "b", "x"), (1, "the cat sat", "b", "x"), (None, "the cat sat", "a", "x"), (2, "zzz", None, "x"), (3, None, "a", "x"), (4, "12 !", "a", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    model = lang_id.train(d)
+    got = lang_id.identify_languages(d, model).collect()
+    assert len(got) == 6 and {r.lang_pred for r in got if r.doc_id in (1, None)} == {"a"}  # equal samples tie: the first by name
+    assert {(r.lang_pred, r.score) for r in got if r.doc_id in (3, 4)} == {("und", 0.0)}
+    assert lang_id.identify_languages(d.limit(0), model).count() == 0
+    none = lang_id.train(d.limit(0))
+    assert {r.lang_pred for r in lang_id.identify_languages(d, none).collect()} == {"und"}
