@@ -1,7 +1,7 @@
 """Secret scans: candidates by form, judged by a random forest.
 
-Candidates are long runs of token characters that hold a digit, values assigned to credential names, and private
-key blocks. A random forest on length, character transitions, dictionary coverage, path and neighbouring words,
+Candidates are long runs of token characters that hold a digit or change to capitals several times, values assigned to
+credential names, and private key blocks. A random forest on length, character transitions, dictionary coverage, path and neighbouring words,
 trained on labelled findings, removes the false positives.
 """
 
@@ -24,12 +24,16 @@ from hiddenpath.llm.common import blocks, word_spans
 TRAINING_FINDINGS, TREES, DEPTH, LEAST_LEAF = 4000, 40, 9, 4
 #: Shortest run of token characters, and bytes looked at before and after a candidate.
 LEAST_LENGTH, NEAR = 16, 48
+#: Changes from small to capital letters that a run of token characters without a digit needs.
+LEAST_CAPITALS = 3
 MASK = "[SECRET]"
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *map(ord, "_-+/=.")]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_UPPER, _SMALL = np.zeros(256, bool), np.zeros(256, bool)
+_UPPER[65:91] = _SMALL[97:123] = True
 _ASSIGN = np.zeros(256, bool)
 _ASSIGN[[ord("="), ord(":")]] = True
 
@@ -51,7 +55,8 @@ DICTIONARY = (
 _WORDS = frozenset(w for w in DICTIONARY if len(w) >= 3)
 _NAME = re.compile(rb"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)[\w-]*[\"']?\s*$", re.I)
 _OPEN = re.compile(rb"\s*([\"']?)")
-_KEY = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
+_KEY = re.compile(rb"-----(BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----")
+_KEY_BODY = re.compile(rb"(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})*")
 _NEAR_WORD = re.compile(r"[a-z0-9_-]+")
 _CLASS = {**{c: 0 for c in string.ascii_lowercase}, **{c: 1 for c in string.ascii_uppercase}, **{c: 2 for c in string.digits}}
 
@@ -168,6 +173,12 @@ def labelled_findings(count: int = TRAINING_FINDINGS, seed: int = 5) -> Iterator
                  "sk_live_" + some(mixed, 24), f"xoxb-{some(string.digits, 12)}-{some(mixed, 24)}", f"eyJ{some(mixed, 30)}.eyJ{some(mixed, 60)}.{some(mixed + '_-', 43)}", some(mixed + "+/", 40), some(mixed + "!@#%^*", rng.randint(10, 20)))
             )
             plain = value[:4] in ("AKIA", "ghp_", "sk_l", "xoxb") and rng.random() < 0.4
+            if rng.random() < 0.06:
+                kind = rng.choice(("", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "))
+                body = "\n".join(some(mixed + "+/", 64) for _ in range(rng.randint(2, 26)))
+                value, plain = f"-----BEGIN {kind}PRIVATE KEY-----\n{body}" + f"\n-----END {kind}PRIVATE KEY-----" * (rng.random() < 0.8), True
+            elif rng.random() < 0.1:
+                value = some(string.ascii_letters, rng.choice((20, 24, 32, 40)))
             yield value, f"{prose()} " if plain else assign, end, path, 1
             continue
         word = rng.choice(OTHER)
@@ -176,7 +187,8 @@ def labelled_findings(count: int = TRAINING_FINDINGS, seed: int = 5) -> Iterator
             value = rng.choice((some(hexa, rng.choice((32, 40, 64))), some(hexa, 8) + "-" + "-".join(some(hexa, 4) for _ in range(3)) + "-" + some(hexa, 12), some(string.digits, rng.randint(16, 22))))
             yield value, f"{prose()} {word}{rng.choice((' ', ': ', '='))}", f" {prose()}", path, 0
         elif kind < 0.5:  # a placeholder
-            value = rng.choice(("x" * rng.randint(16, 40), "your_token_here_" + some(string.digits, 2), "changeme" + some(string.digits, 3), "example-secret-key-000000", "${SECRET_TOKEN_1}", "<your-api-key-01>", "0" * rng.randint(16, 40), "1234567890" * rng.randint(2, 4), "test_token_1234567890", "dummy-password-123", "replace_with_token_1"))
+            body = rng.choice((" ... ", " <your key here> ", "\n[...]\n", " and then ", "\nxxxxxxxxxxxxxxxxxxxxxxxx\n"))
+            value = rng.choice((f"-----BEGIN {rng.choice(('', 'RSA '))}PRIVATE KEY-----{body}-----END PRIVATE KEY-----", "x" * rng.randint(16, 40), "your_token_here_" + some(string.digits, 2), "changeme" + some(string.digits, 3), "example-secret-key-000000", "${SECRET_TOKEN_1}", "<your-api-key-01>", "0" * rng.randint(16, 40), "1234567890" * rng.randint(2, 4), "test_token_1234567890", "dummy-password-123", "replace_with_token_1"))
             yield value, assign, end, path, 0
         elif kind < 0.65:  # bare numbers and links in prose
             value = rng.choice((some(string.digits, rng.randint(16, 20)), f"www.{some(string.ascii_lowercase, 9)}.com/page/{some(string.digits, 4)}", f"{some(string.ascii_lowercase, 8)}.{some(string.digits, 2)}-{some(string.ascii_lowercase, 7)}.example.com", f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.0-release-{some(string.digits, 6)}", f"{rng.randint(1, 999)}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}-{some(string.digits, 6)}"))
@@ -185,7 +197,7 @@ def labelled_findings(count: int = TRAINING_FINDINGS, seed: int = 5) -> Iterator
             value = rng.choice((some(hexa, 40), some(mixed, 32), "AKIA" + some(string.ascii_uppercase + string.digits, 16)))
             yield value, assign, end, rng.choice(("tests/test_auth.py", "docs/readme.md", "examples/demo.py", "spec/fixtures/key.rb")), 0
         else:  # code and words
-            value = rng.choice(("_".join(rng.choices(DICTIONARY, k=4)) + some(string.digits, 1), "-".join(rng.choices(DICTIONARY, k=4)) + "-2", "/".join(rng.choices(DICTIONARY, k=4)) + "/1", ".".join(rng.choices(DICTIONARY, k=3)) + "2"))
+            value = rng.choice(("_".join(rng.choices(DICTIONARY, k=4)) + some(string.digits, 1), "-".join(rng.choices(DICTIONARY, k=4)) + "-2", "/".join(rng.choices(DICTIONARY, k=4)) + "/1", ".".join(rng.choices(DICTIONARY, k=3)) + "2", "".join(w.capitalize() for w in rng.choices(DICTIONARY, k=rng.randint(4, 6))), "".join(w.capitalize() for w in prose().split())))
             yield value, rng.choice((assign, f"{prose()} ")), end, path, 0
 
 
@@ -206,16 +218,30 @@ def _value(data: bytes, k: int, end: int, stops: np.ndarray, bare: np.ndarray) -
     return (a, b) if b - a >= (6 if quoted else 8) else None
 
 
+def _private_keys(data: bytes, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """Key blocks: to the end mark if no other block begins before it, else as far as the lines of a body go."""
+    marks = list(_KEY.finditer(data, lo, hi))
+    for m, after in zip(marks, [*marks[1:], None]):
+        if m[1] == b"BEGIN":
+            if after is not None and after[1] == b"END":
+                yield m.start(), after.end()
+            elif (body := _KEY_BODY.match(data, m.end(), hi)).end() > m.end():
+                yield m.start(), body.end()
+
+
 def candidates(raw: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, str]]:
     """Row, start, end (in the block's bytes) and kind, without overlaps, in order; what overlaps is one, of the union of spans."""
     data = raw.tobytes()
     s, e, _ = word_spans(raw, at, _TOKEN)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
-    long = np.flatnonzero((e - s >= LEAST_LENGTH) & (digits[e] > digits[s]))
+    rises = np.zeros(len(raw) + 1, np.int64)
+    rises[2:] = np.cumsum(_UPPER[raw[1:]] & _SMALL[raw[:-1]])
+    # a rise at a run's first byte would need a letter before it, which would belong to the run
+    long = np.flatnonzero((e - s >= LEAST_LENGTH) & ((digits[e] > digits[s]) | (rises[e] - rises[s] >= LEAST_CAPITALS)))
     found = []
     for a, b in zip(s[long].tolist(), e[long].tolist(), strict=True):
         k = data.rfind(b"=", a, b - 2)
-        name = _NAME.search(data[a:k]) if k > a else None
+        name = _NAME.search(data[max(a, k - NEAR) : k]) if k > a else None
         a = k + 1 if name else a  # name=value without blanks
         while b > a and data[b - 1 : b] == b".":
             b -= 1
@@ -224,11 +250,11 @@ def candidates(raw: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, str
     stops, bare = np.flatnonzero(_STOP[raw]), np.flatnonzero(_BARE_STOP[raw])
     for k in np.flatnonzero(_ASSIGN[raw]).tolist():
         row = int(np.searchsorted(at, k, "right")) - 1
-        if _NAME.search(data[max(int(at[row]), k - 40) : k]) and (span := _value(data, k + 1, int(at[row + 1]), stops, bare)):
+        if _NAME.search(data[max(int(at[row]), k - NEAR) : k]) and (span := _value(data, k + 1, int(at[row + 1]), stops, bare)):
             found.append((*span, "assigned"))
     if b"PRIVATE KEY-----" in data:
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            found += [(*m.span(), "private_key") for m in _KEY.finditer(data, lo, hi)]
+            found += [(*x, "private_key") for x in _private_keys(data, lo, hi)]
     rank = {"private_key": 0, "assigned": 1, "token": 2}
     taken: list[tuple[int, int, str]] = []
     for x in sorted(found, key=lambda x: (x[0], rank[x[2]])):
@@ -251,25 +277,24 @@ def _scan(batches: Iterator[pa.RecordBatch], forest: Forest, least_score: float)
         for lo, hi, raw, at in blocks(texts):
             found = candidates(raw, at)
             per: list[list[dict]] = [[] for _ in range(hi - lo)]
-            rows = []
+            items, rows = [], []
+            chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)]) if found else None
             for r, a, b, kind in found:
                 begin, end = int(at[r]), int(at[r + 1])
                 value, before, after = (raw[x:y].tobytes().decode("utf-8", "replace") for x, y in ((a, b), (max(begin, a - NEAR), a), (b, min(end, b + NEAR))))
                 rows.append(features(value, before, after, paths[lo + r].as_py() or ""))
-                head = len(raw[begin:a].tobytes().decode("utf-8", "replace"))
-                per[r].append({"start": head, "end": head + len(value), "kind": kind})
-            scores = forest.predict(np.array(rows)).tolist() if rows else []
-            for (r, *_), score in zip(found, scores, strict=True):
-                item = next(x for x in per[r] if "score" not in x)
-                sure = item["kind"] == "private_key"
-                item |= {"score": 1.0 if sure else score, "secret": sure or score >= least_score}
+                items.append({"start": int(chars[a] - chars[begin]), "end": int(chars[b] - chars[begin]), "kind": kind})
+                per[r].append(items[-1])
+            for item, score in zip(items, forest.predict(np.array(rows)).tolist() if rows else [], strict=True):
+                item |= {"score": score, "secret": score >= least_score}
             masked = texts.slice(lo, hi - lo)
-            if any(x["secret"] for p in per for x in p):
+            if any(x["secret"] for x in items):
                 new = masked.to_pylist()
                 for i, p in enumerate(per):
-                    for x in reversed(p):
-                        if x["secret"]:
-                            new[i] = new[i][: x["start"]] + MASK + new[i][x["end"] :]
+                    if p:
+                        spans = [(x["start"], x["end"]) for x in p if x["secret"]]
+                        kept = [new[i][a:b] for a, b in zip([0, *[x[1] for x in spans]], [*[x[0] for x in spans], len(new[i])], strict=True)]
+                        new[i] = MASK.join(kept)
                 masked = pa.array(new, texts.type)
             yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), pa.array(per, _FINDING_TYPE), masked], names=["row", "findings", "masked"])
 
@@ -278,9 +303,9 @@ def scan_secrets(docs: DataFrame, forest: Forest | None = None, path: str | None
     """Findings in whole texts: ``row`` (a struct of all columns of ``docs``), ``findings`` and ``masked``, a row per input row.
 
     ``docs`` has ``text`` and, if named, the column ``path``. A finding has start and end in characters, the
-    candidate's kind, the forest's score and whether it is taken for a secret; private key blocks always are. ``masked``
+    candidate's kind, the forest's score and whether it is taken for a secret: at ``least_score`` and more. ``masked``
     is the text with every secret replaced by MASK. Null texts have no findings and stay null; null paths
-    count as empty; an empty table gives an empty result.
+    count as empty; rows that repeat are scanned each; an empty table gives an empty result.
     """
     forest = forest or train_default()
     where = F.col(path).cast("string") if path else F.lit(None).cast("string")
