@@ -4,7 +4,37 @@ _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _ALNUM = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')"
 
+_PART = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+_DISTANCE = f"sqrt(greatest(0, sum({_PART.format('p', 'q')} + {_PART.format('q', 'p')}) / 2))"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, text IS NOT NULL AS known, coalesce(text, '') AS t FROM documents),
+x AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(lower(t), '\p{{L}}+') AS plain, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+y AS (SELECT rid, doc_id, lang, known, w, plain, length(t) AS n, len(w) AS n_words, len(plain) AS n_plain, coalesce(list_sum(list_transform(w, lambda a: length(a))), 0) AS word_chars, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+  length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS c0, length(regexp_replace(t, '[^0-9]', '', 'g')) AS c1, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS c2, length(regexp_replace(t, '[^!?]', '', 'g')) AS c3, length(regexp_replace(t, '[^.,;:''"()-]', '', 'g')) AS c4 FROM x),
+z AS (SELECT *, n - word_chars AS c5, word_chars - c0 - c1 - c2 - c3 - c4 AS c6 FROM y),
+g AS (SELECT rid, i AS pos, array_to_string(w[i + 1 : i + 8], ' ') AS g FROM z, unnest(range(n_words - 7)) u(i)),
+again AS (SELECT rid, pos FROM g JOIN (SELECT rid, g FROM g GROUP BY ALL HAVING count(*) > 1) USING (rid, g)),
+rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(pos, pos + 8)) AS p FROM again) GROUP BY rid),
+cells AS (SELECT rid, lang, known, n, n_words, c5, u.c AS class, u.k AS k FROM z, unnest([{{'c': 0, 'k': c0}}, {{'c': 1, 'k': c1}}, {{'c': 2, 'k': c2}}, {{'c': 3, 'k': c3}}, {{'c': 4, 'k': c4}}, {{'c': 5, 'k': c5}}, {{'c': 6, 'k': c6}}]) q(u)),
+steps AS (SELECT lang, class, 10000 * k // n AS step FROM cells WHERE known AND c5 >= 19),
+tally AS (SELECT lang, class, step, count(*) AS k FROM (SELECT * FROM steps UNION ALL SELECT NULL, class, step FROM steps) GROUP BY ALL),
+cum AS (SELECT lang, class, step, sum(k) OVER (PARTITION BY lang, class ORDER BY step) AS below, sum(k) OVER (PARTITION BY lang, class) AS docs FROM tally),
+med AS (SELECT lang, class, (min(step) + 0.5) / 10000.0 AS m FROM cum WHERE 2 * below >= docs AND docs >= 20 GROUP BY ALL),
+ref AS (SELECT lang, class, m / sum(m) OVER (PARTITION BY lang) AS q FROM med),
+cd AS (SELECT rid, {_DISTANCE} AS cd FROM (SELECT rid, k / n AS p, coalesce(r.q, a.q) AS q FROM cells c LEFT JOIN ref r ON r.lang = c.lang AND r.class = c.class JOIN ref a ON a.lang IS NULL AND a.class = c.class WHERE n_words >= 40) GROUP BY rid),
+words AS (SELECT lang, a, count(*) AS k FROM (SELECT lang, unnest(plain) AS a FROM z WHERE known AND lang IN (SELECT lang FROM ref)) GROUP BY ALL),
+total AS (SELECT lang, sum(k) AS total FROM words GROUP BY lang),
+top AS (SELECT lang, a, k / total AS q FROM words JOIN total USING (lang) WHERE length(a) <= 32 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY k DESC, a) <= 24),
+own AS (SELECT rid, lang, n_plain, unnest(plain) AS a FROM z WHERE n_words >= 40 AND lang IN (SELECT lang FROM total)),
+found AS (SELECT rid, a, count(*) AS k FROM own JOIN top USING (lang, a) GROUP BY ALL),
+shares AS (SELECT z.rid, coalesce(f.k, 0) / z.n_plain AS p, t.q FROM z JOIN top t USING (lang) LEFT JOIN found f ON f.rid = z.rid AND f.a = t.a WHERE n_words >= 40 AND n_plain > 0),
+rest AS (SELECT rid, 1 - sum(p) AS p, greatest(0, 1 - sum(q)) AS q FROM shares GROUP BY rid),
+wd AS (SELECT rid, {_DISTANCE} AS wd FROM (SELECT * FROM shares UNION ALL SELECT * FROM rest) GROUP BY rid),
+v AS (SELECT z.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed, cd, wd FROM z LEFT JOIN rep USING (rid) LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(c2 AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(cd, 0) <= 0.25 AND coalesce(cd + wd <= 0.2 + 3.0 / sqrt(n_words), true) AS kept FROM v""",
     "op6_benchmark_decontamination": f"""
 WITH b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark WHERE text IS NOT NULL),
 k AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i + 1 : i + 10], ' ') AS g FROM b, unnest(range(greatest(len(w) - 9, 1))) u(i) WHERE len(w) > 0),

@@ -1,9 +1,10 @@
 """Quality rules: length, repetition, and divergence of histograms from language references.
 
 DataFrame functions only. References are learned from all documents of a language: the median share of each
-character class, and the shares of its commonest short words. A document is rejected when the Jensen-Shannon
+character class, and the shares of its commonest words. A document is rejected when the Jensen-Shannon
 distance of its character classes, or of its common words, from its language's reference is too large; short
-documents, whose histograms say little, are spared the tests by minimum lengths.
+documents, whose histograms say little, are spared the tests by minimum lengths. References rest on exact counts, so
+they are the same in every run on the same documents.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hiddenpath.llm.common import cut
+
 WINDOW = 8
 #: Fewest words of a document, and most percent of its words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
@@ -22,19 +25,25 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 MOST_CHAR_DISTANCE, MOST_BOTH, BOTH_NOISE = 0.25, 0.2, 3.0
 #: Fewest words for the character and the common-word test.
 CHAR_GUARD, WORD_GUARD = 40, 40
-#: Common words of a language, letters of the longest, and documents that a language's reference needs.
-COMMON_WORDS, SHORT, LEAST_DOCUMENTS, MOST_LANGUAGES = 24, 4, 20, 64
+#: Common words of a language, letters of the longest that is counted by name, and documents that a language's reference needs.
+COMMON_WORDS, LONGEST, LEAST_DOCUMENTS = 24, 32, 20
+#: Shares are counted in so many steps.
+STEPS = 10_000
 
 CLASSES = ("upper", "digit", "symbol", "loud", "point", "blank", "rest")
 
 
 @dataclass
 class References:
-    """Shares per language: of the character classes, and of the common words (and of the rest at the end)."""
+    """Shares per language: of the character classes, and of the common words (and of the rest at the end).
+
+    ``pooled`` has the character classes of all documents, for those of languages without reference.
+    """
 
     chars: dict[str, list[float]]
     words: dict[str, list[str]]
     shares: dict[str, list[float]]
+    pooled: list[float] | None = None
 
 
 def _words(text: Column) -> Column:
@@ -73,44 +82,56 @@ def _language(lang: Column) -> Column:
 def learn_references(docs: DataFrame) -> References:
     """References of every language of ``docs`` (``text, lang``) with LEAST_DOCUMENTS documents of LEAST_WORDS words.
 
-    All documents count. Rows without lang share a reference of their own. The result has at most
-    MOST_LANGUAGES languages, the commonest, of COMMON_WORDS words each.
+    All documents count, in one pass: words by name, and the steps of the documents' class shares, are the keys of one
+    exact count. A class's share is the middle of the step that holds the (lower) median. Rows without lang share a
+    reference of their own. The result has COMMON_WORDS words for each language.
     """
     rows = docs.where("text is not null").select(_language(F.col("lang")).alias("lang"), "text")
-    counted = rows.select("lang", F.char_length("text").alias("n"), (F.char_length("text") - F.char_length(_without_blanks(F.col("text")))).alias("blanks"), _marks(F.col("text")).alias("marks"))
-    shares = counted.where(f"blanks >= {LEAST_WORDS - 1}").select("lang", _class_counts(F.col("n"), F.col("blanks"), F.col("marks")).alias("c"), F.col("n").cast("double").alias("n"))
-    medians = [F.percentile_approx(F.col("c")[i] / F.col("n"), 0.5, 1000).alias(name) for i, name in enumerate(CLASSES)]
-    by_lang = shares.groupBy("lang").agg(F.count("*").alias("docs"), *medians).where(f"docs >= {LEAST_DOCUMENTS}").orderBy(F.desc("docs"), "lang").limit(MOST_LANGUAGES).collect()
-    chars = {}
-    for r in by_lang:
-        total = sum(r[c] for c in CLASSES) or 1.0
-        chars[r["lang"]] = [r[c] / total for c in CLASSES]
+    counted = rows.select("lang", F.char_length("text").cast("long").alias("n"), (F.char_length("text") - F.char_length(_without_blanks(F.col("text")))).alias("blanks"), _marks(F.col("text")).alias("marks"), _plain_words(F.col("text")).alias("plain"))
+    classes = _class_counts(F.col("n"), F.col("blanks"), F.col("marks"))
+    counted = counted.select("lang", "n", "plain", F.when(F.col("blanks") >= LEAST_WORDS - 1, classes).alias("classes"))
+    # names of words are letters alone, so the keys of shares and of all longer words are told from them
+    steps = F.transform("classes", lambda c, i: F.concat_ws(":", i, F.floor(STEPS * c / F.col("n"))))
+    names = F.transform(F.filter("plain", lambda w: w != ""), lambda w: F.when(F.length(w) <= LONGEST, w).otherwise("*"))
+    keys = F.concat(names, F.coalesce(steps, F.array().cast("array<string>")))
+    counts = cut(counted.select("lang", F.explode(keys).alias("key")).groupBy("lang", "key").count())
+
+    shares = counts.where(F.col("key").contains(":")).select("lang", F.substring_index("key", ":", 1).cast("int").alias("class"), F.substring_index("key", ":", -1).cast("int").alias("step"), "count")
+    pooled = shares.groupBy("class", "step").agg(F.sum("count").alias("count")).select(F.lit(None).cast("string").alias("lang"), "class", "step", "count")
+    of_class = Window.partitionBy("lang", "class")
+    below = F.sum("count").over(of_class.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    placed = shares.unionByName(pooled).select("lang", "class", "step", below.alias("below"), F.sum("count").over(of_class).alias("docs"))
+    medians = placed.where(f"2 * below >= docs and docs >= {LEAST_DOCUMENTS}").groupBy("lang", "class").agg(F.min("step").alias("step")).collect()
+    chars: dict[str | None, list[float]] = {}
+    for r in medians:
+        chars.setdefault(r["lang"], [0.0] * len(CLASSES))[r["class"]] = (r["step"] + 0.5) / STEPS
+    chars = {lang: [x / sum(v) for x in v] for lang, v in chars.items()}
+    all_chars = chars.pop(None, None)
     if not chars:
-        return References({}, {}, {})
-    # words of any length for the total, short ones by name
-    word = F.when(F.length("word") <= SHORT, F.col("word"))
-    counts = rows.where(F.col("lang").isin(list(chars))).select("lang", F.explode(_plain_words(F.col("text"))).alias("word")).where("word <> ''").groupBy("lang", word.alias("word")).count()
-    rank = F.row_number().over(Window.partitionBy("lang", F.col("word").isNull()).orderBy(F.desc("count"), "word"))
-    total = F.sum("count").over(Window.partitionBy("lang"))
-    top = counts.select("lang", "word", F.col("count") / total, rank.alias("rank")).where(f"word is not null and rank <= {COMMON_WORDS}").collect()
-    words: dict[str, list[str]] = {lang: [] for lang in chars}
+        return References({}, {}, {}, all_chars)
+    words = counts.where(~F.col("key").contains(":") & F.col("lang").isin(list(chars)))
+    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "key"))
+    top = words.where("key <> '*'").select("lang", "key", "count", rank.alias("rank")).where(f"rank <= {COMMON_WORDS}").collect()
+    common: dict[str, list[str]] = {lang: [] for lang in chars}
     shares_of: dict[str, list[float]] = {lang: [] for lang in chars}
-    for lang, w, share, _ in sorted(top, key=lambda r: (r[0], r[3])):
-        words[lang].append(w)
-        shares_of[lang].append(share)
-    for lang, x in shares_of.items():
+    for lang, w, n, _ in sorted(top, key=lambda r: (r[0], r[3])):
+        common[lang].append(w)
+        shares_of[lang].append(n / totals[lang])
+    for x in shares_of.values():
         x.append(max(0.0, 1.0 - sum(x)))
-    return References(chars, words, shares_of)
+    return References(chars, common, shares_of, all_chars)
 
 
 def _distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays that sum to one, from 0 to 1 (square root of bits)."""
+    """Jensen-Shannon distance of two arrays that sum to one, from 0 to 1 (square root of bits); null if one of them is."""
 
     def part(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
 
     parts = F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda x, y: x + y) / 2))
+    bits = F.aggregate(parts, F.lit(0.0), lambda x, y: x + y) / 2
+    return F.sqrt(F.when(bits > 0, bits).when(bits.isNotNull(), 0.0))
 
 
 def _by_language(values: dict[str, list], kind: str) -> Column:
@@ -123,16 +144,22 @@ def _by_language(values: dict[str, list], kind: str) -> Column:
 
 def apply_quality_rules(docs: DataFrame, references: References | None = None) -> DataFrame:
     """All columns of ``docs`` and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    char_distance, word_distance, kept`` in a struct ``quality``.
+    char_distance, word_distance, kept`` in a struct ``quality``, the last column; where ``docs`` has a column of that name,
+    underscores are added to it.
 
     ``docs`` has ``text`` and ``lang``. Words are ``[^\\x20\\x09-\\x0D]+``. ``base_failed``: under LEAST_WORDS words, or over
     MOST_REPEATED percent of the words in repeated windows of WINDOW words. ``kept``: not base_failed, and no distance
     over its bound (MOST_CHAR_DISTANCE, and MOST_BOTH + BOTH_NOISE / sqrt(n_words) for the sum). A distance is null, and its
-    test passed, for documents under its word guard and for languages without reference. References are learned from ``docs`` unless given. Null and empty texts have no words
-    and fail. An empty table gives an empty result. Windows are compared by 64-bit fingerprints.
+    test passed, for documents under its word guard; documents of languages without reference are held against the character classes
+    of all documents. References are learned from ``docs`` unless given. Null and empty texts have no words and fail; rows that repeat
+    are judged each. An empty table gives an empty result. Windows are compared by 64-bit fingerprints.
     """
     ref = learn_references(docs) if references is None else references
     known = sorted({w for v in ref.words.values() for w in v})
+    all_chars = F.array(*[F.lit(x) for x in ref.pooled]) if ref.pooled else F.lit(None).cast("array<double>")
+    name = "quality"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
     # few steps, as each one that has a lambda copies the arrays that it passes on
     t, w = F.col("t"), F.col("w")
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("t"), _language(F.col("lang")).alias("language"))
@@ -170,7 +197,7 @@ def apply_quality_rules(docs: DataFrame, references: References | None = None) -
     shares = F.transform(F.concat("found", F.array(rest)), lambda v: F.try_divide(v, F.col("n_plain")))
     x = x.select("*", F.coalesce(covered.n, F.lit(0)).cast("long").alias("n_repeat_words"), shares.alias("shares")).drop("s", "found")
     x = x.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    x = x.withColumn("char_distance", F.when(F.col("n_words") >= CHAR_GUARD, _distance(F.col("chars"), _by_language(ref.chars, "double"))))
+    x = x.withColumn("char_distance", F.when(F.col("n_words") >= CHAR_GUARD, _distance(F.col("chars"), F.coalesce(_by_language(ref.chars, "double"), all_chars))))
     x = x.withColumn("word_distance", F.when((F.col("n_words") >= WORD_GUARD) & (F.col("n_plain") > 0), _distance(F.col("shares"), _by_language(ref.shares, "double"))))
     near_chars = F.coalesce("char_distance", F.lit(0.0)) <= MOST_CHAR_DISTANCE
     both = F.col("char_distance") + F.col("word_distance")
@@ -178,4 +205,4 @@ def apply_quality_rules(docs: DataFrame, references: References | None = None) -
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance"]
     # a filter on the verdict must not be pushed down: it would copy the nested expressions above many times over; it
     # doesn't pass a generator
-    return x.select("row.*", F.explode(F.array(F.struct(*names, (~F.col("base_failed") & near).alias("kept")))).alias("quality"))
+    return x.select("row.*", F.explode(F.array(F.struct(*names, (~F.col("base_failed") & near).alias("kept")))).alias(name))
