@@ -23,7 +23,9 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.apply_quality_rules(docs).where("quality.kept").drop("quality")
+    found = quality.apply_quality_rules(docs)
+    verdict = found.columns[-1]
+    return found.where(F.col(f"`{verdict}`.kept")).drop(verdict)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
