@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hiddenpath.llm.common import SPACE_WORD, ascii_lower, blocks, cut, mix, span_hashes, word_spans
-from hiddenpath.llm.graph import connected_components
+from hiddenpath.llm.graph import connected_components, split_join
 
 #: Independent trees of the first levels, the last depth and the step to it: a pair of similarity 0.8 is missed by the
 #: first trees with probability (1 - 0.8 ** 2) ** 16, about 7.96e-8, and by those of each later depth with LATER_MISS at most:
@@ -193,25 +193,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     own = cut(docs.mapInArrow(partial(_sets, width=width, trees=trees), "doc_id long, n_shingles long, sig_a long, sig_b long, keys array<long>"))
     some = own.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"))
+    classes = some.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
     nodes = classes.select(F.explode("keys").alias("node"), "rep", "n_shingles").where("node is not null")
     texts = docs.where("doc_id is not null and text is not null")
     small: list[DataFrame] = []
     depth = FIRST_DEPTH
     while True:
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"), F.min("rep").alias("least")).where("n > 1")
-        sizes = sizes.withColumn("large", (F.col("n") > node_records) | (F.col("s") > NODE_SHINGLES) & (F.col("n") > 2))
+        sizes = cut(sizes).withColumn("large", (F.col("n") > node_records) | (F.col("s") > NODE_SHINGLES) & (F.col("n") > 2))
         # nodes of several trees with the same members need one comparison, and join the same records to a group
         once = sizes.groupBy("n", "s", "members", "large", "least").agg(F.min("node").alias("node"))
-        members = cut(nodes.join(once.select("node", "large", "least"), "node"))
+        members = cut(split_join(nodes, once.select("node", "large", "least", "n"), ["node"], sizes.agg(F.sum("n")).first()[0] or 0))
         small.append(members.where("not large").select("node", "rep"))
         large = members.where("large")
         if large.isEmpty():
             break
         found = connected_components(large.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-        hot = large.select("rep", "n_shingles").distinct().join(found, F.col("rep") == found.v).select("rep", "n_shingles", F.col("component").alias("hot"))
+        hot = cut(large.select("rep", "n_shingles").distinct().join(found, F.col("rep") == found.v).select("rep", "n_shingles", F.col("component").alias("hot")))
         side = F.ceil(F.greatest(F.count("*") / node_records, F.sum("n_shingles") / NODE_SHINGLES) * 2).cast("int")
-        hot = cut(hot.join(hot.groupBy("hot").agg(side.alias("k")), "hot"))
+        hot = cut(split_join(hot, hot.groupBy("hot").agg(side.alias("k"), F.count("*").alias("n")), ["hot"], hot.count()))
         depth += STEP
         more = trees_at(depth, percent)
         whole = F.lit(depth > LAST_DEPTH) | (F.col("k") <= more)
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     edges = wanted.repartition(int(parts), "node").sortWithinPartitions("node").mapInArrow(partial(_compare, width=width, percent=percent), "a long, b long")
     # rows that share a doc_id are one vertex: each class of such a row links to it
-    twins = some.join(classes.select("sig_a", "sig_b", "rep"), ["sig_a", "sig_b"]).select("doc_id", "rep", "sig_a", "sig_b")
+    twins = split_join(some.select("sig_a", "sig_b", "doc_id"), classes.select("sig_a", "sig_b", "rep", "n"), ["sig_a", "sig_b"], some.count())
     links = edges.unionByName(twins.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = connected_components(links)
     joined = own.select("doc_id", "n_shingles").join(found, own.doc_id == found.v, "left")
