@@ -8,12 +8,13 @@ Exact copies of a smaller doc_id's text are removed whole; the steps below see o
    anchor; equal windows have equal anchors. Each task reduces its anchors to one entry per value and sends
    them to buckets; a value held by two documents is matched.
 2. Runs. Documents that hold matched anchors cut their windows into runs of one anchor. Windows repeated inside
-   a task are settled there, and the smallest document's copy goes on. Runs go to the bucket of their
+   a block of texts are settled there, and the smallest document's copy goes on. Runs go to the bucket of their
    anchor; anchors that hold over 1 / ``HOT_SHARE`` of all entries are too common for one bucket, so their
-   windows go out one by one to the buckets of their contents.
-3. Refinement. A bucket sorts its positions by 25-byte grams into initial buckets, then refines them by the
-   bucket identifiers at later offsets until they tell ``length`` bytes apart. A window is removed where its
-   final bucket has a smaller document.
+   windows go out one by one to the buckets of their contents, and once from a task.
+3. Refinement settles windows, of a block and then of a bucket. Positions are sorted by ``FIRST_GRAM`` bytes into initial
+   buckets; these are refined by the bucket identifiers at a later offset, again and again, each time with the
+   identifiers that the refinement before has given, until buckets tell ``length`` bytes apart. A window is removed
+   where its final bucket has a smaller document.
 """
 
 from __future__ import annotations
@@ -29,13 +30,15 @@ from pyspark.sql import functions as F
 
 from hiddenpath.llm.common import _BYTE, blocks, cut, mix, span_hashes, utf8
 
-GRAM, FIRST_GRAM = 24, 25
-#: Buckets of runs for each shuffle partition, and parts of a bucket: a task refines one part, of about a megabyte, at a time.
+GRAM, FIRST_GRAM = 24, 8
+#: Bytes of text for each bucket of anchors: their number grows with the input, beyond the session's shuffle partitions.
+BUCKET_BYTES = 32_000_000
+#: Buckets of runs for each bucket of anchors, and parts of a bucket: a task refines one part, of about a megabyte, at a time.
 KEYS, SPLIT = 2, 8
-#: Slots of documents for each shuffle partition; a slot's covers travel as one row.
+#: Slots of documents for each bucket of anchors; a slot's covers travel as one row.
 SLOTS = 1
-#: Bytes of runs that a task gathers before it packs and sends them.
-GATHERED = 24_000_000
+#: Bytes of runs that a task gathers before it packs and sends them, and windows of hot anchors that it remembers.
+GATHERED, REMEMBERED = 12_000_000, 500_000
 #: Text bytes whose windows are expanded side by side.
 WINDOW_BYTES = 1_000_000
 #: At most so many anchors can hold more than this share of all entries; so the list sent to tasks is bounded.
@@ -110,7 +113,7 @@ def _entries(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> It
     for batch in batches:
         ids = batch.column("th").to_numpy(zero_copy_only=False)
         keys, docs = [], []
-        for lo, _, raw, at in blocks(batch.column("text")):
+        for lo, _, raw, at in blocks(batch.column("text"), WINDOW_BYTES):
             _, _, value, row = anchors(raw, at, length)
             key = _key(value, buckets)[1]
             fresh = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])) if len(key) else np.zeros(0, bool)
@@ -159,7 +162,7 @@ def _lists(at: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match(batches: Iterator[pa.RecordBatch], hot_share: int) -> Iterator[pa.RecordBatch]:
     """Matched anchors by document, and the anchors of each bucket with most entries (document null)."""
     for rows in _by_bucket(batches):
         keys, docs, counts, bucket = [], [], [], rows[0]["bucket"]
@@ -180,7 +183,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = _runs_of(key)
         full = (np.uint64(bucket) << np.uint64(32)) | key.astype(np.uint64)
         total = np.add.reduceat(n, at[:-1])
-        hot = np.flatnonzero(total * HOT_SHARE > total.sum() + 100 * HOT_SHARE)
+        hot = np.flatnonzero(total * hot_share > total.sum() + 100 * hot_share)
         if len(hot):
             yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.int64()), _lists(np.arange(len(hot) + 1), full[at[hot]].view(np.int64)), pa.array(total[hot])], names=["th", "keys", "n"])
         hit = np.repeat(doc[at[:-1]] != doc[at[1:] - 1], np.diff(at))
@@ -259,8 +262,36 @@ class _Gathered:
         return rows
 
 
-def _cut_runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, fine: int, slots: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    gathered = _Gathered()
+class _Seen:
+    """Windows of hot anchors that a task has sent, by fingerprint, and the smallest document of each."""
+
+    def __init__(self) -> None:
+        self.prints, self.docs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def smaller(self, prints: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Which windows a smaller document of this task has; the others are remembered."""
+        at = np.minimum(np.searchsorted(self.prints, prints), max(len(self.prints) - 1, 0))
+        gone = (self.prints[at] == prints) & (self.docs[at] < docs) if len(self.prints) else np.zeros(len(prints), bool)
+        prints, docs = np.concatenate([self.prints, prints[~gone]]), np.concatenate([self.docs, docs[~gone]])
+        order = np.lexsort((docs, prints))
+        first = _runs_of(prints[order])[:-1]
+        self.prints, self.docs = prints[order][first], docs[order][first]
+        if len(self.prints) > REMEMBERED:
+            self.__init__()
+        return gone
+
+
+def _least(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The smallest document of each position's bucket."""
+    order = np.argsort(ids, kind="stable")
+    runs = _runs_of(ids[order])
+    least = np.empty(len(ids), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(doc[order], runs[:-1]), np.diff(runs))
+    return least
+
+
+def _cut_runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, fine: int, slots: int, hot: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    gathered, seen = _Gathered(), _Seen()
     for batch in batches:
         ids, ths = batch.column("did").to_numpy(zero_copy_only=False), batch.column("th").to_numpy(zero_copy_only=False)
         lists = batch.column("keys")
@@ -274,27 +305,34 @@ def _cut_runs(batches: Iterator[pa.RecordBatch], length: int, buckets: int, fine
             start, end, key, row = start[hit], end[hit], key[hit], row[hit]
             if not len(start):
                 continue
-            # windows that a smaller document of this block holds are settled here
+            # windows that a smaller document of this block holds are settled here; stretches that share bytes are refined as one
+            apart = np.append(True, (start[1:] >= end[:-1] + length) | (row[1:] != row[:-1]))
+            first = np.flatnonzero(apart)
+            many, which, same = refine(raw, start[first], np.append(end[first[1:] - 1], end[-1]) + length - 1, length)
+            less = np.zeros(len(raw) + 1, bool)
+            if len(many):
+                doc = ids[lo + row[first[which]]]
+                less[many[_least(same, doc) < doc]] = True
             pos, run = _expand(start, end)
-            doc, print_ = ids[lo + row][run], span_hashes(raw, pos, pos + length)
-            order = np.argsort(print_, kind="stable")
-            runs = _runs_of(print_[order])
-            least = np.empty(len(pos), np.int64)
-            least[order] = np.repeat(np.minimum.reduceat(doc[order], runs[:-1]), np.diff(runs))
-            gone = least < doc
-            a, b = _joined(pos[gone], row[run][gone])
+            gone = less[pos]
+            common = np.isin(key, hot)[run] if len(hot) else np.zeros(len(pos), bool)
+            print_ = np.zeros(len(pos), np.uint64)
+            if common.any():
+                print_[common] = span_hashes(raw, pos[common], pos[common] + length)
+                sent = np.flatnonzero(common & ~gone)
+                gone[sent] = seen.smaller(print_[sent], ids[lo + row[run[sent]]])
             p, r = pos[gone], row[run][gone]
+            a, b = _joined(p, r)
             rows = _covers(ids[lo + r[a]], ths[lo + r[a]], p[a] - at[r[a]], p[b - 1] + length - at[r[a]], slots)
             # the rest goes on: runs by anchor, windows of very common anchors by content
             rest = ~gone
-            common = np.isin(key, hot)[run] if len(hot) else np.zeros(len(pos), bool)
             p, r, g = pos[rest], row[run][rest], run[rest]
             each = np.where(common[rest], np.arange(len(p)), -1)
             a, b = _joined(p, r, g, each)
             to = (np.where(common[rest][a], print_[rest][a], mix(key[g[a]])) % np.uint64(fine)).astype(np.int64)
             begin, stop, r = p[a], p[b - 1] + length, r[a]
             gathered.add(to, ids[lo + r], ths[lo + r], begin - at[r], stop - begin, raw[_expand(begin, stop)[0]])
-            if gathered.size > GATHERED:
+            if gathered.size > most:
                 rows += gathered.packed()
             if rows:
                 yield _rows(rows)
@@ -309,10 +347,13 @@ def refine(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) ->
     apart, each is refined by the identifiers at a later offset, as they are after earlier refinements.
     Positions whose bucket holds nothing else are unique and left out.
     """
-    width = min(FIRST_GRAM, length)
+    width = FIRST_GRAM
     pos, which = _expand(begin, end - width + 1)
     ids = np.full(len(raw) + 1, -1, np.int64)
-    ids[pos] = np.unique(span_hashes(raw, pos, pos + width), return_inverse=True)[1].reshape(-1)
+    gram = raw.astype(np.uint64)
+    for k in (1, 2, 4):  # FIRST_GRAM bytes as one number
+        gram = gram[: max(len(gram) - k, 0)] | (gram[k:] << np.uint64(8 * k))
+    ids[pos] = np.unique(gram[pos], return_inverse=True)[1].reshape(-1)
     while True:
         alone = np.bincount(ids[pos], minlength=1)[ids[pos]] < 2
         if width == length:
@@ -345,11 +386,7 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np
             pos, run, ids = refine(raw, begin, end, length)
             if not len(pos):
                 continue
-            order = np.argsort(ids, kind="stable")
-            runs = _runs_of(ids[order])
-            least = np.empty(len(pos), np.int64)
-            least[order] = np.repeat(np.minimum.reduceat(doc[run[order]], runs[:-1]), np.diff(runs))
-            gone = least < doc[run]
+            gone = _least(ids, doc[run]) < doc[run]
             p, r = pos[gone], run[gone]
             a, b = _joined(p, r)
             yield doc[r[a]], th[r[a]], p[a] - begin[r[a]] + at[r[a]], p[b - 1] + length - begin[r[a]] + at[r[a]]
@@ -381,7 +418,7 @@ def _remains(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.Reco
         )
 
 
-def repeated_substrings(docs: DataFrame, length: int = 50, texts: bool = True) -> DataFrame:
+def repeated_substrings(docs: DataFrame, length: int = 50, texts: bool = True, bucket_bytes: int = BUCKET_BYTES, hot_share: int = HOT_SHARE, gathered: int = GATHERED) -> DataFrame:
     """Documents without the bytes that a smaller doc_id already has in a run of ``length`` bytes.
 
     ``docs`` has ``doc_id`` (integer) and ``text``; other columns are ignored. Returns a row per input row:
@@ -393,21 +430,22 @@ def repeated_substrings(docs: DataFrame, length: int = 50, texts: bool = True) -
     if length < GRAM:
         raise ValueError(f"length must be {GRAM} at least")
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     least = F.lit(-(2**63)).cast("long")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), least).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     known = docs.select("did", "th", F.xxhash64(F.lit(length), "text").alias("th2"), F.octet_length("text").alias("n"))
     first = known.groupBy("th", "th2", "n").agg(F.min("did").alias("first"))
     copies = known.join(first, ["th", "th2", "n"]).where(f"did > first and n >= {length}")
     entries = docs.select("th", "text").mapInArrow(partial(_entries, length=length, buckets=buckets), _ENTRIES)
-    matches = cut(entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, "th long, keys array<long>, n long"))
+    matches = cut(entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(partial(_match, hot_share=hot_share), "th long, keys array<long>, n long"))
     # each bucket names the anchors that hold too much of it; of those, at most HOT_SHARE hold that share of all
-    hot = np.array([r[0] for r in matches.where("th is null").select(F.element_at("keys", 1), "n").orderBy(F.desc("n")).limit(HOT_SHARE).collect()], np.int64).view(np.uint64)
+    hot = np.array([r[0] for r in matches.where("th is null").select(F.element_at("keys", 1), "n").orderBy(F.desc("n")).limit(hot_share).collect()], np.int64).view(np.uint64)
     matched = matches.where("th is not null").groupBy("th").agg(F.flatten(F.collect_list("keys")).alias("keys"))
     one = first.join(matched, "th").select(F.col("first").alias("did"), "th", "keys")
     # the same columns as in the last join, so that Spark deals the texts out once
-    runs = docs.join(one, ["did", "th"]).select("doc_id", "did", "th", "text", "keys").mapInArrow(partial(_cut_runs, length=length, buckets=buckets, fine=buckets * KEYS * SPLIT, slots=buckets * SLOTS, hot=hot), _FOUND)
+    runs = docs.join(one, ["did", "th"]).select("doc_id", "did", "th", "text", "keys").mapInArrow(partial(_cut_runs, length=length, buckets=buckets, fine=buckets * KEYS * SPLIT, slots=buckets * SLOTS, hot=hot, most=gathered), _FOUND)
     here = runs.repartition(buckets, F.coalesce("bucket", "slot")).sortWithinPartitions("bucket")
     covers = here.mapInArrow(partial(_settle_or_pass, length=length, slots=buckets * SLOTS), _FOUND).drop("bucket", "parts", "text")
     by_slot = covers.repartition(buckets, "slot").sortWithinPartitions("slot").mapInArrow(_by_document, "did long, th long, starts binary, ends binary")
