@@ -56,7 +56,8 @@ m AS (SELECT a AS doc_id, least(min(b), a) AS c FROM r GROUP BY a)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, doc_id) AS component_id, coalesce(m.c, doc_id) = doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "op9_suffix_array_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(range(strlen(h) // 2 - 49)) u(i)),
+c AS (SELECT doc_id, j AS base, substr(h, 2 * j + 1, 1098) AS c FROM d, unnest(range(0, strlen(h) // 2, 500)) u(j)),
+w AS (SELECT doc_id, base + i AS i, substr(c, 2 * i + 1, 100) AS s FROM c, unnest(range(least(strlen(c) // 2 - 49, 500))) u(i)),
 m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
 g AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS fresh FROM (SELECT DISTINCT doc_id, i FROM w JOIN m USING (s) WHERE least < doc_id)),
 r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
