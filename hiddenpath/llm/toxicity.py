@@ -2,7 +2,8 @@
 
 A sentence's probability is a logistic function of the words and word beginnings it holds; a document is toxic if any sentence is,
 so its score is the noisy-or 1 - prod(1 - p). The weights are fitted to document labels through the noisy-or,
-which leaves the blame with the sentences that explain the labels; these are then located.
+which leaves the blame with the sentences that explain the labels; these are then located. Words of the labelled sample are
+counted by tasks; the driver fits on the cells of the chosen words alone and sees no text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiddenpath.llm.common import ascii_lower, blocks, mix, span_hashes, word_spans
+from hiddenpath.llm.common import ascii_lower, blocks, cut, mix, span_hashes, word_spans
 
 #: Labelled documents of each label that the model is fitted on at most, and the longest of them in characters.
 SAMPLE_ROWS, LONGEST_SAMPLE = 3000, 50_000
@@ -86,36 +87,46 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> ToxicityModel:
-    """Weights that minimise the mean log loss of noisy-or scores, by Adam with decay of the weights."""
-    if not len(texts):
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words, the documents of a block that hold each, and how many of them are toxic."""
+    for batch in batches:
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
+        for lo, hi, raw, at in blocks(batch.column("text")):
+            word, sentence, _, row = _sentences(raw, at)
+            own, index = np.unique(word, return_inverse=True)
+            pairs = np.unique(index.reshape(-1) * np.int64(hi - lo) + row[sentence])
+            which = pairs // (hi - lo)
+            bad = np.bincount(which, toxic[lo + pairs % (hi - lo)], len(own)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(which, minlength=len(own)).astype(np.int64)), pa.array(bad)], names=["word", "held", "bad"])
+
+
+def _chosen_cells(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per document its label, number of sentences, and the chosen words of each sentence: 16-bit places after 32-bit sentences."""
+    known = ToxicityModel(words, np.zeros(len(words)), 0.0)
+    slots = _slots(known)
+    for batch in batches:
+        for lo, hi, raw, at in blocks(batch.column("text")):
+            word, sentence, _, row = _sentences(raw, at)
+            where, which = _weights_of(word, known, slots)
+            cells = np.unique(sentence[where] * np.int64(len(words) + 1) + which)
+            sentence, which = cells // (len(words) + 1), cells % (len(words) + 1)
+            first = np.searchsorted(row, np.arange(hi - lo + 1))
+            edges = np.searchsorted(sentence, first)
+            packed = [[x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)] for x in ((sentence - first[row[sentence]]).astype(np.int32), which.astype(np.uint16))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "toxic")], pa.array(np.diff(first)), *[pa.array(x, pa.binary()) for x in packed]], names=["doc_id", "toxic", "n", "sentences", "words"])
+
+
+def fit(words: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, cells: tuple[np.ndarray, np.ndarray]) -> ToxicityModel:
+    """Weights that minimise the mean log loss of noisy-or scores, by Adam with decay of the weights.
+
+    ``sizes`` and ``toxic`` are the sentences and the label of each document; ``cells`` are sentences, counted through, and
+    places in ``words``.
+    """
+    if not len(sizes):
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -4.0)
-    data = pa.array(texts, pa.large_string())
-    # one pass counts the documents of each word, block by block; another keeps the places of the words chosen
-    parts: list[tuple[np.ndarray, ...]] = []
-    for lo, hi, raw, at in blocks(data):
-        word, sentence, _, row = _sentences(raw, at)
-        own, index = np.unique(word, return_inverse=True)
-        pairs = np.unique(index.reshape(-1) * np.int64(hi - lo) + row[sentence])
-        which = pairs // (hi - lo)
-        parts.append((own, np.bincount(which, minlength=len(own)), np.bincount(which, toxic[lo + pairs % (hi - lo)], len(own))))
-    names, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    held, with_label = (np.bincount(back.reshape(-1), np.concatenate([p[k] for p in parts]), len(names)) for k in (1, 2))
-    odds = np.log((with_label + 0.5) / (toxic.sum() + 1)) - np.log((held - with_label + 0.5) / (len(toxic) - toxic.sum() + 1))
-    rank = np.where(held >= LEAST_ROWS, np.abs(odds) * np.sqrt(held), -1)
-    chosen = np.sort(np.argsort(-rank, kind="stable")[: min(MOST_WORDS, int((rank >= 0).sum()))])
-    known = ToxicityModel(names[chosen], np.zeros(len(chosen)), 0.0)
-    slots, found, rows, base = _slots(known), [], [], 0
-    for lo, _, raw, at in blocks(data):
-        word, sentence, starts, row = _sentences(raw, at)
-        where, feature = _weights_of(word, known, slots)
-        found.append(np.unique((sentence[where] + base) * np.int64(len(chosen) + 1) + feature))
-        rows.append(row + lo)
-        base += len(starts)
-    both = np.concatenate(found)
-    cells, row = np.stack([both // (len(chosen) + 1), both % (len(chosen) + 1)]), np.concatenate(rows)
-    n_sentences, n_rows = len(row), len(texts)
-    w, b = np.zeros(len(chosen)), -np.log(2.0 * n_sentences / n_rows)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    n_sentences, n_rows = len(row), len(sizes)
+    w, b = np.zeros(len(words)), -np.log(2.0 * n_sentences / n_rows)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     share = np.where(toxic > 0, 0.5 / max(toxic.sum(), 1), 0.5 / max((1 - toxic).sum(), 1))
     for step in range(1, STEPS + 1):
@@ -131,22 +142,34 @@ def fit(texts: list[str], toxic: np.ndarray) -> ToxicityModel:
         rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * min(1.0, 2 - 2 * step / STEPS + 0.02)
         w -= rate * m / (np.sqrt(v) + 1e-8)
         b -= rate * mb / (np.sqrt(vb) + 1e-8)
-    return ToxicityModel(names[chosen], w, float(b))
+    return ToxicityModel(words, w, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """A model of ``labels.toxic``, from at most ``sample_rows`` documents of each label.
 
     They are taken in the order of a hash of doc_id, among those of LONGEST_SAMPLE characters at most. Rows with a
-    null label, id or text are not used; a document with both labels counts as toxic.
+    null label, id or text are not used; a document with both labels counts as toxic; of rows of one doc_id the smallest text counts.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit(10))
     some = known.where("toxic = 1").orderBy(order).limit(sample_rows).unionByName(known.where("toxic = 0").orderBy(order).limit(sample_rows))
-    # the sample's ids are bounded by its size
-    rows = docs.select("doc_id", "text").where(F.char_length("text") <= LONGEST_SAMPLE).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], float))
+    # the sample's ids are bounded by its size, and so are its texts: one for each id
+    rows = docs.select("doc_id", "text").where(F.char_length("text") <= LONGEST_SAMPLE).join(F.broadcast(some), "doc_id")
+    sample = cut(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic"))
+    n, n_bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    counts = sample.mapInArrow(_count_words, "word long, held long, bad long").groupBy("word").agg(F.sum("held").alias("held"), F.sum("bad").alias("bad")).where(f"held >= {LEAST_ROWS}")
+    odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("held") - F.col("bad") + 0.5) / (n - n_bad + 1))
+    chosen = counts.orderBy(F.desc(F.abs(odds) * F.sqrt("held")), "word").limit(MOST_WORDS).collect()
+    words = np.sort(np.array([r["word"] for r in chosen], np.int64).view(np.uint64))
+    # of a text, the driver gets the places of chosen words
+    found = sorted(sample.mapInArrow(partial(_chosen_cells, words=words), "doc_id long, toxic int, n long, sentences binary, words binary").collect(), key=lambda r: r["doc_id"])
+    sizes = np.array([r["n"] for r in found], np.int64)
+    first = np.cumsum(sizes) - sizes
+    sentences = [np.frombuffer(r["sentences"], np.int32) + at for r, at in zip(found, first, strict=True)]
+    places = [np.frombuffer(r["words"], np.uint16) for r in found]
+    none = [np.zeros(0, np.int64)]
+    return fit(words, sizes, np.array([r["toxic"] for r in found], float), (np.concatenate(none + sentences), np.concatenate(none + places)))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
@@ -171,7 +194,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     ``toxic_sentences`` lists sentences of probability 0.5 or more with their byte offsets. Only ``text`` is looked
     at. Null and empty texts count as one sentence without words; a model fitted on no rows scores every
-    sentence alike. An empty table gives an empty result.
+    sentence alike; rows that repeat are scored each, null ids stay null. An empty table gives an empty result.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         partial(_score, model=model), "doc_id long, score double, predicted int, toxic_sentences array<struct<start: long, end: long, score: double>>"
