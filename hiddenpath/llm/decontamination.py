@@ -70,7 +70,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """Words of documents that lie inside an occurrence of a benchmark window, a row per input row.
 
     ``docs`` has ``doc_id`` and ``text``, ``benchmark`` ``item_id`` and ``text``; other columns are ignored. Returns
-    ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans`` (hit places: start and number of words).
+    ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, text_hash`` (spans: start and number of words of
+    windows; text_hash: ``xxhash64`` of the text, by which rows that share a doc_id are told apart).
     Null and empty texts have no words; items without words have no window; an item_id that is null is not
     counted or listed; rows that repeat give the same result each. An empty table of documents gives an empty
     result, an empty benchmark hits nothing. Texts of one doc_id are told by 64-bit fingerprints.
@@ -100,4 +101,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     out = rows.select("doc_id", "th", F.size("w").cast("long").alias("n_words")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
     names = F.array_join(F.sort_array(F.coalesce(F.transform("items", lambda i: i.cast("string")), F.array().cast("array<string>"))), ",")
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans", F.col("th").alias("text_hash"))
