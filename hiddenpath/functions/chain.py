@@ -24,7 +24,10 @@ def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array(column.value_lengths().fill_null(0))
     inner = column.flatten()
     if pa.types.is_list(inner.type):
-        width = int(inner.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).max()) if len(inner) else 1
+        widths = np.unique(inner.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        if len(widths) > 1:
+            raise ValueError(f"observations must have one dimension, not {widths.tolist()}")
+        width = int(widths[0]) if len(widths) else 1
         values = inner.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, max(width, 1))
     else:
         values = inner.cast(pa.float64()).to_numpy(zero_copy_only=False)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +15,14 @@ def register(spark: SparkSession, name: str, model: Hmm) -> None:
     """SQL functions ``<name>_logp(obs)`` and ``<name>_path(obs)`` over arrays of codes or reals; null for null."""
 
     def run(obs: pd.Series, path: bool) -> list:
-        out: list = [None] * len(obs)
-        for k, o in enumerate(obs):
-            if o is not None:
-                x = np.array([np.nan if v is None else v for v in o], float)[None]
-                n, e = np.array([x.shape[1]]), chain.emissions(model, x)
-                out[k] = chain.viterbi(model, e, n)[0][0].tolist() if path else float(chain.forward(model, e, n)[2][0])
+        one = pa.list_(pa.float64()) if getattr(model, "dim", 1) > 1 else pa.float64()
+        column = pa.array([None if o is None else list(o) for o in obs], pa.list_(one))
+        known, out = column.is_valid().to_pylist(), [None] * len(obs)
+        for at, n, x in chain.padded(*chain.ragged(column), model.n):
+            e = chain.emissions(model, x)
+            got = [p.tolist() for p in chain.viterbi(model, e, n)[0]] if path else chain.forward(model, e, n)[2].tolist()
+            for k, r in enumerate(at.tolist()):
+                out[r] = got[k] if known[r] else None
         return out
 
     @F.pandas_udf("double")

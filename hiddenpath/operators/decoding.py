@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -112,15 +112,15 @@ def score_all(seqs: DataFrame, models: list[Hmm]) -> DataFrame:
     return seqs.mapInArrow(partial(_score_all, models=models), f"{columns}, scores array<double>")
 
 
-def classify(seqs: DataFrame, models: list[Hmm]) -> DataFrame:
-    """Bayes classification: ``seq_id, model_id, posterior, posteriors``; of equal models the first wins."""
+def classify(seqs: DataFrame, models: list[Hmm], keep: Sequence[str] = ()) -> DataFrame:
+    """Bayes classification: ``seq_id``, the columns of ``keep``, ``model_id, posterior, posteriors``; of equal models the first wins."""
     priors = np.array([1 / len(models) if m.prior is None or m.prior < 0 else m.prior for m in models])
     with np.errstate(divide="ignore"):
         shift = F.array(*[F.lit(float(v)) for v in np.log(priors / priors.sum())])
     joint = F.transform("scores", lambda s, k: s + F.get(shift, k))
-    scored = score_all(seqs.select("seq_id", "obs"), models).select("seq_id", softmax(joint).alias("posteriors"))
+    scored = score_all(seqs.select("seq_id", "obs", *keep), models).select("seq_id", *keep, softmax(joint).alias("posteriors"))
     best = F.array_position("posteriors", F.array_max("posteriors")).cast("int") - 1
-    return scored.select("seq_id", best.alias("model_id"), F.array_max("posteriors").alias("posterior"), "posteriors")
+    return scored.select("seq_id", *keep, best.alias("model_id"), F.array_max("posteriors").alias("posterior"), "posteriors")
 
 
 def best_model(seqs: DataFrame, models: list[Hmm]) -> DataFrame:
@@ -154,8 +154,8 @@ def log_odds(seqs: DataFrame, models: list[Hmm], label: str) -> DataFrame:
 
 def confusion(seqs: DataFrame, models: list[Hmm], label: str) -> DataFrame:
     """Sequences by own and predicted model: ``label, model_id, n``."""
-    kept = seqs.select("seq_id", F.col(label).alias("label"))
-    return classify(seqs, models).join(kept, "seq_id").groupBy("label", "model_id").agg(F.count("*").alias("n"))
+    own = seqs.select("seq_id", "obs", F.col(label).alias("label"))
+    return classify(own, models, ["label"]).groupBy("label", "model_id").agg(F.count("*").alias("n"))
 
 
 def distance(x: Hmm, y: Hmm, seqs: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from hiddenpath.functions import chain
 from hiddenpath.model import DiscreteHmm
 
-#: How far a labelling may fall behind the best one of a state, in log probability.
-BEHIND = 3.50655789732
+#: Fixed value: how far a labelling may fall behind the best one of a state, in log probability (a share of 3 percent).
+BEHIND = -math.log(0.03)
 
 
 def likeliest_labelling(model: DiscreteHmm, e: np.ndarray, k: int) -> tuple[list[str], float]:
@@ -66,5 +66,10 @@ def _label(batches: Iterator[pa.RecordBatch], model: DiscreteHmm, k: int) -> Ite
 
 
 def label(seqs: DataFrame, model: DiscreteHmm, k: int = 2) -> DataFrame:
-    """``seq_id, labels, logp``: the likeliest label string of each sequence. Null sequences give nulls, impossible ones an empty string of labels and -Infinity."""
+    """``seq_id, labels, logp``: the likeliest label string of each sequence. Null sequences give nulls, impossible ones an empty string of labels and -Infinity.
+
+    Models with silent states or several transition classes raise an error.
+    """
+    if model.silent or len(model.a) > 1 or not model.labels:
+        raise ValueError("labelling needs a labelled model without silent states and with one transition class")
     return seqs.select("seq_id", "obs").mapInArrow(partial(_label, model=model, k=k), f"seq_id {seqs.schema['seq_id'].dataType.simpleString()}, labels array<string>, logp double")

@@ -153,6 +153,8 @@ def sample_paths(seqs: DataFrame, model: Hmm, seed: int = 0, sweep: int = 0, cla
     ``classes`` names a column with the class of the step after each item, as in ``decode``; a model with several needs it.
     """
     _known_classes(model, classes is not None, "a column of classes")
+    if model.silent:
+        raise ValueError("paths are drawn for models without silent states")
     s = seqs.select("seq_id", "obs")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema) + ", path array<int>"
     s = seqs.select("seq_id", "obs", *([classes] if classes else []))
@@ -162,10 +164,12 @@ def sample_paths(seqs: DataFrame, model: Hmm, seed: int = 0, sweep: int = 0, cla
 def gibbs(seqs: DataFrame, model: DiscreteHmm, sweeps: int = 20, prior: float = 1.0, seed: int = 0) -> tuple[DiscreteHmm, DataFrame]:
     """Gibbs sampling of a discrete model with symmetric Dirichlet priors: the last model, and paths drawn from it.
 
-    A sweep samples all paths, counts them in one aggregation, and draws new rows on the driver.
+    A sweep samples all paths, counts them in one aggregation, and draws new rows on the driver. Sequences are read once in a
+    sweep; persist them before if that is dear. Models of higher order, with silent states or several classes raise an error.
     """
+    if any(model.order(i) for i in range(model.n) if i not in model.silent):
+        raise ValueError("Gibbs sampling is for models of order 0")
     model = model.copy()
-    seqs = seqs.persist()
     for sweep in range(sweeps):
         cells = sample_paths(seqs, model, seed, sweep).where("path is not null").select("path", "obs", F.posexplode("path").alias("t", "q"))
         steps = cells.select(F.when(F.col("t") > 0, F.get("path", F.col("t") - 1)).otherwise(-1).alias("src"), F.col("q").alias("dst"), F.get("obs", "t").alias("sym"))
@@ -187,7 +191,6 @@ def gibbs(seqs: DataFrame, model: DiscreteHmm, sweeps: int = 20, prior: float =
 def gibbs_normal(seqs: DataFrame, model: ContinuousHmm, sweeps: int = 20, m0: float = 0.0, k0: float = 0.01, a0: float = 1.0, b0: float = 1.0, prior: float = 1.0, seed: int = 0) -> tuple[ContinuousHmm, DataFrame]:
     """Gibbs sampling of a model of single normals with normal-gamma priors, all sequences pooled in every sweep."""
     model = model.copy()
-    seqs = seqs.persist()
     for sweep in range(sweeps):
         cells = sample_paths(seqs, model, seed, sweep).where("path is not null").select("path", "obs", F.posexplode("path").alias("t", "q"))
         x = F.get("obs", "t")

@@ -150,13 +150,25 @@ def _update_components(m: ContinuousHmm, new: ContinuousHmm, i: int, got: np.nda
         second = (got[k, 1 + d :] / r).reshape(d, d)  # about the old mean
         if c.kind == "multinormal":
             c.mean = got[k, 1 : 1 + d] / r
-            c.var = np.where(np.abs(second) <= LEAST_VARIANCE, np.where(second < 0, -LEAST_VARIANCE, LEAST_VARIANCE), second)
+            c.var = _positive(second)
         elif c.kind == "normal":
             c.mean, c.var = float(got[k, 1] / r), max(LEAST_VARIANCE, float(second[0, 0]))
         else:
             _fit_tail(c, float(got[k, 1] / r), float(second[0, 0]) - (float(got[k, 1] / r) - float(m.components[i][k].mean)) ** 2)
 
 
+def _positive(cov: np.ndarray) -> np.ndarray:
+    """The covariance with variances of LEAST_VARIANCE at least; its own values stay where it is positive definite."""
+    cov = (cov + cov.T) / 2
+    np.fill_diagonal(cov, np.maximum(np.diag(cov), LEAST_VARIANCE))
+    try:
+        np.linalg.cholesky(cov)
+        return cov
+    except np.linalg.LinAlgError:
+        size, axes = np.linalg.eigh(cov)
+        return (axes * np.maximum(size, LEAST_VARIANCE)) @ axes.T
+
+
 def _fit_tail(c, mean: float, var: float) -> None:
     """Location and variance of a truncated normal whose mean and variance are as observed, by fixed-point steps."""
     cut, sign = (c.lo, 1.0) if c.kind == "normal_right" else (c.hi, -1.0)
@@ -213,20 +225,27 @@ def cluster(seqs: DataFrame, models: list[Hmm], rounds: int = 20, inner: int = 1
     models = [m.copy() for m in models]
     seqs = seqs.persist()
     before: tuple | None = None
-    for _ in range(rounds):
-        assigned = _assign(seqs, models, priors)
-        counts = {r["model_id"]: (r["n"], r["h"]) for r in assigned.groupBy("model_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("seq_id").cast("decimal(38,0)")).alias("h")).collect()}
-        now = tuple(sorted(counts.items()))
-        if now == before:
-            break
-        before = now
-        hot = assigned.withColumn("_w", F.array(*[(F.col("model_id") == k).cast("double") for k in range(len(models))]))
-        for _ in range(inner):
-            # members stay as they were assigned while models are refined
-            models = [updated(s) for s in _gathered(models, statistics(hot, models, "_w"))]
-        total = sum(n for n, _ in counts.values())
-        for k, m in enumerate(models):
-            m.prior = counts.get(k, (0, 0))[0] / total
+    try:
+        for _ in range(rounds):
+            # scored once: the counts and the statistics read what is kept
+            assigned = _assign(seqs, models, priors).persist()
+            try:
+                counts = {r["model_id"]: (r["n"], r["h"]) for r in assigned.groupBy("model_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("seq_id").cast("decimal(38,0)")).alias("h")).collect()}
+                now = tuple(sorted(counts.items()))
+                if now == before:
+                    break
+                before = now
+                hot = assigned.withColumn("_w", F.array(*[(F.col("model_id") == k).cast("double") for k in range(len(models))]))
+                for _ in range(inner):
+                    # members stay as they were assigned while models are refined
+                    models = [updated(s) for s in _gathered(models, statistics(hot, models, "_w"))]
+            finally:
+                assigned.unpersist()
+            total = sum(n for n, _ in counts.values())
+            for k, m in enumerate(models):
+                m.prior = counts.get(k, (0, 0))[0] / total
+    finally:
+        seqs.unpersist()
     return models, _assign(seqs, models, priors).select("seq_id", "model_id")
 
 
@@ -248,21 +267,26 @@ def mixture(seqs: DataFrame, models: list[Hmm], priors: list[float] | None = Non
     """Soft mixture of models by EM: models, priors and the log-likelihood before each round."""
     priors = priors or [1 / len(models)] * len(models)
     seqs, trace = seqs.persist(), []
-    for _ in range(rounds):
-        shares = responsibilities(seqs, models, priors)
-        for _ in range(inner):
-            # the shares keep the models they were computed with
-            sums = _gathered(models, statistics(shares, models, "p"))
-            models = [updated(s) for s in sums]
-        fit = shares.agg(F.sum(F.when(F.col("ll") > float("-inf"), F.col("ll")).otherwise(PENALTY)), F.count("*")).first()
-        if not fit[1]:
-            break
-        trace.append(fit[0])
-        weight = np.array([s.of["logp"][1] for s in sums])
-        priors = (weight / max(weight.sum(), EPS)).tolist()
-        if len(trace) > 1 and abs(trace[-1] - trace[-2]) <= tolerance * abs(trace[-2]):
-            break
-    seqs.unpersist()
+    try:
+        for _ in range(rounds):
+            shares = responsibilities(seqs, models, priors).persist()
+            try:
+                for _ in range(inner):
+                    # the shares keep the models they were computed with
+                    sums = _gathered(models, statistics(shares, models, "p"))
+                    models = [updated(s) for s in sums]
+                fit = shares.agg(F.sum(F.when(F.col("ll") > float("-inf"), F.col("ll")).otherwise(PENALTY)), F.count("*")).first()
+            finally:
+                shares.unpersist()
+            if not fit[1]:
+                break
+            trace.append(fit[0])
+            weight = np.array([s.of["logp"][1] for s in sums])
+            priors = (weight / max(weight.sum(), EPS)).tolist()
+            if len(trace) > 1 and abs(trace[-1] - trace[-2]) <= tolerance * abs(trace[-2]):
+                break
+    finally:
+        seqs.unpersist()
     return models, priors, trace
 
 

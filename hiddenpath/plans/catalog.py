@@ -185,12 +185,12 @@ def mean_sequence(spark, d):
 
 
 def scatter_matrix(spark, d):
-    return sequences.scatter_matrix(reals(spark, d), 8).select("k", "l", F.round("value", 2).alias("value"))
+    return sequences.scatter_matrix(reals(spark, d)).select("k", "l", F.round("value", 2).alias("value"))
 
 
 def scatter_matrix_whole(spark, d):
-    """All positions; :func:`scatter_matrix` has those that its SQL names."""
-    return sequences.scatter_matrix(reals(spark, d)).select("k", "l", F.round("value", 2).alias("value"))
+    """The same as :func:`scatter_matrix`, under its earlier name."""
+    return scatter_matrix(spark, d)
 
 
 def extremes(spark, d):
@@ -204,14 +204,12 @@ def background_estimate(spark, d):
 def pair_counts(spark, d):
     s = symbols(spark, d)
     y = s.select((F.col("seq_id") - 1).alias("seq_id"), F.col("obs").alias("y"))
-    both = s.join(y, "seq_id").select(F.slice("obs", 1, 40).alias("x"), F.slice("y", 1, 40).alias("y"))
-    return sequences.pair_counts(both)
+    return sequences.pair_counts(s.join(y, "seq_id").select(F.col("obs").alias("x"), "y"))
 
 
 def pair_counts_whole(spark, d):
-    """Whole sequences; :func:`pair_counts` has the first 40 items, as its SQL."""
-    s = symbols(spark, d)
-    return sequences.pair_counts(s.join(s.select((F.col("seq_id") - 1).alias("seq_id"), F.col("obs").alias("y")), "seq_id").select(F.col("obs").alias("x"), "y"))
+    """The same as :func:`pair_counts`, under its earlier name."""
+    return pair_counts(spark, d)
 
 
 def subset(spark, d):

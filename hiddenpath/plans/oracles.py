@@ -118,13 +118,14 @@ ORACLE_SQL: dict[str, str] = {
     "log_odds": _TWO + "SELECT id AS seq_id, round(CASE id % 2 WHEN 0 THEN p - q ELSE q - p END, 4) AS odds, round(1 / (1 + exp(CASE id % 2 WHEN 0 THEN q - p ELSE p - q END)), 6) AS gain FROM z",
     "confusion": _TWO + "SELECT CAST(id % 2 AS INTEGER) AS label, CASE WHEN p >= q THEN 0 ELSE 1 END AS model_id, count(*) AS n FROM z GROUP BY ALL",
     "mean_sequence": _with(S) + "SELECT CAST(t AS INTEGER) AS t, round(sum(x) / (SELECT count(DISTINCT id) FROM s), 4) AS mean FROM s GROUP BY t",
-    "scatter_matrix": _with(S) + "SELECT CAST(p.t AS INTEGER) AS k, CAST(q.t AS INTEGER) AS l, round(avg(p.x * q.x) - avg(p.x) * avg(q.x), 2) AS value FROM s p JOIN s q ON p.id = q.id AND p.t <= q.t WHERE least(q.t, 8) < 8 GROUP BY ALL",
+    "scatter_matrix": _with(S) + "SELECT CAST(p.t AS INTEGER) AS k, CAST(q.t AS INTEGER) AS l, round(avg(p.x * q.x) - avg(p.x) * avg(q.x), 2) AS value FROM s p JOIN s q ON p.id = q.id AND p.t <= q.t GROUP BY ALL",
     "extremes": _with(S) + "SELECT count(DISTINCT id) AS n, CAST(max(n) AS INTEGER) AS longest, count(*) AS items, CAST(min(sym) AS INTEGER) AS least, CAST(max(sym) AS INTEGER) AS most FROM s",
     "background_estimate": _with(S) + ", k AS (SELECT h.i AS history, y.i AS symbol, 1 + (SELECT count(*) FROM s WHERE prev = h.i AND sym = y.i) AS n FROM range(5) h(i), range(5) y(i)) SELECT CAST(history AS INTEGER) AS history, CAST(symbol AS INTEGER) AS symbol, round(n / sum(n) OVER (PARTITION BY history), 8) AS p FROM k",
-    "pair_counts": _with(S) + ", m AS (SELECT DISTINCT id, least(n, 40) AS n FROM s), w AS (SELECT x.id, greatest(x.n, y.n) AS n FROM m x JOIN m y ON y.id = x.id + 1) SELECT CAST(p.sym AS INTEGER) AS a, CAST(q.sym AS INTEGER) AS b, count(*) AS n FROM w CROSS JOIN range(40) r(t) LEFT JOIN s p ON p.id = w.id AND p.t = r.t LEFT JOIN s q ON q.id = w.id + 1 AND q.t = r.t WHERE r.t < w.n GROUP BY ALL",
+    "pair_counts": _with(S) + ", m AS (SELECT DISTINCT id, n FROM s), w AS (SELECT x.id, greatest(x.n, y.n) AS n FROM m x JOIN m y ON y.id = x.id + 1) SELECT CAST(p.sym AS INTEGER) AS a, CAST(q.sym AS INTEGER) AS b, count(*) AS n FROM (SELECT id, unnest(range(n)) AS t FROM w) r LEFT JOIN s p ON p.id = r.id AND p.t = r.t LEFT JOIN s q ON q.id = r.id + 1 AND q.t = r.t GROUP BY ALL",
     "subset": _with(S) + ", w(pos, id) AS (VALUES (0, 7), (1, 3), (2, 7)) SELECT pos, s.id AS seq_id, string_agg(sym, ',' ORDER BY t) AS obs FROM w JOIN s ON s.id = w.id GROUP BY pos, s.id",
     "merge": _with(S) + "SELECT id AS seq_id, CAST(2 AS BIGINT) AS n, 2 * count(*) AS items FROM s GROUP BY id",
     "all_words": "SELECT (a * 27 + b * 9 + c * 3 + d) AS seq_id, concat_ws(',', a, b, c, d) AS obs FROM range(3) w(a), range(3) x(b), range(3) y(c), range(3) z(d)",
     "order_statuses": "SELECT o_custkey AS seq_id, string_agg(o_orderstatus, '' ORDER BY o_orderdate, o_orderkey) AS obs FROM orders GROUP BY o_custkey",
     "value_blocks": _with(S) + ", d AS (SELECT id, t, x, CAST(coalesce(abs(x - lag(x) OVER (PARTITION BY id ORDER BY t)) >= 150, false) AS INTEGER) AS new FROM s), k AS (SELECT id, t, x, sum(new) OVER (PARTITION BY id ORDER BY t) AS block FROM d) SELECT id AS seq_id, CAST(block AS BIGINT) AS block, CAST(min(t) AS INTEGER) AS start, count(*) AS n, round(avg(x), 8) AS mean FROM k GROUP BY id, block",
 }
+ORACLE_SQL |= {"scatter_matrix_whole": ORACLE_SQL["scatter_matrix"], "pair_counts_whole": ORACLE_SQL["pair_counts"]}

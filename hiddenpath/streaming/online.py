@@ -13,12 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hiddenpath.functions import chain
-from hiddenpath.model import Hmm
+from hiddenpath.model import DiscreteHmm, Hmm
 
 
 def online_filter(events: DataFrame, model: Hmm, key: str, order: str, value: str, idle_ms: int | None = None) -> DataFrame:
     """``key, order, logp, alpha`` for each event (``value`` is encoded). Events of a micro-batch are put in order; an
-    impossible event gives -Infinity and empty ``alpha`` from then on. ``idle_ms``: keys idle so long are forgotten."""
+    impossible event gives -Infinity and empty ``alpha`` from then on. ``idle_ms``: keys idle so long are forgotten.
+
+    The state holds no history, so models with states of higher order, silent states or several transition classes raise an error.
+    """
+    if model.silent or len(model.a) > 1 or isinstance(model, DiscreteHmm) and any(model.order(i) for i in range(model.n)):
+        raise ValueError("a stream filter needs a model of order 0 without silent states and with one transition class")
 
     def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
