@@ -153,7 +153,8 @@ def train(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
     # in the mean three times what is needed, and two passages, so that no language falls short
     share = sizes.select("lang", F.least(F.lit(1.0), (3 * sample_chars + 2 * PASSAGE) / F.col("n")).alias("share"))
     start = F.pmod(F.shiftright("h", 20), F.greatest(F.char_length("text") - (PASSAGE - 1), F.lit(1))).cast("int") + 1
-    some = rows.join(share, "lang").where("at <= share").select("lang", "at", F.substring("text", start, F.lit(min(PASSAGE, sample_chars))).alias("text")).distinct()
+    # a row for each language: less than the model, which every task gets later
+    some = rows.join(F.broadcast(share), "lang").where("at <= share").select("lang", "at", F.substring("text", start, F.lit(min(PASSAGE, sample_chars))).alias("text")).distinct()
     sample: dict[str, str] = {}
     for r in sorted(some.collect(), key=lambda r: (r["lang"], r["at"], r["text"])):
         if len(sample.setdefault(r["lang"], "")) < sample_chars:
