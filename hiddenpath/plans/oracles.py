@@ -129,3 +129,70 @@ ORACLE_SQL: dict[str, str] = {
     "value_blocks": _with(S) + ", d AS (SELECT id, t, x, CAST(coalesce(abs(x - lag(x) OVER (PARTITION BY id ORDER BY t)) >= 150, false) AS INTEGER) AS new FROM s), k AS (SELECT id, t, x, sum(new) OVER (PARTITION BY id ORDER BY t) AS block FROM d) SELECT id AS seq_id, CAST(block AS BIGINT) AS block, CAST(min(t) AS INTEGER) AS start, count(*) AS n, round(avg(x), 8) AS mean FROM k GROUP BY id, block",
 }
 ORACLE_SQL |= {"scatter_matrix_whole": ORACLE_SQL["scatter_matrix"], "pair_counts_whole": ORACLE_SQL["pair_counts"]}
+
+
+def _learnt(k: str, after: str, weight: str = "") -> str:
+    """One training step: the tables of ``after`` from those of ``k``; ``weight`` names a table (id, p), all sequences count 1 without."""
+    w, p = (f" JOIN {weight} w ON w.id = f.id", " * w.p") if weight else ("", "")
+    backward = _backward().replace("b(id", f"b{k}(id", 1).replace("AS (", "AS MATERIALIZED (", 1).replace("FROM tr)", f"FROM tr{k})").replace("FROM b JOIN tr ON", f"FROM b{k} b JOIN tr{k} tr ON").replace("JOIN e ON", f"JOIN e{k} e ON")
+    joined = f"f{k} f JOIN b{k} b ON b.id = f.id AND b.t = f.t AND b.st = f.st JOIN z{k} z ON z.id = f.id{w}"
+    moves = f"f{k} f JOIN tr{k} tr ON tr.src = f.st JOIN e{k} e ON e.id = f.id AND e.t = f.t + 1 AND e.st = tr.dst JOIN b{k} b ON b.id = f.id AND b.t = e.t AND b.st = tr.dst JOIN z{k} z ON z.id = f.id{w}"
+    return ", ".join((
+        backward,
+        f"g{k} AS MATERIALIZED (SELECT f.id, f.t, f.st, f.v * b.v / z.v{p} AS p FROM {joined})",
+        f"ini{after} AS MATERIALIZED (SELECT st, sum(p) / sum(sum(p)) OVER () AS p FROM g{k} WHERE t = 0 GROUP BY st)",
+        f"tr{after} AS MATERIALIZED (SELECT 0 AS c, tr.src, tr.dst, sum(f.v * tr.p * e.p * b.v / z.v{p}) / sum(sum(f.v * tr.p * e.p * b.v / z.v{p})) OVER (PARTITION BY tr.src) AS p FROM {moves} GROUP BY tr.src, tr.dst)",
+        f"em{after} AS MATERIALIZED (SELECT st, sym, sum(p) / sum(sum(p)) OVER (PARTITION BY st) AS p FROM g{k} JOIN s USING (id, t) GROUP BY st, sym)",
+        f"e{after} AS MATERIALIZED (SELECT s.id, s.t, em.st, em.p FROM s JOIN em{after} em ON em.sym = s.sym)",
+    ))
+
+
+def _scored(k: str) -> str:
+    """The forward table of ``k`` and z (id, v): the likelihood of each sequence."""
+    return _forward(k).replace("AS (", "AS MATERIALIZED (", 1) + f", z{k} AS MATERIALIZED (SELECT f.id, sum(f.v) AS v FROM f{k} f JOIN s USING (id, t) WHERE s.t = s.n - 1 GROUP BY f.id)"
+
+
+def _start(model: Hmm, k: str) -> str:
+    return f"{_chain(model, k)}, {_emissions(model, k)}"
+
+
+def _parameters(k: str, model_id: int, where: str = "true") -> str:
+    head = f"SELECT CAST({model_id} AS INTEGER) AS model_id,"
+    return (
+        f"{head} 'pi' AS stat, 0 AS i, CAST(st AS INTEGER) AS j, round(p, 6) AS value FROM ini{k} WHERE {where} UNION ALL {head} 'a', CAST(src AS INTEGER), CAST(dst AS INTEGER), round(p, 6) FROM tr{k} WHERE {where} "
+        f"UNION ALL {head} 'b', CAST(st AS INTEGER), CAST(sym AS INTEGER), round(p, 6) FROM em{k} WHERE {where}"
+    )
+
+
+def _training() -> str:
+    """Three steps, or two where the second gains under a ten-thousandth of the log-likelihood."""
+    steps = _with(S, _start(PLAIN, "0"), *[_scored(str(k)) + ", " + _learnt(str(k), str(k + 1)) for k in range(3)], "gain AS (SELECT abs((SELECT sum(ln(v)) FROM z1) - (SELECT sum(ln(v)) FROM z0)) < 1e-4 * abs((SELECT sum(ln(v)) FROM z1)) AS small)")
+    return steps + _parameters("2", 0, "(SELECT small FROM gain)") + " UNION ALL " + _parameters("3", 0, "NOT (SELECT small FROM gain)")
+
+
+def _clustering() -> str:
+    """Members by the likelier model, models trained a step on their members, three times or until no one moves."""
+    parts = [S, _start(PLAIN, "x0"), _start(OTHER, "y0")]
+    for k in range(4):
+        x, y = f"x{k}", f"y{k}"
+        parts += [_scored(x), _scored(y), f"own{k} AS MATERIALIZED (SELECT id, CASE WHEN a.v >= b.v THEN 0 ELSE 1 END AS m FROM z{x} a JOIN z{y} b USING (id))"]
+        if k < 3:
+            for name, m in ((x, 0), (y, 1)):
+                parts += [f"w{name} AS MATERIALIZED (SELECT id, CAST(m = {m} AS INTEGER) AS p FROM own{k})", _learnt(name, f"{name[0]}{k + 1}", f"w{name}")]
+    same = "NOT EXISTS (SELECT 1 FROM own{} a JOIN own{} b USING (id) WHERE a.m <> b.m)"
+    last = f"CASE WHEN {same.format(0, 1)} THEN b.m WHEN {same.format(1, 2)} THEN c.m ELSE d.m END"
+    return _with(*parts) + f"SELECT b.id AS seq_id, {last} AS model_id FROM own1 b JOIN own2 c USING (id) JOIN own3 d USING (id)"
+
+
+def _mixture() -> str:
+    """Two rounds of a soft mixture, from equal shares."""
+    parts = [S, _start(PLAIN, "x0"), _start(OTHER, "y0"), "mix0 AS (SELECT 0.5e0 AS x, 0.5e0 AS y)"]
+    for k in range(2):
+        parts += [_scored(f"x{k}"), _scored(f"y{k}")]
+        for name, v in (("x", "a"), ("y", "b")):
+            parts += [f"w{name}{k} AS MATERIALIZED (SELECT id, mix.{name} * {v}.v / (mix.x * a.v + mix.y * b.v) AS p FROM zx{k} a JOIN zy{k} b USING (id) CROSS JOIN mix{k} mix)", _learnt(f"{name}{k}", f"{name}{k + 1}", f"w{name}{k}")]
+        parts.append(f"mix{k + 1} AS MATERIALIZED (SELECT (SELECT avg(p) FROM wx{k}) AS x, (SELECT avg(p) FROM wy{k}) AS y)")
+    return _with(*parts) + _parameters("x2", 0) + " UNION ALL " + _parameters("y2", 1)
+
+
+ORACLE_SQL |= {"baum_welch": _training(), "hard_clusters": _clustering(), "soft_mixture": _mixture()}
