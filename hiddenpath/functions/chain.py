@@ -112,6 +112,11 @@ def forward(model: Hmm, e: np.ndarray, n: np.ndarray, classes: np.ndarray | None
     return alpha, scale, logp
 
 
+def descaled(alpha: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Forward variables without their scales; they underflow on long sequences."""
+    return alpha * np.cumprod(scale, 1)[:, :, None]
+
+
 def backward(model: Hmm, e: np.ndarray, n: np.ndarray, scale: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
     """Backward variables with the scales of :func:`forward`: 1 at the last step."""
     s = model.silent_order()
@@ -130,6 +135,17 @@ def backward(model: Hmm, e: np.ndarray, n: np.ndarray, scale: np.ndarray, classe
     return beta
 
 
+def begun(model: Hmm, e: np.ndarray, n: np.ndarray, beta: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The log-likelihoods from the backward side, for models without silent states; they equal those of :func:`forward`."""
+    if model.silent:
+        raise ValueError("the backward side of silent states has no plain end")
+    with np.errstate(divide="ignore"):
+        first = (model.pi * e[:, 0] * beta[:, 0]).sum(1) if e.shape[1] else np.ones(len(n))
+        inside = np.arange(e.shape[1]) < n[:, None]
+        rest = np.where(inside & (np.arange(e.shape[1]) > 0), np.log(scale), 0.0).sum(1)
+        return np.where(n > 0, np.log(first) + rest, 0.0)
+
+
 def viterbi(model: Hmm, e: np.ndarray, n: np.ndarray, classes: np.ndarray | None = None, silent_start: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
     """Likeliest paths and their log probabilities. Of equal predecessors the smallest wins; impossible: empty, -inf."""
     rows, steps, states = e.shape

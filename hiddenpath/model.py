@@ -9,6 +9,7 @@ from __future__ import annotations
 import copy
 import math
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 
@@ -89,6 +90,14 @@ class Hmm:
     def set_transition(self, src: int, dst: int, p: float, cls: int = 0) -> None:
         self.a[cls, src, dst] = p
 
+    def with_noise(self, level: float, seed: int = 0) -> Hmm:
+        """Start and transition chances, and emission tables, each times 1 + ``level`` * u with u from -1 to 1, scaled again; zeros stay."""
+        rng, out = np.random.default_rng(seed), self.copy()
+        out.pi, out.a = (x * (1 + level * rng.uniform(-1, 1, x.shape)) for x in (out.pi, out.a))
+        if isinstance(out, DiscreteHmm):
+            out.b = [x * (1 + level * rng.uniform(-1, 1, x.shape)) for x in out.b]
+        return out.normalised()
+
     def of_class(self, cls: int) -> Hmm:
         """The model of one transition class."""
         out = self.copy()
@@ -165,6 +174,13 @@ class DiscreteHmm(Hmm):
     def _copy_emissions(self, old: list[int]) -> None:
         self.b = [self.b[i].copy() for i in old]
 
+    def set_emission(self, state: int, p: list[float]) -> None:
+        """A new emission table; it must have a power of m entries, and be all zero for a silent state."""
+        table = np.asarray(p, float)
+        if len(table) != self.m ** max(1, round(math.log(len(table), self.m)) if self.m > 1 else 1):
+            raise ValueError("emission tables must have a power of m entries")
+        self.b[state] = table
+
     def tied(self) -> DiscreteHmm:
         """Tied states given the mean of their emissions; silent members and those of another order stay."""
         out = self.copy()
@@ -216,10 +232,11 @@ class Component:
             q = np.einsum("...i,ij,...j->...", off, np.linalg.inv(cov), off)
             return np.exp(-0.5 * q) / math.sqrt((2 * math.pi) ** len(mean) * np.linalg.det(cov))
         p = np.exp(-((x - self.mean) ** 2) / (2 * self.var)) / math.sqrt(2 * math.pi * self.var)
-        if self.kind == "normal_right":
-            return np.where(x < self.lo, 0.0, p / (1 - phi((self.lo - self.mean) / math.sqrt(self.var))))
-        if self.kind == "normal_left":
-            return np.where(x > self.hi, 0.0, p / phi((self.hi - self.mean) / math.sqrt(self.var)))
+        if self.kind in ("normal_right", "normal_left"):
+            right = self.kind == "normal_right"
+            # the tail's mass, counted from its far end; a tail too far out to have any has density 0
+            mass = phi(((self.mean - self.lo) if right else (self.hi - self.mean)) / math.sqrt(self.var))
+            return np.where(x < self.lo if right else x > self.hi, 0.0, p / mass) if mass > 0 else np.zeros_like(p)
         return p
 
     def cumulative(self, x: float) -> float:
@@ -228,10 +245,11 @@ class Component:
         sd = math.sqrt(self.var)
         at = phi((x - self.mean) / sd)
         if self.kind == "normal_right":
-            low = phi((self.lo - self.mean) / sd)
-            return max(0.0, (at - low) / (1 - low))
+            mass = phi((self.mean - self.lo) / sd)
+            return min(1.0, max(0.0, 1 - phi((self.mean - x) / sd) / mass)) if mass > 0 else float(x >= self.lo)
         if self.kind == "normal_left":
-            return min(1.0, at / phi((self.hi - self.mean) / sd))
+            mass = phi((self.hi - self.mean) / sd)
+            return min(1.0, at / mass) if mass > 0 else float(x >= self.hi)
         return at
 
 
@@ -240,6 +258,11 @@ def phi(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
+def inverse_phi(p: float) -> float:
+    """The standard normal quantile: the z with phi(z) = p."""
+    return -math.inf if p <= 0 else math.inf if p >= 1 else NormalDist().inv_cdf(p)
+
+
 @dataclass
 class ContinuousHmm(Hmm):
     components: list[list[Component]] = field(default_factory=list)
@@ -252,6 +275,18 @@ class ContinuousHmm(Hmm):
     def _copy_emissions(self, old: list[int]) -> None:
         self.components = [copy.deepcopy(self.components[i]) for i in old]
 
+    def set_weight(self, state: int, component: int, weight: float) -> None:
+        """A component's weight; the others that aren't fixed share the rest in proportion."""
+        comps = self.components[state]
+        free = [c for k, c in enumerate(comps) if k != component and not c.fixed]
+        rest = 1 - weight - sum(c.weight for k, c in enumerate(comps) if k != component and c.fixed)
+        total = sum(c.weight for c in free)
+        if rest < -EPS or rest > EPS and not total:
+            raise ValueError("the other components can't take up the rest")
+        for c in free:
+            c.weight *= max(0.0, rest) / total if total else 0.0
+        comps[component].weight = weight
+
     def density(self, state: int, x: np.ndarray) -> np.ndarray:
         return sum(c.weight * c.density(x) for c in self.components[state])
 

@@ -158,7 +158,48 @@ def confusion(seqs: DataFrame, models: list[Hmm], label: str) -> DataFrame:
     return classify(own, models, ["label"]).groupBy("label", "model_id").agg(F.count("*").alias("n"))
 
 
+def _trajectory(batches: Iterator[pa.RecordBatch], models: list[Hmm], shift: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        obs = chain.ragged(batch.column("obs"))
+        out: list = [None] * batch.num_rows
+        known = batch.column("obs").is_valid().to_numpy(zero_copy_only=False)
+        for at, n, x in chain.padded(*obs, max(m.n for m in models)):
+            scores = np.zeros((len(at), x.shape[1], len(models)))
+            for k, m in enumerate(models):
+                with np.errstate(divide="ignore"):
+                    scores[:, :, k] = shift[k] + np.cumsum(np.log(chain.forward(m, chain.emissions(m, x), n)[1]), 1)
+            with np.errstate(invalid="ignore"):
+                p = np.exp(scores - scores.max(2, keepdims=True))
+                p = np.nan_to_num(p / p.sum(2, keepdims=True))
+            for k, r in enumerate(at.tolist()):
+                out[r] = p[k, : n[k]].tolist() if known[r] else None
+        yield pa.RecordBatch.from_arrays([batch.column("seq_id"), pa.array(out, _MATRIX)], names=["seq_id", "posteriors"])
+
+
+def trajectory(seqs: DataFrame, models: list[Hmm]) -> DataFrame:
+    """Recursive Bayes classification: ``seq_id, posteriors``, the models' posteriors after each item.
+
+    The last entry is that of :func:`classify`. Zeros stand where no model can emit the items so far; a null sequence
+    gives null, an empty one an empty array. Models with silent states raise an error.
+    """
+    if any(m.silent for m in models):
+        raise ValueError("a trajectory needs models without silent states")
+    priors = np.array([1 / len(models) if m.prior is None or m.prior < 0 else m.prior for m in models])
+    with np.errstate(divide="ignore"):
+        shift = np.log(priors / priors.sum())
+    kind = seqs.schema["seq_id"].dataType.simpleString()
+    return seqs.select("seq_id", "obs").mapInArrow(partial(_trajectory, models=models, shift=shift), f"seq_id {kind}, posteriors array<array<double>>")
+
+
 def distance(x: Hmm, y: Hmm, seqs: DataFrame) -> DataFrame:
     """Model distance on sequences sampled from ``x``: one row with the mean difference of log-likelihood per item."""
     s = score_all(seqs.select("seq_id", "obs"), [x, y])
     return s.agg((F.sum(F.col("scores")[0] - F.col("scores")[1]) / F.sum(F.size("obs"))).alias("distance"))
+
+
+def distances(x: Hmm, y: Hmm, of_x: DataFrame, of_y: DataFrame) -> DataFrame:
+    """One row: ``there`` and ``back``, the distances on sequences sampled from ``x`` and from ``y``, and ``distance``, their mean."""
+    both = of_x.select("seq_id", "obs", F.lit(True).alias("own")).unionByName(of_y.select("seq_id", "obs", F.lit(False).alias("own")))
+    s = score_all(both, [x, y]).select("own", F.size("obs").alias("n"), (F.col("scores")[0] - F.col("scores")[1]).alias("gain"))
+    there, back = (F.sum(F.when(side, sign * F.col("gain"))) / F.sum(F.when(side, F.col("n"))) for side, sign in ((F.col("own"), 1), (~F.col("own"), -1)))
+    return s.agg(there.alias("there"), back.alias("back"), ((there + back) / 2).alias("distance"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hiddenpath.functions.folds import encode
@@ -33,11 +36,23 @@ def write_fasta(seqs: DataFrame, path: str, alphabet: tuple, width: int = 70) ->
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Block text sets, ``SEQ = {...}`` of whole numbers or ``SEQD = {...}`` of reals: ``set_id, pos, obs`` (reals), ``label, id, weight``.
 
-    Each row of a block may start with ``<label>``, ``(id)`` and ``|weight|``. Files are read one per row; lines of ``#`` are remarks.
+    Each row of a block may start with ``<label>``, ``(id)`` and ``|weight|``. ``set_id`` counts the blocks of a file, ``pos`` the rows
+    of a block. ``#`` starts a remark. Files are read by lines, and running counts tell the statements: no row holds a whole file.
     """
-    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"(?m)#.*$", "").alias("v"))
-    blocks = files.select(F.posexplode(F.regexp_extract_all("v", F.lit(r"SEQD?\s*=\s*\{[^{]*O\s*=\s*\{([^}]*)\}"), 1)).alias("set_id", "body"))
-    rows = blocks.select("set_id", F.posexplode(F.filter(F.split("body", ";"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")).alias("pos", "row"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "#.*$", "").alias("v"))
+    pieces = lines.select("file", "split", "line", F.posexplode(F.split("v", "(?<=[;{}])")).alias("k", "piece"))
+    place = ["split", "line", "k"]
+    earlier = Window.partitionBy("file").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = pieces.withColumn("part", F.coalesce(F.count_if(F.col("piece").rlike("[;{}]$")).over(earlier), F.lit(0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*place, "piece"))), lambda p: p["piece"]), " ")
+    parts = numbered.groupBy("file", "part").agg(text.alias("text"))
+    so_far = Window.partitionBy("file").orderBy("part")
+    opened = F.when(F.col("text").endswith("{"), F.regexp_extract("text", r"(\w+)\s*=\s*\{$", 1)).when(F.col("text").endswith("}"), "")
+    body = F.trim(F.regexp_replace(F.regexp_replace("text", "[;}]$", ""), r"\s+", " "))
+    inside = F.last(opened, ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    sets = F.count_if(F.coalesce(opened == "O", F.lit(False))).over(so_far)
+    rows = parts.select("file", "part", body.alias("row"), inside.alias("inside"), (sets - 1).cast("int").alias("set_id"), F.col("text").endswith("{").alias("opens")).where("inside = 'O' and not opens and row <> ''")
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("file", "set_id").orderBy("part")) - 1)
     values = F.transform(F.filter(F.split(F.regexp_replace("row", r"<[^>]*>|\([^)]*\)|\|[^|]*\|", " "), r"[\s,]+"), lambda x: x != ""), lambda x: x.cast("double"))
 
     def head(pattern: str) -> Column:
@@ -46,11 +61,26 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("set_id", "pos", values.alias("obs"), head(r"<\s*([^>]*?)\s*>").alias("label"), head(r"\(\s*([^)]*?)\s*\)").alias("id"), F.coalesce(head(r"\|\s*([^|]*?)\s*\|"), F.lit(1.0)).alias("weight"))
 
 
+def _framed(batches: Iterator[pa.RecordBatch], head: str) -> Iterator[pa.RecordBatch]:
+    empty = True
+    for batch in batches:
+        if empty and batch.num_rows:
+            yield pa.RecordBatch.from_pydict({"value": [head]})
+            empty = False
+        yield batch
+    if not empty:
+        yield pa.RecordBatch.from_pydict({"value": [" };\n};"]})
+
+
 def write_blocks(seqs: DataFrame, path: str, reals: bool = False) -> None:
-    """One block per output file."""
-    row = F.concat(F.lit("  |"), F.col("weight").cast("string"), F.lit("| "), F.array_join(F.transform("obs", lambda x: x.cast("string")), ", "), F.lit(";"))
-    body = seqs.select(F.spark_partition_id().alias("p"), row.alias("r")).groupBy("p").agg(F.array_join(F.collect_list("r"), "\n").alias("b"))
-    body.select(F.concat(F.lit(f"{'SEQD' if reals else 'SEQ'} = {{\n O = {{\n"), "b", F.lit("\n };\n};")).alias("value")).write.text(path)
+    """One block per output file, a line per sequence; ``label`` and ``id`` are written where ``seqs`` has them."""
+    def part(name: str, left: str, right: str) -> Column:
+        return F.coalesce(F.concat(F.lit(left), F.col(name).cast("string"), F.lit(right)), F.lit(""))
+
+    marks = [part(name, *ends) for name, ends in (("label", ("<", "> ")), ("id", ("(", ") ")), ("weight", ("|", "| "))) if name in seqs.columns]
+    row = F.concat(F.lit("  "), *marks, F.array_join(F.transform("obs", lambda x: x.cast("string")), ", "), F.lit(";"))
+    rows = seqs.where("size(obs) > 0").select(row.alias("value"))
+    rows.mapInArrow(partial(_framed, head=f"{'SEQD' if reals else 'SEQ'} = {{\n O = {{"), "value string").write.text(path)
 
 
 def _numbers(text: str | None) -> list[float]:
@@ -205,6 +235,35 @@ def _profile(part: str) -> DiscreteHmm:
     return DiscreteHmm(pi=np.eye(n)[0], a=a, b=b, alphabet=letters, name=name)
 
 
+def models_from_fields(text: str) -> list[Hmm]:
+    """Models of named fields, ``HMM = {...};`` (discrete) and ``SHMM = {...};`` (normals): ``M, N, Pi, A, B`` or ``cos, M, N, density, Pi, A, C, Mue, U``.
+
+    ``A`` serves all ``cos`` classes, or ``Ak_0``, ``Ak_1``, ... one each. Density 0 is normal, 1 normal cut at 0 from below, 2
+    normal too. ``multip`` repeats a discrete model, ``fix_state`` names fixed states by 1; ``#`` starts a remark.
+    """
+    out: list[Hmm] = []
+    for kind, body in re.findall(r"\b(S?HMM)\s*=\s*\{((?:[^{}]|\{[^{}]*\})*)\}\s*;", re.sub(r"#.*", "", text)):
+        fields = {name: table or one for name, table, one in re.findall(r"(\w+)\s*=\s*(?:(?:vector|matrix)\s*\{([^{}]*)\}|([^;{}]+?))\s*;", body)}
+        missing = {"M", "N", "Pi"} - set(fields) | ({"C", "Mue", "U", "density", "cos"} if kind == "SHMM" else {"A", "B"}) - set(fields)
+        if missing:
+            raise ValueError(f"a model lacks {sorted(missing)}")
+
+        def rows(name: str, f: dict[str, str] = fields) -> list[list[float]]:
+            return [_numbers(r) for r in f[name].split(";") if r.strip()]
+
+        classes = int(fields.get("cos", 1))
+        a = np.array([rows("A" if "A" in fields else f"Ak_{c}") for c in range(classes)])
+        prior = float(fields.get("prior", -1))
+        common = {"pi": rows("Pi")[0], "a": a, "prior": prior if prior >= 0 else None, "fixed": frozenset(i for i, x in enumerate(rows("fix_state")[0]) if x) if "fix_state" in fields else frozenset()}
+        if kind == "HMM":
+            out += [DiscreteHmm(**common, b=rows("B"), alphabet=tuple(range(int(fields["M"])))) for _ in range(max(1, int(fields.get("multip", 1))))]
+        else:
+            tail = {"kind": "normal_right", "lo": 0.0} if int(fields["density"]) == 1 else {"kind": "normal"}
+            states = zip(rows("C"), rows("Mue"), rows("U"), strict=True)
+            out.append(ContinuousHmm(**common, components=[[Component(weight=w, mean=m, var=v, **tail) for w, m, v in zip(*s, strict=True)] for s in states]))
+    return out
+
+
 def models_to_json(models: list[Hmm]) -> str:
     def plain(x: object) -> object:
         return x.tolist() if isinstance(x, np.ndarray) else sorted(x) if isinstance(x, frozenset) else x.__dict__ if isinstance(x, Component) else str(x)
@@ -228,7 +287,7 @@ def models_from_json(text: str) -> list[Hmm]:
 
 
 def read_models(spark: SparkSession, path: str) -> list[Hmm]:
-    """Models of a file (small, read as one row), by its extension: xml, hmm or json."""
+    """Models of a file (small, read as one row), by its extension: xml, hmm, json, or smo and mo."""
     text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     kind = path.rsplit(".", 1)[-1].lower()
-    return {"xml": models_from_xml, "hmm": models_from_profiles, "json": models_from_json}[kind](text)
+    return {"xml": models_from_xml, "hmm": models_from_profiles, "json": models_from_json, "smo": models_from_fields, "mo": models_from_fields}[kind](text)
