@@ -12,26 +12,38 @@ from hiddenpath.model import Hmm
 
 
 def register(spark: SparkSession, name: str, model: Hmm) -> None:
-    """SQL functions ``<name>_logp(obs)`` and ``<name>_path(obs)`` over arrays of codes or reals; null for null."""
+    """SQL functions ``<name>_logp(obs)``, ``<name>_path(obs)`` and ``<name>_posterior(obs)`` over arrays of codes or reals; null for null.
 
-    def run(obs: pd.Series, path: bool) -> list:
+    ``SELECT seq_id, posexplode(<name>_path(obs)) AS (t, state)`` gives a row per step; an impossible sequence has posteriors of zeros.
+    """
+
+    def run(obs: pd.Series, what: str) -> list:
         one = pa.list_(pa.float64()) if getattr(model, "dim", 1) > 1 else pa.float64()
         column = pa.array([None if o is None else list(o) for o in obs], pa.list_(one))
         known, out = column.is_valid().to_pylist(), [None] * len(obs)
         for at, n, x in chain.padded(*chain.ragged(column), model.n):
             e = chain.emissions(model, x)
-            got = [p.tolist() for p in chain.viterbi(model, e, n)[0]] if path else chain.forward(model, e, n)[2].tolist()
+            if what == "path":
+                got = [p.tolist() for p in chain.viterbi(model, e, n)[0]]
+            else:
+                alpha, scale, score = chain.forward(model, e, n)
+                got = score.tolist() if what == "logp" else [p[:k].tolist() for p, k in zip(alpha * chain.backward(model, e, n, scale), n, strict=True)]
             for k, r in enumerate(at.tolist()):
                 out[r] = got[k] if known[r] else None
         return out
 
     @F.pandas_udf("double")
     def logp(obs: pd.Series) -> pd.Series:
-        return pd.Series(run(obs, False), dtype="float64")
+        return pd.Series(run(obs, "logp"), dtype="float64")
 
     @F.pandas_udf("array<int>")
     def path(obs: pd.Series) -> pd.Series:
-        return pd.Series(run(obs, True), dtype="object")
+        return pd.Series(run(obs, "path"), dtype="object")
+
+    @F.pandas_udf("array<array<double>>")
+    def posterior(obs: pd.Series) -> pd.Series:
+        return pd.Series(run(obs, "posterior"), dtype="object")
 
     spark.udf.register(f"{name}_logp", logp)
+    spark.udf.register(f"{name}_posterior", posterior)
     spark.udf.register(f"{name}_path", path)

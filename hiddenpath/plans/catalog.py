@@ -149,6 +149,28 @@ def bayes_classify(spark, d):
     return decoding.classify(symbols(spark, d), [PLAIN, OTHER]).select("seq_id", "model_id", F.round("posterior", 6).alias("posterior"))
 
 
+def class_trajectory(spark, d):
+    """Share of the first model after each event."""
+    s = decoding.trajectory(symbols(spark, d), [PLAIN, OTHER]).select("seq_id", F.posexplode("posteriors").alias("t", "p"))
+    return s.select("seq_id", "t", F.round(F.col("p")[0], 6).alias("p"))
+
+
+def model_distance(spark, d):
+    """Mean difference of the log-likelihoods under two models for each event of all users."""
+    return decoding.distance(PLAIN, OTHER, symbols(spark, d)).select(F.round("distance", 6).alias("distance"))
+
+
+def weighted_logp(spark, d):
+    """Log-likelihood of all users' values, weighted by the users' number of events, impossible ones at a penalty."""
+    s = reals(spark, d).withColumn("weight", F.size("obs").cast("double"))
+    return decoding.total_log_likelihood(s, NORMAL, penalty=-500.0).select(F.round("logp", 1).alias("logp"), "n")
+
+
+def admissible(spark, d):
+    """Whether all events of a user are of the first four kinds."""
+    return symbols(spark, d).select("seq_id", folds.admissible(F.col("obs"), 4).alias("ok"))
+
+
 def best_model(spark, d):
     return decoding.best_model(symbols(spark, d), [PLAIN, OTHER]).select("seq_id", "model_id", F.round("logp", 4).alias("logp"))
 
@@ -289,7 +311,7 @@ def value_blocks(spark, d):
 
 _ALL = (
     seq_build, symbol_counts, bigram_counts, forward_logp, forward_logp_arrow, filtered_states, posterior_at, viterbi_path, viterbi_labels, joint_logp, normal_logp, mixed_logp, normal_viterbi, labelled_logp,
-    switching_logp, switching_viterbi, order1_logp, silent_logp, em_step, normal_em_step, bayes_classify, best_model, ranked, set_logp, mixture_logp, mixture_decode, log_odds, confusion, mean_sequence, scatter_matrix, scatter_matrix_whole,
+    switching_logp, switching_viterbi, order1_logp, silent_logp, em_step, normal_em_step, bayes_classify, class_trajectory, model_distance, weighted_logp, admissible, best_model, ranked, set_logp, mixture_logp, mixture_decode, log_odds, confusion, mean_sequence, scatter_matrix, scatter_matrix_whole,
     extremes, background_estimate, pair_counts, pair_counts_whole, subset, merge, all_words, order_statuses, likeliest_labels, pair_alignment, baum_welch, hard_clusters, soft_mixture, gradient_search, discriminative, sampled, extended, gibbs_paths, value_blocks,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

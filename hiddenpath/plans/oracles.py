@@ -196,3 +196,10 @@ def _mixture() -> str:
 
 
 ORACLE_SQL |= {"baum_welch": _training(), "hard_clusters": _clustering(), "soft_mixture": _mixture()}
+ORACLE_SQL |= {
+    "class_trajectory": _with(S, _start(PLAIN, "x"), _start(OTHER, "y"), _forward("x"), _forward("y"), "a AS (SELECT id, t, sum(v) AS v FROM fx GROUP BY id, t), b AS (SELECT id, t, sum(v) AS v FROM fy GROUP BY id, t)")
+    + "SELECT id AS seq_id, CAST(t AS INTEGER) AS t, round(a.v / (a.v + b.v), 6) AS p FROM a JOIN b USING (id, t)",
+    "model_distance": _TWO + "SELECT round(sum(p - q) / (SELECT count(*) FROM s), 6) AS distance FROM z",
+    "weighted_logp": _with(S, _start(NORMAL, ""), _forward()) + ", l AS (SELECT f.id, any_value(s.n) AS n, ln(sum(f.v)) AS l FROM f JOIN s USING (id, t) WHERE s.t = s.n - 1 GROUP BY f.id) SELECT round(sum(n * l), 1) AS logp, count(*) AS n FROM l",
+    "admissible": _with(S) + "SELECT id AS seq_id, bool_and(sym < 4) AS ok FROM s GROUP BY id",
+}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hiddenpath.functions import chain
+from hiddenpath.functions import chain, registry
 from hiddenpath.model import Component, ContinuousHmm, DiscreteHmm, inverse_phi, phi
 from hiddenpath.operators import decoding, sampling
 from hiddenpath.plans.catalog import NORMAL, ORDER1, OTHER, PLAIN
@@ -106,3 +106,15 @@ def test_tails_and_quantiles():
     assert (beyond.density(np.array([59.0, 61.0])) == 0).all() and beyond.cumulative(61.0) == 1
     left = Component("normal_left", mean=0.0, var=1.0, hi=-1.0)
     assert left.cumulative(-1.0) == 1 and left.density(np.array([0.0]))[0] == 0
+
+
+def test_posteriors_in_sql(spark):
+    registry.register(spark, "plain", PLAIN)
+    s = sampling.sample(spark, PLAIN, 5, 7, seed=2).select("seq_id", "obs").unionByName(spark.createDataFrame([(90, None), (91, [])], "seq_id long, obs array<int>"))
+    s.createOrReplaceTempView("drawn")
+    got = {r.seq_id: r.p for r in spark.sql("SELECT seq_id, plain_posterior(obs) AS p FROM drawn").collect()}
+    want = {r.seq_id: r.posterior for r in decoding.decode(s, PLAIN, ["posterior"]).collect()}
+    assert got[90] is None and got[91] == [] and len(got) == len(want)
+    assert all(np.allclose(got[k], want[k]) for k in range(5))
+    steps = spark.sql("SELECT seq_id, posexplode(plain_path(obs)) AS (t, state) FROM drawn").count()
+    assert steps == 35
