@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 from collections.abc import Iterator
@@ -93,11 +94,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Spans of more bytes than this are hashed one by one.
+LONG_SPAN = 256
+_GAMMA, _DELTA = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each byte span ``raw[start:end]``, equal for equal bytes wherever they stand."""
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * powers(BASE, len(raw)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(BASE_INV, len(raw) + 1)[starts])
+    """A 64-bit fingerprint of each byte span ``raw[start:end]``, equal for equal bytes wherever they stand.
+
+    Eight bytes at a time go through two chains of mixers, so that no arithmetic relation between blocks cancels out;
+    spans of over LONG_SPAN bytes go through BLAKE2b.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    word = eight[starts]
+    short = np.flatnonzero(size < 8)
+    word[short] &= (np.uint64(1) << (size[short] * 8).astype(np.uint64)) - np.uint64(1)
+    one = mix(word ^ size.astype(np.uint64) * _GAMMA)
+    live, k = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+    two = one * _DELTA
+    while len(live):
+        left = size[live] - k
+        word = eight[starts[live] + k]
+        short = np.flatnonzero(left < 8)
+        word[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        one[live], two[live] = mix(one[live] ^ word), mix((two[live] + word) ^ _GAMMA)
+        k += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG_SPAN):
+        one[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(one + two * (size > 8))
 
 
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)

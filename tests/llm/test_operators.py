@@ -236,10 +236,12 @@ def test_secrets(spark):
 
 
 def test_licences(spark):
-    rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "You need a fishing license to use this lake."), (3, None), (4, "Licensed under the Apache License, Version 2.0.")]
+    """Paragraphs are counted from 0: lines that end no sentence are joined, and other sentences are no notices."""
+    rows = [(1, "Some words.\n\nReleased under the MIT License.\n\nMore words."), (2, "You need a fishing license to use this lake."), (3, None), (4, "Licensed under the Apache License, Version 2.0."), (5, "x\nReleased under the MIT License.\ny")]
     got = {r.doc_id: r for r in license_scan.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[1].family, got[1].paragraph, got[1].confirmed) == ("MIT", 1, True)
-    assert got[2].family == license_scan.UNKNOWN and 3 not in got and got[4].family == "Apache-2.0"
+    assert (got[5].family, got[5].paragraph, got[5].confirmed) == ("MIT", 0, True)
+    assert (got[4].family, got[4].paragraph) == ("Apache-2.0", 0) and set(got) == {1, 4, 5}
 
 
 def test_empty_tables(spark, docs):
