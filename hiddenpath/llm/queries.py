@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hiddenpath.llm import decontamination, html_extract, lang_id, license_scan, near_dedup, packing, quality, secret_scan, suffix_dedup, toxicity
+from hiddenpath.llm import decontamination, filter_audit, html_extract, lang_id, license_scan, near_dedup, packing, quality, secret_scan, set_join, suffix_dedup, toxicity, whitening
 from hiddenpath.llm.common import table
 from hiddenpath.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -77,6 +77,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders over all documents, by source and step."""
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 16 leading whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=16)
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents of Jaccard similarity 0.85 or more on four-word shingles."""
+    return set_join.jaccard_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cross_parsing_language_id, op2_best_fit_packing, op3_quality_rules, op4_html_extraction, op5_secret_scans, op6_benchmark_decontamination, op7_license_scans, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_toxicity)
+    f.__name__: f for f in (op1_cross_parsing_language_id, op2_best_fit_packing, op3_quality_rules, op4_html_extraction, op5_secret_scans, op6_benchmark_decontamination, op7_license_scans, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_toxicity, op11_filter_interaction_audit, op12_embedding_whitening, op13_ngram_jaccard_join)
 }
