@@ -37,10 +37,12 @@ _UPPER[65:91] = _SMALL[97:123] = True
 _ASSIGN = np.zeros(256, bool)
 _ASSIGN[[ord("="), ord(":")]] = True
 
-#: Bytes that end a quoted value and one without quotes.
-_STOP, _BARE_STOP = np.zeros(256, bool), np.zeros(256, bool)
-_STOP[list(b"\"' \t\n\r\f\v")] = True
+#: Bytes that end a value without quotes, and what stands where a quoted one may end: a quote mark, or the line's end.
+_BARE_STOP = np.zeros(256, bool)
 _BARE_STOP[list(b"\"' \t\n\r\f\v,;")] = True
+_QUOTES = {b: np.isin(np.arange(256), [b, 10, 13]) for b in b"\"'"}
+#: Shortest values in quotes and without.
+LEAST_QUOTED, LEAST_BARE = 6, 8
 
 # Words near credentials, words near other long strings, path parts of files without live secrets, and
 # common parts of identifiers and placeholders.
@@ -52,11 +54,15 @@ DICTIONARY = (
     "password token key default config service server client production staging local host http https www com org net version release build file path data base "
     "image table index list item page blog post home about contact main node module package import export class function return true false null none todo insert replace enter"
 ).split()
+#: Words of pass phrases, other than the dictionary's.
+PHRASES = "correct horse battery staple orange river window seven dragon purple coffee mountain silver rabbit winter garden copper falcon pencil velvet thunder".split()
 _WORDS = frozenset(w for w in DICTIONARY if len(w) >= 3)
-_NAME = re.compile(rb"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)[\w-]*[\"']?\s*$", re.I)
+_NAME = re.compile(rb"(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_-]?key|access[_-]?key|auth|credential|private|login|bearer|(?<![A-Za-z])key)[\w-]*[\"']?\s*$", re.I)
 _OPEN = re.compile(rb"\s*([\"']?)")
 _KEY = re.compile(rb"-----(BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----")
 _KEY_BODY = re.compile(rb"(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})*")
+#: A last line of a body that is shorter: padded, or alone on its line and no word.
+_KEY_TAIL = re.compile(rb"(?:\s|\\[nr])*(?:[A-Za-z0-9+/]{1,15}={1,2}|(?=[A-Za-z]?[a-z]*[0-9+/A-Z])[A-Za-z0-9+/]{1,15}(?=[ \t]*(?:[\r\n]|\\[nr]|$)))")
 _NEAR_WORD = re.compile(r"[a-z0-9_-]+")
 _CLASS = {**{c: 0 for c in string.ascii_lowercase}, **{c: 1 for c in string.ascii_uppercase}, **{c: 2 for c in string.digits}}
 
@@ -179,6 +185,9 @@ def labelled_findings(count: int = TRAINING_FINDINGS, seed: int = 5) -> Iterator
                 value, plain = f"-----BEGIN {kind}PRIVATE KEY-----\n{body}" + f"\n-----END {kind}PRIVATE KEY-----" * (rng.random() < 0.8), True
             elif rng.random() < 0.1:
                 value = some(string.ascii_letters, rng.choice((20, 24, 32, 40)))
+            elif rng.random() < 0.07:  # a pass phrase, or a value with quote marks of the other kind
+                value = " ".join([*rng.choices(PHRASES, k=rng.randint(2, 5)), *[some(mixed, rng.randint(1, 3)) for _ in range(rng.randint(1, 2))]]) if rng.random() < 0.6 else some(mixed, 6) + "'" + some(mixed + "!?.", rng.randint(10, 24))
+                plain = False
             yield value, f"{prose()} " if plain else assign, end, path, 1
             continue
         word = rng.choice(OTHER)
@@ -196,6 +205,9 @@ def labelled_findings(count: int = TRAINING_FINDINGS, seed: int = 5) -> Iterator
         elif kind < 0.8:  # looks live, in a file of examples
             value = rng.choice((some(hexa, 40), some(mixed, 32), "AKIA" + some(string.ascii_uppercase + string.digits, 16)))
             yield value, assign, end, rng.choice(("tests/test_auth.py", "docs/readme.md", "examples/demo.py", "spec/fixtures/key.rb")), 0
+        elif kind < 0.85:  # a sentence in quotes
+            value = rng.choice((prose(), " ".join(rng.choices(DICTIONARY, k=rng.randint(3, 8))), f"{prose()} {rng.randint(1, 99)}, {prose()}", f"please {' '.join(rng.choices(DICTIONARY, k=4))}", prose().capitalize() + "."))
+            yield value, assign, end, path, 0
         else:  # code and words
             value = rng.choice(("_".join(rng.choices(DICTIONARY, k=4)) + some(string.digits, 1), "-".join(rng.choices(DICTIONARY, k=4)) + "-2", "/".join(rng.choices(DICTIONARY, k=4)) + "/1", ".".join(rng.choices(DICTIONARY, k=3)) + "2", "".join(w.capitalize() for w in rng.choices(DICTIONARY, k=rng.randint(4, 6))), "".join(w.capitalize() for w in prose().split())))
             yield value, rng.choice((assign, f"{prose()} ")), end, path, 0
@@ -206,16 +218,23 @@ def train_default(count: int = TRAINING_FINDINGS) -> Forest:
     return fit_forest(np.array([features(*r[:4]) for r in rows]), np.array([r[4] for r in rows], float))
 
 
-def _value(data: bytes, k: int, end: int, stops: np.ndarray, bare: np.ndarray) -> tuple[int, int] | None:
-    """The whole value assigned at ``k``: 6 bytes and more up to the closing quote, or 8 and more without quotes."""
+def _value(data: bytes, k: int, end: int, quotes: dict[int, np.ndarray], bare: np.ndarray) -> tuple[int, int] | None:
+    """The whole value assigned at ``k``: in quotes up to the same mark on its line, which no backslash escapes, blanks and other
+    marks inside; else, or where that mark is missing, up to a blank or another stop."""
     m = _OPEN.match(data, k, end)
-    a, quoted = m.end(), bool(m[1])
-    ends = stops if quoted else bare
-    j = int(np.searchsorted(ends, a))
-    b = min(int(ends[j]), end) if j < len(ends) else end
-    if quoted and (b == end or data[b] not in b"\"'"):
-        return None
-    return (a, b) if b - a >= (6 if quoted else 8) else None
+    a = m.end()
+    if m[1]:
+        ends = quotes[m[1][0]]
+        j = int(np.searchsorted(ends, a))
+        while j < len(ends) and ends[j] < end and data[ends[j]] == m[1][0]:
+            b = int(ends[j])
+            escapes = b - len(data[a:b].rstrip(b"\\")) - a
+            if not escapes % 2:
+                return (a, b) if b - a >= LEAST_QUOTED else None
+            j += 1
+    j = int(np.searchsorted(bare, a))
+    b = min(int(bare[j]), end) if j < len(bare) else end
+    return (a, b) if b - a >= LEAST_BARE else None
 
 
 def _private_keys(data: bytes, lo: int, hi: int) -> Iterator[tuple[int, int]]:
@@ -226,7 +245,8 @@ def _private_keys(data: bytes, lo: int, hi: int) -> Iterator[tuple[int, int]]:
             if after is not None and after[1] == b"END":
                 yield m.start(), after.end()
             elif (body := _KEY_BODY.match(data, m.end(), hi)).end() > m.end():
-                yield m.start(), body.end()
+                tail = _KEY_TAIL.match(data, body.end(), hi)
+                yield m.start(), tail.end() if tail else body.end()
 
 
 def candidates(raw: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, str]]:
@@ -247,10 +267,10 @@ def candidates(raw: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, str
             b -= 1
         if b - a >= LEAST_LENGTH:
             found.append((a, b, "token"))
-    stops, bare = np.flatnonzero(_STOP[raw]), np.flatnonzero(_BARE_STOP[raw])
+    quotes, bare = {b: np.flatnonzero(table[raw]) for b, table in _QUOTES.items()}, np.flatnonzero(_BARE_STOP[raw])
     for k in np.flatnonzero(_ASSIGN[raw]).tolist():
         row = int(np.searchsorted(at, k, "right")) - 1
-        if _NAME.search(data[max(int(at[row]), k - NEAR) : k]) and (span := _value(data, k + 1, int(at[row + 1]), stops, bare)):
+        if _NAME.search(data[max(int(at[row]), k - NEAR) : k]) and (span := _value(data, k + 1, int(at[row + 1]), quotes, bare)):
             found.append((*span, "assigned"))
     if b"PRIVATE KEY-----" in data:
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -305,7 +325,8 @@ def scan_secrets(docs: DataFrame, forest: Forest | None = None, path: str | None
     ``docs`` has ``text`` and, if named, the column ``path``. A finding has start and end in characters, the
     candidate's kind, the forest's score and whether it is taken for a secret: at ``least_score`` and more. ``masked``
     is the text with every secret replaced by MASK. Null texts have no findings and stay null; null paths
-    count as empty; rows that repeat are scanned each; an empty table gives an empty result.
+    count as empty; rows that repeat are scanned each; an empty table gives an empty result. Shortest candidates: LEAST_LENGTH
+    bytes by form alone, LEAST_QUOTED in quotes and LEAST_BARE without behind a credential's name.
     """
     forest = forest or train_default()
     where = F.col(path).cast("string") if path else F.lit(None).cast("string")

@@ -93,3 +93,63 @@ def test_odd_rows(spark, forest):
     tie = got[-1].findings[0].score
     assert all(f.secret for r in secret_scan.scan_secrets(d.where("doc_id = 2"), forest, least_score=tie).collect() for f in r.findings)
     assert secret_scan.scan_secrets(d.limit(0), forest).count() == 0
+
+
+def test_quotes_blanks_and_last_lines(scan):
+    """A value ends at its own quote mark, holds blanks inside quotes, and a key block's short last line belongs to it."""
+    rng = random.Random(9)
+    long = "".join(rng.choices(MIXED + "!?.", k=30))
+    body = "\n".join("".join(rng.choices(MIXED + "+/", k=64)) for _ in range(6))
+    head = "-----BEGIN PRIVATE KEY-----"
+    texts = [f"secret = \"abcdef'{long}\" end", "password = \"correct horse 7 battery staple Q9\" end", f"a {head}\n{body}\npbpeIeeNsXE=\nmore prose", f"a {head}\n{body}\nx9Tq\n\nmore", f"a {head}\n{body}\nThen it goes on", f'token = "{long}\\"{long}" end', f"token: 'unclosed{long[:8]}1 rest\nnext' line"]
+    got = scan(texts)
+    assert [r.masked for r in got[:6]] == ['secret = "[SECRET]" end', 'password = "[SECRET]" end', "a [SECRET]\nmore prose", "a [SECRET]\n\nmore", "a [SECRET]\nThen it goes on", 'token = "[SECRET]" end']
+    assert texts[6][got[6].findings[0].start : got[6].findings[0].end] == f"unclosed{long[:8]}1"
+
+
+def plain_assigned(text):
+    """Values assigned to credential names, character by character."""
+    names = ("token", "secret", "password", "passwd", "pwd", "passphrase", "api_key", "api-key", "apikey", "access_key", "accesskey", "auth", "credential", "private", "login", "bearer")
+    out = []
+    for k, c in enumerate(text):
+        if c not in "=:":
+            continue
+        left = text[:k].rstrip()
+        left = left[:-1] if left[-1:] in ("'", '"') else left
+        word = left[len(left.rstrip(string.ascii_letters + string.digits + "_-")) :].lower()
+        if not any(n in word for n in names) and not any(p.startswith("key") for p in word.replace("-", "_").split("_")):
+            continue
+        a = k + 1
+        while a < len(text) and text[a] in " \t\n":
+            a += 1
+        mark = text[a] if a < len(text) and text[a] in "'\"" else ""
+        b = a + len(mark)
+        while mark and b < len(text) and text[b] != mark and text[b] != "\n":
+            b += 1
+        if mark and b < len(text) and text[b] == mark:
+            if b - a - 1 >= 6:
+                out.append((a + 1, b))
+            continue
+        a = b = a + len(mark)
+        while b < len(text) and text[b] not in "\"' \t\n,;":
+            b += 1
+        if b - a >= 8:
+            out.append((a, b))
+    return out
+
+
+def test_candidates_against_a_plain_finder():
+    rng = random.Random(21)
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            name = rng.choice(("token", "db_password", "api-key", "login", "colour", "key", "monkey", "size", "my_secret_2", "bearer"))
+            value = rng.choice(("a b9c d", "short", "abcdefgh", "it's 9 o'clock", "Q7-x_9", "", "one,two;three", "x" * 30))
+            mark = rng.choice(("'", '"', "", "«"))
+            parts.append(f"{name}{rng.choice((' = ', '=', ': ', '\": '))}{mark}{value}{rng.choice((mark, mark, ''))}{rng.choice((' ', chr(10), ', '))}")
+        text = "".join(parts)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        got = [(a, b) for _, a, b, _ in secret_scan.candidates(raw, np.array([0, len(raw)]))]
+        for a, b in plain_assigned(text):
+            a, b = (len(text[:x].encode()) for x in (a, b))
+            assert any(x <= a and b <= y for x, y in got), (text, a, b)
