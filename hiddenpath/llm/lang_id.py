@@ -199,6 +199,33 @@ def _differences(table: np.ndarray, codes: np.ndarray, start: np.ndarray, length
     return more, after, differs
 
 
+#: Rounds in which all chunks whose start moved are parsed again side by side; texts still moving then are gone through in order.
+ROUNDS = 6
+
+
+def _in_order(table: np.ndarray, codes: np.ndarray, start: np.ndarray, length: np.ndarray, begin: np.ndarray, end: np.ndarray, phrases: np.ndarray, last: np.ndarray, todo: np.ndarray) -> None:
+    """Parses the chunks from the first of ``todo`` in each text on, one of every text at a time.
+
+    A chunk whose start is the one it was parsed from stays. Chunks of equal codes that are entered in one state are parsed once: a text
+    that keeps its phase, such as a sentence that repeats, has few of those. So work is linear in the text at most.
+    """
+    chains = np.flatnonzero(np.append(True, last[:-1]))  # the first chunk of each text and language
+    front = np.unique(np.searchsorted(chains, todo, "right"), return_index=True)[1]
+    now, known = todo[front], {}
+    while len(now):
+        moved = now[begin[now] != end[now - 1]]
+        keys = [(int(end[k - 1]), codes[start[k] : start[k] + length[k]].tobytes()) for k in moved.tolist()]
+        new = {key: k for key, k in zip(keys, moved.tolist(), strict=True) if key not in known}
+        if new:
+            at = np.array(list(new.values()))
+            got = _run(table, codes, start[at], length[at], end[at - 1])
+            known.update(zip(new, zip(*(x.tolist() for x in got), strict=True), strict=True))
+        begin[moved] = end[moved - 1]
+        for k, key in zip(moved.tolist(), keys, strict=True):
+            phrases[k], end[k] = known[key]
+        now = now[~last[now]] + 1
+
+
 def count_phrases(codes: np.ndarray, at: np.ndarray, model: LanguageModel, chunk: int = CHUNK) -> np.ndarray:
     """Longest-match phrases of each whole row of codes in each language; a row without codes has one."""
     pieces = -(-np.diff(at) // chunk)
@@ -214,8 +241,12 @@ def count_phrases(codes: np.ndarray, at: np.ndarray, model: LanguageModel, chunk
     phrases, end = _run(model.table, codes, start, length, begin)
     phrases = phrases.astype(np.int64)
     # chunks after the first go on from where their predecessor ended, until no end state changes
-    todo = np.flatnonzero(~first)
+    todo, rounds = np.flatnonzero(~first), 0
     while len(todo):
+        if rounds == ROUNDS:
+            _in_order(model.table, codes, start, length, begin, end, phrases, last, todo)
+            break
+        rounds += 1
         new = end[todo - 1]
         more, after, differs = _differences(model.table, codes, start[todo], length[todo], begin[todo], new)
         begin[todo] = new

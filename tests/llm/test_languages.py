@@ -1,6 +1,7 @@
 """Cross-parsing against brute-force longest matches, many scripts and languages, odd rows."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -81,3 +82,32 @@ def test_odd_rows(spark):
     assert lang_id.identify_languages(d.limit(0), model).count() == 0
     none = lang_id.train(d.limit(0))
     assert {r.lang_pred for r in lang_id.identify_languages(d, none).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("unit", ["a", "the cat sat on the mat and the dog ran on ", "ab"])
+def test_long_texts_that_keep_their_phase(unit):
+    """5 MB of one letter or sentence, of which the sample has a run too, in seconds; a shorter one equals brute force."""
+    model = lang_id.build_model({"x": unit * (200 // len(unit) + 2), "y": "zyx wvu " * 30 + unit * 3})
+    short = unit * (20_000 // len(unit))
+    got, at, _ = lang_id.letter_bytes(np.frombuffer(short.encode(), np.uint8), np.array([0, len(short)]))
+    samples = [unit * (200 // len(unit) + 2), "zyx wvu " * 30 + unit * 3]
+    assert lang_id.count_phrases(model.codes[got], at, model)[:, 0].tolist() == [brute_phrases(got.tobytes(), parsed(s)) for s in samples]
+    long = unit * (5_000_000 // len(unit))
+    got, at, _ = lang_id.letter_bytes(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)]))
+    began = time.perf_counter()
+    lang_id.count_phrases(model.codes[got], at, model)
+    assert time.perf_counter() - began < 60
+
+
+def test_chunks_gone_through_in_order(monkeypatch):
+    """However many rounds are parsed side by side before, phrases are the same."""
+    rng = random.Random(8)
+    model = lang_id.build_model({k: "ab" * 40 + "".join(rng.choices("abc ", k=120)) for k in "xyz"})
+    texts = ["ab" * 900, "".join(rng.choices("abc ", k=2000)), "", "b" * 700, "ab" * 300 + "c" + "ab" * 300]
+    raw = [t.encode() for t in texts]
+    got, at, _ = lang_id.letter_bytes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    seen = []
+    for rounds in (0, 1, 3, 10**9):
+        monkeypatch.setattr(lang_id, "ROUNDS", rounds)
+        seen.append(lang_id.count_phrases(model.codes[got], at, model, 16).tolist())
+    assert seen[0] == seen[1] == seen[2] == seen[3]
