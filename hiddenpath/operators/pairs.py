@@ -1,11 +1,13 @@
 """Pair models: two sequences consumed side by side, state by state.
 
 A state takes ``dx`` items of the first and ``dy`` of the second sequence; its table has an entry per pair of symbols,
-or per symbol where it takes one of them only.
+or per symbol where it takes items of one of them only. Of several items taken at once the last is emitted. Sequences may
+have several tracks, of which each state reads one.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -15,7 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from hiddenpath.functions import chain
+from hiddenpath.model import EPS
 
+#: Cells (places x states) of a table that is traced back at once; larger alignments are halved first.
+MOST_CELLS = 4_000_000
+
+#: Classes of the steps that leave the cells (u, v): arrays of u and v to an array of classes.
+Chooser = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 @dataclass
@@ -24,119 +32,262 @@ class PairHmm:
     #: Classes x n x n; the class of a step is that of ``chooser`` at the source's place.
     a: np.ndarray
     b: list[np.ndarray]
+    #: Items of x and of y that each state takes.
     steps: list[tuple[int, int]]
-    m: int
-    chooser: Callable[[np.ndarray, np.ndarray, int, int], int] | None = None
+    #: Symbols of the alphabet, or of each track's.
+    m: int | list[int]
+    chooser: Chooser | None = None
+    #: The track that each state reads; without, sequences have one.
+    tracks: list[int] | None = None
 
     def __post_init__(self) -> None:
         self.pi, self.a = np.asarray(self.pi, float), np.asarray(self.a, float)
         self.a = self.a[None] if self.a.ndim == 2 else self.a
-        self.b = [np.asarray(x, float) for x in self.b]
-        if any(s not in ((0, 1), (1, 0), (1, 1)) for s in self.steps):
-            raise ValueError("a state takes one item of x, of y, or of both")
+        self.b = [np.asarray(x, float).reshape(-1) for x in self.b]
+        self.steps = [(int(dx), int(dy)) for dx, dy in self.steps]
+        if any(dx < 0 or dy < 0 or not dx + dy for dx, dy in self.steps):
+            raise ValueError("a state takes one item at least, of x, of y, or of both")
+        if len(self.a) > 1 and self.chooser is None:
+            raise ValueError(f"a model of {len(self.a)} transition classes needs a chooser")
+
+    @property
+    def n(self) -> int:
+        return len(self.pi)
+
+    def size(self, state: int) -> int:
+        """Symbols of the track that a state reads."""
+        return self.m[self.tracks[state] if self.tracks else 0] if isinstance(self.m, list) else self.m
+
+    def check(self) -> list[str]:
+        """What is wrong with the model, an empty list if nothing is."""
+        bad = [] if abs(self.pi.sum() - 1) < EPS else ["pi does not sum to 1"]
+        if self.a.shape[1:] != (self.n, self.n) or len(self.b) != self.n or len(self.steps) != self.n:
+            return [*bad, "pi, a, b and steps differ in their number of states"]
+        bad += [f"row {i} of class {c} sums to {s:g}" for (c, i), s in np.ndenumerate(self.a.sum(2)) if abs(s) > EPS and abs(s - 1) > EPS]
+        for i, (x, (dx, dy)) in enumerate(zip(self.b, self.steps, strict=True)):
+            if self.tracks and not 0 <= self.tracks[i] < (len(self.m) if isinstance(self.m, list) else 1):
+                bad.append(f"state {i} reads a track that there isn't")
+            elif len(x) != self.size(i) ** (1 + bool(dx and dy)):
+                bad.append(f"state {i} has {len(x)} emissions")
+            elif abs(x.sum() - 1) > EPS:
+                bad.append(f"emissions of state {i} do not sum to 1")
+        return bad
+
+    def to_json(self) -> str:
+        """All of the model but its chooser."""
+        return json.dumps({"pi": self.pi.tolist(), "a": self.a.tolist(), "b": [x.tolist() for x in self.b], "steps": self.steps, "m": self.m, "tracks": self.tracks})
+
+
+def model_of_json(text: str, chooser: Chooser | None = None) -> PairHmm:
+    """The model of :meth:`PairHmm.to_json`; ValueError where it isn't valid."""
+    model = PairHmm(**json.loads(text), chooser=chooser)
+    if bad := model.check():
+        raise ValueError("; ".join(bad))
+    return model
+
 
+def _before(x: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The items before the places ``u``, the first ones at place 0; zeros of an empty sequence."""
+    return x[..., np.maximum(u - 1, 0)] if x.shape[-1] else np.zeros((*x.shape[:-1], len(u)))
 
-def sum_below(limit: float) -> Callable:
+
+def sum_below(limit: float) -> Chooser:
     """Class 0 where the two items at a place sum to less than ``limit``, else 1."""
-    return lambda x, y, u, v: int(x[max(u - 1, 0)] + y[max(v - 1, 0)] >= limit)
+    return lambda x, y, u, v: (_before(x, u) + _before(y, v) >= limit).astype(int)
 
 
-def both_nonzero(x: np.ndarray, y: np.ndarray, u: int, v: int) -> int:
-    return int(bool(x[max(u - 1, 0)]) and bool(y[max(v - 1, 0)]))
+def both_nonzero(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return ((_before(x, u) != 0) & (_before(y, v) != 0)).astype(int)
 
 
-def either_nonzero(x: np.ndarray, y: np.ndarray, u: int, v: int) -> int:
-    return int(bool(x[max(u - 1, 0)]) or bool(y[max(v - 1, 0)]))
+def either_nonzero(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return ((_before(x, u) != 0) | (_before(y, v) != 0)).astype(int)
 
 
-def _table(model: PairHmm, state: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log emissions of a state with the cell (u, v) reached after it, shape (len x + 1, len y + 1)."""
-    dx, dy = model.steps[state]
-    out = np.full((len(x) + 1, len(y) + 1), -np.inf)
-    with np.errstate(divide="ignore"):
-        b = np.log(model.b[state])
-    if dx and dy:
-        code = x[:, None] * model.m + y[None, :]
-        ok = (x[:, None] >= 0) & (x[:, None] < model.m) & (y[None, :] >= 0) & (y[None, :] < model.m)
-        out[1:, 1:] = np.where(ok, b[np.where(ok, code, 0)], -np.inf)
-    elif dx:
-        ok = (x >= 0) & (x < model.m)
-        out[1:, :] = np.where(ok, b[np.where(ok, x, 0)], -np.inf)[:, None]
-    else:
-        ok = (y >= 0) & (y < model.m)
-        out[:, 1:] = np.where(ok, b[np.where(ok, y, 0)], -np.inf)[None, :]
-    return out
+class _Tables:
+    """Log chances of a model on two sequences. Symbols outside an alphabet are impossible."""
+
+    def __init__(self, model: PairHmm, x: np.ndarray, y: np.ndarray) -> None:
+        self.model, self.x, self.y = model, np.asarray(x), np.asarray(y)
+        with np.errstate(divide="ignore"):
+            self.a, self.pi = np.log(model.a), np.log(model.pi)
+            logs = [np.log(b) for b in model.b]
+        self.lx, self.ly = self.x.shape[-1], self.y.shape[-1]
+        self.emit: list[tuple] = []
+        for s, (dx, dy) in enumerate(model.steps):
+            m = model.size(s)
+            xs, ys = (self._coded(v, s, m) for v in (self.x, self.y))
+            if dx and dy:
+                table = np.full((m + 1, m + 1), -np.inf)
+                table[:m, :m] = logs[s].reshape(m, m)
+                self.emit.append((table.reshape(-1), xs * (m + 1), ys))
+            else:
+                self.emit.append((np.append(logs[s], -np.inf)[xs if dx else ys],))
+
+    def _coded(self, v: np.ndarray, state: int, m: int) -> np.ndarray:
+        v = v[self.model.tracks[state] if self.model.tracks else 0] if v.ndim == 2 else v
+        return np.where((v >= 0) & (v < m), v, m).astype(np.int64)
+
+    def emissions(self, s: int, u: slice, v: slice) -> np.ndarray:
+        """Of the cells along an antidiagonal: ``u`` rising, ``v`` the places of y before them, read backwards."""
+        got = self.emit[s]
+        if len(got) == 3:
+            return got[0][got[1][u] + got[2][v][::-1]]
+        return got[0][u] if self.model.steps[s][0] else got[0][v][::-1]
+
+    def classes(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.asarray(self.model.chooser(self.x, self.y, u, v), int)
 
 
-def align(model: PairHmm, x: np.ndarray, y: np.ndarray, end: int | None = None) -> tuple[list[int], float]:
-    """The likeliest state path that takes all of both sequences (ending in ``end``, if given), by antidiagonals.
+def _sweep(t: _Tables, lo: tuple[int, int], hi: tuple[int, int], before: int | None, middle: int | None = None, back: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Scores of the states in the last cell of the segment from ``lo`` to ``hi``, which state ``before`` leads into.
 
-    Cells of an antidiagonal depend on the two before it alone, so a step is one array operation.
+    Antidiagonals are kept as far back as states reach, so memory is linear. With ``middle``, also the first cell and state at
+    or behind that antidiagonal of each state's best path, as (diagonal * places + u) * states + state. ``back`` takes up
+    the best predecessors of all cells. Of equal predecessors the smallest wins.
     """
-    n, lx, ly = len(model.pi), len(x), len(y)
-    if not lx and not ly:
-        return [], 0.0
-    with np.errstate(divide="ignore"):
-        la, lpi = np.log(model.a), np.log(model.pi)
-    emit = [_table(model, s, x, y) for s in range(n)]
-    score = np.full((lx + 1, ly + 1, n), -np.inf)
-    back = np.full((lx + 1, ly + 1, n), -1, np.int16)
-    for d in range(1, lx + ly + 1):
-        u = np.arange(max(0, d - ly), min(lx, d) + 1)
-        v = d - u
+    model, n = t.model, t.model.n
+    length, width = hi[0] - lo[0], hi[1] - lo[1]
+    ring = max(dx + dy for dx, dy in model.steps) + 1
+    score = np.full((ring, n, length + 1), -np.inf)
+    cross = np.full((ring, n, length + 1), -1, np.int64) if middle is not None else None
+    if before is None:
+        start = t.pi
+    else:
+        start = t.a[int(t.classes(np.array([lo[0]]), np.array([lo[1]]))[0]) if model.chooser else 0, before]
+    for d in range(1, length + width + 1):
+        now = d % ring
+        score[now] = -np.inf
         for s, (dx, dy) in enumerate(model.steps):
-            ok = (u >= dx) & (v >= dy)
-            a, b = u[ok], v[ok]
-            pu, pv = a - dx, b - dy
-            if model.chooser is None:
-                via = score[pu, pv] + la[0][:, s]
-            else:
-                cls = np.array([model.chooser(x, y, i, j) for i, j in zip(pu.tolist(), pv.tolist(), strict=True)], int)
-                via = score[pu, pv] + la[cls, :, s]
-            best = via.argmax(1)
-            got = via[np.arange(len(a)), best]
-            start = (pu == 0) & (pv == 0)
-            score[a, b, s] = np.where(start, lpi[s], got) + emit[s][a, b]
-            back[a, b, s] = np.where(start, -1, best)
-    q = int(score[lx, ly].argmax()) if end is None else end
-    logp, u, v, path = float(score[lx, ly, q]), lx, ly, []
+            first, last = max(dx, d - width), min(length, d - dy)  # places of x after the step
+            if first > last or d - dx - dy < 0:
+                continue
+            old = (d - dx - dy) % ring
+            came = slice(first - dx, last - dx + 1)
+            cls = t.classes(lo[0] + np.arange(first - dx, last - dx + 1), lo[1] + d - dy - np.arange(first, last + 1)) if model.chooser else None
+            best, via = np.full(last - first + 1, -np.inf), np.zeros(last - first + 1, np.int16)
+            for p in range(n):
+                step = t.a[0, p, s] if cls is None else t.a[cls, p, s]
+                if cls is None and step == -np.inf:
+                    continue
+                got = score[old, p, came] + step
+                better = got > best
+                best[better], via[better] = got[better], p
+            if d == dx + dy:  # from the segment's first cell
+                best[dx - first], via[dx - first] = start[s], -1
+            best += t.emissions(s, slice(lo[0] + first - 1, lo[0] + last) if dx else slice(0, 0), slice(lo[1] + d - last - 1, lo[1] + d - first) if dy else slice(0, 0))
+            score[now, s, first : last + 1] = best
+            places = np.arange(first, last + 1)
+            if back is not None:
+                back[places, d - places, s] = via
+            if cross is not None and d >= middle:
+                if d - dx - dy < middle:
+                    cross[now, s, first : last + 1] = (d * (length + 1) + places) * n + s
+                else:
+                    cross[now, s, first : last + 1] = cross[old][np.maximum(via, 0), places - dx]
+    end = (length + width) % ring
+    return score[end, :, length], cross[end, :, length] if cross is not None else None
+
+
+def _traced(t: _Tables, lo: tuple[int, int], hi: tuple[int, int], before: int | None, end: int | None) -> tuple[list[int], float]:
+    back = np.full((hi[0] - lo[0] + 1, hi[1] - lo[1] + 1, t.model.n), -1, np.int16)
+    last, _ = _sweep(t, lo, hi, before, back=back)
+    q = int(last.argmax()) if end is None else end
+    logp, u, v, path = float(last[q]), hi[0] - lo[0], hi[1] - lo[1], []
     if not np.isfinite(logp):
         return [], logp
     while q >= 0:
         path.append(q)
         p = int(back[u, v, q])
-        u, v, q = u - model.steps[q][0], v - model.steps[q][1], p
+        u, v, q = u - t.model.steps[q][0], v - t.model.steps[q][1], p
     return path[::-1], logp
 
 
+def align(model: PairHmm, x: np.ndarray, y: np.ndarray, end: int | None = None, lo: tuple[int, int] = (0, 0), hi: tuple[int, int] | None = None, before: int | None = None, most_cells: int = MOST_CELLS) -> tuple[list[int], float]:
+    """The likeliest state path that takes all of both sequences, and its log probability; impossible: empty, -inf.
+
+    ``end`` is the last state, if given. ``lo`` and ``hi`` bound a segment, which state ``before`` leads into: without, it
+    begins with the start chances. A table of over ``most_cells`` cells is not built: a sweep finds where the best path crosses the middle
+    antidiagonal, and both halves are aligned by themselves. Memory is linear in the lengths, time about twice that of one sweep.
+    """
+    t = _Tables(model, x, y)
+    hi = (t.lx, t.ly) if hi is None else hi
+    if lo == hi:
+        return [], 0.0
+    reach = max(dx + dy for dx, dy in model.steps)
+    path: list[int] = []
+    logp, todo = None, [(lo, hi, before, end)]
+    while todo:
+        a, b, first, last = todo.pop()
+        length, width = b[0] - a[0], b[1] - a[1]
+        if (length + 1) * (width + 1) * model.n <= most_cells or length + width <= 4 * reach:
+            part, value = _traced(t, a, b, first, last)
+            logp = value if logp is None else logp
+            if not part:
+                return [], -np.inf
+            path += part
+            continue
+        scores, cross = _sweep(t, a, b, first, middle=(length + width) // 2)
+        q = int(scores.argmax()) if last is None else last
+        logp = float(scores[q]) if logp is None else logp
+        if not np.isfinite(scores[q]):
+            return [], -np.inf
+        cell, state = divmod(int(cross[q]), model.n)
+        d, u = divmod(cell, length + 1)
+        turn = (a[0] + u, a[1] + d - u)
+        todo += [(turn, b, state, q), (a, turn, first, state)]  # the first half comes first
+    return path, float(logp)
+
+
 def path_log_likelihood(model: PairHmm, x: np.ndarray, y: np.ndarray, path: list[int]) -> float:
     """Log probability of a path with both sequences; -inf where it is impossible or doesn't take all of them."""
+    t = _Tables(model, x, y)
     u = v = 0
     total, before = 0.0, None
-    with np.errstate(divide="ignore"):
-        for q in path:
-            dx, dy = model.steps[q]
-            if u + dx > len(x) or v + dy > len(y):
-                return -np.inf
-            c = 0 if model.chooser is None or before is None else model.chooser(x, y, u, v)
-            total += float(np.log(model.pi[q] if before is None else model.a[c, before, q]))
-            total += float(_table(model, q, x[u : u + dx] if dx else x[:0], y[v : v + dy] if dy else y[:0])[dx, dy])
-            u, v, before = u + dx, v + dy, q
-    return total if (u, v) == (len(x), len(y)) else -np.inf
-
-
-def _align(batches: Iterator[pa.RecordBatch], model: PairHmm) -> Iterator[pa.RecordBatch]:
+    for q in path:
+        dx, dy = model.steps[q]
+        if u + dx > t.lx or v + dy > t.ly:
+            return -np.inf
+        c = 0 if model.chooser is None or before is None else int(t.classes(np.array([u]), np.array([v]))[0])
+        total += float(t.pi[q] if before is None else t.a[c, before, q])
+        u, v, before = u + dx, v + dy, q
+        total += float(t.emissions(q, slice(u - 1, u) if dx else slice(0, 0), slice(v - 1, v) if dy else slice(0, 0))[0])
+    return total if (u, v) == (t.lx, t.ly) else -np.inf
+
+
+def _sequences(column: pa.Array) -> list[np.ndarray | None]:
+    """Codes of each row, of shape (items) or (tracks, items); unknown ones are -1."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not pa.types.is_list(column.type.value_type):
+        values, at = chain.ragged(column)
+        coded = np.nan_to_num(values, nan=-1).astype(np.int64)
+        return [coded[a:b] if ok else None for a, b, ok in zip(at[:-1], at[1:], column.is_valid().to_pylist(), strict=True)]
+    rows = []
+    for row in column.to_pylist():
+        if row is not None and len({len(r or []) for r in row}) > 1:
+            raise ValueError("the tracks of a sequence have one length")
+        rows.append(None if row is None else np.array([[-1 if v is None else v for v in r or []] for r in row], np.int64).reshape(len(row), -1))
+    return rows
+
+
+def _align(batches: Iterator[pa.RecordBatch], model: PairHmm, segment: str | None, most_cells: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        (xs, xa), (ys, ya) = (chain.ragged(batch.column(c)) for c in ("x", "y"))
-        ok = np.array(batch.column("x").is_valid()) & np.array(batch.column("y").is_valid())
+        xs, ys = (_sequences(batch.column(c)) for c in ("x", "y"))
+        parts = batch.column(segment).to_pylist() if segment else [None] * batch.num_rows
         paths, logp = [None] * batch.num_rows, [None] * batch.num_rows
-        for r in range(batch.num_rows):
-            if ok[r]:
-                paths[r], logp[r] = align(model, *(np.nan_to_num(v[a[r] : a[r + 1]], nan=-1).astype(int) for v, a in ((xs, xa), (ys, ya))))
+        for r, (x, y, p) in enumerate(zip(xs, ys, parts, strict=True)):
+            if x is not None and y is not None:
+                how = {} if p is None else {"lo": (p["u0"], p["v0"]), "hi": (p["u1"], p["v1"]), "before": p["before"], "end": p["end"]}
+                paths[r], logp[r] = align(model, x, y, most_cells=most_cells, **how)
         yield pa.RecordBatch.from_arrays([batch.column("pair_id"), pa.array(paths, pa.list_(pa.int32())), pa.array(logp, pa.float64())], names=["pair_id", "path", "logp"])
 
 
-def align_pairs(pairs: DataFrame, model: PairHmm) -> DataFrame:
+def align_pairs(pairs: DataFrame, model: PairHmm, segment: str | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
     """``pair_id, path, logp`` of rows ``pair_id, x, y``: the likeliest alignment. Null sequences give nulls, an impossible
-    pair an empty path and -Infinity. A pair's table has len(x) * len(y) * states cells in one task."""
-    return pairs.select("pair_id", "x", "y").mapInArrow(partial(_align, model=model), f"pair_id {pairs.schema['pair_id'].dataType.simpleString()}, path array<int>, logp double")
+    pair an empty path and -Infinity.
+
+    ``x`` and ``y`` are arrays of codes, or of tracks of codes. ``segment`` names a struct column ``u0, v0, u1, v1, before, end`` that bounds
+    each row's alignment as in :func:`align`; a null struct aligns all. A task's table has ``most_cells`` cells at most, whatever the lengths.
+    """
+    names = ["pair_id", "x", "y", *([segment] if segment else [])]
+    return pairs.select(*names).mapInArrow(partial(_align, model=model, segment=segment, most_cells=most_cells), f"pair_id {pairs.schema['pair_id'].dataType.simpleString()}, path array<int>, logp double")
