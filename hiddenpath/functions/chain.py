@@ -83,12 +83,19 @@ def emissions(model: Hmm, x: np.ndarray) -> np.ndarray:
     return e
 
 
+def least_scale(model: Hmm) -> float:
+    """A step whose likelihood given those before is under this is impossible."""
+    return EPS if isinstance(model, DiscreteHmm) else float(np.finfo(float).tiny)
+
+
 def _step(prev: np.ndarray, a: np.ndarray, cls: np.ndarray | None) -> np.ndarray:
     return prev @ a[0] if cls is None else np.einsum("bi,bij->bj", prev, a[cls])
 
 
-def forward(model: Hmm, e: np.ndarray, n: np.ndarray, classes: np.ndarray | None = None, eps: float = EPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward variables, scales and log-likelihoods; -inf once a step's scale is under ``eps``."""
+def forward(model: Hmm, e: np.ndarray, n: np.ndarray, classes: np.ndarray | None = None, eps: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward variables, scales and log-likelihoods; -inf once a step's scale is under ``eps``: EPS for
+    probabilities; densities depend on the unit, so for them it is the smallest normal double."""
+    eps = least_scale(model) if eps is None else eps
     rows, steps, _ = e.shape
     s = model.silent_order()
     loud = [i for i in range(model.n) if i not in s]
@@ -126,7 +133,9 @@ def backward(model: Hmm, e: np.ndarray, n: np.ndarray, scale: np.ndarray, classe
     beta[np.flatnonzero(n > 0), n[n > 0] - 1] = 1.0
     for t in range(e.shape[1] - 2, -1, -1):
         k = int((n > t + 1).sum())
-        after = np.divide(e[:k, t + 1] * beta[:k, t + 1], scale[:k, t + 1, None], out=np.zeros_like(e[:k, t + 1]), where=scale[:k, t + 1, None] > 0)
+        with np.errstate(over="ignore"):  # of a state that can't be reached where all others are far out
+            after = np.divide(e[:k, t + 1] * beta[:k, t + 1], scale[:k, t + 1, None], out=np.zeros_like(e[:k, t + 1]), where=scale[:k, t + 1, None] > 0)
+        after = np.minimum(after, 1e200)
         got = after @ model.a[0].T if classes is None else np.einsum("bj,bij->bi", after, model.a[classes[:k, t]])
         if s:
             got[:, s] = got[:, s] @ inside.T
@@ -201,7 +210,8 @@ def expected(model: Hmm, e: np.ndarray, n: np.ndarray, alpha: np.ndarray, beta:
     trans = np.zeros_like(model.a)
     if e.shape[1] > 1:
         live = np.arange(1, e.shape[1]) < n[:, None]
-        after = np.where(live[:, :, None], e[:, 1:] * beta[:, 1:], 0) / np.where(scale[:, 1:] > 0, scale[:, 1:], 1)[:, :, None]
+        with np.errstate(over="ignore"):
+            after = np.minimum(np.where(live[:, :, None], e[:, 1:] * beta[:, 1:], 0) / np.where(scale[:, 1:] > 0, scale[:, 1:], 1)[:, :, None], 1e200)
         before = alpha[:, :-1] * w[:, None, None]
         for c in range(len(model.a)):
             use = live if classes is None else live & (classes[:, : e.shape[1] - 1] == c)

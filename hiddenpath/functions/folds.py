@@ -7,11 +7,12 @@ states (the expression has n squared terms); :mod:`hiddenpath.operators.decoding
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hiddenpath.model import ContinuousHmm, DiscreteHmm
+from hiddenpath.model import EPS, ContinuousHmm, DiscreteHmm
 
 
 def encode(obs: Column, alphabet: tuple) -> Column:
@@ -48,23 +49,30 @@ def state_density(x: Column, model: ContinuousHmm, state: int) -> Column:
 
 
 def _likelihoods(model: DiscreteHmm | ContinuousHmm, x: Column) -> list[Column]:
+    """As in the Arrow operators: a null item has likelihood 1 in every state, a code outside the alphabet 0."""
+    if len(model.a) > 1:
+        raise ValueError(f"a model of {len(model.a)} transition classes needs the Arrow operators and a column of classes")
     if isinstance(model, ContinuousHmm):
-        return [state_density(x, model, i) for i in range(model.n)]
+        return [F.coalesce(state_density(x, model, i), F.lit(1.0)) for i in range(model.n)]
     if model.silent or any(model.order(i) for i in range(model.n)):
         raise ValueError("silent and higher-order states need the Arrow operators")
-    return [F.get(F.array(*[F.lit(float(p)) for p in model.b[i]]), x) for i in range(model.n)]
+    tables = [F.array(*[F.lit(float(p) if p >= EPS else 0.0) for p in model.b[i]]) for i in range(model.n)]
+    return [F.when(x.isNull(), 1.0).otherwise(F.coalesce(F.get(b, x), F.lit(0.0))) for b in tables]
 
 
 def filtered(model: DiscreteHmm | ContinuousHmm, obs: Column) -> Column:
     """Struct ``alpha`` (state probabilities after the last observation) and ``logp``; null logp: impossible."""
     zero = F.struct(F.array(*[F.lit(float(p)) for p in model.pi]).alias("alpha"), F.lit(0.0).alias("logp"), F.lit(True).alias("first"))
 
+    least = EPS if isinstance(model, DiscreteHmm) else sys.float_info.min
+
     def step(acc: Column, x: Column) -> Column:
         e = _likelihoods(model, x)
         moved = [sum((acc.alpha[i] * float(model.a[0][i, j]) for i in range(model.n) if model.a[0][i, j] > 0), F.lit(0.0)) for j in range(model.n)]
         raw = F.array(*[F.when(acc.first, acc.alpha[j]).otherwise(moved[j]) * e[j] for j in range(model.n)])
-        # a transform over one element names the unscaled vector, and another its sum
-        named = F.transform(F.array(raw), lambda r: F.struct(r.alias("r"), F.aggregate(r, F.lit(0.0), lambda p, q: p + q).alias("s")))
+        # a transform over one element names the unscaled vector, and another its sum, null where that is too small
+        total = F.transform(F.array(raw), lambda r: F.struct(r.alias("r"), F.aggregate(r, F.lit(0.0), lambda p, q: p + q).alias("s")))
+        named = F.transform(total, lambda v: F.struct(v.r.alias("r"), F.when(v.s >= least, v.s).alias("s")))
         out = F.transform(named, lambda v: F.struct(F.transform(v.r, lambda y: F.try_divide(y, v.s)).alias("alpha"), (acc.logp + F.ln(v.s)).alias("logp"), F.lit(False).alias("first")))
         return out[0]
 

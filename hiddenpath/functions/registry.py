@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -9,13 +12,17 @@ from pyspark.sql import functions as F
 
 from hiddenpath.functions import chain
 from hiddenpath.model import Hmm
+from hiddenpath.operators.decoding import known_classes
 
 
 def register(spark: SparkSession, name: str, model: Hmm) -> None:
     """SQL functions ``<name>_logp(obs)``, ``<name>_path(obs)`` and ``<name>_posterior(obs)`` over arrays of codes or reals; null for null.
 
-    ``SELECT seq_id, posexplode(<name>_path(obs)) AS (t, state)`` gives a row per step; an impossible sequence has posteriors of zeros.
+    The table function ``<name>_decode(obs)`` gives the likeliest path in long form, ``t, state, label``, and joins laterally:
+    ``SELECT s.seq_id, d.t, d.state FROM seqs s, LATERAL <name>_decode(s.obs) d``. Null, empty and impossible sequences have no rows there; an
+    impossible sequence has posteriors of zeros. With silent states, ``t`` counts the states of the path.
     """
+    known_classes(model, False, "the Arrow operators and a column of classes")
 
     def run(obs: pd.Series, what: str) -> list:
         one = pa.list_(pa.float64()) if getattr(model, "dim", 1) > 1 else pa.float64()
@@ -44,6 +51,19 @@ def register(spark: SparkSession, name: str, model: Hmm) -> None:
     def posterior(obs: pd.Series) -> pd.Series:
         return pd.Series(run(obs, "posterior"), dtype="object")
 
+    labels = [str(v) for v in model.labels] if model.labels else [None] * model.n
+    dims = getattr(model, "dim", 1)
+
+    class Decode:
+        def eval(self, obs: list | None) -> Iterator[tuple[int, int, str | None]]:
+            if not obs:
+                return
+            x = np.array([[np.nan] * dims if v is None and dims > 1 else np.nan if v is None else v for v in obs], float)[None]
+            path = chain.viterbi(model, chain.emissions(model, x), np.array([len(obs)]))[0][0]
+            for t, q in enumerate(path.tolist()):
+                yield t, q, labels[q]
+
+    spark.udtf.register(f"{name}_decode", F.udtf(Decode, returnType="t int, state int, label string"))
     spark.udf.register(f"{name}_logp", logp)
     spark.udf.register(f"{name}_posterior", posterior)
     spark.udf.register(f"{name}_path", path)

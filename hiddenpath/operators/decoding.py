@@ -29,6 +29,12 @@ OUTPUTS = {
 }
 
 
+def known_classes(model: Hmm, given: bool, what: str = "a column of classes") -> None:
+    """An error for a model with several transition classes where nothing tells the class of a step."""
+    if len(model.a) > 1 and not given:
+        raise ValueError(f"a model of {len(model.a)} transition classes needs {what}")
+
+
 def _whole(batch: pa.RecordBatch, column: str, like: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     values, at = chain.ragged(batch.column(column))
     if (np.diff(at) != np.diff(like[1])).any():
@@ -91,25 +97,40 @@ def decode(seqs: DataFrame, model: Hmm, outputs: list[str], classes: str | None
     state; an impossible sequence has logp -Infinity and an empty path. ``history`` False decodes paths as if
     all states were of order 0 and without the start chances of silent ones.
     """
+    known_classes(model, classes is not None)
     names = ["seq_id", "obs", *[c for c in (classes, restrict) if c]]
     schema = f"seq_id {seqs.schema['seq_id'].dataType.simpleString()}, " + ", ".join(f"{o} {OUTPUTS[o][1]}" for o in outputs)
     return seqs.select(*dict.fromkeys(names)).mapInArrow(partial(_decode, model=model, outputs=outputs, classes=classes, restrict=restrict, history=history), schema)
 
 
-def _score_all(batches: Iterator[pa.RecordBatch], models: list[Hmm]) -> Iterator[pa.RecordBatch]:
+def _score_all(batches: Iterator[pa.RecordBatch], models: list[Hmm], classes: str | None, only: list[int] | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         obs = chain.ragged(batch.column("obs"))
-        scores = np.zeros((batch.num_rows, len(models)))
+        cls = _whole(batch, classes, obs) if classes else None
+        if only is None:
+            scores, columns = np.zeros((batch.num_rows, len(models))), batch.columns
+        else:
+            scores, columns = chain.ragged(batch.column("scores"))[0].reshape(-1, len(models)).copy(), [batch.column(c) for c in batch.schema.names if c != "scores"]
         for k, m in enumerate(models):
+            if only is not None and k not in only:
+                continue
             for at, n, x in chain.padded(*obs, m.n):
-                scores[at, k] = chain.forward(m, chain.emissions(m, x), n)[2]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(scores), _DOUBLES)], names=[*batch.schema.names, "scores"])
+                c = None if cls is None else np.minimum(np.nan_to_num(_pick(cls, obs[1], at, n)), len(m.a) - 1).astype(np.int64)
+                scores[at, k] = chain.forward(m, chain.emissions(m, x), n, c)[2]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(scores), _DOUBLES)], names=[*[c for c in batch.schema.names if c != "scores"], "scores"])
 
 
-def score_all(seqs: DataFrame, models: list[Hmm]) -> DataFrame:
-    """All columns of ``seqs`` and ``scores``, the log-likelihood under each model: rows aren't multiplied by models."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seqs.schema)
-    return seqs.mapInArrow(partial(_score_all, models=models), f"{columns}, scores array<double>")
+def score_all(seqs: DataFrame, models: list[Hmm], classes: str | None = None, only: list[int] | None = None) -> DataFrame:
+    """All columns of ``seqs`` and ``scores``, the log-likelihood under each model: rows aren't multiplied by models.
+
+    ``classes`` names a column of transition classes as in :func:`decode`; models of fewer classes take their last for a
+    higher one, and models of several need the column. ``only`` lists the models to score again: ``seqs`` then has ``scores``, of which the
+    others' stay.
+    """
+    for m in models:
+        known_classes(m, classes is not None)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seqs.schema if f.name != "scores")
+    return seqs.mapInArrow(partial(_score_all, models=models, classes=classes, only=only), f"{columns}, scores array<double>")
 
 
 def classify(seqs: DataFrame, models: list[Hmm], keep: Sequence[str] = ()) -> DataFrame:
@@ -182,8 +203,8 @@ def trajectory(seqs: DataFrame, models: list[Hmm]) -> DataFrame:
     The last entry is that of :func:`classify`. Zeros stand where no model can emit the items so far; a null sequence
     gives null, an empty one an empty array. Models with silent states raise an error.
     """
-    if any(m.silent for m in models):
-        raise ValueError("a trajectory needs models without silent states")
+    if any(m.silent or len(m.a) > 1 for m in models):
+        raise ValueError("a trajectory needs models without silent states and with one transition class")
     priors = np.array([1 / len(models) if m.prior is None or m.prior < 0 else m.prior for m in models])
     with np.errstate(divide="ignore"):
         shift = np.log(priors / priors.sum())

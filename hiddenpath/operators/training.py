@@ -7,24 +7,38 @@ reaches the driver has the size of the models, whatever the number of sequences.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hiddenpath.functions import chain
 from hiddenpath.functions.folds import entropy, log_sum_exp, softmax
 from hiddenpath.model import EPS, ContinuousHmm, DiscreteHmm, Hmm
-from hiddenpath.operators.decoding import _pick, score_all
+from hiddenpath.operators.decoding import _pick, known_classes, score_all
 
 MAX_STEPS, TOLERANCE, PENALTY, LEAST_VARIANCE = 500, 1e-4, -500.0, 1e-4
 _SCHEMA = "model_id int, stat string, i int, j int, value double"
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` persisted for a while; what the caller has persisted stays so."""
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        yield df
+        return
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 class _Sums:
     """Statistics of one model: arrays by name."""
 
@@ -69,7 +83,7 @@ class _Sums:
                 self.of[f"c{i}"][k] += np.concatenate([[r.sum()], r @ v, ((off * r[:, None]).T @ off).reshape(-1)])
 
 
-def _collect(batches: Iterator[pa.RecordBatch], models: list[Hmm], weights: str | None, classes: str | None, restrict: str | None) -> Iterator[pa.RecordBatch]:
+def _collect(batches: Iterator[pa.RecordBatch], models: list[Hmm], weights: str | None, classes: str | None, restrict: str | None, held: list[bool] | None) -> Iterator[pa.RecordBatch]:
     sums = [_Sums(m) for m in models]
     for batch in batches:
         obs = chain.ragged(batch.column("obs"))
@@ -80,27 +94,30 @@ def _collect(batches: Iterator[pa.RecordBatch], models: list[Hmm], weights: str
             shares = np.broadcast_to(w.reshape(len(rows), -1), shares.shape)
         cls = chain.ragged(batch.column(classes))[0] if classes else None
         lab = chain.ragged(batch.column(restrict))[0] if restrict else None
-        for s, w in zip(sums, shares.T, strict=True):
+        for s, w, bound in zip(sums, shares.T, held or [True] * len(sums), strict=True):
             for at, n, x in chain.padded(*obs, s.model.n):
                 if not w[at].any():
                     continue
                 c = None if cls is None else np.nan_to_num(_pick(cls, obs[1], at, n)).astype(np.int64)
-                mask = None if lab is None else _pick(lab, obs[1], at, n)[:, :, None] == np.array([float(v) for v in s.model.labels])
+                mask = None if lab is None or not bound else _pick(lab, obs[1], at, n)[:, :, None] == np.array([float(v) for v in s.model.labels])
                 s.add(x, n, w[at], c, mask)
     out = [(k, name, i, j, v) for k, s in enumerate(sums) for name, x in s.of.items() for (i, j), v in np.ndenumerate(np.atleast_2d(x)) if v]
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["model_id", "stat", "i", "j", "value"])
 
 
-def statistics(seqs: DataFrame, models: list[Hmm], weights: str | None = None, classes: str | None = None, restrict: str | None = None) -> DataFrame:
+def statistics(seqs: DataFrame, models: list[Hmm], weights: str | None = None, classes: str | None = None, restrict: str | None = None, held: list[bool] | None = None) -> DataFrame:
     """Expected counts of all sequences: ``model_id, stat, i, j, value``.
 
     ``weights`` names a column of a weight per sequence, or of an array of a weight per model. Statistics: ``pi`` (j: state),
     ``a`` (i: source, j: class * n + target), ``b<state>`` (j: table entry), ``c<state>`` (i: component, j: responsibility, sums, second moments
     about the old mean), ``logp`` (j 0: log-likelihood, an impossible sequence as PENALTY; 1: weight; 2: impossible weight).
+    ``held`` tells the models that the labels of ``restrict`` bind; without it they bind all.
     """
+    for m in models:
+        known_classes(m, classes is not None)
     names = ["obs", *[c for c in (weights, classes, restrict) if c]]
-    parts = seqs.select(*names).mapInArrow(partial(_collect, models=models, weights=weights, classes=classes, restrict=restrict), _SCHEMA)
+    parts = seqs.select(*names).mapInArrow(partial(_collect, models=models, weights=weights, classes=classes, restrict=restrict, held=held), _SCHEMA)
     return parts.groupBy("model_id", "stat", "i", "j").agg(F.sum("value").alias("value"))
 
 
@@ -169,20 +186,80 @@ def _positive(cov: np.ndarray) -> np.ndarray:
         return (axes * np.maximum(size, LEAST_VARIANCE)) @ axes.T
 
 
+def bracketed_root(f: Callable[[float], float], lo: float, hi: float, tolerance: float = 1e-13, most: int = 200) -> float:
+    """A root of ``f`` between two places where its signs differ.
+
+    The next place comes from the inverse parabola through the last three, or the secant through two; where that leaves
+    the bracket or shrinks it too slowly, the bracket is halved.
+    """
+    a, b, fa, fb = lo, hi, f(lo), f(hi)
+    if fa == 0 or fb == 0:
+        return a if fa == 0 else b
+    if (fa > 0) == (fb > 0):
+        raise ValueError("the signs at both ends are the same")
+    c, fc, wide = a, fa, abs(b - a)
+    for _ in range(most):
+        if abs(fa) < abs(fb):
+            a, b, fa, fb = b, a, fb, fa
+        if fb == 0 or abs(b - a) <= tolerance * max(1.0, abs(b)):
+            break
+        r, s, t = fb / fa, fb / fc, fc / fa  # ratios, as products of small values would vanish
+        if fc not in (fa, fb) and 1 not in (r, s, t):
+            x = b + s * (t * (r - t) * (c - b) - (1 - r) * (b - a)) / ((t - 1) * (r - 1) * (s - 1))
+        else:
+            x = b - fb * ((b - a) / (fb - fa)) if fb != fa else b
+        inside = min(a, b) < x < max(a, b)
+        if not inside or abs(b - a) > 0.5 * wide:
+            x = (a + b) / 2
+        wide = abs(b - a)
+        c, fc, fx = b, fb, f(x)
+        if (fx > 0) == (fb > 0):
+            b, fb = x, fx
+        else:
+            a, fa = b, fb
+            b, fb = x, fx
+    return b
+
+
+def _excess(z: float) -> float:
+    """Hazard of the standard normal at ``z``, less ``z``: a continued fraction far out, where the difference would cancel."""
+    if z < 5:
+        return math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / (0.5 * math.erfc(z / math.sqrt(2))) - z
+    x = z
+    for k in range(150, 1, -1):
+        x = z + k / x
+    return 1 / x
+
+
+def tail_moments(z: float) -> tuple[float, float]:
+    """Mean distance from the cut and variance of a standard normal cut at ``z``, above it."""
+    d = _excess(z)
+    return d, 1 - (d + z) * d
+
+
+#: Cuts that a fit looks between, in standard deviations: below, a cut no longer shows; above, a tail is exponential.
+NEAREST_CUT, FARTHEST_CUT = -38.0, 100.0
+
+
 def _fit_tail(c, mean: float, var: float) -> None:
-    """Location and variance of a truncated normal whose mean and variance are as observed, by fixed-point steps."""
+    """Location and variance of a truncated normal whose mean and variance are as observed.
+
+    The variance over the squared distance of mean and cut rises with the cut's place, from 0 to the 1 of an exponential
+    tail, so one root gives the place and with it both. A ratio that no cut has gets the farthest.
+    """
     cut, sign = (c.lo, 1.0) if c.kind == "normal_right" else (c.hi, -1.0)
-    mu, s2 = float(c.mean), float(c.var)
-    for _ in range(200):
-        sd = math.sqrt(s2)
-        z = sign * (cut - mu) / sd
-        tail = max(0.5 * math.erfc(z / math.sqrt(2)), 1e-300)
-        h = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / tail
-        to_mu, to_s2 = mean - sign * sd * h, max(LEAST_VARIANCE, var / max(1 + z * h - h * h, 0.05))
-        if abs(to_mu - mu) + abs(to_s2 - s2) < 1e-10:
-            break
-        mu, s2 = 0.5 * (mu + to_mu), 0.5 * (s2 + to_s2)
-    c.mean, c.var = mu, s2
+    far = sign * (mean - cut)
+    if far <= 0 or var <= 0:
+        return  # all at the cut
+    ratio = var / far**2
+
+    def miss(z: float) -> float:
+        d, v = tail_moments(z)
+        return math.log(v) - 2 * math.log(d) - math.log(ratio)
+
+    z = -1 / math.sqrt(ratio) if miss(NEAREST_CUT) >= 0 else FARTHEST_CUT if miss(FARTHEST_CUT) <= 0 else bracketed_root(miss, NEAREST_CUT, FARTHEST_CUT)
+    sd = far / _excess(z) if z > NEAREST_CUT else math.sqrt(var)
+    c.mean, c.var = cut - sign * z * sd, max(LEAST_VARIANCE, sd * sd)
 
 
 @dataclass
@@ -200,9 +277,9 @@ def baum_welch(seqs: DataFrame, model: Hmm, max_steps: int = MAX_STEPS, toleranc
     """
     if model.silent:
         raise ValueError("models with silent states can't be trained")
+    known_classes(model, classes is not None)
     trace: list[float] = []
-    seqs = seqs.persist()
-    try:
+    with kept(seqs):
         for _ in range(max_steps):
             s = _gathered([model], statistics(seqs, [model], weights, classes, restrict))[0]
             if not s.of["logp"][1]:
@@ -211,47 +288,62 @@ def baum_welch(seqs: DataFrame, model: Hmm, max_steps: int = MAX_STEPS, toleranc
             model = updated(s)
             if len(trace) > 1 and abs(trace[-1] - trace[-2]) < abs(tolerance * trace[-1]):
                 break
-    finally:
-        seqs.unpersist()
     return Trained(model, trace)
 
 
-def cluster(seqs: DataFrame, models: list[Hmm], rounds: int = 20, inner: int = 1, priors: bool = False) -> tuple[list[Hmm], DataFrame]:
-    """Hard clustering: each sequence to its likeliest model, and models retrained on their members, until no one moves.
+def _same(x: Hmm, y: Hmm) -> bool:
+    """Whether two models of one structure have equal parameters."""
+    if not (np.array_equal(x.pi, y.pi) and np.array_equal(x.a, y.a)):
+        return False
+    if isinstance(x, DiscreteHmm):
+        return all(np.array_equal(p, q) for p, q in zip(x.b, y.b, strict=True))
+    pairs = [(p, q) for i, j in zip(x.components, y.components, strict=True) for p, q in zip(i, j, strict=True)]
+    return all(p.weight == q.weight and np.array_equal(p.mean, q.mean) and np.array_equal(p.var, q.var) for p, q in pairs)
+
 
-    One job scores all models, another adds up all their statistics. Returns the models and ``seq_id, model_id``. A sequence
+def cluster(seqs: DataFrame, models: list[Hmm], rounds: int = 20, inner: int = 1, priors: bool = False, settle: bool = False) -> tuple[list[Hmm], DataFrame]:
+    """Hard clustering: each sequence to its best model, and models retrained on their members, until no one moves.
+
+    Best is the likeliest, or with ``priors`` the one of the largest log-likelihood plus log prior, the share of members. The scores of
+    all models are kept; a round computes those again whose models changed. One job adds up all statistics. With ``settle``, a
+    model whose members are those of the round before is left as it is, so late rounds touch few models; without, all
+    are trained on. Returns the models and ``seq_id, model_id``. A sequence
     that no model can emit goes to seq_id's hash modulo the models. A model without members stays as it is.
     """
     models = [m.copy() for m in models]
-    seqs = seqs.persist()
-    before: tuple | None = None
+    before: dict | None = None
+    scored = score_all(seqs.select("seq_id", "obs"), models).persist()
     try:
-        for _ in range(rounds):
-            # scored once: the counts and the statistics read what is kept
-            assigned = _assign(seqs, models, priors).persist()
-            try:
-                counts = {r["model_id"]: (r["n"], r["h"]) for r in assigned.groupBy("model_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("seq_id").cast("decimal(38,0)")).alias("h")).collect()}
-                now = tuple(sorted(counts.items()))
+        for turn in range(rounds):
+            # assigned once: the counts and the statistics read what is kept
+            with kept(_assigned(scored, models, priors)) as assigned:
+                now = {r["model_id"]: (r["n"], r["h"]) for r in assigned.groupBy("model_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("seq_id").cast("decimal(38,0)")).alias("h")).collect()}
                 if now == before:
                     break
+                dirty = [k for k in range(len(models)) if k in now and not (settle and before is not None and before.get(k) == now[k])]
                 before = now
-                hot = assigned.withColumn("_w", F.array(*[(F.col("model_id") == k).cast("double") for k in range(len(models))]))
-                for _ in range(inner):
+                hot = assigned.where(F.col("model_id").isin(dirty)).withColumn("_w", F.array(*[(F.col("model_id") == k).cast("double") for k in dirty]))
+                old = list(models)
+                for _ in range(inner if dirty else 0):
                     # members stay as they were assigned while models are refined
-                    models = [updated(s) for s in _gathered(models, statistics(hot, models, "_w"))]
-            finally:
-                assigned.unpersist()
-            total = sum(n for n, _ in counts.values())
+                    for k, s in zip(dirty, _gathered([models[k] for k in dirty], statistics(hot, [models[k] for k in dirty], "_w")), strict=True):
+                        models[k] = updated(s)
+            total = sum(n for n, _ in now.values())
             for k, m in enumerate(models):
-                m.prior = counts.get(k, (0, 0))[0] / total
+                m.prior = now.get(k, (0, 0))[0] / total
+            changed = [k for k in range(len(models)) if not _same(old[k], models[k])]
+            if changed:
+                scored, last = score_all(scored, models, only=changed).persist(), scored
+                scored.count()
+                last.unpersist()
     finally:
-        seqs.unpersist()
-    return models, _assign(seqs, models, priors).select("seq_id", "model_id")
+        scored.unpersist()
+    return models, _assigned(score_all(seqs.select("seq_id", "obs"), models), models, priors).select("seq_id", "model_id")
 
 
-def _assign(seqs: DataFrame, models: list[Hmm], priors: bool) -> DataFrame:
+def _assigned(scored: DataFrame, models: list[Hmm], priors: bool) -> DataFrame:
     shift = F.array(*[F.lit(float(np.log(m.prior)) if priors and m.prior else 0.0) for m in models])
-    s = score_all(seqs.select("seq_id", "obs"), models).withColumn("s", F.transform("scores", lambda v, k: v + F.get(shift, k)))
+    s = scored.withColumn("s", F.transform("scores", lambda v, k: v + F.get(shift, k)))
     best = F.when(F.array_max("s") == float("-inf"), F.pmod(F.xxhash64("seq_id"), F.lit(len(models))).cast("int")).otherwise(F.array_position("s", F.array_max("s")).cast("int") - 1)
     return s.select("seq_id", "obs", best.alias("model_id"))
 
@@ -263,21 +355,24 @@ def responsibilities(seqs: DataFrame, models: list[Hmm], priors: list[float]) ->
     return s.select("seq_id", "obs", F.when(F.array_max("j") == float("-inf"), F.transform("j", lambda v: F.lit(0.0))).otherwise(softmax(F.col("j"))).alias("p"), log_sum_exp(F.col("j")).alias("ll"))
 
 
-def mixture(seqs: DataFrame, models: list[Hmm], priors: list[float] | None = None, rounds: int = 75, tolerance: float = 1e-3, inner: int = 1) -> tuple[list[Hmm], list[float], list[float]]:
-    """Soft mixture of models by EM: models, priors and the log-likelihood before each round."""
+def mixture(seqs: DataFrame, models: list[Hmm], priors: list[float] | None = None, rounds: int = 75, tolerance: float = 1e-3, inner: int = 1, start: str = "models", seed: int = 0) -> tuple[list[Hmm], list[float], list[float]]:
+    """Soft mixture of models by EM: models, priors and the log-likelihood before each round.
+
+    ``start``: ``models`` takes them as they are; ``random`` trains them a step on random shares, ``hard`` on the sequences
+    that each is likeliest for, ``spread`` each on one sequence, chosen with the chance of its distance from those chosen before.
+    Choices depend on ``seed`` and ids alone.
+    """
     priors = priors or [1 / len(models)] * len(models)
-    seqs, trace = seqs.persist(), []
-    try:
+    trace: list[float] = []
+    with kept(seqs):
+        models = _started(seqs, models, priors, start, seed)
         for _ in range(rounds):
-            shares = responsibilities(seqs, models, priors).persist()
-            try:
+            with kept(responsibilities(seqs, models, priors)) as shares:
                 for _ in range(inner):
                     # the shares keep the models they were computed with
                     sums = _gathered(models, statistics(shares, models, "p"))
                     models = [updated(s) for s in sums]
                 fit = shares.agg(F.sum(F.when(F.col("ll") > float("-inf"), F.col("ll")).otherwise(PENALTY)), F.count("*")).first()
-            finally:
-                shares.unpersist()
             if not fit[1]:
                 break
             trace.append(fit[0])
@@ -285,11 +380,57 @@ def mixture(seqs: DataFrame, models: list[Hmm], priors: list[float] | None = Non
             priors = (weight / max(weight.sum(), EPS)).tolist()
             if len(trace) > 1 and abs(trace[-1] - trace[-2]) <= tolerance * abs(trace[-2]):
                 break
-    finally:
-        seqs.unpersist()
     return models, priors, trace
 
 
+STARTS = ("models", "random", "hard", "spread")
+
+
+def _uniform(seed: int, *more: int) -> Column:
+    """A number over 0 and up to 1 for each sequence, by a hash of its id."""
+    return (F.pmod(F.xxhash64("seq_id", *[F.lit(k) for k in (seed, *more)]), F.lit(1 << 40)) + 1) / float(1 << 40)
+
+
+def _started(seqs: DataFrame, models: list[Hmm], priors: list[float], start: str, seed: int) -> list[Hmm]:
+    if start not in STARTS:
+        raise ValueError(f"a mixture starts by one of {', '.join(STARTS)}")
+    count = len(models)
+    if start == "models":
+        return models
+    if start == "spread":
+        out: list[Hmm] = []
+        for k in range(count):
+            known = score_all(seqs.select("seq_id", "obs"), out) if out else seqs.select("seq_id", "obs")
+            # how badly the chosen ones explain an item; the smallest of -ln(u) / distance is a draw with the chances of the distances
+            per_item = F.array_max("scores") / F.greatest(F.size("obs"), F.lit(1)) if out else F.lit(-1.0)
+            far = F.when(per_item == float("-inf"), -PENALTY).otherwise(F.greatest(-per_item, F.lit(EPS)))
+            drawn = known.where("size(obs) > 0").select("seq_id", "obs", (-F.ln(_uniform(seed, k)) / far).alias("key")).orderBy("key", "seq_id").limit(1)
+            out += [updated(s) for s in _gathered([models[k]], statistics(drawn, [models[k]]))]
+        return out
+    if start == "random":
+        raw = F.array(*[-F.ln(_uniform(seed, k)) for k in range(count)])  # scaled, they are uniform over all shares
+        total = F.aggregate("p", F.lit(0.0), lambda x, y: x + y)
+        shares = seqs.select("seq_id", "obs", raw.alias("p")).select("obs", F.transform("p", lambda v: v / total).alias("p"))
+    else:
+        shift = F.array(*[F.lit(float(np.log(p)) if p > 0 else float("-inf")) for p in priors])
+        j = score_all(seqs.select("seq_id", "obs"), models).select("obs", F.transform("scores", lambda v, k: v + F.get(shift, k)).alias("j"))
+        best = F.array_position("j", F.array_max("j")) - 1
+        shares = j.select("obs", F.array(*[(best == k).cast("double") for k in range(count)]).alias("p"))
+    return [updated(s) for s in _gathered(models, statistics(shares, models, "p"))]
+
+
+def best_mixture(seqs: DataFrame, models: list[Hmm], tries: list[tuple[str, int]], **how) -> tuple[list[Hmm], list[float], list[tuple[str, int, float]]]:
+    """The best of several starts ``(start, seed)``: its models and priors, and each try's last log-likelihood."""
+    best, report = None, []
+    with kept(seqs):
+        for start, seed in tries:
+            got = mixture(seqs, models, start=start, seed=seed, **how)
+            report.append((start, seed, got[2][-1] if got[2] else float("-inf")))
+            if best is None or report[-1][2] > best[0]:
+                best = (report[-1][2], got)
+    return best[1][0], best[1][1], report
+
+
 def mixture_decode(seqs: DataFrame, models: list[Hmm], priors: list[float], most_entropy: float) -> DataFrame:
     """``seq_id, model_id, entropy``: the likeliest model, null where the shares' entropy is over the bound."""
     s = responsibilities(seqs, models, priors).select("seq_id", "p", entropy(F.col("p")).alias("entropy"))
@@ -315,68 +456,103 @@ def _blend(old: Hmm, free: _Sums, held: _Sums, rate: float) -> Hmm:
     return new
 
 
+def _pushed(old: Hmm, held: _Sums, free: _Sums, damping: float) -> Hmm:
+    """Parameters that solve each row's linear system of weighted counts, held less free, with a bound of trust.
+
+    A row becomes (held - free + D * row) / (sum(held - free) + D). D is ``damping`` times the least that keeps every entry and the
+    denominator positive: without competitors it is the closed form of maximum likelihood, a large D stays near the old row.
+    """
+    new = old.copy()
+
+    def solved(p: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+        gain = np.where(p > 0, up - down, 0.0)
+        least = np.max(np.where(p > 0, -gain / np.where(p > 0, p, 1.0), 0.0), -1, keepdims=True)
+        bound = damping * np.maximum(np.maximum(least, -gain.sum(-1, keepdims=True)), 1e-9 + 1e-3 * np.abs(gain).sum(-1, keepdims=True))
+        return np.where(gain.any(-1, keepdims=True), (gain + bound * p) / (gain.sum(-1, keepdims=True) + bound), p)
+
+    n = old.n
+    new.pi = solved(old.pi, held.of["pi"], free.of["pi"])
+    new.a = solved(old.a, *(x.of["a"].reshape(n, len(old.a), n).transpose(1, 0, 2) for x in (held, free)))
+    if isinstance(old, DiscreteHmm):
+        for i in range(n):
+            if i not in old.fixed:
+                new.b[i] = solved(old.b[i].reshape(-1, old.m), held.of[f"b{i}"].reshape(-1, old.m), free.of[f"b{i}"].reshape(-1, old.m)).reshape(-1)
+    return new
+
+
 def gradient_search(seqs: DataFrame, model: DiscreteHmm, labels: str, steps: int = 20, rate: float = 1.0) -> Trained:
     """Conditional likelihood of labellings: climbs sum(labelled logp - logp) over all sequences at once.
 
-    The gradient is the difference of expected counts with and without the labels. A step that lowers the sum is
+    The gradient is the difference of expected counts with and without the labels, added up in one pass. A step that lowers the sum is
     taken back and the rate halved; a gain raises it a little. The trace never falls.
     """
-    seqs = seqs.persist()
-
     def both(m: DiscreteHmm) -> tuple[_Sums, _Sums, float]:
-        held, free = (_gathered([m], statistics(seqs, [m], restrict=r))[0] for r in (labels, None))
+        held, free = _gathered([m, m], statistics(seqs, [m, m], restrict=labels, held=[True, False]))
         return held, free, float(held.of["logp"][0] - free.of["logp"][0])
 
-    held, free, value = both(model)
-    trace = [value]
-    for _ in range(steps):
-        new = _blend(model, free, held, rate)
-        h, f, v = both(new)
-        if v > value:
-            gain, model, held, free, value, rate = v - value, new, h, f, v, rate * 1.2
-            trace.append(v)
-            if gain < TOLERANCE * abs(v):
-                break
-        else:
-            rate /= 2
-            if rate < 1e-4:
-                break
-    seqs.unpersist()
+    with kept(seqs):
+        held, free, value = both(model)
+        trace = [value]
+        for _ in range(steps):
+            new = _blend(model, free, held, rate)
+            h, f, v = both(new)
+            if v > value:
+                gain, model, held, free, value, rate = v - value, new, h, f, v, rate * 1.2
+                trace.append(v)
+                if gain < TOLERANCE * abs(v):
+                    break
+            else:
+                rate /= 2
+                if rate < 1e-4:
+                    break
     return Trained(model, trace)
 
 
-def discriminative(seqs: DataFrame, models: list[Hmm], label: str, steps: int = 10, rate: float = 1.0) -> tuple[list[Hmm], list[float]]:
+def _discriminated(seqs: DataFrame, models: list[Hmm], label: str) -> DataFrame:
+    """``obs``, ``s`` (the logistic log odds of the own model) and ``w``: the slope s (1 - s) for the own model, then the
+    competitors' shares of it; a number for each model twice over."""
+    shift = F.array(*[F.lit(float(np.log(1 / len(models) if not m.prior else m.prior))) for m in models])
+    j = score_all(seqs.select("obs", F.col(label).alias("_own")), models).withColumn("j", F.transform("scores", lambda v, k: v + F.get(shift, k)))
+    j = j.withColumn("rest", log_sum_exp(F.filter(F.transform("j", lambda v, k: F.when(k != F.col("_own"), v)), lambda v: v.isNotNull())))
+    j = j.withColumn("s", 1 / (1 + F.exp(F.col("rest") - F.get("j", F.col("_own")))))
+    slope = F.col("s") * (1 - F.col("s"))
+    own = F.transform("j", lambda v, k: F.when(k == F.col("_own"), slope).otherwise(0.0))
+    other = F.transform("j", lambda v, k: F.when(k != F.col("_own"), slope * F.exp(v - F.col("rest"))).otherwise(0.0))
+    return j.select("obs", "s", F.concat(own, other).alias("w"))
+
+
+def discriminative(seqs: DataFrame, models: list[Hmm], label: str, steps: int = 10, rate: float = 1.0, closed: bool = False) -> tuple[list[Hmm], list[float]]:
     """Models trained to tell their own sequences from the others': climbs the sum of the logistic log odds.
 
-    ``label`` names the column with the own model's number. Each step adds up counts of own sequences with the weight
-    s (1 - s), and those of the others with the competitors' share of it; only steps that gain are kept.
+    ``label`` names the column with the own model's number. A step scores all sequences once, and adds up the counts of own sequences with
+    the weight s (1 - s) and of the others with the competitors' share of it in one pass over what it kept. ``closed`` takes
+    the solution of each row's linear system of those counts (discrete models) instead of a step along the gradient; a step that
+    doesn't gain is taken back, and trusted less. The trace never falls.
     """
-    seqs = seqs.persist()
-    shift = F.array(*[F.lit(float(np.log(1 / len(models) if not m.prior else m.prior))) for m in models])
-
-    def weighted(now: list[Hmm]) -> DataFrame:
-        j = score_all(seqs.select("obs", F.col(label).alias("_own")), now).withColumn("j", F.transform("scores", lambda v, k: v + F.get(shift, k)))
-        j = j.withColumn("rest", log_sum_exp(F.filter(F.transform("j", lambda v, k: F.when(k != F.col("_own"), v)), lambda v: v.isNotNull())))
-        j = j.withColumn("s", 1 / (1 + F.exp(F.col("rest") - F.get("j", F.col("_own")))))
-        slope = F.col("s") * (1 - F.col("s"))
-        own = F.transform("j", lambda v, k: F.when(k == F.col("_own"), slope).otherwise(0.0))
-        other = F.transform("j", lambda v, k: F.when(k != F.col("_own"), slope * F.exp(v - F.col("rest"))).otherwise(0.0))
-        return j.select("obs", "s", own.alias("own"), other.alias("other"))
-
-    w = weighted(models)
-    value = w.agg(F.sum("s")).first()[0] or 0.0
-    trace = [value]
-    for _ in range(steps):
-        up, down = _gathered(models, statistics(w, models, "own")), _gathered(models, statistics(w, models, "other"))
-        new = [_blend(m, d, u, rate) for m, u, d in zip(models, up, down, strict=True)]
-        nw = weighted(new)
-        v = nw.agg(F.sum("s")).first()[0] or 0.0
-        if v > value:
-            models, w, value, rate = new, nw, v, rate * 1.2
-            trace.append(v)
-        else:
-            rate /= 2
-            if rate < 1e-3:
-                break
-    seqs.unpersist()
+    if closed and not all(isinstance(m, DiscreteHmm) for m in models):
+        raise ValueError("the closed form is for discrete models")
+    count, damping = len(models), 2.0
+    with kept(seqs):
+        now = _discriminated(seqs, models, label).persist()
+        try:
+            value = now.agg(F.sum("s")).first()[0] or 0.0
+            trace, counts = [value], None
+            for _ in range(steps):
+                if counts is None:
+                    counts = _gathered([*models, *models], statistics(now, [*models, *models], "w"))
+                up, down = counts[:count], counts[count:]
+                new = [_pushed(m, u, d, damping) if closed else _blend(m, d, u, rate) for m, u, d in zip(models, up, down, strict=True)]
+                tried = _discriminated(seqs, new, label).persist()
+                v = tried.agg(F.sum("s")).first()[0] or 0.0
+                if v > value:
+                    now.unpersist()
+                    models, now, value, counts, rate, damping = new, tried, v, None, rate * 1.2, max(2.0, damping / 2)
+                    trace.append(v)
+                else:
+                    tried.unpersist()
+                    rate, damping = rate / 2, damping * 4
+                    if rate < 1e-3 or damping > 1e6:
+                        break
+        finally:
+            now.unpersist()
     return models, trace
