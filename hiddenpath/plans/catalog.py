@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hiddenpath.functions import folds
+from hiddenpath.functions import folds, registry
 from hiddenpath.model import Component, ContinuousHmm, DiscreteHmm, Hmm
 from hiddenpath.operators import decoding, labelling, pairs, sampling, sequences, training
 
@@ -28,6 +28,10 @@ ORDER1 = DiscreteHmm(pi=[0.9, 0.1], a=[[0.6, 0.4], [0.3, 0.7]], b=[_B[0], _ORDER
 NORMAL = ContinuousHmm(pi=[0.5, 0.3, 0.2], a=_A, components=[[Component("normal", 1.0, 80.0, 3600.0)], [Component("normal", 1.0, 220.0, 5000.0)], [Component("normal", 1.0, 400.0, 4000.0)]])
 MIXED = ContinuousHmm(pi=[0.5, 0.3, 0.2], a=_A, components=[[Component("normal", 0.7, 80.0, 3600.0), Component("normal", 0.3, 150.0, 2500.0)], [Component("normal", 1.0, 220.0, 5000.0)], [Component("normal", 0.6, 400.0, 4000.0), Component("uniform", 0.4, lo=0.0, hi=500.0)]])
 _PAIR = pairs.PairHmm(pi=[0.8, 0.1, 0.1], a=[[0.8, 0.1, 0.1], [0.6, 0.35, 0.05], [0.6, 0.05, 0.35]], b=[(np.eye(5) * 0.15 + 0.0125).reshape(-1), [0.2] * 5, [0.2] * 5], steps=[(1, 1), (1, 0), (0, 1)], m=5)
+#: Values over 300 are impossible.
+BOUNDED = ContinuousHmm(pi=[0.5, 0.5], a=[[0.9, 0.1], [0.2, 0.8]], components=[[Component("uniform", 1.0, lo=0.0, hi=300.0)], [Component("uniform", 1.0, lo=0.0, hi=150.0)]])
+#: Order statuses against event types: a status with an event, two statuses at once, an event alone.
+_LONG_PAIR = pairs.PairHmm(pi=[0.6, 0.2, 0.2], a=[[0.7, 0.1, 0.2], [0.5, 0.3, 0.2], [0.5, 0.1, 0.4]], b=[(np.outer([0.3, 0.3, 0.4, 0, 0], [0.3, 0.1, 0.2, 0.1, 0.3]) * (1 + 0.5 * np.eye(5)) / (1 + 0.5 * 0.2 * 0.7)).reshape(-1), [0.4, 0.3, 0.3, 0.0, 0.0], [0.3, 0.1, 0.2, 0.1, 0.3]], steps=[(1, 1), (2, 0), (0, 1)], m=5)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,6 +270,41 @@ def pair_alignment(spark, d):
     return pairs.align_pairs(both, _PAIR).select("pair_id", _text("path").alias("path"), F.round("logp", 4).alias("logp"))
 
 
+def pair_scores(spark, d):
+    """Log probability of each user's events aligned with those of the next user."""
+    s = symbols(spark, d)
+    y = s.select((F.col("seq_id") - 1).alias("seq_id"), F.col("obs").alias("y"))
+    both = s.join(y, "seq_id").select(F.col("seq_id").alias("pair_id"), F.col("obs").alias("x"), "y")
+    return pairs.align_pairs(both, _PAIR, most_cells=8000).select("pair_id", F.round("logp", 4).alias("logp"))
+
+
+def pair_alignment_linear(spark, d):
+    """Statuses of the orders of 100 customers, in order of date, aligned with the events of 15 users, in linear space."""
+    o = spark.read.parquet(f"{d}/orders.parquet").withColumn("block", F.expr("o_custkey div 100"))
+    x = sequences.build(o, "block", ["o_orderdate", "o_orderkey"], "o_orderstatus").select(F.col("seq_id").alias("pair_id"), folds.encode(F.col("obs"), ("F", "O", "P")).alias("x"))
+    e = events(spark, d).withColumn("block", F.expr("user_id div 15"))
+    y = sequences.build(e, "block", ["ts", "event_id"], "event_type").select(F.col("seq_id").alias("pair_id"), folds.encode(F.col("obs"), EVENTS).alias("y"))
+    return pairs.align_pairs(x.join(y, "pair_id"), _LONG_PAIR, most_cells=60_000).select("pair_id", F.size("path").alias("steps"), F.round("logp", 4).alias("logp"))
+
+
+def decoded_steps(spark, d):
+    """The likeliest state of each event, by the table function."""
+    registry.register(spark, "events_model", PLAIN)
+    return spark.sql("SELECT s.seq_id, p.t, p.state FROM {seqs} s, LATERAL events_model_decode(s.obs) p", seqs=symbols(spark, d))
+
+
+def outlier_logp(spark, d):
+    """Log-likelihood of values of which the largest are moved far out of all states."""
+    far = F.transform("obs", lambda x: F.when(x > 480, x + 260).otherwise(x))
+    return decoding.decode(reals(spark, d).withColumn("obs", far), NORMAL, ["logp"]).select("seq_id", F.round("logp", 4).alias("logp"))
+
+
+def penalised_logp(spark, d):
+    """Log-likelihood of all users' first values, those over 300 at a penalty."""
+    s = reals(spark, d).select("seq_id", F.slice("obs", 1, 1).alias("obs"))
+    return decoding.total_log_likelihood(s, BOUNDED, penalty=-50.0).select(F.round("logp", 4).alias("logp"), "n")
+
+
 def _parameters(spark: SparkSession, models: list[Hmm]) -> DataFrame:
     rows = [(k, "pi", 0, j, float(v)) for k, m in enumerate(models) for j, v in enumerate(m.pi)]
     rows += [(k, "a", i, j, float(v)) for k, m in enumerate(models) for (i, j), v in np.ndenumerate(m.a[0])]
@@ -293,6 +332,21 @@ def discriminative(spark, d):
     return _parameters(spark, training.discriminative(symbols(spark, d).withColumn("own", (F.col("seq_id") % 2).cast("int")), [PLAIN, OTHER], "own", steps=2)[0])
 
 
+def discriminative_closed(spark, d):
+    return _parameters(spark, training.discriminative(symbols(spark, d).withColumn("own", (F.col("seq_id") % 2).cast("int")), [PLAIN, OTHER], "own", steps=2, closed=True)[0])
+
+
+def settled_clusters(spark, d):
+    """Hard clusters by likelihood and share of members; models whose members stay are left alone."""
+    return training.cluster(symbols(spark, d), [PLAIN, OTHER], rounds=3, priors=True, settle=True)[1]
+
+
+def mixture_starts(spark, d):
+    """What a soft mixture reaches in two rounds from several starts."""
+    report = training.best_mixture(symbols(spark, d), [PLAIN, OTHER], [("models", 0), ("random", 1), ("hard", 1), ("spread", 1)], rounds=2)[2]
+    return spark.createDataFrame(report, "start string, seed int, logp double").withColumn("logp", F.round("logp", 2))
+
+
 def sampled(spark, d):
     return sampling.sample(spark, PLAIN, 200, 30, seed=3).select("seq_id", _text("obs").alias("obs"), _text("states").alias("states"))
 
@@ -305,6 +359,29 @@ def gibbs_paths(spark, d):
     return sampling.gibbs(symbols(spark, d), PLAIN, sweeps=2, seed=3)[1].select("seq_id", _text("path").alias("path"))
 
 
+def gibbs_tuples(spark, d):
+    """:func:`gibbs_paths`, drawn by pairs of symbols."""
+    return sampling.gibbs(symbols(spark, d), PLAIN, sweeps=2, seed=3, width=2)[1].select("seq_id", _text("path").alias("path"))
+
+
+def gibbs_runs(spark, d):
+    """States of all values, drawn by runs of like values."""
+    prior = sampling.NormalPrior(m0=200.0, k0=0.01, a0=1.0, b0=1000.0)
+    return sampling.gibbs_runs(reals(spark, d), NORMAL, 60.0, sweeps=2, priors=prior, seed=3)[1].select("seq_id", _text("path").alias("path"))
+
+
+def gibbs_mixture(spark, d):
+    """States of all values under a model with mixtures of two normals in each state."""
+    two = ContinuousHmm(pi=NORMAL.pi, a=NORMAL.a, components=[[Component("normal", 0.5, c[0].mean - 30, c[0].var), Component("normal", 0.5, c[0].mean + 30, c[0].var)] for c in NORMAL.components])
+    return sampling.gibbs_normal(reals(spark, d), two, sweeps=2, m0=200.0, b0=1000.0, seed=3)[1].select("seq_id", _text("path").alias("path"))
+
+
+def value_runs(spark, d):
+    """Runs of like values with their means and the roots of their squared deviations."""
+    s = sampling.compressed(reals(spark, d), 60.0).select("seq_id", F.posexplode(F.arrays_zip("n", "mean", "spread")).alias("run", "r"))
+    return s.select("seq_id", "run", F.col("r.n").alias("n"), F.round("r.mean", 6).alias("mean"), F.round(F.sqrt("r.spread"), 5).alias("spread"))
+
+
 def value_blocks(spark, d):
     return sampling.blocks_of(reals(spark, d), 150.0).select("seq_id", "block", "start", "n", F.round("mean", 8).alias("mean"))
 
@@ -313,5 +390,6 @@ _ALL = (
     seq_build, symbol_counts, bigram_counts, forward_logp, forward_logp_arrow, filtered_states, posterior_at, viterbi_path, viterbi_labels, joint_logp, normal_logp, mixed_logp, normal_viterbi, labelled_logp,
     switching_logp, switching_viterbi, order1_logp, silent_logp, em_step, normal_em_step, bayes_classify, class_trajectory, model_distance, weighted_logp, admissible, best_model, ranked, set_logp, mixture_logp, mixture_decode, log_odds, confusion, mean_sequence, scatter_matrix, scatter_matrix_whole,
     extremes, background_estimate, pair_counts, pair_counts_whole, subset, merge, all_words, order_statuses, likeliest_labels, pair_alignment, baum_welch, hard_clusters, soft_mixture, gradient_search, discriminative, sampled, extended, gibbs_paths, value_blocks,
+    pair_scores, pair_alignment_linear, decoded_steps, outlier_logp, penalised_logp, gibbs_tuples, gibbs_runs, gibbs_mixture, value_runs, discriminative_closed, settled_clusters, mixture_starts,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

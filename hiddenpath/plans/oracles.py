@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from hiddenpath.model import ContinuousHmm, DiscreteHmm, Hmm
-from hiddenpath.plans.catalog import EVENTS, MIXED, NORMAL, ORDER1, OTHER, PLAIN, SILENT, SWITCHING
+from hiddenpath.plans.catalog import _PAIR, BOUNDED, EVENTS, MIXED, NORMAL, ORDER1, OTHER, PLAIN, SILENT, SWITCHING
 
 _LIST = ", ".join(f"'{e}'" for e in EVENTS)
 #: Steps of all sequences: code, value, the code before, and whether the value is 250 or more.
@@ -203,3 +203,37 @@ ORACLE_SQL |= {
     "weighted_logp": _with(S, _start(NORMAL, ""), _forward()) + ", l AS (SELECT f.id, any_value(s.n) AS n, ln(sum(f.v)) AS l FROM f JOIN s USING (id, t) WHERE s.t = s.n - 1 GROUP BY f.id) SELECT round(sum(n * l), 1) AS logp, count(*) AS n FROM l",
     "admissible": _with(S) + "SELECT id AS seq_id, bool_and(sym < 4) AS ok FROM s GROUP BY id",
 }
+
+
+def _pair_scores() -> str:
+    """Alignment scores by antidiagonals: cells of this one (age 0) and the one before (age 1); a move takes a cell on, or lets it age."""
+    n = len(_PAIR.pi)
+    moves = [(p, q, dx, dy, dx + dy - 1, float(np.log(_PAIR.a[0][p, q]))) for p in range(n) for q, (dx, dy) in enumerate(_PAIR.steps) if _PAIR.a[0][p, q] > 0]
+    starts = [(-1, q, dx, dy, dx + dy - 1, float(np.log(_PAIR.pi[q]))) for q, (dx, dy) in enumerate(_PAIR.steps)]
+    emit = [(q, x, y, float(np.log(_PAIR.b[q][x * 5 + y if dx and dy else x if dx else y]))) for q, (dx, dy) in enumerate(_PAIR.steps) for x in (range(5) if dx else [-1]) for y in (range(5) if dy else [-1])]
+    ageing = [(p, p, 0, 0, 0, 0.0) for p in range(-1, n)]
+    parts = [
+        S,
+        _values("mv(src, dst, dx, dy, age, lp)", moves + starts),
+        _values("ag(src, dst, dx, dy, age, lp)", ageing),
+        _values("em(st, x, y, lp)", emit),
+        "w AS MATERIALIZED (SELECT a.id, a.n AS lx, b.n AS ly FROM (SELECT DISTINCT id, n FROM s) a JOIN (SELECT DISTINCT id, n FROM s) b ON b.id = a.id + 1)",
+        "act AS MATERIALIZED (SELECT *, 0 AS to_age FROM mv UNION ALL SELECT *, 1 FROM ag)",
+        "c(id, lx, ly, d, age, u, v, st, sc) AS (SELECT id, lx, ly, 0, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), -1, CAST(0 AS DOUBLE) FROM w UNION ALL "
+        "SELECT c.id, c.lx, c.ly, c.d + 1, a.to_age, c.u + a.dx, c.v + a.dy, a.dst, max(c.sc + a.lp + CASE WHEN a.to_age = 1 THEN 0 ELSE em.lp END) "
+        "FROM c JOIN act a ON a.src = c.st AND a.age = c.age AND c.u + a.dx <= c.lx AND c.v + a.dy <= c.ly "
+        "LEFT JOIN s p ON a.dx = 1 AND p.id = c.id AND p.t = c.u LEFT JOIN s q ON a.dy = 1 AND q.id = c.id + 1 AND q.t = c.v "
+        "LEFT JOIN em ON a.to_age = 0 AND em.st = a.dst AND em.x = coalesce(p.sym, -1) AND em.y = coalesce(q.sym, -1) WHERE c.d < c.lx + c.ly GROUP BY ALL)",
+    ]
+    return _with(*parts) + "SELECT id AS pair_id, round(max(sc), 4) AS logp FROM c WHERE age = 0 AND u = lx AND v = ly GROUP BY id"
+
+
+_FAR = S.replace("value AS x", "CASE WHEN value > 480 THEN value + 260 ELSE value END AS x")
+ORACLE_SQL |= {
+    "pair_scores": _pair_scores(),
+    "decoded_steps": _with(S, _chain(PLAIN), _emissions(PLAIN), _viterbi()) + "SELECT id AS seq_id, CAST(t AS INTEGER) AS t, CAST(st AS INTEGER) AS state FROM w",
+    "outlier_logp": _with(_FAR, _chain(NORMAL), _emissions(NORMAL), _forward()) + "SELECT f.id AS seq_id, round(ln(sum(f.v)), 4) AS logp FROM f JOIN s USING (id, t) WHERE s.t = s.n - 1 GROUP BY f.id",
+    "penalised_logp": _with(S, _chain(BOUNDED), _emissions(BOUNDED))
+    + "SELECT round(sum(CASE WHEN p > 0 THEN ln(p) ELSE -50 END), 4) AS logp, count(*) FILTER (p > 0) AS n FROM (SELECT e.id, sum(ini.p * e.p) AS p FROM e JOIN ini USING (st) WHERE e.t = 0 GROUP BY e.id)",
+    "value_runs": _with(S) + ", d AS (SELECT id, t, x, CAST(coalesce(abs(x - lag(x) OVER (PARTITION BY id ORDER BY t)) >= 60, false) AS INTEGER) AS new FROM s), k AS (SELECT id, t, x, sum(new) OVER (PARTITION BY id ORDER BY t) AS run FROM d) SELECT id AS seq_id, CAST(run AS INTEGER) AS run, count(*) AS n, round(avg(x), 6) AS mean, round(sqrt(var_pop(x) * count(*)), 5) AS spread FROM k GROUP BY id, run",
+}
