@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from hiddenpath.llm.common import cut
 
 
+#: Rows that a task of a round takes at least: a small graph on many shuffle partitions would be mostly empty files.
+TASK_ROWS = 250_000
 #: Keys of more rows than this, and than one in SHARE of all rows, are joined without a shuffle: at most SHARE keys.
 MANY, SHARE = 500, 5000
 
@@ -36,13 +38,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
         if tuple(sums) == before or not sums[0]:
             break
-        before = tuple(sums)
+        before, tasks = tuple(sums), 2 * sums[0] // TASK_ROWS + 1
         both = now.unionByName(now.select(F.col("w").alias("u"), F.col("u").alias("w")))
         least = both.groupBy("u").agg(F.min("w").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # large star: larger neighbours of u go to the smallest vertex around u
-        large = cut(split_join(both, least, ["u"], 2 * sums[0]).where("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).distinct())
+        large = split_join(both, least, ["u"], 2 * sums[0]).where("w > u").select(F.col("w").alias("u"), F.col("m").alias("w"))
+        large = cut(large.coalesce(tasks).distinct().coalesce(tasks))
         # small star: the smaller neighbours of u, and u, go to the smallest of them
         small = large.groupBy("u").agg(F.min("w").alias("m"), F.count("*").alias("n"))
         hang = split_join(large, small, ["u"], sums[0]).select(F.col("w").alias("u"), F.col("m").alias("w")).where("u <> w")
-        now = cut(hang.unionByName(small.select("u", F.col("m").alias("w"))).distinct())
+        now = cut(hang.unionByName(small.select("u", F.col("m").alias("w"))).coalesce(tasks).distinct().coalesce(tasks))
     return now.groupBy("u").agg(F.min("w").alias("component")).select(F.col("u").alias("v"), "component").unionByName(now.select(F.col("w").alias("v"), F.col("w").alias("component")).distinct())

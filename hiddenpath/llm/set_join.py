@@ -8,9 +8,9 @@ are looked up.
 
 Which segments a record uses is decided by their cost, the records it would meet. Segments that nobody else has cost nothing,
 and a record with H + 1 of those has no partner and leaves; the others use their rarest segments. Records that
-the used segments connect are compared exhaustively, a group to a task. Only groups too large for that pay for
-deletion neighbourhoods, which cut them down again; what is still large, such as thousands of near copies, is compared by
-blocks with a common pivot block, and then what links to nothing there with all blocks. Every link comes from whole sets.
+the used segments connect are compared exhaustively, a group to a task; larger groups by blocks with a common pivot block, which
+leaves thousands of near copies in one part. What is in no such part would have to meet all blocks. Where that costs more than
+deletion neighbourhoods do, these cut the group down first. Every link comes from whole sets.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hiddenpath.llm.common import blocks, cut, mix
+from hiddenpath.llm.common import BLOCK_BYTES, blocks, cut, mix
 from hiddenpath.llm.graph import connected_components, split_join
 from hiddenpath.llm.near_dedup import NODE_RECORDS, NODE_SHINGLES, linked, shingle_sets
 
+#: Shares of a group's rest that are taken to all blocks at once; a larger rest pays for deletion neighbourhoods.
+CHEAP_TURNS = 2
 #: Rounds in which records that others leave without partners leave too.
 PEELS = 2
 _C = [np.uint64(x | 1) for x in (0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC6BC279692B5C323)]
@@ -34,10 +36,11 @@ _C = [np.uint64(x | 1) for x in (0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21
 
 @cache
 def size_bands(percent: int) -> np.ndarray:
-    """The least sizes of the bands, up to 2 ** 40: a linked set is in the same band as the smaller one or a few above."""
+    """The least sizes of the bands, up to 2 ** 40. Partners' sizes differ by half a band's breadth at most, so that
+    about every other set is in one band only: fewer, narrower bands cost most sets two."""
     least = [1, 2**40] if percent == 100 else [1]  # where only equal sets link, sizes don't matter
     while least[-1] < 2**40:
-        least.append(max(least[-1] + 1, (least[-1] - 1) * 100 // percent + 1))
+        least.append(max(least[-1] + 1, (least[-1] - 1) * 10_000 // percent**2 + 1))
     return np.array(least, np.int64)
 
 
@@ -88,11 +91,6 @@ def _signatures(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return sig.view(np.int64)
 
 
-def _set_ids(sig: np.ndarray, band: np.ndarray) -> np.ndarray:
-    """A set in a band, told from other sets of a row's doc_id and from itself in other bands."""
-    return mix(sig.view(np.uint64) + band.astype(np.uint64) * _C[0]).view(np.int64)
-
-
 def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int | None) -> Iterator[pa.RecordBatch]:
     """Size and signature of each row's set, and with ``percent`` the contents of its segments by band."""
     for batch in batches:
@@ -102,32 +100,40 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int | None) ->
             columns = {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "n_shingles": pa.array(np.diff(offs)), "sig_a": pa.array(sig[0]), "sig_b": pa.array(sig[1])}
             if percent is not None:
                 s = segments(tokens, offs, percent)
-                of_set = _set_ids(sig[0][s["row"]], s["band"])
                 full = s["counts"] > 0
                 keys = mix(s["sums"] + s["salt"])[full].view(np.int64)
                 of_entry = np.concatenate([[0], np.cumsum(full)])[s["base"]].astype(np.int32)
                 of_row = np.searchsorted(s["row"], np.arange(hi - lo + 1)).astype(np.int32)
-                parts = pa.StructArray.from_arrays([pa.array(of_set), pa.array(s["need"]), pa.ListArray.from_arrays(pa.array(of_entry), pa.array(keys))], names=["of_set", "need", "keys"])
+                parts = pa.StructArray.from_arrays([pa.array(s["band"].astype(np.int32)), pa.array(s["need"]), pa.ListArray.from_arrays(pa.array(of_entry), pa.array(keys))], names=["band", "need", "keys"])
                 columns["parts"] = pa.ListArray.from_arrays(pa.array(of_row), parts)
             yield pa.RecordBatch.from_pydict(columns)
 
 
-def _neighbourhoods(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """A row for the content of each segment, empty ones too, and (``gone``) for what is left of it without one of its tokens."""
+def _own(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of batches, their rows whose text has the wanted set (a doc_id's rows may have several), and those rows' tokens."""
     for batch in batches:
-        for lo, hi, raw, at in blocks(batch.column("text"), 500_000):
+        for lo, hi, raw, at in blocks(batch.column("text"), most):
+            part = batch.slice(lo, hi - lo)
             tokens, offs = shingle_sets(raw, at, width)
-            s = segments(tokens, offs, percent)
-            of_set = _set_ids(_signatures(tokens, offs)[0][s["row"]], s["band"])
-            entry = np.repeat(np.arange(len(s["row"])), s["m"])
-            cells = np.concatenate([np.arange(len(s["sums"])), s["cell"]])
-            keys = mix(np.concatenate([s["sums"], s["sums"][s["cell"]] - s["value"]]) + s["salt"][cells])
-            reps, groups = (batch.column(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in ("rep", "hot"))
-            of = entry[cells]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(groups[s["row"]][of]), pa.array(keys.view(np.int64)), pa.array(reps[s["row"]][of]), pa.array(of_set[of]), pa.array(s["need"][of]), pa.array((cells - s["base"][of]).astype(np.int32)), pa.array(np.arange(len(cells)) >= len(s["sums"]))],
-                names=["hot", "key", "rep", "of_set", "need", "place", "gone"],
-            )
+            rows = np.flatnonzero(_signatures(tokens, offs)[0] == part.column("sig").to_numpy(zero_copy_only=False))
+            n = np.diff(offs)[rows]
+            keep = np.arange(n.sum()) + np.repeat(offs[:-1][rows] - (np.cumsum(n) - n), n)
+            yield part, rows, tokens[keep], np.concatenate([[0], np.cumsum(n)])
+
+
+def _neighbourhoods(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """A row for the content of each segment, empty ones too, and (``gone``) for what is left of it without one of its tokens."""
+    for part, rows, tokens, offs in _own(batches, width, 500_000):
+        s = segments(tokens, offs, percent)
+        entry = np.repeat(np.arange(len(s["row"])), s["m"])
+        cells = np.concatenate([np.arange(len(s["sums"])), s["cell"]])
+        keys = mix(np.concatenate([s["sums"], s["sums"][s["cell"]] - s["value"]]) + s["salt"][cells])
+        cls, groups = (part.column(c).to_numpy(zero_copy_only=False)[rows] for c in ("cls", "hot"))
+        of = entry[cells]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(groups[s["row"]][of]), pa.array(keys.view(np.int64)), pa.array(cls[s["row"]][of]), pa.array(s["band"].astype(np.int32)[of]), pa.array(s["need"][of].astype(np.int32)), pa.array((cells - s["base"][of]).astype(np.int32)), pa.array(np.arange(len(cells)) >= len(s["sums"]))],
+            names=["hot", "key", "cls", "band", "need", "place", "gone"],
+        )
 
 
 def crossed(ids: list[int], sets: list[np.ndarray], probe: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -161,37 +167,34 @@ def _compare(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
             edges = linked(ids, sets, percent) if all(probe) else crossed(ids, sets, np.array(probe), percent)
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([x for _, x in edges], pa.int64())], names=["a", "b"])
 
-    for batch in batches:
-        nodes, reps, probes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "rep", "probe"))
-        for lo, hi, raw, at in blocks(batch.column("text")):
-            tokens, offs = shingle_sets(raw, at, width)
-            for i in range(hi - lo):
-                if nodes[lo + i] != node:
-                    yield done()
-                    node, ids, sets, probe = nodes[lo + i], [], [], []
-                if offs[i] < offs[i + 1]:  # a row of a doc_id that others with words share may have none
-                    ids.append(int(reps[lo + i]))
-                    sets.append(tokens[offs[i] : offs[i + 1]])
-                    probe.append(bool(probes[lo + i]))
+    for part, rows, tokens, offs in _own(batches, width, BLOCK_BYTES):
+        nodes, reps, probes = (part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "rep", "probe"))
+        for i, row in enumerate(rows.tolist()):
+            if nodes[row] != node:
+                yield done()
+                node, ids, sets, probe = nodes[row], [], [], []
+            ids.append(int(reps[row]))
+            sets.append(tokens[offs[i] : offs[i + 1]])
+            probe.append(bool(probes[row]))
     yield done()
 
 
 def _lists(rows: DataFrame) -> DataFrame:
-    """``rows`` (``rep, of_set, key``) of keys that several records have, with the number ``size`` of these."""
+    """``rows`` (``cls, band, key``) of keys that several records have, with the number ``size`` of these."""
     shared = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     return split_join(rows, shared.select("key", "n", F.col("n").alias("size")), ["key"], shared.agg(F.sum("n")).first()[0] or 0)
 
 
 def _star_edges(rows: DataFrame, key: list[str]) -> DataFrame:
     """Each record of a list with the list's smallest record."""
-    least = cut(rows.groupBy(*key).agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"))
-    return split_join(rows, least, key, least.agg(F.sum("n")).first()[0] or 0).select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    least = cut(rows.groupBy(*key).agg(F.min("cls").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    return split_join(rows, least, key, least.agg(F.sum("n")).first()[0] or 0).select(F.col("cls").alias("a"), F.col("least").alias("b"))
 
 
-def _groups(edges: DataFrame, sizes: DataFrame, node_records: int) -> DataFrame:
-    """``rep, n_shingles, hot, n, s``: the records that edges connect, and their group's number of records and shingles."""
+def _groups(edges: DataFrame, classes: DataFrame, node_records: int) -> DataFrame:
+    """The records that edges connect: ``cls, rep, sig, n_shingles``, their group ``hot`` and its number of ``records`` and shingles ``s``."""
     found = connected_components(edges)
-    placed = cut(found.join(sizes, found.v == sizes.rep).select("rep", "n_shingles", F.col("component").alias("hot")))
+    placed = cut(found.join(classes, found.v == classes.cls).select("cls", "rep", F.col("sig_a").alias("sig"), "n_shingles", F.col("component").alias("hot")))
     stats = cut(placed.groupBy("hot").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")))
     stats = stats.withColumn("records", F.col("n")).withColumn("large", (F.col("n") > node_records) | (F.col("s") > NODE_SHINGLES) & (F.col("n") > 2))
     return cut(split_join(placed, stats, ["hot"], placed.count()))
@@ -199,74 +202,109 @@ def _groups(edges: DataFrame, sizes: DataFrame, node_records: int) -> DataFrame:
 
 def _first_level(classes: DataFrame) -> DataFrame:
     """Edges among records that use a segment in common, chosen by the length of its list."""
-    entries = classes.select("rep", F.inline("parts")).select("rep", "of_set", "need", "keys")
-    rows = entries.select("rep", "of_set", F.explode("keys").alias("key"))
-    need = entries.select("rep", "of_set", (F.col("need") - F.size("keys")).alias("short"))  # plus the shared ones: what the free ones leave open
+    entries = classes.select("cls", F.inline("parts"))
+    rows = entries.select("cls", "band", F.explode("keys").alias("key"))
+    need = entries.select("cls", "band", (F.col("need") - F.size("keys")).alias("short"))  # plus the shared ones: what the free ones leave open
     for _ in range(PEELS):
-        rows = cut(_lists(rows.select("rep", "of_set", "key")))
-        left = rows.groupBy("rep", "of_set").agg(F.count("*").alias("c")).join(need, ["rep", "of_set"]).select("rep", "of_set", (F.col("short") + F.col("c")).alias("k")).where("k > 0")
-        rows = cut(rows.join(left, ["rep", "of_set"]).select("rep", "of_set", "key", "size", "k"))
+        rows = cut(_lists(rows.select("cls", "band", "key")))
+        left = rows.groupBy("cls", "band").agg(F.count("*").alias("c")).join(need, ["cls", "band"]).select("cls", "band", (F.col("short") + F.col("c")).alias("k")).where("k > 0")
+        rows = cut(rows.join(left, ["cls", "band"]).select("cls", "band", "key", "size", "k"))
     # what left in the last round makes lists shorter, which only makes them cheaper
-    rank = F.row_number().over(Window.partitionBy("rep", "of_set").orderBy("size", "key"))
+    rank = F.row_number().over(Window.partitionBy("cls", "band").orderBy("size", "key"))
     used = rows.withColumn("rank", rank).where("rank <= k").groupBy("key").agg(F.count("*").alias("probes"))
-    total = rows.groupBy("key").agg(F.count("*").alias("n")).join(used, "key").select("key", "n")
-    total = cut(total)
-    return _star_edges(split_join(rows.select("key", "rep"), total, ["key"], total.agg(F.sum("n")).first()[0] or 0), ["key"])
+    total = cut(rows.groupBy("key").agg(F.count("*").alias("n")).join(used, "key").select("key", "n"))
+    return _star_edges(split_join(rows.select("key", "cls"), total, ["key"], total.agg(F.sum("n")).first()[0] or 0), ["key"])
+
+
+def _texts_of(records: DataFrame, texts: DataFrame, *names: str) -> DataFrame:
+    return records.join(texts, records.rep == texts.doc_id).select("rep", "sig", *names, "text")
 
 
 def _second_level(large: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges among records of large groups, with allowance 2 where that costs less."""
-    wanted = large.join(texts, large.rep == texts.doc_id).select("hot", "rep", "text")
-    rows = cut(wanted.mapInArrow(partial(_neighbourhoods, width=width, percent=percent), "hot long, key long, rep long, of_set long, need long, place int, gone boolean"))
+    wanted = cut(_texts_of(large, texts, "cls", "hot"))
+    # computed anew where they are needed: a row per token is more than the texts
+    rows = wanted.mapInArrow(partial(_neighbourhoods, width=width, percent=percent), "hot long, key long, cls long, band int, need int, place int, gone boolean")
     met = rows.groupBy("hot", "key").agg(F.count("*").alias("n"), F.count_if(~F.col("gone")).alias("whole"))
     met = cut(met.where("n > 1").withColumn("without", F.col("n") - F.col("whole")))
     near = cut(split_join(rows, met, ["hot", "key"], met.agg(F.sum("n")).first()[0] or 0))
     # records met with allowance 1: the same content; with 2 also content with one token more or less
     same, more = F.col("whole") - 1, F.when(F.col("gone"), F.col("whole")).otherwise(F.col("without"))
-    costs = near.groupBy("rep", "of_set", "place").agg(F.sum(F.when(~F.col("gone"), same).otherwise(0)).alias("one"), F.sum(more).alias("two"))
-    entries = rows.where("not gone").select("rep", "of_set", "need", "place").join(costs, ["rep", "of_set", "place"], "left")
+    costs = near.groupBy("cls", "band", "place").agg(F.sum(F.when(~F.col("gone"), same).otherwise(0)).alias("one"), F.sum(more).alias("two"))
+    entries = rows.where("not gone").select("cls", "band", "need", "place").join(costs, ["cls", "band", "place"], "left")
     entries = entries.withColumn("one", F.coalesce("one", F.lit(0))).withColumn("two", F.coalesce("two", F.lit(0)))
     # the second unit of a segment comes after its first, so it never costs less than that
-    units = entries.select("rep", "of_set", "need", "place", F.inline(F.array(F.struct(F.lit(1).alias("unit"), F.col("one").alias("cost")), F.struct(F.lit(2).alias("unit"), F.greatest("one", "two").alias("cost")))))
-    rank = F.row_number().over(Window.partitionBy("rep", "of_set").orderBy("cost", "unit", "place"))
-    chosen = units.withColumn("rank", rank).where("rank <= need and cost > 0").groupBy("rep", "of_set", "place").agg(F.max("unit").alias("allowance"))
-    probes = near.join(chosen, ["rep", "of_set", "place"]).where("allowance = 2 or not gone")
+    units = entries.select("cls", "band", "need", "place", F.inline(F.array(F.struct(F.lit(1).alias("unit"), F.col("one").alias("cost")), F.struct(F.lit(2).alias("unit"), F.greatest("one", "two").alias("cost")))))
+    rank = F.row_number().over(Window.partitionBy("cls", "band").orderBy("cost", "unit", "place"))
+    chosen = units.withColumn("rank", rank).where("rank <= need and cost > 0").groupBy("cls", "band", "place").agg(F.max("unit").alias("allowance"))
+    probes = near.join(chosen, ["cls", "band", "place"]).where("allowance = 2 or not gone")
     used = probes.groupBy("hot", "key").agg((F.max("allowance") == 2).alias("wide"))
     used = cut(met.join(used, ["hot", "key"]).select("hot", "key", "n", "wide"))
-    met_rows = split_join(rows.select("hot", "key", "rep", "gone"), used, ["hot", "key"], used.agg(F.sum("n")).first()[0] or 0).where("wide or not gone")
-    return _star_edges(met_rows.select("hot", "key", "rep"), ["hot", "key"])
+    met_rows = split_join(near.select("hot", "key", "cls", "gone"), used, ["hot", "key"], used.agg(F.sum("n")).first()[0] or 0).where("wide or not gone")
+    return _star_edges(met_rows.select("hot", "key", "cls"), ["hot", "key"])
 
 
 def _links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    wanted = nodes.join(texts, nodes.rep == texts.doc_id).select("node", "rep", "probe", "text")
-    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return wanted.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(partial(_compare, width=width, percent=percent), "a long, b long")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _texts_of(nodes, texts, "node", "probe").repartition(parts, "node").sortWithinPartitions("node").mapInArrow(partial(_compare, width=width, percent=percent), "a long, b long")
+
+
+def _whole_groups(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    return _links(groups.where("not large").select(F.xxhash64("hot", F.lit(0)).alias("node"), "rep", "sig", F.lit(True).alias("probe")), texts, width, percent)
 
 
-def _large_links(large: DataFrame, texts: DataFrame, width: int, percent: int, node_records: int) -> DataFrame:
-    """Links of groups of more records than a task takes: blocks with the pivot block, then what isn't in the main part with all blocks."""
+def _blocks_of(large: DataFrame, node_records: int) -> DataFrame:
+    """Records of large groups dealt to blocks, two of which a task takes."""
     side = F.ceil(F.greatest(F.col("records") / node_records, F.col("s") / NODE_SHINGLES) * 2).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("side")).cast("int")
-    large = cut(large.withColumn("side", side).withColumn("own", own).select("hot", "rep", "n_shingles", "side", "own"))
-    # block 0 goes to every other block; a group of one block is compared there
+    own = F.pmod(F.xxhash64("cls"), F.col("side")).cast("int")
+    return cut(large.withColumn("side", side).withColumn("own", own).select("hot", "cls", "rep", "sig", "n_shingles", "side", "own"))
+
+
+def _pivot_links(blocked: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links inside each block and with the pivot block 0, which goes to every other block."""
     to = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("side") - 1)).otherwise(F.array("own"))
-    first = large.select("hot", "rep", F.explode(to).alias("cell")).select(F.xxhash64("hot", "cell").alias("node"), "rep", F.lit(True).alias("probe"))
-    links = cut(_links(first, texts, width, percent))
+    cells = blocked.select("hot", "rep", "sig", F.explode(to).alias("cell")).select(F.xxhash64("hot", "cell").alias("node"), "rep", "sig", F.lit(True).alias("probe"))
+    return cut(_links(cells, texts, width, percent))
+
+
+def _rests(blocked: DataFrame, links: DataFrame, node_records: int) -> DataFrame:
+    """Records of groups that links leave in several parts, with their ``part``, the group's largest, ``main``, and the number of
+    shares ``turns`` of its other records."""
     found = connected_components(links)
-    placed = large.join(found, large.rep == found.v, "left").select("hot", "rep", "n_shingles", "side", "own", F.coalesce("component", "rep").alias("part"))
-    placed = cut(placed)
+    placed = cut(blocked.join(found, blocked.rep == found.v, "left").withColumn("part", F.coalesce("component", "rep")).drop("v", "component"))
     parts = placed.groupBy("hot", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    main = parts.groupBy("hot").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "part", "s")).alias("top"))
-    open_ = main.where("parts > 1").select("hot", "main", "n", F.greatest(F.lit(1), F.ceil(F.greatest((F.col("n") - F.col("top.n")) / node_records, (F.col("s") - F.col("top.s")) / NODE_SHINGLES) * 2)).cast("int").alias("rests"))
-    open_ = cut(open_)
-    rest = cut(split_join(placed, open_, ["hot"], open_.agg(F.sum("n")).first()[0] or 0))
-    other = F.col("part") != F.col("main")
-    turn = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rests")).cast("int")
-    # cells of a block and a share of the rest: who isn't in the main part goes to all blocks of its share, and all of a block to all shares
-    asking = rest.where(other).select("hot", "rep", turn.alias("share"), F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("cell"), F.lit(True).alias("probe"))
-    asked = rest.select("hot", "rep", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("share"), F.col("own").alias("cell"), F.lit(False).alias("probe"))
-    cells = asking.unionByName(asked).groupBy("hot", "rep", "share", "cell").agg(F.max("probe").alias("probe"))
-    return links.unionByName(_links(cells.select(F.xxhash64("hot", "share", "cell", F.lit(2)).alias("node"), "rep", "probe"), texts, width, percent))
+    main = parts.groupBy("hot").agg(F.max(F.struct("n", "part", "s")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("parts > 1")
+    turns = F.ceil(F.greatest((F.col("n") - F.col("top.n")) / node_records, (F.col("s") - F.col("top.s")) / NODE_SHINGLES) * 2)
+    open_ = cut(main.select("hot", F.col("top.part").alias("main"), "n", F.greatest(F.lit(1), turns).cast("int").alias("turns")))
+    return cut(split_join(placed, open_, ["hot"], open_.agg(F.sum("n")).first()[0] or 0))
+
+
+def _asked_links(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of records outside the main part with all others: a share of them meets each block in a task."""
+    other, turn = F.col("part") != F.col("main"), F.pmod(F.xxhash64("cls", F.lit(1)), F.col("turns")).cast("int")
+    asking = rest.where(other).select("hot", "cls", "rep", "sig", turn.alias("share"), F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("cell"), F.lit(True).alias("probe"))
+    asked = rest.select("hot", "cls", "rep", "sig", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("share"), F.col("own").alias("cell"), F.lit(False).alias("probe"))
+    cells = asking.unionByName(asked).groupBy("hot", "cls", "rep", "sig", "share", "cell").agg(F.max("probe").alias("probe"))
+    return _links(cells.select(F.xxhash64("hot", "share", "cell", F.lit(2)).alias("node"), "rep", "sig", "probe"), texts, width, percent)
+
+
+def _large_links(large: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, node_records: int) -> DataFrame:
+    """Links of groups of more records than a task takes."""
+    blocked = _blocks_of(large, node_records)
+    links = _pivot_links(blocked, texts, width, percent)
+    rest = _rests(blocked, links, node_records)
+    out = links.unionByName(_asked_links(rest.where(F.col("turns") <= CHEAP_TURNS), texts, width, percent))
+    dear = rest.where(F.col("turns") > CHEAP_TURNS)
+    if dear.isEmpty():
+        return out
+    groups = _groups(_second_level(dear, texts, width, percent), classes, node_records)
+    out = out.unionByName(_whole_groups(groups, texts, width, percent))
+    still = groups.where("large")
+    if not still.isEmpty():
+        blocked = _blocks_of(still, node_records)
+        links = _pivot_links(blocked, texts, width, percent)
+        out = out.unionByName(links).unionByName(_asked_links(_rests(blocked, links, node_records), texts, width, percent))
+    return out
 
 
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, node_records: int = NODE_RECORDS) -> DataFrame:
@@ -284,19 +322,16 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, node_reco
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fields = "doc_id long, n_shingles long, sig_a long, sig_b long"
     own = cut(docs.mapInArrow(partial(_sets, width=width, percent=None), fields))
-    split = docs.where("doc_id is not null and text is not null").mapInArrow(partial(_sets, width=width, percent=percent), f"{fields}, parts array<struct<of_set:long,need:long,keys:array<long>>>")
+    split = docs.where("doc_id is not null and text is not null").mapInArrow(partial(_sets, width=width, percent=percent), f"{fields}, parts array<struct<band:int,need:long,keys:array<long>>>")
     classes = cut(split.where("n_shingles > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n")))
-    texts, sizes = docs.where("doc_id is not null and text is not null"), classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
-    groups = _groups(_first_level(classes), sizes, node_records)
-    node = F.xxhash64("hot", F.lit(0)).alias("node")
-    edges = _links(groups.where("not large").select(node, "rep", F.lit(True).alias("probe")), texts, width, percent)
-    large = groups.where("large").select("hot", "rep")
+    # a number of its own for each class: rows of one doc_id may have several sets
+    classes = classes.withColumn("cls", F.monotonically_increasing_id())
+    texts = docs.where("doc_id is not null and text is not null")
+    groups = _groups(_first_level(classes), classes, node_records)
+    edges = _whole_groups(groups, texts, width, percent)
+    large = groups.where("large")
     if not large.isEmpty():
-        groups = _groups(_second_level(large, texts, width, percent), sizes, node_records)
-        edges = edges.unionByName(_links(groups.where("not large").select(node, "rep", F.lit(True).alias("probe")), texts, width, percent))
-        large = groups.where("large")
-        if not large.isEmpty():
-            edges = edges.unionByName(_large_links(large, texts, width, percent, node_records))
+        edges = edges.unionByName(_large_links(large, classes, texts, width, percent, node_records))
     # rows that share a doc_id are one vertex: each class of such a row links to it
     some = own.where("n_shingles > 0 and doc_id is not null").select("doc_id", "sig_a", "sig_b")
     twins = split_join(some, classes.select("sig_a", "sig_b", "rep", "n"), ["sig_a", "sig_b"], some.count())
