@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAINING_PAGES, STEPS, RATE, DECAY = 600, 150, 0.15, 1e-3
+#: Ancestors that hold an article. A page without any is plain: its blocks aren't outside of anything.
+HOLDERS = frozenset(("t=article", "t=main", *(f"c={w}" for w in "content article post entry story main prose".split())))
 
 # Element names of HTML. What RAW elements hold is no text of the page; other names are inline unless they are
 # of BLOCK or have a hyphen; fallback content, formulas and labels of drawings are text where they stand.
@@ -214,6 +216,8 @@ def leaf_blocks(page: str) -> list[Block]:
 
 def features(blocks: list[Block]) -> list[list[str]]:
     out = []
+    held = [any(t in HOLDERS for t in b.ancestors) for b in blocks]
+    without = "outside" if any(held) else "plain"
     for i, b in enumerate(blocks):
         n = len(b.text)
         words = b.text.count(" ") + 1
@@ -226,8 +230,10 @@ def features(blocks: list[Block]) -> list[list[str]]:
             f.append("sign")
         if words < 4:
             f.append("short")
-        if not any(t in ("t=article", "t=main") or t in ("c=content", "c=article", "c=post", "c=entry", "c=story") for t in b.ancestors):
-            f.append("outside")
+        if not held[i]:
+            f.append(without)
+            if without == "plain" and len(b.ancestors) > 1:
+                f.append("plain&inside")
         f.append("first" if i == 0 else "last" if i == len(blocks) - 1 else "middle")
         out.append(f)
     return out
@@ -299,8 +305,11 @@ def train(pages: list[list[list[str]]], labels: list[list[bool]], steps: int = S
     return Crf({f: float(w[k]) for f, k in names.items()}, a)
 
 
-def labelled_pages(count: int = TRAINING_PAGES, seed: int = 4) -> Iterator[tuple[str, set[str]]]:
-    """Generated pages of varied layouts, and the texts of their main blocks; all texts of a page differ."""
+def labelled_pages(count: int = TRAINING_PAGES, seed: int = 4, plain: bool = False) -> Iterator[tuple[str, set[str]]]:
+    """Generated pages of varied layouts, and the texts of their main blocks; all texts of a page differ.
+
+    ``plain`` pages have no element that holds the article, or one that says little, short paragraphs and bare text, and few other parts.
+    """
     rng = random.Random(seed)
     syllables = [a + b for a in ("b", "d", "k", "l", "m", "n", "r", "s", "t", "v", "st", "tr", "sch") for b in ("a", "e", "i", "o", "u", "ar", "en", "ion")]
 
@@ -351,9 +360,12 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 4) -> Iterator[tuple
 
         title = sentence(4, 12)
         body = [f"<h1>{keep(title)}</h1>"] if rng.random() < 0.8 else []
-        for _ in range(rng.choice((1, 2, 3, 4, 6, 9, 14))):
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 5) if plain else (1, 2, 3, 4, 6, 9, 14))):
             r = rng.random()
-            if r < 0.76:
+            if plain and r < 0.8:
+                text = keep(words(1, 3).capitalize() + "." if rng.random() < 0.35 else prose(rng.choice((1, 1, 2, 5))))
+                body.append(rng.choice((f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<div>{text}</div>", f"<hr>{text}<hr>")))
+            elif r < 0.76:
                 text = prose(rng.choice((1, 1, 3, 6)))
                 if rng.random() < 0.1:
                     text = words(1, 3).capitalize() + "."
@@ -382,6 +394,14 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 4) -> Iterator[tuple
                 body.append(rng.choice((side, notice, form))())
         inside = "".join(body)
         layout = rng.random()
+        if plain:
+            if not body:
+                inside = rng.choice((f"<p>{keep(sentence(1, 6))}</p>", keep(words(1, 4) + "."), keep(prose(4))))
+            inside = rng.choice((inside, inside, f"<div>{inside}</div>", f"<center>{inside}</center>", f"<div id=main>{inside}</div>", f"<div class=text>{inside}</div>"))
+            parts = [f"<{t}>{links()}</{t}>" for t in ("nav", "header") if rng.random() < 0.2], [f"<{t}>{rng.choice((f'&copy; {words(1, 3)}', sentence(), f'<p>{sentence()}</p>'))}</{t}>" for t in ("footer", "aside") if rng.random() < 0.25]
+            extra = [part() for part in (notice, advert, form, comments) if rng.random() < 0.08]
+            yield f"<html><head><title>{title}</title></head><body>{''.join(parts[0])}{inside}{''.join(parts[1] + extra)}</body></html>", main
+            continue
         if layout < 0.45:
             inside = f"<article>{inside}</article>"
         elif layout < 0.6:
@@ -404,7 +424,7 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 4) -> Iterator[tuple
 def train_default(count: int = TRAINING_PAGES) -> Crf:
     """A field trained on generated labelled pages."""
     rows, labels = [], []
-    for page, main in labelled_pages(count):
+    for page, main in [*labelled_pages(count), *labelled_pages(count // 3, seed=40, plain=True)]:
         blocks = leaf_blocks(page)
         rows.append(features(blocks))
         labels.append([b.text in main for b in blocks])

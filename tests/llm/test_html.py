@@ -3,6 +3,7 @@
 import itertools
 import random
 import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -95,3 +96,82 @@ def test_odd_rows(spark, crf):
     assert by_id[1].text == by_id[2].text == "" and by_id[2].url is None
     assert [r.text.count("\n") for r in got if r.page_id == 3] == [19_999] * 2
     assert html_extract.extract_main_text(spark.createDataFrame(rows[:1], "page_id long, url string, html string, n_chars int").limit(0), crf).count() == 0
+
+
+def test_plain_pages(crf):
+    """Pages without an element that holds the article keep all of it."""
+    cases = {
+        "<body><p>The first one is here.</p><p>And then a second paragraph, a little longer than the first one was.</p><p>A third.</p></body>": "The first one is here.\nAnd then a second paragraph, a little longer than the first one was.\nA third.",
+        "<html><body><h1>Some title of a page</h1>Bare text that stands in the body itself, without any element around it.</body></html>": "Some title of a page\nBare text that stands in the body itself, without any element around it.",
+        "<body><div id=main>Short.</div></body>": "Short.",
+        "<p>Only this.": "Only this.",
+        "Nothing but text, and a second sentence.": "Nothing but text, and a second sentence.",
+        "<body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>All news</a></li></ul></nav><p>What the page says is said here.</p><p>Yes.</p><footer>&copy; somebody</footer></body>": "What the page says is said here.\nYes.",
+    }
+    assert {k: html_extract.main_text(k, crf) for k in cases} == cases
+
+
+def test_held_out_plain_pages(crf):
+    hit = missed = extra = 0
+    for page, main in html_extract.labelled_pages(150, seed=91, plain=True):
+        kept = set(html_extract.main_text(page, crf).split("\n")) - {""}
+        hit, missed, extra = hit + len(kept & main), missed + len(main - kept), extra + len(kept - main)
+    assert hit > 250 and missed + extra < 0.03 * hit
+
+
+def parsed_blocks(page):
+    """Block texts by the standard library's parser: a flush at each block tag, a blank at a line break."""
+    out, parts, hidden = [], [], []
+
+    def flush():
+        text = " ".join("".join(parts).split())
+        parts.clear()
+        if text:
+            out.append(text)
+
+    class Parser(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag in html_extract.RAW:
+                hidden.append(tag)
+            if tag in ("br", "hr"):
+                parts.append(" ")
+            if tag in html_extract.BLOCK or "-" in tag:
+                flush()
+
+        def handle_endtag(self, tag):
+            if tag in hidden:
+                hidden.remove(tag)
+            if tag in html_extract.BLOCK or "-" in tag:
+                flush()
+
+        def handle_data(self, data):
+            if not hidden:
+                parts.append(data)
+
+    parser = Parser(convert_charrefs=True)
+    parser.feed(page)
+    parser.close()
+    flush()
+    return out
+
+
+def test_blocks_against_a_second_parser():
+    pages = [p for plain in (False, True) for p, _ in html_extract.labelled_pages(60, seed=12, plain=plain)]
+    rng = random.Random(6)
+    for _ in range(200):
+        parts, open_ = ["<body>"], []
+        for _ in range(rng.randint(1, 25)):
+            r = rng.random()
+            if r < 0.4:
+                tag = rng.choice(["p", "div", "b", "i", "a", "span", "ul", "li", "table", "tr", "td", "h2", "em", "section", "x-card"])
+                parts.append(f"<{tag} {rng.choice(['', 'class=a', 'id=\"x y\"', 'title=\"1 &gt; 0\"'])}>")
+                open_.append(tag)
+            elif r < 0.6 and open_:
+                parts.append(f"</{open_.pop()}>")
+            elif r < 0.68:
+                parts.append(rng.choice(["<br>", "<hr/>", "<img alt=x>", "<!-- a > b -->", "<script>if (a < b) { x('</p>') }</script>", "<style>p > b {}</style>"]))
+            else:
+                parts.append(rng.choice(["word ", "two  words", " a &amp; b ", "&eacute;t&#233;", "x\n y", "1 < 2 ", "&copy;"]))
+        pages.append("".join(parts))
+    for page in pages:
+        assert [b.text for b in html_extract.leaf_blocks(page)] == parsed_blocks(page), page
