@@ -24,6 +24,8 @@ TRAINING_PARAGRAPHS, STEPS, RATE, DECAY = 5000, 120, 0.2, 1e-4
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.5
 #: A paragraph is reported where its chance of being a licence notice is this at least.
 LEAST_EVIDENCE = 0.2
+#: Words of a window, about the longest that training has, and from one window to the next: over twice the longest template.
+WINDOW, STRIDE = 240, 120
 #: Slots that n-grams are hashed to, and rows of a batch in training.
 SLOTS = 1 << 16
 
@@ -211,7 +213,8 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
     paragraph that is a licence notice with probability LEAST_EVIDENCE at least.
 
     ``docs`` has ``doc_id`` and ``text``. Paragraphs are numbered from 0; they end at blank lines and at ends of lines that end a
-    sentence. ``family`` is the likeliest, or ``unknown`` where none reaches LEAST_PROBABILITY, its ``probability`` then that
+    sentence. A paragraph of over WINDOW words is scored by windows of so many, STRIDE apart, and the one that speaks most for
+    a notice stands for it. ``family`` is the likeliest, or ``unknown`` where none reaches LEAST_PROBABILITY, its ``probability`` then that
     of not being a known notice. ``similarity`` is the largest share of
     a template's word pairs that the paragraph holds, over the family's templates; a prediction is
     ``confirmed`` at LEAST_SIMILARITY. Null and empty texts have no paragraphs; rows that repeat are scanned
@@ -226,19 +229,25 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
     row_of, flat = _long_array(at.tolist(), "int"), _long_array([0.0] * n + [x for s in used for x in model.weights[s]], "double")
     words = F.array_remove(F.split(F.lower("p"), _SPLIT), "")
     # explode() of one value keeps an array from being computed again for each element of a lambda that names it
-    rows = docs.select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "p")).select("doc_id", "paragraph", F.explode(F.array(words)).alias("w")).where("size(w) > 0")
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).select("doc_id", "row", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "p")).select("doc_id", "row", "paragraph", F.explode(F.array(words)).alias("w")).where("size(w) > 0")
+    # a score is a sum over n-grams, so longer paragraphs are scored by windows of the length that training knows
+    windows = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("w") - WINDOW) / STRIDE), F.lit(0)).cast("int"))
+    rows = rows.select("doc_id", "row", "paragraph", F.explode(F.transform(windows, lambda k: F.slice("w", k * STRIDE + 1, WINDOW))).alias("w"))
     hits = F.array_distinct(F.array_remove(F.transform(F.concat("w", _pairs(F.col("w"))), lambda g: F.get(row_of, (F.crc32(g.cast("binary")) % SLOTS).cast("int"))), 0))
-    rows = rows.select("doc_id", "paragraph", "w", F.explode(F.array(hits)).alias("hits")).where("size(hits) > 0")
+    rows = rows.select("doc_id", "row", "paragraph", "w", F.explode(F.array(hits)).alias("hits")).where("size(hits) > 0")
     total = F.transform(F.array(*[F.lit(k) for k in range(n)]), lambda k: F.aggregate("hits", F.lit(0.0), lambda a, r: a + F.get(flat, r * n + k)))
     z = F.zip_with(total, _array(model.intercepts), lambda t, b: (t + b) / model.temperature)
-    rows = rows.select("doc_id", "paragraph", "w", F.explode(F.array(z)).alias("z"))
+    rows = rows.select("doc_id", "row", "paragraph", "w", F.explode(F.array(z)).alias("z"))
 
     def chance(z: Column) -> Column:
         return 1 / F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - z))
 
     unknown = chance(F.get("z", model.families.index(UNKNOWN))) if UNKNOWN in model.families else F.lit(0.0)
     named = F.array(*[F.struct(F.get("z", k).alias("z"), F.lit(-k).alias("k"), F.lit(f).alias("family")) for k, f in enumerate(model.families) if f != UNKNOWN])
-    rows = rows.select("doc_id", "paragraph", "w", "z", unknown.alias("none"), F.array_max(named).alias("best")).where(F.col("none") <= 1 - LEAST_EVIDENCE)
+    rows = rows.select("doc_id", "row", "paragraph", "w", "z", unknown.alias("none"), F.array_max(named).alias("best")).where(F.col("none") <= 1 - LEAST_EVIDENCE)
+    # the window that speaks most for a notice stands for its paragraph; few rows are left to be shuffled
+    best = F.max(F.struct(-F.col("none"), F.col("best.z"), "w", "none", "best", "z")).alias("x")
+    rows = rows.groupBy("row", "doc_id", "paragraph").agg(best).select("doc_id", "paragraph", "x.w", "x.z", "x.none", "x.best")
     rows = rows.select("doc_id", "paragraph", "w", "none", "best", chance(F.col("best.z")).alias("p"))
     sure = F.col("p") >= LEAST_PROBABILITY
     rows = rows.withColumn("family", F.when(sure, F.col("best.family")).otherwise(UNKNOWN)).withColumn("probability", F.when(sure, F.col("p")).otherwise(F.col("none")))

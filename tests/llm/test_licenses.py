@@ -103,3 +103,17 @@ def test_odd_rows(spark, model):
     # two families tie: neither reaches the least probability
     tie = license_scan.LicenceModel(["A", "B", license_scan.UNKNOWN], {license_scan.slots("mit")[0]: [3.0, 3.0, 0.0]}, [0.0, 0.0, -9.0], 1.0)
     assert {r.family for r in license_scan.scan_licences(d, tie).collect()} == {license_scan.UNKNOWN}
+
+
+def test_long_paragraphs(spark):
+    """None of 100 unbroken texts of 10,000 words is called a notice; a notice inside one is found."""
+    rng = random.Random(31)
+    vocabulary = "".join(f"{a}{b} " for a in "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system".split() for b in ("", "s", "ly")).split()
+    small = "the of and to a in is that it for was on with as be by this are at from or an no not any all you may we which have has been its".split()
+    words = [[rng.choice(small) if rng.random() < 0.45 else rng.choice(vocabulary) for _ in range(10_000)] for _ in range(100)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(words)]
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files to deal in the Software without restriction"
+    rows += [(1000 + k, " ".join([*words[k][: 3333 * k], notice, *words[k][3333 * k :]])) for k in range(4)]
+    got = license_scan.scan_licences(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert sorted(r.doc_id for r in got) == [1000, 1001, 1002, 1003]
+    assert {(r.family, r.paragraph, r.confirmed) for r in got} == {("MIT", 0, True)}
