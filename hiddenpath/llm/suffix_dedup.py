@@ -33,6 +33,8 @@ from hiddenpath.llm.common import _BYTE, blocks, cut, mix, span_hashes, utf8
 GRAM, FIRST_GRAM = 24, 8
 #: Bytes of text for each bucket of anchors: their number grows with the input, beyond the session's shuffle partitions.
 BUCKET_BYTES = 32_000_000
+#: Shuffle partitions at most; of more buckets, a task takes several, one after the other.
+MOST_TASKS = 20_000
 #: Buckets of runs for each bucket of anchors, and parts of a bucket: a task refines one part, of about a megabyte, at a time.
 KEYS, SPLIT = 2, 8
 #: Slots of documents for each bucket of anchors; a slot's covers travel as one row.
@@ -435,20 +437,21 @@ def repeated_substrings(docs: DataFrame, length: int = 50, texts: bool = True, b
     docs = docs.withColumn("th", F.xxhash64("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
+    tasks = min(buckets, MOST_TASKS)  # a task takes one bucket after the other
     known = docs.select("did", "th", F.xxhash64(F.lit(length), "text").alias("th2"), F.octet_length("text").alias("n"))
     first = known.groupBy("th", "th2", "n").agg(F.min("did").alias("first"))
     copies = known.join(first, ["th", "th2", "n"]).where(f"did > first and n >= {length}")
     entries = docs.select("th", "text").mapInArrow(partial(_entries, length=length, buckets=buckets), _ENTRIES)
-    matches = cut(entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(partial(_match, hot_share=hot_share), "th long, keys array<long>, n long"))
+    matches = cut(entries.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(partial(_match, hot_share=hot_share), "th long, keys array<long>, n long"))
     # each bucket names the anchors that hold too much of it; of those, at most HOT_SHARE hold that share of all
     hot = np.array([r[0] for r in matches.where("th is null").select(F.element_at("keys", 1), "n").orderBy(F.desc("n")).limit(hot_share).collect()], np.int64).view(np.uint64)
     matched = matches.where("th is not null").groupBy("th").agg(F.flatten(F.collect_list("keys")).alias("keys"))
     one = first.join(matched, "th").select(F.col("first").alias("did"), "th", "keys")
     # the same columns as in the last join, so that Spark deals the texts out once
     runs = docs.join(one, ["did", "th"]).select("doc_id", "did", "th", "text", "keys").mapInArrow(partial(_cut_runs, length=length, buckets=buckets, fine=buckets * KEYS * SPLIT, slots=buckets * SLOTS, hot=hot, most=gathered), _FOUND)
-    here = runs.repartition(buckets, F.coalesce("bucket", "slot")).sortWithinPartitions("bucket")
+    here = runs.repartition(tasks, F.coalesce("bucket", "slot")).sortWithinPartitions("bucket")
     covers = here.mapInArrow(partial(_settle_or_pass, length=length, slots=buckets * SLOTS), _FOUND).drop("bucket", "parts", "text")
-    by_slot = covers.repartition(buckets, "slot").sortWithinPartitions("slot").mapInArrow(_by_document, "did long, th long, starts binary, ends binary")
+    by_slot = covers.repartition(tasks, "slot").sortWithinPartitions("slot").mapInArrow(_by_document, "did long, th long, starts binary, ends binary")
     every = by_slot.unionByName(copies.select("did", "th", F.lit(None).cast("binary").alias("starts"), F.lit(None).cast("binary").alias("ends")))
     by_doc = every.groupBy("did", "th").agg(F.first("starts", ignorenulls=True).alias("starts"), F.first("ends", ignorenulls=True).alias("ends"), F.bool_or(F.col("starts").isNull()).alias("copy"))
     whole = docs.join(by_doc, ["did", "th"], "left").select("doc_id", "text", "starts", "ends", "copy")
