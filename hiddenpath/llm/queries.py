@@ -56,7 +56,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph with a licence cue of every document, with its family."""
+    """Every paragraph of every document that may be a licence notice, with its family."""
     return license_scan.scan_licences(table(spark, sf_dir, "documents"))
 
 

@@ -20,7 +20,7 @@ def test_components_of_stars_and_paths(spark, monkeypatch, many):
     assert got == want
 
 
-@pytest.mark.parametrize("depth", [4, 8])
+@pytest.mark.parametrize("depth", [4, 8, 12, 16, 24])
 def test_recall_at_the_threshold(depth):
     """Pairs of similarity 0.8, counted: every one meets in some tree of the depth."""
     rng = np.random.default_rng(5)
