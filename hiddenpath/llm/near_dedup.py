@@ -5,8 +5,8 @@ In each of ``trees`` independent trees a record walks a path: every node chooses
 minwise token of the record's set, and records that choose the same token go to the same child. Two sets
 of Jaccard similarity s stay together at a node with probability s. Nodes that are small are compared
 exhaustively on full sets. Records of larger ones form groups, of all that large nodes connect. A group is compared
-block by block if that takes no more copies of a record than the next trees would; else its records walk
-new trees, deeper and so many more that they lose next to no pair. Groups left after the last depth are compared block by block,
+by blocks with a pivot block if it has no more blocks than the next trees would make copies; else its records walk
+new trees, deeper and so many more that they lose next to no pair. Groups left after the last depth are compared by blocks,
 so depth never costs recall. Components of the confirmed links are the groups of documents.
 """
 
@@ -21,48 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hiddenpath.llm.common import SPACE_WORD, ascii_lower, blocks, cut, mix, span_hashes, word_spans
+from hiddenpath.llm import large_groups
+from hiddenpath.llm.common import blocks, cut, mix
 from hiddenpath.llm.graph import connected_components, split_join
+from hiddenpath.llm.large_groups import NODE_RECORDS, NODE_SHINGLES, linked, shingle_sets  # noqa: F401
 
 #: Independent trees of the first levels, the last depth and the step to it: a pair of similarity 0.8 is missed by the
 #: first trees with probability (1 - 0.8 ** 2) ** 16, about 7.96e-8, and by those of each later depth with LATER_MISS at most:
 #: under 8e-8 in all at whatever depth a group is settled.
 TREES, FIRST_DEPTH, LAST_DEPTH, STEP, LATER_MISS = 16, 2, 24, 2, 3e-11
-#: Records and shingles of a node that one task compares exhaustively.
-NODE_RECORDS, NODE_SHINGLES = 4096, 4_000_000
-
 _C = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C14, 0xC2B2AE3D27D4EB4E, 0x165667B19E3779F8, 0xD6E8FEB86659FD92, 0xA0761D6478BD642E)]
 
 
-def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingle fingerprints of each row, concatenated, and their offsets.
-
-    A row of fewer than ``width`` words has its whole word sequence as one shingle; one without words has none.
-    """
-    raw = ascii_lower(raw)
-    s, e, first = word_spans(raw, at, SPACE_WORD)
-    words = span_hashes(raw, s, e)
-    count = np.diff(first)
-    rolled = np.zeros(len(words), np.uint64)
-    if len(words) >= width:
-        n = len(words) - width + 1
-        for k in range(width):
-            rolled[:n] += mix(words[k : k + n] + np.uint64(k)) * _C[k % 5]
-        rolled = mix(rolled)
-    out, sizes = [], np.zeros(len(count), np.int64)
-    for i, n in enumerate(count):
-        if n >= width:
-            got = np.unique(rolled[first[i] : first[i] + n - width + 1])
-        elif n:
-            part = words[first[i] : first[i] + n]
-            got = mix((mix(part + np.arange(n, dtype=np.uint64)) * np.uint64(2 * n + 1)).sum(keepdims=True, dtype=np.uint64))
-        else:
-            continue
-        out.append(got)
-        sizes[i] = len(got)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
-
-
 def children(tokens: np.ndarray, at: np.ndarray, node: np.ndarray, turn: int) -> np.ndarray:
     """The child that each row's set chooses at its node: the minwise token under the node's own hash."""
     own = mix(node + np.uint64(2 * turn + 1) * _C[2])
@@ -97,72 +67,6 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, trees: int) -> Iterator
             )
 
 
-def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a node's records, every link of the node considered.
-
-    Starting from each record not yet reached, records are compared with all those not yet reached whose size
-    allows the similarity; what links is reached and searched from in turn.
-    """
-    sizes = np.array([len(x) for x in sets], np.int64)
-    order = np.argsort(sizes, kind="stable")
-    left, edges = order, []
-    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    flag = np.zeros(int(tokens.max()) + 1, bool)
-    queue: list[int] = []
-    while len(left):
-        if not queue:
-            queue.append(int(left[0]))
-            left = left[1:]
-        i = queue.pop()
-        n = sizes[i]
-        near = sizes[left]
-        a, b = np.searchsorted(near, -(-percent * n // 100), "left"), np.searchsorted(near, 100 * n // percent, "right")
-        if a >= b:
-            continue
-        some = left[a:b]
-        mine = tokens[at[i] : at[i + 1]]
-        flag[mine] = True
-        if len(some) == 1:
-            common = np.array([np.count_nonzero(flag[tokens[at[some[0]] : at[some[0] + 1]]])])
-        else:
-            lens = sizes[some]
-            begin = np.concatenate([[0], np.cumsum(lens)])
-            where = np.arange(begin[-1]) + np.repeat(at[some] - begin[:-1], lens)
-            common = np.add.reduceat(flag[tokens[where]].astype(np.int64), begin[:-1])
-        flag[mine] = False
-        hit = 100 * common >= percent * (n + sizes[some] - common)
-        for j in some[hit]:
-            edges.append((ids[i], ids[j]))
-            queue.append(int(j))
-        if hit.any():
-            left = np.concatenate([left[:a], some[~hit], left[b:]])
-    return edges
-
-
-def _compare(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by node to the links inside each node."""
-    node, ids, sets = None, [], []
-
-    def done() -> pa.RecordBatch:
-        edges = linked(ids, sets, percent) if len(ids) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([x for _, x in edges], pa.int64())], names=["a", "b"])
-
-    for batch in batches:
-        nodes, reps = batch.column("node").to_numpy(zero_copy_only=False), batch.column("rep").to_numpy(zero_copy_only=False)
-        for lo, hi, raw, at in blocks(batch.column("text")):
-            tokens, offs = shingle_sets(raw, at, width)
-            for i in range(hi - lo):
-                if nodes[lo + i] != node:
-                    if len(ids) > 1:
-                        yield done()
-                    node, ids, sets = nodes[lo + i], [], []
-                ids.append(int(reps[lo + i]))
-                sets.append(tokens[offs[i] : offs[i + 1]])
-    if len(ids) > 1:
-        yield done()
-
-
 def trees_at(depth: int, percent: int) -> int:
     """Trees of ``depth`` levels that lose a pair of similarity ``percent`` with a probability of at most LATER_MISS."""
     return math.ceil(math.log(LATER_MISS) / math.log1p(-((percent / 100) ** depth))) if percent < 100 else 1
@@ -197,6 +101,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     nodes = classes.select(F.explode("keys").alias("node"), "rep", "n_shingles").where("node is not null")
     texts = docs.where("doc_id is not null and text is not null")
     small: list[DataFrame] = []
+    blocked: list[DataFrame] = []
     depth = FIRST_DEPTH
     while True:
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"), F.min("rep").alias("least")).where("n > 1")
@@ -215,8 +120,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
         depth += STEP
         more = trees_at(depth, percent)
         whole = F.lit(depth > LAST_DEPTH) | (F.col("k") <= more)
-        cells = hot.where(whole).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        small.append(cells.select(F.xxhash64("hot", F.lit(depth), F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep"))
+        deal = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
+        blocked.append(cut(hot.where(whole).select("hot", F.col("rep").alias("cls"), "rep", F.lit(None).cast("long").alias("sig"), "n_shingles", F.col("k").alias("side"), deal.alias("own"))))
         left = hot.where(~whole)
         if left.isEmpty():
             break
@@ -224,9 +129,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     pairs = small[0]
     for x in small[1:]:
         pairs = pairs.unionByName(x)
-    wanted = pairs.join(texts, pairs.rep == texts.doc_id).select("node", "rep", "text")
-    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    edges = wanted.repartition(int(parts), "node").sortWithinPartitions("node").mapInArrow(partial(_compare, width=width, percent=percent), "a long, b long")
+    edges = large_groups.links_of(pairs.select("node", "rep", F.lit(None).cast("long").alias("sig"), F.lit(True).alias("probe")), texts, width, percent)
+    for x in blocked:
+        links = large_groups.pivot_links(x, texts, width, percent)
+        edges = edges.unionByName(links).unionByName(large_groups.asked_links(large_groups.rests(x, links, node_records), texts, width, percent))
     # rows that share a doc_id are one vertex: each class of such a row links to it
     twins = split_join(some.select("sig_a", "sig_b", "doc_id"), classes.select("sig_a", "sig_b", "rep", "n"), ["sig_a", "sig_b"], some.count())
     links = edges.unionByName(twins.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hiddenpath.llm.common import BLOCK_BYTES, blocks, cut, mix
+from hiddenpath.llm.common import blocks, cut, mix
 from hiddenpath.llm.graph import connected_components, split_join
-from hiddenpath.llm.near_dedup import NODE_RECORDS, NODE_SHINGLES, linked, shingle_sets
+from hiddenpath.llm.large_groups import NODE_RECORDS, NODE_SHINGLES, asked_links, blocks_of, links_of, own_sets, pivot_links, rests, shingle_sets, signatures, texts_of
 
 #: Shares of a group's rest that are taken to all blocks at once; a larger rest pays for deletion neighbourhoods.
 CHEAP_TURNS = 2
@@ -82,21 +82,12 @@ def segments(tokens: np.ndarray, offs: np.ndarray, percent: int) -> dict[str, np
     return {"row": row, "band": band, "need": most + 1, "m": m, "base": base, "cell": cell, "value": value, "sums": sums, "counts": counts, "salt": salt}
 
 
-def _signatures(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    sig = np.zeros((2, len(offs) - 1), np.uint64)
-    full = np.flatnonzero(np.diff(offs))
-    if len(full):
-        sig[0, full] = np.add.reduceat(mix(tokens + _C[2]), offs[full])
-        sig[1, full] = np.bitwise_xor.reduceat(mix(tokens * _C[3]), offs[full])
-    return sig.view(np.int64)
-
-
 def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int | None) -> Iterator[pa.RecordBatch]:
     """Size and signature of each row's set, and with ``percent`` the contents of its segments by band."""
     for batch in batches:
         for lo, hi, raw, at in blocks(batch.column("text")):
             tokens, offs = shingle_sets(raw, at, width)
-            sig = _signatures(tokens, offs)
+            sig = signatures(tokens, offs)
             columns = {"doc_id": batch.column("doc_id").slice(lo, hi - lo), "n_shingles": pa.array(np.diff(offs)), "sig_a": pa.array(sig[0]), "sig_b": pa.array(sig[1])}
             if percent is not None:
                 s = segments(tokens, offs, percent)
@@ -109,21 +100,9 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int | None) ->
             yield pa.RecordBatch.from_pydict(columns)
 
 
-def _own(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Parts of batches, their rows whose text has the wanted set (a doc_id's rows may have several), and those rows' tokens."""
-    for batch in batches:
-        for lo, hi, raw, at in blocks(batch.column("text"), most):
-            part = batch.slice(lo, hi - lo)
-            tokens, offs = shingle_sets(raw, at, width)
-            rows = np.flatnonzero(_signatures(tokens, offs)[0] == part.column("sig").to_numpy(zero_copy_only=False))
-            n = np.diff(offs)[rows]
-            keep = np.arange(n.sum()) + np.repeat(offs[:-1][rows] - (np.cumsum(n) - n), n)
-            yield part, rows, tokens[keep], np.concatenate([[0], np.cumsum(n)])
-
-
 def _neighbourhoods(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """A row for the content of each segment, empty ones too, and (``gone``) for what is left of it without one of its tokens."""
-    for part, rows, tokens, offs in _own(batches, width, 500_000):
+    for part, rows, tokens, offs in own_sets(batches, width, 500_000):
         s = segments(tokens, offs, percent)
         entry = np.repeat(np.arange(len(s["row"])), s["m"])
         cells = np.concatenate([np.arange(len(s["sums"])), s["cell"]])
@@ -136,49 +115,6 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch], width: int, percent: int)
         )
 
 
-def crossed(ids: list[int], sets: list[np.ndarray], probe: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """All links between the probing records and the others, or among the probing ones."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    order = np.argsort(sizes, kind="stable")
-    tokens = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1].reshape(-1)
-    at = np.concatenate([[0], np.cumsum(sizes[order])])
-    flag, edges = np.zeros(int(tokens.max()) + 1, bool), []
-    near = sizes[order]
-    for i in np.flatnonzero(probe[order]):
-        n = near[i]
-        a, b = np.searchsorted(near, -(-percent * n // 100), "left"), np.searchsorted(near, 100 * n // percent, "right")
-        mine = tokens[at[i] : at[i + 1]]
-        flag[mine] = True
-        common = np.add.reduceat(flag[tokens[at[a] : at[b]]].astype(np.int64), at[a:b] - at[a])
-        flag[mine] = False
-        for j in np.flatnonzero(100 * common >= percent * (n + near[a:b] - common)) + a:
-            if j != i:
-                edges.append((ids[order[i]], ids[order[j]]))
-    return edges
-
-
-def _compare(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by node to links: of all records of a node up to connection, or of its probing ones if it has others too."""
-    node, ids, sets, probe = None, [], [], []
-
-    def done() -> pa.RecordBatch:
-        edges = []
-        if len(ids) > 1 and any(probe):
-            edges = linked(ids, sets, percent) if all(probe) else crossed(ids, sets, np.array(probe), percent)
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([x for _, x in edges], pa.int64())], names=["a", "b"])
-
-    for part, rows, tokens, offs in _own(batches, width, BLOCK_BYTES):
-        nodes, reps, probes = (part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "rep", "probe"))
-        for i, row in enumerate(rows.tolist()):
-            if nodes[row] != node:
-                yield done()
-                node, ids, sets, probe = nodes[row], [], [], []
-            ids.append(int(reps[row]))
-            sets.append(tokens[offs[i] : offs[i + 1]])
-            probe.append(bool(probes[row]))
-    yield done()
-
-
 def _lists(rows: DataFrame) -> DataFrame:
     """``rows`` (``cls, band, key``) of keys that several records have, with the number ``size`` of these."""
     shared = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
@@ -216,13 +152,9 @@ def _first_level(classes: DataFrame) -> DataFrame:
     return _star_edges(split_join(rows.select("key", "cls"), total, ["key"], total.agg(F.sum("n")).first()[0] or 0), ["key"])
 
 
-def _texts_of(records: DataFrame, texts: DataFrame, *names: str) -> DataFrame:
-    return records.join(texts, records.rep == texts.doc_id).select("rep", "sig", *names, "text")
-
-
 def _second_level(large: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges among records of large groups, with allowance 2 where that costs less."""
-    wanted = cut(_texts_of(large, texts, "cls", "hot"))
+    wanted = cut(texts_of(large, texts, "cls", "hot"))
     # computed anew where they are needed: a row per token is more than the texts
     rows = wanted.mapInArrow(partial(_neighbourhoods, width=width, percent=percent), "hot long, key long, cls long, band int, need int, place int, gone boolean")
     met = rows.groupBy("hot", "key").agg(F.count("*").alias("n"), F.count_if(~F.col("gone")).alias("whole"))
@@ -244,56 +176,16 @@ def _second_level(large: DataFrame, texts: DataFrame, width: int, percent: int)
     return _star_edges(met_rows.select("hot", "key", "cls"), ["hot", "key"])
 
 
-def _links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _texts_of(nodes, texts, "node", "probe").repartition(parts, "node").sortWithinPartitions("node").mapInArrow(partial(_compare, width=width, percent=percent), "a long, b long")
-
-
 def _whole_groups(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    return _links(groups.where("not large").select(F.xxhash64("hot", F.lit(0)).alias("node"), "rep", "sig", F.lit(True).alias("probe")), texts, width, percent)
-
-
-def _blocks_of(large: DataFrame, node_records: int) -> DataFrame:
-    """Records of large groups dealt to blocks, two of which a task takes."""
-    side = F.ceil(F.greatest(F.col("records") / node_records, F.col("s") / NODE_SHINGLES) * 2).cast("int")
-    own = F.pmod(F.xxhash64("cls"), F.col("side")).cast("int")
-    return cut(large.withColumn("side", side).withColumn("own", own).select("hot", "cls", "rep", "sig", "n_shingles", "side", "own"))
-
-
-def _pivot_links(blocked: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links inside each block and with the pivot block 0, which goes to every other block."""
-    to = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("side") - 1)).otherwise(F.array("own"))
-    cells = blocked.select("hot", "rep", "sig", F.explode(to).alias("cell")).select(F.xxhash64("hot", "cell").alias("node"), "rep", "sig", F.lit(True).alias("probe"))
-    return cut(_links(cells, texts, width, percent))
-
-
-def _rests(blocked: DataFrame, links: DataFrame, node_records: int) -> DataFrame:
-    """Records of groups that links leave in several parts, with their ``part``, the group's largest, ``main``, and the number of
-    shares ``turns`` of its other records."""
-    found = connected_components(links)
-    placed = cut(blocked.join(found, blocked.rep == found.v, "left").withColumn("part", F.coalesce("component", "rep")).drop("v", "component"))
-    parts = placed.groupBy("hot", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    main = parts.groupBy("hot").agg(F.max(F.struct("n", "part", "s")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("parts > 1")
-    turns = F.ceil(F.greatest((F.col("n") - F.col("top.n")) / node_records, (F.col("s") - F.col("top.s")) / NODE_SHINGLES) * 2)
-    open_ = cut(main.select("hot", F.col("top.part").alias("main"), "n", F.greatest(F.lit(1), turns).cast("int").alias("turns")))
-    return cut(split_join(placed, open_, ["hot"], open_.agg(F.sum("n")).first()[0] or 0))
-
-
-def _asked_links(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links of records outside the main part with all others: a share of them meets each block in a task."""
-    other, turn = F.col("part") != F.col("main"), F.pmod(F.xxhash64("cls", F.lit(1)), F.col("turns")).cast("int")
-    asking = rest.where(other).select("hot", "cls", "rep", "sig", turn.alias("share"), F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("cell"), F.lit(True).alias("probe"))
-    asked = rest.select("hot", "cls", "rep", "sig", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("share"), F.col("own").alias("cell"), F.lit(False).alias("probe"))
-    cells = asking.unionByName(asked).groupBy("hot", "cls", "rep", "sig", "share", "cell").agg(F.max("probe").alias("probe"))
-    return _links(cells.select(F.xxhash64("hot", "share", "cell", F.lit(2)).alias("node"), "rep", "sig", "probe"), texts, width, percent)
+    return links_of(groups.where("not large").select(F.xxhash64("hot", F.lit(0)).alias("node"), "rep", "sig", F.lit(True).alias("probe")), texts, width, percent)
 
 
 def _large_links(large: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, node_records: int) -> DataFrame:
     """Links of groups of more records than a task takes."""
-    blocked = _blocks_of(large, node_records)
-    links = _pivot_links(blocked, texts, width, percent)
-    rest = _rests(blocked, links, node_records)
-    out = links.unionByName(_asked_links(rest.where(F.col("turns") <= CHEAP_TURNS), texts, width, percent))
+    blocked = blocks_of(large, node_records)
+    links = pivot_links(blocked, texts, width, percent)
+    rest = rests(blocked, links, node_records)
+    out = links.unionByName(asked_links(rest.where(F.col("turns") <= CHEAP_TURNS), texts, width, percent))
     dear = rest.where(F.col("turns") > CHEAP_TURNS)
     if dear.isEmpty():
         return out
@@ -301,9 +193,9 @@ def _large_links(large: DataFrame, classes: DataFrame, texts: DataFrame, width:
     out = out.unionByName(_whole_groups(groups, texts, width, percent))
     still = groups.where("large")
     if not still.isEmpty():
-        blocked = _blocks_of(still, node_records)
-        links = _pivot_links(blocked, texts, width, percent)
-        out = out.unionByName(links).unionByName(_asked_links(_rests(blocked, links, node_records), texts, width, percent))
+        blocked = blocks_of(still, node_records)
+        links = pivot_links(blocked, texts, width, percent)
+        out = out.unionByName(links).unionByName(asked_links(rests(blocked, links, node_records), texts, width, percent))
     return out
 
 
