@@ -119,6 +119,19 @@ def forward(model: Hmm, e: np.ndarray, n: np.ndarray, classes: np.ndarray | None
     return alpha, scale, logp
 
 
+def advance(model: Hmm, alpha: np.ndarray | None, e: np.ndarray, cls: int = 0) -> tuple[np.ndarray, float]:
+    """One step of :func:`forward` for one sequence: the scaled vector after an item of likelihoods ``e``, and its scale (0: impossible).
+
+    ``alpha`` is the vector before it, None at the first item; ``cls`` the class of the step between.
+    """
+    raw = (model.pi if alpha is None else alpha @ model.a[cls]) * e
+    if s := model.silent_order():
+        loud = [i for i in range(model.n) if i not in s]
+        raw[s] = ((model.pi[s] if alpha is None else 0.0) + raw[loud] @ model.a[0][np.ix_(loud, s)]) @ np.linalg.inv(np.eye(len(s)) - model.a[0][np.ix_(s, s)])
+    total = float(raw.sum())
+    return (raw / total, total) if total >= least_scale(model) else (np.zeros(model.n), 0.0)
+
+
 def descaled(alpha: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """Forward variables without their scales; they underflow on long sequences."""
     return alpha * np.cumprod(scale, 1)[:, :, None]

@@ -210,6 +210,12 @@ def model_of_sequence(obs: list[int], alphabet: tuple) -> DiscreteHmm:
     return DiscreteHmm(pi=np.eye(n)[0], a=a, b=list(np.eye(m)[obs]), alphabet=alphabet)
 
 
+def models_of_sequences(rows: list[list[int]]) -> list[DiscreteHmm]:
+    """A left-right model for each sequence, over the symbols 0 to the largest of all; an empty sequence has none."""
+    alphabet = integer_range(0, max((x for r in rows for x in r), default=0) + 1)
+    return [model_of_sequence(r, alphabet) for r in rows if r]
+
+
 @dataclass
 class Component:
     """A weighted density: second moments are variances; truncated kinds are cut at ``lo`` or ``hi``."""

@@ -224,3 +224,68 @@ def distances(x: Hmm, y: Hmm, of_x: DataFrame, of_y: DataFrame) -> DataFrame:
     s = score_all(both, [x, y]).select("own", F.size("obs").alias("n"), (F.col("scores")[0] - F.col("scores")[1]).alias("gain"))
     there, back = (F.sum(F.when(side, sign * F.col("gain"))) / F.sum(F.when(side, F.col("n"))) for side, sign in ((F.col("own"), 1), (~F.col("own"), -1)))
     return s.agg(there.alias("there"), back.alias("back"), ((there + back) / 2).alias("distance"))
+
+
+def _joint(batches: Iterator[pa.RecordBatch], model: Hmm, path: str, classes: str | None) -> Iterator[pa.RecordBatch]:
+    quiet = np.zeros(model.n, bool)
+    quiet[model.silent] = True
+    with np.errstate(divide="ignore"):
+        la, lpi = np.log(model.a), np.log(model.pi)
+    for batch in batches:
+        obs, out = chain.ragged(batch.column("obs")), [None] * batch.num_rows
+        cls = _whole(batch, classes, obs) if classes else None
+        paths = batch.column(path).to_pylist()
+        known = batch.column("obs").is_valid().to_pylist()
+        for at, n, x in chain.padded(*obs, model.n):
+            with np.errstate(divide="ignore"):
+                le = np.log(chain.emissions(model, x))
+            for k, r in enumerate(at.tolist()):
+                if not known[r] or paths[r] is None:
+                    continue
+                q = np.array(paths[r], np.int64)
+                item = np.cumsum(~quiet[q]) - 1  # the last item emitted at each step
+                if (0 if not len(q) else int(item[-1]) + 1) != n[k]:
+                    out[r] = float("-inf")
+                    continue
+                step = np.zeros(max(len(q) - 1, 0), np.int64) if cls is None else np.nan_to_num(cls[obs[1][r] + np.maximum(item[:-1], 0)]).astype(np.int64)
+                moves = la[step, q[:-1], q[1:]].sum() if len(q) > 1 else 0.0
+                loud = ~quiet[q]
+                out[r] = float(lpi[q[0]] + moves + le[k, item[loud], q[loud]].sum()) if len(q) else 0.0
+        yield pa.RecordBatch.from_arrays([batch.column("seq_id"), pa.array(out, pa.float64())], names=["seq_id", "logp"])
+
+
+def joint_log_likelihood(seqs: DataFrame, model: Hmm, path: str, classes: str | None = None) -> DataFrame:
+    """``seq_id, logp``: log probability of each sequence together with the states of the column ``path``, silent ones included.
+
+    For models of all kinds; :func:`hiddenpath.functions.folds.joint_log_likelihood` is the column form for plain ones. A path
+    that emits more or fewer items than there are gives -Infinity, a null sequence or path null. A silent state before the
+    first item takes the start chance, as in decoding.
+    """
+    known_classes(model, classes is not None)
+    names = ["seq_id", "obs", path, *([classes] if classes else [])]
+    kind = seqs.schema["seq_id"].dataType.simpleString()
+    return seqs.select(*names).mapInArrow(partial(_joint, model=model, path=path, classes=classes), f"seq_id {kind}, logp double")
+
+
+def _curve(batches: Iterator[pa.RecordBatch], models: list[Hmm], every: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        obs = chain.ragged(batch.column("obs"))
+        sums: dict[int, list[float]] = {}
+        for _, n, x in chain.padded(*obs, max(m.n for m in models)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.subtract(*[np.cumsum(np.log(chain.forward(m, chain.emissions(m, x), n)[1]), 1) for m in models])
+            for t in range(every, x.shape[1] + 1, every):
+                long = n >= t
+                total = sums.setdefault(t, [0, 0.0])
+                total[0] += int(long.sum())
+                total[1] += float(gain[long, t - 1].sum())
+        yield pa.RecordBatch.from_pydict({"items": pa.array(list(sums), pa.int32()), "n": pa.array([v[0] for v in sums.values()], pa.int64()), "gain": pa.array([v[1] for v in sums.values()], pa.float64())})
+
+
+def distance_curve(x: Hmm, y: Hmm, seqs: DataFrame, every: int) -> DataFrame:
+    """Model distance at checkpoints: ``items, n, distance``, the mean difference of log-likelihood per item over the first
+    ``items`` (``every``, twice that, ...) of the ``n`` sequences that have so many."""
+    if any(m.silent or len(m.a) > 1 for m in (x, y)):
+        raise ValueError("checkpoints need models without silent states and with one transition class")
+    parts = seqs.select("obs").mapInArrow(partial(_curve, models=[x, y], every=every), "items int, n long, gain double")
+    return parts.groupBy("items").agg(F.sum("n").alias("n"), (F.sum("gain") / (F.sum("n") * F.col("items"))).alias("distance"))

@@ -57,6 +57,11 @@ def partition(seqs: DataFrame, ratio: float, seed: int = 0) -> tuple[DataFrame,
     return seqs.where(first), seqs.where(~F.coalesce(first, F.lit(False)))
 
 
+def track_slices(seqs: DataFrame, start: int, length: int) -> DataFrame:
+    """Sequences of several tracks (``obs``: an array of tracks) cut to ``length`` items from place ``start`` (from 0) on in all of them."""
+    return seqs.withColumn("obs", F.transform("obs", lambda track: F.slice(track, start + 1, length)))
+
+
 def to_reals(seqs: DataFrame) -> DataFrame:
     return seqs.withColumn("obs", F.transform("obs", lambda x: x.cast("double")))
 

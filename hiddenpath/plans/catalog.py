@@ -164,6 +164,17 @@ def model_distance(spark, d):
     return decoding.distance(PLAIN, OTHER, symbols(spark, d)).select(F.round("distance", 6).alias("distance"))
 
 
+def distance_curve(spark, d):
+    """The distance of two models over the first 20, 40, ... events of users."""
+    return decoding.distance_curve(PLAIN, OTHER, symbols(spark, d), 20).select("items", "n", F.round("distance", 6).alias("distance"))
+
+
+def switching_joint_logp(spark, d):
+    """Log probability of each user's events and the path of their codes modulo 3, under a model with two classes."""
+    s = with_companions(spark, d).withColumn("path", F.transform("obs", lambda x: x % 3))
+    return decoding.joint_log_likelihood(s, SWITCHING, "path", "high").select("seq_id", F.round("logp", 4).alias("logp"))
+
+
 def weighted_logp(spark, d):
     """Log-likelihood of all users' values, weighted by the users' number of events, impossible ones at a penalty."""
     s = reals(spark, d).withColumn("weight", F.size("obs").cast("double"))
@@ -391,5 +402,6 @@ _ALL = (
     switching_logp, switching_viterbi, order1_logp, silent_logp, em_step, normal_em_step, bayes_classify, class_trajectory, model_distance, weighted_logp, admissible, best_model, ranked, set_logp, mixture_logp, mixture_decode, log_odds, confusion, mean_sequence, scatter_matrix, scatter_matrix_whole,
     extremes, background_estimate, pair_counts, pair_counts_whole, subset, merge, all_words, order_statuses, likeliest_labels, pair_alignment, baum_welch, hard_clusters, soft_mixture, gradient_search, discriminative, sampled, extended, gibbs_paths, value_blocks,
     pair_scores, pair_alignment_linear, decoded_steps, outlier_logp, penalised_logp, gibbs_tuples, gibbs_runs, gibbs_mixture, value_runs, discriminative_closed, settled_clusters, mixture_starts,
+    distance_curve, switching_joint_logp,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -237,3 +237,8 @@ ORACLE_SQL |= {
     + "SELECT round(sum(CASE WHEN p > 0 THEN ln(p) ELSE -50 END), 4) AS logp, count(*) FILTER (p > 0) AS n FROM (SELECT e.id, sum(ini.p * e.p) AS p FROM e JOIN ini USING (st) WHERE e.t = 0 GROUP BY e.id)",
     "value_runs": _with(S) + ", d AS (SELECT id, t, x, CAST(coalesce(abs(x - lag(x) OVER (PARTITION BY id ORDER BY t)) >= 60, false) AS INTEGER) AS new FROM s), k AS (SELECT id, t, x, sum(new) OVER (PARTITION BY id ORDER BY t) AS run FROM d) SELECT id AS seq_id, CAST(run AS INTEGER) AS run, count(*) AS n, round(avg(x), 6) AS mean, round(sqrt(var_pop(x) * count(*)), 5) AS spread FROM k GROUP BY id, run",
 }
+ORACLE_SQL |= {
+    "distance_curve": _with(S, _start(PLAIN, "x"), _start(OTHER, "y"), _forward("x"), _forward("y"), "a AS (SELECT id, t, ln(sum(v)) AS v FROM fx GROUP BY id, t), b AS (SELECT id, t, ln(sum(v)) AS v FROM fy GROUP BY id, t)")
+    + "SELECT CAST(t + 1 AS INTEGER) AS items, count(*) AS n, round(sum(a.v - b.v) / (count(*) * (t + 1)), 6) AS distance FROM a JOIN b USING (id, t) WHERE (t + 1) % 20 = 0 GROUP BY t",
+    "switching_joint_logp": _with(S, _chain(SWITCHING), _emissions(SWITCHING)) + f"SELECT s.id AS seq_id, round(sum({_A0} + ln(e.p)), 4) AS logp FROM s LEFT JOIN s b ON b.id = s.id AND b.t = s.t - 1 JOIN e ON e.id = s.id AND e.t = s.t AND e.st = s.sym % 3 LEFT JOIN ini i ON i.st = s.sym % 3 LEFT JOIN tr ON tr.c = b.high AND tr.src = s.prev % 3 AND tr.dst = s.sym % 3 GROUP BY s.id",
+}

@@ -61,7 +61,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("set_id", "pos", values.alias("obs"), head(r"<\s*([^>]*?)\s*>").alias("label"), head(r"\(\s*([^)]*?)\s*\)").alias("id"), F.coalesce(head(r"\|\s*([^|]*?)\s*\|"), F.lit(1.0)).alias("weight"))
 
 
-def _framed(batches: Iterator[pa.RecordBatch], head: str) -> Iterator[pa.RecordBatch]:
+def _framed(batches: Iterator[pa.RecordBatch], head: str, tail: str) -> Iterator[pa.RecordBatch]:
     empty = True
     for batch in batches:
         if empty and batch.num_rows:
@@ -69,7 +69,7 @@ def _framed(batches: Iterator[pa.RecordBatch], head: str) -> Iterator[pa.RecordB
             empty = False
         yield batch
     if not empty:
-        yield pa.RecordBatch.from_pydict({"value": [" };\n};"]})
+        yield pa.RecordBatch.from_pydict({"value": [tail]})
 
 
 def write_blocks(seqs: DataFrame, path: str, reals: bool = False) -> None:
@@ -80,7 +80,18 @@ def write_blocks(seqs: DataFrame, path: str, reals: bool = False) -> None:
     marks = [part(name, *ends) for name, ends in (("label", ("<", "> ")), ("id", ("(", ") ")), ("weight", ("|", "| "))) if name in seqs.columns]
     row = F.concat(F.lit("  "), *marks, F.array_join(F.transform("obs", lambda x: x.cast("string")), ", "), F.lit(";"))
     rows = seqs.where("size(obs) > 0").select(row.alias("value"))
-    rows.mapInArrow(partial(_framed, head=f"{'SEQD' if reals else 'SEQ'} = {{\n O = {{"), "value string").write.text(path)
+    rows.mapInArrow(partial(_framed, head=f"{'SEQD' if reals else 'SEQ'} = {{\n O = {{", tail=" };\n};"), "value string").write.text(path)
+
+
+def write_sequences_xml(seqs: DataFrame, path: str) -> None:
+    """An XML document per output file, with the weight, id and items of each sequence (``weight`` and ``id`` where ``seqs`` has them)."""
+    # Element and attribute names of the format
+    head, tail = '<Sequences type="int" >\n <DiscretePD>', " </DiscretePD>\n</Sequences>"
+    weight = F.round("weight").cast("long") if "weight" in seqs.columns else F.lit(1)
+    name = F.coalesce(F.concat(F.lit(' id="seq'), F.col("id").cast("string"), F.lit('"')), F.lit("")) if "id" in seqs.columns else F.lit("")
+    items = F.concat(F.lit("<!-- Length: "), F.size("obs"), F.lit(" --> "), F.array_join(F.transform("obs", lambda x: x.cast("string")), " "))
+    row = F.concat(F.lit("  "), weight.cast("string"), F.lit(" <Sequence"), name, F.lit(">"), F.when(F.size("obs") > 0, items).otherwise(""), F.lit(" </Sequence>"))
+    seqs.where("obs is not null").select(row.alias("value")).mapInArrow(partial(_framed, head=head, tail=tail), "value string").write.text(path)
 
 
 def _numbers(text: str | None) -> list[float]:
@@ -195,7 +206,10 @@ _MOVES = (("M", "M"), ("M", "I"), ("M", "D"), ("I", "M"), ("I", "I"), ("D", "M")
 
 
 def models_from_profiles(text: str) -> list[DiscreteHmm]:
-    """Profile models of text version 2: states N B E J C T, then match, insert and delete states of each column."""
+    """Profile models of text version 2: states N B E J C T, then match, insert and delete states of each column.
+
+    The last column has no insert state, and its delete state leads to E. Rows of transitions and emissions are scaled to sum 1; T ends.
+    """
     return [_profile(part) for part in text.split("//") if "HMM " in part]
 
 
@@ -208,7 +222,7 @@ def _profile(part: str) -> DiscreteHmm:
     null = np.array([score(s, 1 / len(letters)) for s in head["NULE"]])
     names = ["N", "B", "E", "J", "C", "T"]
     for k in range(1, length + 1):
-        names += [f"M{k}"] + ([f"I{k}"] if k < length else []) + ([f"D{k}"] if 1 < k < length else [])
+        names += [f"M{k}"] + ([f"I{k}"] if k < length else []) + [f"D{k}"]
     at = {s: i for i, s in enumerate(names)}
     n, m = len(names), len(letters)
     a, b = np.zeros((n, n)), [np.zeros(m) for _ in names]
@@ -220,7 +234,7 @@ def _profile(part: str) -> DiscreteHmm:
     body = lines[next(i for i, x in enumerate(lines) if x.startswith("HMM ")) + 2 :]
     if body[0].split()[0] != "1":
         first = body.pop(0).split()
-        if len(first) > 2 and length > 1 and "D1" in at:
+        if len(first) > 2:
             a[at["B"], at["D1"]] = score(first[2])
     for k in range(1, length + 1):
         match, insert, moves = (body.pop(0).split() for _ in range(3))
@@ -232,7 +246,8 @@ def _profile(part: str) -> DiscreteHmm:
             dst = "E" if y == "E" else f"M{k}" if x == "B" else f"{y}{k}" if y == "I" else f"{y}{k + 1}"
             if src in at and dst in at:
                 a[at[src], at[dst]] = score(s)
-    return DiscreteHmm(pi=np.eye(n)[0], a=a, b=b, alphabet=letters, name=name)
+    a[at[f"D{length}"], at["E"]] = 1.0
+    return DiscreteHmm(pi=np.eye(n)[0], a=a, b=b, alphabet=letters, name=name).normalised()
 
 
 def models_from_fields(text: str) -> list[Hmm]:
@@ -242,6 +257,7 @@ def models_from_fields(text: str) -> list[Hmm]:
     normal too. ``multip`` repeats a discrete model, ``fix_state`` names fixed states by 1; ``#`` starts a remark.
     """
     out: list[Hmm] = []
+    # Names of models and of their fields in this format
     for kind, body in re.findall(r"\b(S?HMM)\s*=\s*\{((?:[^{}]|\{[^{}]*\})*)\}\s*;", re.sub(r"#.*", "", text)):
         fields = {name: table or one for name, table, one in re.findall(r"(\w+)\s*=\s*(?:(?:vector|matrix)\s*\{([^{}]*)\}|([^;{}]+?))\s*;", body)}
         missing = {"M", "N", "Pi"} - set(fields) | ({"C", "Mue", "U", "density", "cos"} if kind == "SHMM" else {"A", "B"}) - set(fields)

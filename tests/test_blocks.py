@@ -1,0 +1,90 @@
+"""Block text sets by byte ranges: the same rows for every size of a range."""
+
+import random
+import xml.etree.ElementTree as ET
+
+import pytest
+
+from hiddenpath.operators import sequences
+from hiddenpath.sources import blocks, files
+
+TEXT = """# first; set {with} marks in a remark
+SEQ = {
+  O = {
+    <4> 1, 2 # half; a row
+    3;
+
+    (7) |2| 5; 6, 6;
+  };
+};
+SEQD = { O = { 0.5, 1
+ ; } ; };
+SEQ = {
+  L = { seq_len = 2; # length
+    symb = 3; };
+};
+SEQ = { M = 3; O = { 9; }; };
+"""
+
+
+def rows_of(df):
+    return sorted((r.set_id, r.pos, r.obs, r.label, r.id, r.weight) for r in df.collect())
+
+
+WANT = sorted(
+    [(0, 0, [1, 2, 3], 4, None, 1), (0, 1, [5], None, 7, 2), (0, 2, [6, 6], None, None, 1), (1, 0, [0.5, 1], None, None, 1), (3, 0, [9], None, None, 1)]
+    + [(2, 3 * a + b, [a, b], None, None, 1) for a in range(3) for b in range(3)]
+)
+
+
+@pytest.mark.parametrize("size", [7, 30, 100, 10_000])
+def test_ranges(spark, tmp_path, size):
+    (tmp_path / "x.sqd").write_text(TEXT)
+    assert rows_of(blocks.read_blocks(spark, str(tmp_path / "x.sqd"), size)) == WANT
+    assert rows_of(blocks.read_blocks(spark, f"file://{tmp_path}/x.sqd", size)) == WANT
+
+
+def test_statements_are_read_once(tmp_path):
+    """Whatever the ranges, their statements are those of the whole file."""
+    rng = random.Random(3)
+    for _ in range(30):
+        text = "".join(rng.choice(["a", "1 2", ";", "{", "}", "\n", "\n\n", "# x;y\n", " ", "é;\n"]) for _ in range(rng.randint(0, 120)))
+        (tmp_path / "y").write_text(text)
+        n = len(text.encode())
+        whole = list(blocks.statements(str(tmp_path / "y"), 0, n))
+        for size in (1, 3, 10, 50):
+            parts = [s for k in range(0, n, size) for s in blocks.statements(str(tmp_path / "y"), k, min(n, k + size))]
+            assert parts == whole
+
+
+def test_long_blocks_and_folders(spark, tmp_path):
+    """A block over many ranges is numbered through, and equals what the reader by lines gives."""
+    rng = random.Random(5)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for f in range(2):
+        lines = ["SEQ = {", " O = {", *[f"  ({k}) {', '.join(str(rng.randint(0, 9)) for _ in range(rng.randint(1, 30)))};" for k in range(300)], " };", "};", "SEQD = { O = {", *[f"{k}.5;" for k in range(50)], "}; };"]
+        (folder / f"{f}.sqd").write_text("\n".join(lines))
+    (folder / "_SUCCESS").write_text("no ; block")
+    got = blocks.read_blocks(spark, str(folder), 900)
+    assert got.rdd.getNumPartitions() >= 1 and rows_of(got) == rows_of(files.read_blocks(spark, str(folder)))
+    assert len(blocks.BlockReader(str(folder), 900).partitions()) > 20
+    (tmp_path / "none").write_text("")
+    assert blocks.read_blocks(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="nowhere"):
+        blocks.read_blocks(spark, str(tmp_path / "nowhere")).count()
+
+
+def test_xml_of_sequences(spark, tmp_path):
+    rows = [(1.0, [1, 2], 2.0), (None, [], 1.0), (3.0, None, 1.0), (4.0, [7], 1.0)]
+    d = spark.createDataFrame(rows, "id double, obs array<int>, weight double")
+    files.write_sequences_xml(d.coalesce(1), str(tmp_path / "xml"))
+    (text,) = [r[0] for r in spark.read.text(str(tmp_path / "xml"), wholetext=True).collect()]
+    root = ET.fromstring(text)
+    assert root.tag == "Sequences" and [(e.get("id"), "".join(e.itertext()).split()) for e in root.iter("Sequence")] == [("seq1.0", ["1", "2"]), (None, []), ("seq4.0", ["7"])]
+
+
+def test_slices_of_tracks(spark):
+    d = spark.createDataFrame([(1, [[1, 2, 3, 4], [5, 6, 7, 8]]), (2, None), (3, [[1], [2]])], "seq_id int, obs array<array<int>>")
+    got = {r.seq_id: r.obs for r in sequences.track_slices(d, 1, 2).collect()}
+    assert got == {1: [[2, 3], [6, 7]], 2: None, 3: [[], []]}
