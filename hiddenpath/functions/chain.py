@@ -92,29 +92,33 @@ def _step(prev: np.ndarray, a: np.ndarray, cls: np.ndarray | None) -> np.ndarray
     return prev @ a[0] if cls is None else np.einsum("bi,bij->bj", prev, a[cls])
 
 
-def forward(model: Hmm, e: np.ndarray, n: np.ndarray, classes: np.ndarray | None = None, eps: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward variables, scales and log-likelihoods; -inf once a step's scale is under ``eps``: EPS for
+def forward(model: Hmm, e: np.ndarray, n: np.ndarray, classes: np.ndarray | None = None, eps: float | None = None, lean: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward variables (``lean``: those of each row's last step only), scales and log-likelihoods; -inf once a step's scale is under ``eps``: EPS for
     probabilities; densities depend on the unit, so for them it is the smallest normal double."""
     eps = least_scale(model) if eps is None else eps
     rows, steps, _ = e.shape
     s = model.silent_order()
     loud = [i for i in range(model.n) if i not in s]
     inside = np.linalg.inv(np.eye(len(s)) - model.a[0][np.ix_(s, s)]) if s else None
-    alpha, scale = np.zeros(e.shape), np.ones((rows, steps))
+    alpha, scale = np.zeros((rows, model.n) if lean else e.shape), np.ones((rows, steps))
     dead = np.zeros(rows, bool)
     for t in range(steps):
         k = int((n > t).sum())
-        raw = (model.pi if t == 0 else _step(alpha[:k, t - 1], model.a, None if classes is None else classes[:k, t - 1])) * e[:k, t]
+        raw = (model.pi if t == 0 else _step(alpha[:k] if lean else alpha[:k, t - 1], model.a, None if classes is None else classes[:k, t - 1])) * e[:k, t]
         if s:
             raw[:, s] = ((model.pi[s] if t == 0 else 0.0) + raw[:, loud] @ model.a[0][np.ix_(loud, s)]) @ inside
         total = raw.sum(1)
         dead[:k] |= total < eps
         scale[:k, t] = total
-        alpha[:k, t] = np.divide(raw, total[:, None], out=np.zeros_like(raw), where=total[:, None] >= eps)
+        new = np.divide(raw, total[:, None], out=np.zeros_like(raw), where=total[:, None] >= eps)
+        if lean:
+            alpha[:k] = new
+        else:
+            alpha[:k, t] = new
     with np.errstate(divide="ignore"):
         logp = np.where(dead, -np.inf, np.log(scale).sum(1))
         if s and steps:
-            last = alpha[np.arange(rows), np.maximum(n - 1, 0)][:, loud].sum(1)
+            last = (alpha if lean else alpha[np.arange(rows), np.maximum(n - 1, 0)])[:, loud].sum(1)
             logp = np.where(n > 0, logp + np.log(last), logp)
     return alpha, scale, logp
 

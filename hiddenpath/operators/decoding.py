@@ -65,7 +65,7 @@ def _decode(batches: Iterator[pa.RecordBatch], model: Hmm, outputs: list[str], c
             c = None if c is None else np.nan_to_num(c).astype(np.int64)
             one: dict[str, object] = {}
             if need_forward:
-                one["alpha"], one["scale"], one["logp"] = chain.forward(model, e, n, c)
+                one["alpha"], one["scale"], one["logp"] = chain.forward(model, e, n, c, lean=need_forward == {"logp"})
             if need_backward:
                 one["beta"] = chain.backward(model, e, n, one["scale"], c)
                 one["posterior"] = one["alpha"] * one["beta"]
@@ -116,7 +116,7 @@ def _score_all(batches: Iterator[pa.RecordBatch], models: list[Hmm], classes: st
                 continue
             for at, n, x in chain.padded(*obs, m.n):
                 c = None if cls is None else np.minimum(np.nan_to_num(_pick(cls, obs[1], at, n)), len(m.a) - 1).astype(np.int64)
-                scores[at, k] = chain.forward(m, chain.emissions(m, x), n, c)[2]
+                scores[at, k] = chain.forward(m, chain.emissions(m, x), n, c, lean=True)[2]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(list(scores), _DOUBLES)], names=[*[c for c in batch.schema.names if c != "scores"], "scores"])
 
 

@@ -282,6 +282,18 @@ def _align(batches: Iterator[pa.RecordBatch], model: PairHmm, segment: str | Non
         yield pa.RecordBatch.from_arrays([batch.column("pair_id"), pa.array(paths, pa.list_(pa.int32())), pa.array(logp, pa.float64())], names=["pair_id", "path", "logp"])
 
 
+def _scored(batches: Iterator[pa.RecordBatch], model: PairHmm, path: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(_sequences(batch.column("x")), _sequences(batch.column("y")), batch.column(path).to_pylist(), strict=True)
+        logp = [None if x is None or y is None or p is None else path_log_likelihood(model, x, y, p) for x, y, p in rows]
+        yield pa.RecordBatch.from_arrays([batch.column("pair_id"), pa.array(logp, pa.float64())], names=["pair_id", "logp"])
+
+
+def score_paths(pairs: DataFrame, model: PairHmm, path: str) -> DataFrame:
+    """``pair_id, logp`` of rows ``pair_id, x, y`` and the states of the column ``path``: -Infinity where these don't take all items, null for nulls."""
+    return pairs.select("pair_id", "x", "y", path).mapInArrow(partial(_scored, model=model, path=path), f"pair_id {pairs.schema['pair_id'].dataType.simpleString()}, logp double")
+
+
 def align_pairs(pairs: DataFrame, model: PairHmm, segment: str | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
     """``pair_id, path, logp`` of rows ``pair_id, x, y``: the likeliest alignment. Null sequences give nulls, an impossible
     pair an empty path and -Infinity.

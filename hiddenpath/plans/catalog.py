@@ -32,6 +32,11 @@ _PAIR = pairs.PairHmm(pi=[0.8, 0.1, 0.1], a=[[0.8, 0.1, 0.1], [0.6, 0.35, 0.05],
 BOUNDED = ContinuousHmm(pi=[0.5, 0.5], a=[[0.9, 0.1], [0.2, 0.8]], components=[[Component("uniform", 1.0, lo=0.0, hi=300.0)], [Component("uniform", 1.0, lo=0.0, hi=150.0)]])
 #: Order statuses against event types: a status with an event, two statuses at once, an event alone.
 _LONG_PAIR = pairs.PairHmm(pi=[0.6, 0.2, 0.2], a=[[0.7, 0.1, 0.2], [0.5, 0.3, 0.2], [0.5, 0.1, 0.4]], b=[(np.outer([0.3, 0.3, 0.4, 0, 0], [0.3, 0.1, 0.2, 0.1, 0.3]) * (1 + 0.5 * np.eye(5)) / (1 + 0.5 * 0.2 * 0.7)).reshape(-1), [0.4, 0.3, 0.3, 0.0, 0.0], [0.3, 0.1, 0.2, 0.1, 0.3]], steps=[(1, 1), (2, 0), (0, 1)], m=5)
+#: States that share emissions, a background, tails, two dimensions.
+TIED = DiscreteHmm(pi=PLAIN.pi, a=_A, b=_B, alphabet=EVENTS, ties=[[1, 2]])
+BACKGROUND = [0.3, 0.1, 0.2, 0.1, 0.3]
+TAILS = ContinuousHmm(pi=[0.5, 0.5], a=[[0.7, 0.3], [0.4, 0.6]], components=[[Component("normal_right", 1.0, 60.0, 6400.0, lo=0.0)], [Component("normal_left", 0.6, 300.0, 10000.0, hi=520.0), Component("normal_right", 0.4, 150.0, 2500.0, lo=0.0)]])
+BIVARIATE = ContinuousHmm(pi=[0.4, 0.6], a=[[0.8, 0.2], [0.3, 0.7]], components=[[Component("multinormal", 1.0, [80.0, 100.0], [[6000.0, 1500.0], [1500.0, 9000.0]])], [Component("multinormal", 1.0, [250.0, 200.0], [[12000.0, -2000.0], [-2000.0, 15000.0]])]])
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,6 +321,100 @@ def penalised_logp(spark, d):
     return decoding.total_log_likelihood(s, BOUNDED, penalty=-50.0).select(F.round("logp", 4).alias("logp"), "n")
 
 
+def _event_pairs(spark, d):
+    s = symbols(spark, d)
+    y = s.select((F.col("seq_id") - 1).alias("seq_id"), F.col("obs").alias("y"))
+    return s.join(y, "seq_id").select(F.col("seq_id").alias("pair_id"), F.col("obs").alias("x"), "y")
+
+
+def pair_scores_end(spark, d):
+    """:func:`pair_scores` of alignments that end with an item of the first user alone, as a segment."""
+    whole = F.struct(F.lit(0).alias("u0"), F.lit(0).alias("v0"), F.size("x").alias("u1"), F.size("y").alias("v1"), F.lit(None).cast("int").alias("before"), F.lit(1).alias("end"))
+    return pairs.align_pairs(_event_pairs(spark, d).withColumn("segment", whole), _PAIR, "segment").select("pair_id", F.round("logp", 4).alias("logp"))
+
+
+def pair_path_logp(spark, d):
+    """Log probability of the plain path: items side by side, then what is left of the longer sequence."""
+    n, m = F.size("x"), F.size("y")
+    path = F.concat(F.array_repeat(F.lit(0), F.least(n, m)), F.array_repeat(F.lit(1), F.greatest(n - m, F.lit(0))), F.array_repeat(F.lit(2), F.greatest(m - n, F.lit(0))))
+    return pairs.score_paths(_event_pairs(spark, d).withColumn("path", path), _PAIR, "path").select("pair_id", F.round("logp", 4).alias("logp"))
+
+
+def step_scales(spark, d):
+    """The chance of each event given those before it."""
+    s = decoding.decode(symbols(spark, d), PLAIN, ["scale"]).select("seq_id", F.posexplode("scale").alias("t", "scale"))
+    return s.select("seq_id", "t", F.round("scale", 8).alias("scale"))
+
+
+def scaled_betas(spark, d):
+    """Backward variables of the first ten events, scaled by the chances of the events behind them."""
+    s = decoding.decode(symbols(spark, d), PLAIN, ["beta"]).select("seq_id", F.posexplode("beta").alias("t", "b")).where("t < 10")
+    return s.select("seq_id", "t", F.posexplode("b").alias("state", "beta")).select("seq_id", "t", "state", F.round("beta", 6).alias("beta"))
+
+
+def labelled_em_step(spark, d):
+    """Expected counts of one training step where the sign of a value binds the states."""
+    s = training.statistics(with_companions(spark, d), [PLAIN], restrict="high")
+    b = F.col("stat").startswith("b")
+    return s.where("stat <> 'logp'").select(F.when(b, "b").otherwise(F.col("stat")).alias("stat"), F.when(b, F.substring("stat", 2, 9).cast("int")).otherwise(F.col("i")).alias("i"), "j", F.round("value", 3).alias("value"))
+
+
+def tied_step(spark, d):
+    """Emissions after one training step of a model of which two states share them."""
+    return _parameters(spark, [training.baum_welch(symbols(spark, d), TIED, 1).model]).where("stat = 'b'")
+
+
+def background_logp(spark, d):
+    """Log-likelihood where a background takes a share of two states' emissions."""
+    model = PLAIN.copy()
+    model.backgrounds = {"all": np.array(BACKGROUND)}
+    return decoding.decode(symbols(spark, d), model.with_background({0: ("all", 0.25), 2: ("all", 0.5)}), ["logp"]).select("seq_id", F.round("logp", 4).alias("logp"))
+
+
+def class_logp(spark, d):
+    """Log-likelihood under the second class of a model with two."""
+    return decoding.decode(symbols(spark, d), SWITCHING.of_class(1), ["logp"]).select("seq_id", F.round("logp", 4).alias("logp"))
+
+
+def duration_logp(spark, d):
+    """Log-likelihood where the first state lasts two events at least."""
+    return decoding.decode(symbols(spark, d), PLAIN.with_duration(0, 2), ["logp"]).select("seq_id", F.round("logp", 4).alias("logp"))
+
+
+def tail_logp(spark, d):
+    """Log-likelihood of values under normals cut from below and from above."""
+    return decoding.decode(reals(spark, d), TAILS, ["logp"]).select("seq_id", F.round("logp", 4).alias("logp"))
+
+
+def bivariate_logp(spark, d):
+    """Log-likelihood of each value together with the one before it, by normals of two dimensions."""
+    s = reals(spark, d)
+    both = F.transform("obs", lambda x, t: F.array(x, F.when(t > 0, F.get("obs", t - 1)).otherwise(F.lit(0.0))))
+    return decoding.decode(s.select("seq_id", both.alias("obs")), BIVARIATE, ["logp"]).select("seq_id", F.round("logp", 4).alias("logp"))
+
+
+def integer_values(spark, d):
+    """Values rounded to whole numbers."""
+    return sequences.to_long(sequences.to_integers(reals(spark, d))).groupBy(F.col("x").alias("value")).agg(F.count("*").alias("n"))
+
+
+def weighted_extremes(spark, d):
+    s = symbols(spark, d).withColumn("weight", F.size("obs") / 4)
+    return sequences.extremes(s).select("n", "total_weight", "longest")
+
+
+def registered_logp(spark, d):
+    """Scores and path lengths by the SQL functions of a registered model."""
+    registry.register(spark, "by_name", PLAIN)
+    q = "SELECT seq_id, round(by_name_logp(obs), 4) AS logp, size(by_name_path(obs)) AS steps, round(by_name_posterior(obs)[0][0], 6) AS first FROM {seqs}"
+    return spark.sql(q, seqs=symbols(spark, d))
+
+
+def one_sequence(spark, d):
+    """The events of user 11."""
+    return sequences.to_long(symbols(spark, d).where("seq_id = 11"))
+
+
 def _parameters(spark: SparkSession, models: list[Hmm]) -> DataFrame:
     rows = [(k, "pi", 0, j, float(v)) for k, m in enumerate(models) for j, v in enumerate(m.pi)]
     rows += [(k, "a", i, j, float(v)) for k, m in enumerate(models) for (i, j), v in np.ndenumerate(m.a[0])]
@@ -402,6 +501,6 @@ _ALL = (
     switching_logp, switching_viterbi, order1_logp, silent_logp, em_step, normal_em_step, bayes_classify, class_trajectory, model_distance, weighted_logp, admissible, best_model, ranked, set_logp, mixture_logp, mixture_decode, log_odds, confusion, mean_sequence, scatter_matrix, scatter_matrix_whole,
     extremes, background_estimate, pair_counts, pair_counts_whole, subset, merge, all_words, order_statuses, likeliest_labels, pair_alignment, baum_welch, hard_clusters, soft_mixture, gradient_search, discriminative, sampled, extended, gibbs_paths, value_blocks,
     pair_scores, pair_alignment_linear, decoded_steps, outlier_logp, penalised_logp, gibbs_tuples, gibbs_runs, gibbs_mixture, value_runs, discriminative_closed, settled_clusters, mixture_starts,
-    distance_curve, switching_joint_logp,
+    distance_curve, switching_joint_logp, pair_scores_end, pair_path_logp, step_scales, scaled_betas, labelled_em_step, tied_step, background_logp, class_logp, duration_logp, tail_logp, bivariate_logp, integer_values, weighted_extremes, registered_logp, one_sequence,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

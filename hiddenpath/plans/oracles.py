@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from hiddenpath.model import ContinuousHmm, DiscreteHmm, Hmm
-from hiddenpath.plans.catalog import _PAIR, BOUNDED, EVENTS, MIXED, NORMAL, ORDER1, OTHER, PLAIN, SILENT, SWITCHING
+from hiddenpath.plans.catalog import _PAIR, BACKGROUND, BIVARIATE, BOUNDED, EVENTS, MIXED, NORMAL, ORDER1, OTHER, PLAIN, SILENT, SWITCHING, TAILS
 
 _LIST = ", ".join(f"'{e}'" for e in EVENTS)
 #: Steps of all sequences: code, value, the code before, and whether the value is 250 or more.
@@ -205,7 +205,7 @@ ORACLE_SQL |= {
 }
 
 
-def _pair_scores() -> str:
+def _pair_scores(last: str = "true") -> str:
     """Alignment scores by antidiagonals: cells of this one (age 0) and the one before (age 1); a move takes a cell on, or lets it age."""
     n = len(_PAIR.pi)
     moves = [(p, q, dx, dy, dx + dy - 1, float(np.log(_PAIR.a[0][p, q]))) for p in range(n) for q, (dx, dy) in enumerate(_PAIR.steps) if _PAIR.a[0][p, q] > 0]
@@ -225,7 +225,7 @@ def _pair_scores() -> str:
         "LEFT JOIN s p ON a.dx = 1 AND p.id = c.id AND p.t = c.u LEFT JOIN s q ON a.dy = 1 AND q.id = c.id + 1 AND q.t = c.v "
         "LEFT JOIN em ON a.to_age = 0 AND em.st = a.dst AND em.x = coalesce(p.sym, -1) AND em.y = coalesce(q.sym, -1) WHERE c.d < c.lx + c.ly GROUP BY ALL)",
     ]
-    return _with(*parts) + "SELECT id AS pair_id, round(max(sc), 4) AS logp FROM c WHERE age = 0 AND u = lx AND v = ly GROUP BY id"
+    return _with(*parts) + "SELECT id AS pair_id, round(max(sc), 4) AS logp FROM c WHERE age = 0 AND u = lx AND v = ly AND " + last + " GROUP BY id"
 
 
 _FAR = S.replace("value AS x", "CASE WHEN value > 480 THEN value + 260 ELSE value END AS x")
@@ -242,3 +242,67 @@ ORACLE_SQL |= {
     + "SELECT CAST(t + 1 AS INTEGER) AS items, count(*) AS n, round(sum(a.v - b.v) / (count(*) * (t + 1)), 6) AS distance FROM a JOIN b USING (id, t) WHERE (t + 1) % 20 = 0 GROUP BY t",
     "switching_joint_logp": _with(S, _chain(SWITCHING), _emissions(SWITCHING)) + f"SELECT s.id AS seq_id, round(sum({_A0} + ln(e.p)), 4) AS logp FROM s LEFT JOIN s b ON b.id = s.id AND b.t = s.t - 1 JOIN e ON e.id = s.id AND e.t = s.t AND e.st = s.sym % 3 LEFT JOIN ini i ON i.st = s.sym % 3 LEFT JOIN tr ON tr.c = b.high AND tr.src = s.prev % 3 AND tr.dst = s.sym % 3 GROUP BY s.id",
 }
+
+
+def _tail_emissions() -> str:
+    """Cut normals: the density over its mass, added up in strips of a thousandth of a standard deviation."""
+    def mass(c: object) -> float:
+        sd = float(np.sqrt(c.var))
+        x = np.arange(c.lo, c.mean + 12 * sd, sd / 1000) if c.kind == "normal_right" else np.arange(c.hi, c.mean - 12 * sd, -sd / 1000)
+        p = np.exp(-((x - c.mean) ** 2) / (2 * c.var))
+        return float((p.sum() - (p[0] + p[-1]) / 2) * sd / 1000)
+
+    parts = []
+    for i, comps in enumerate(TAILS.components):
+        terms = [f"CASE WHEN x {'>=' if c.kind == 'normal_right' else '<='} {c.lo if c.kind == 'normal_right' else c.hi} THEN {c.weight} * exp(-pow(x - {c.mean}, 2) / {2 * c.var}) / {mass(c)!r} ELSE 0 END" for c in comps]
+        parts.append(f"SELECT id, t, {i} AS st, {' + '.join(terms)} AS p FROM s")
+    return f"e AS ({' UNION ALL '.join(parts)})"
+
+
+def _plane_emissions() -> str:
+    """Normals of two dimensions, times 10,000 so that products don't vanish: a value, and the one before it or 0."""
+    parts = []
+    for i, (c,) in enumerate(BIVARIATE.components):
+        (a, b), (_, d) = c.var
+        det = a * d - b * b
+        x, y = f"(x - {c.mean[0]})", f"(y - {c.mean[1]})"
+        parts.append(f"SELECT id, t, {i} AS st, 10000 * exp(-({d} * {x} * {x} - 2 * {b} * {x} * {y} + {a} * {y} * {y}) / {2 * det}) / (2 * pi() * sqrt({det})) AS p FROM (SELECT id, t, x, coalesce(lag(x) OVER (PARTITION BY id ORDER BY t), 0) AS y FROM s)")
+    return f"e AS ({' UNION ALL '.join(parts)})"
+
+
+_END = "SELECT f.id AS seq_id, round(ln(sum(f.v)), 4) AS logp FROM f JOIN s USING (id, t) WHERE s.t = s.n - 1 GROUP BY f.id"
+_HELD = "(e.st > 0) = (s.high = 1)"
+_HELD_BACKWARD = (
+    "b(id, t, st, v) AS (SELECT s.id, s.t, q.st, CAST(1 AS DOUBLE) FROM s CROSS JOIN (SELECT DISTINCT src AS st FROM tr) q WHERE s.t = s.n - 1 UNION ALL "
+    f"SELECT b.id, b.t - 1, tr.src, sum(tr.p * e.p * b.v) FROM b JOIN tr ON tr.dst = b.st JOIN e ON e.id = b.id AND e.t = b.t AND e.st = b.st JOIN s ON s.id = e.id AND s.t = e.t WHERE b.t > 0 AND {_HELD} GROUP BY b.id, b.t, tr.src)"
+)
+_DURATION = np.zeros((4, 4))  # the first state's entries reach state 0, its exits leave state 3
+_DURATION[0, 3] = 1
+_DURATION[3, :3] = PLAIN.a[0][0]
+_DURATION[1:3, :3] = PLAIN.a[0][1:]
+_LASTING = DiscreteHmm(pi=[*PLAIN.pi, 0], a=_DURATION, b=[*PLAIN.b, PLAIN.b[0]], alphabet=EVENTS)
+ORACLE_SQL |= {
+    "pair_scores_end": _pair_scores("st = 1"),
+    "pair_path_logp": _with(S) + ", m AS (SELECT DISTINCT id, n FROM s), w AS (SELECT x.id, x.n AS lx, y.n AS ly FROM m x JOIN m y ON y.id = x.id + 1), "
+    "k AS (SELECT w.id, lx, ly, u.t AS t, p.sym AS a, q.sym AS b, CASE WHEN u.t < least(lx, ly) THEN 0 WHEN lx > ly THEN 1 ELSE 2 END AS st FROM w, unnest(range(greatest(lx, ly))) u(t) LEFT JOIN s p ON p.id = w.id AND p.t = u.t LEFT JOIN s q ON q.id = w.id + 1 AND q.t = u.t), "
+    "c AS (SELECT *, lag(st) OVER (PARTITION BY id ORDER BY t) AS prev FROM k) SELECT id AS pair_id, round(sum(ln(CASE WHEN prev IS NULL THEN [0.8, 0.1, 0.1][st + 1] ELSE [[0.8, 0.1, 0.1], [0.6, 0.35, 0.05], [0.6, 0.05, 0.35]][prev + 1][st + 1] END) + ln(CASE WHEN st > 0 THEN 0.2 WHEN a = b THEN 0.1625 ELSE 0.0125 END)), 4) AS logp FROM c GROUP BY id",
+    "step_scales": _with(S, _chain(PLAIN), _emissions(PLAIN), _forward()) + ", z AS (SELECT id, t, sum(v) AS v FROM f GROUP BY id, t) SELECT id AS seq_id, CAST(t AS INTEGER) AS t, round(v / coalesce(lag(v) OVER (PARTITION BY id ORDER BY t), 1), 8) AS scale FROM z",
+    "scaled_betas": _with(S, _chain(PLAIN), _emissions(PLAIN), _forward(), _backward())
+    + ", z AS (SELECT id, t, sum(v) AS v FROM f GROUP BY id, t), l AS (SELECT z.id, z.v FROM z JOIN s USING (id, t) WHERE s.t = s.n - 1) SELECT b.id AS seq_id, CAST(b.t AS INTEGER) AS t, CAST(b.st AS INTEGER) AS state, round(b.v * z.v / l.v, 6) AS beta FROM b JOIN z USING (id, t) JOIN l ON l.id = b.id WHERE b.t < 10",
+    "labelled_em_step": _with(S, _chain(PLAIN), _emissions(PLAIN), _forward(allow=_HELD), _HELD_BACKWARD)
+    + ", z AS (SELECT f.id, sum(f.v) AS v FROM f JOIN s USING (id, t) WHERE s.t = s.n - 1 GROUP BY f.id), g AS (SELECT id, t, st, f.v * b.v / z.v AS p FROM f JOIN b USING (id, t, st) JOIN z USING (id)), r AS ("
+    "SELECT 'pi' AS stat, 0 AS i, CAST(st AS INTEGER) AS j, round(sum(p), 3) AS value FROM g WHERE t = 0 GROUP BY st "
+    "UNION ALL SELECT 'b', CAST(st AS INTEGER), CAST(sym AS INTEGER), round(sum(p), 3) FROM g JOIN s USING (id, t) GROUP BY st, sym "
+    f"UNION ALL SELECT 'a', CAST(tr.src AS INTEGER), CAST(tr.dst AS INTEGER), round(sum(f.v * tr.p * e.p * b.v / z.v), 3) FROM f JOIN tr ON tr.src = f.st JOIN e ON e.id = f.id AND e.t = f.t + 1 AND e.st = tr.dst JOIN s ON s.id = e.id AND s.t = e.t JOIN b ON b.id = f.id AND b.t = e.t AND b.st = tr.dst JOIN z ON z.id = f.id WHERE {_HELD} GROUP BY tr.src, tr.dst) SELECT * FROM r WHERE value > 0",
+    "tied_step": _with(S, _start(PLAIN, "0"), _scored("0"), _learnt("0", "1")) + "SELECT CAST(0 AS INTEGER) AS model_id, 'b' AS stat, CAST(st AS INTEGER) AS i, CAST(sym AS INTEGER) AS j, round(CASE WHEN st = 0 THEN p ELSE avg(p) OVER (PARTITION BY st > 0, sym) END, 6) AS value FROM em1",
+    "background_logp": _with(S, _chain(PLAIN), _values("em(st, sym, p)", [(i, x, float(p)) for i, b in enumerate(PLAIN.b) for x, p in enumerate(b)]), _values("bg(sym, q)", list(enumerate(BACKGROUND))), "e AS (SELECT s.id, s.t, em.st, CASE em.st WHEN 0 THEN 0.75e0 * p + 0.25e0 * q WHEN 2 THEN 0.5e0 * p + 0.5e0 * q ELSE p END AS p FROM s JOIN em USING (sym) JOIN bg USING (sym))", _forward()) + _END,
+    "class_logp": _with(S, _chain(DiscreteHmm(pi=PLAIN.pi, a=OTHER.a, b=PLAIN.b, alphabet=EVENTS)), _emissions(PLAIN), _forward()) + _END,
+    "duration_logp": _logp(_LASTING),
+    "tail_logp": _with(S, _chain(TAILS), _tail_emissions(), _forward()) + _END,
+    "bivariate_logp": _with(S, _chain(BIVARIATE), _plane_emissions(), _forward()) + "SELECT f.id AS seq_id, round(ln(sum(f.v)) - any_value(s.n) * ln(10000), 4) AS logp FROM f JOIN s USING (id, t) WHERE s.t = s.n - 1 GROUP BY f.id",
+    "integer_values": _with(S) + "SELECT CAST(floor(abs(x) + 0.5) AS INTEGER) AS value, count(*) AS n FROM s GROUP BY ALL",
+    "weighted_extremes": _with(S) + "SELECT count(*) AS n, sum(n) / 4 AS total_weight, CAST(max(n) AS INTEGER) AS longest FROM (SELECT DISTINCT id, n FROM s)",
+    "registered_logp": _with(S, _chain(PLAIN), _emissions(PLAIN), _forward(), _backward()) + ", g AS (SELECT id, f.v * b.v / sum(f.v * b.v) OVER (PARTITION BY id) AS p, f.st FROM f JOIN b USING (id, t, st) WHERE t = 0) "
+    "SELECT f.id AS seq_id, round(ln(sum(f.v)), 4) AS logp, CAST(any_value(s.n) AS INTEGER) AS steps, round(any_value(g.p), 6) AS first FROM f JOIN s USING (id, t) JOIN g ON g.id = f.id AND g.st = 0 WHERE s.t = s.n - 1 GROUP BY f.id",
+    "one_sequence": _with(S) + "SELECT id AS seq_id, CAST(t AS INTEGER) AS t, CAST(sym AS INTEGER) AS x FROM s WHERE id = 11",
+}
