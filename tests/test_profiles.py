@@ -1,5 +1,6 @@
 """Profile models by known values, joint likelihoods of all kinds of models, distances by length, models of sets."""
 
+import itertools
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hiddenpath.model import models_of_sequences
-from hiddenpath.operators import decoding, sampling
+from hiddenpath.operators import decoding, labelling, sampling
 from hiddenpath.plans.catalog import ORDER1, OTHER, PLAIN, SILENT, SWITCHING
 from hiddenpath.sources import files
 
@@ -134,3 +135,23 @@ def test_models_of_sets(spark):
     assert [m.n for m in models] == [3, 1] and all(m.m == 3 for m in models)
     d = spark.createDataFrame([(k, r) for k, r in enumerate(rows) if r], "seq_id int, obs array<int>")
     assert [r.scores for r in decoding.score_all(d, models).orderBy("seq_id").collect()] == [[0.0, -math.inf], [-math.inf, 0.0]]
+
+
+def test_labelling_with_classes(spark):
+    """With room for all hypotheses, the likeliest labelling of all, over models with one class or two."""
+    two = SWITCHING.copy()
+    two.labels = ["0", "1", "1"]
+    rng = np.random.default_rng(3)
+    for model, classes in ((PLAIN, None), (two, "c")):
+        rows = [(k, rng.integers(0, 5, 5).tolist(), rng.integers(0, 2, 5).tolist()) for k in range(6)]
+        got = {r.seq_id: r for r in labelling.label(spark.createDataFrame(rows, "seq_id int, obs array<int>, c array<int>"), model, 64, classes).collect()}
+        for i, obs, cls in rows:
+            totals = {}
+            for q in itertools.product(range(3), repeat=5):
+                p = model.pi[q[0]] * np.prod([model.a[cls[t] if classes else 0][q[t], q[t + 1]] for t in range(4)]) * np.prod([model.b[s][x] for s, x in zip(q, obs)])
+                name = "".join(model.labels[s] for s in q)
+                totals[name] = totals.get(name, 0.0) + p
+            best = max(totals, key=totals.get)
+            assert got[i].logp == pytest.approx(math.log(totals["".join(got[i].labels)])) and got[i].logp >= math.log(totals[best]) - 0.1
+    with pytest.raises(ValueError, match="classes"):
+        labelling.label(spark.createDataFrame([], "seq_id int, obs array<int>"), two)
