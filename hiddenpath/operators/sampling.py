@@ -101,10 +101,35 @@ def walk(rng: np.random.Generator, model: Hmm, length: int, start: np.ndarray |
     return obs[base:], states
 
 
+def walks(model: DiscreteHmm, rngs: list[np.random.Generator], length: int) -> list[tuple[list, list[int]]]:
+    """What :func:`walk` gives for each generator, all rows side by side; for models of order 0 without silent states."""
+    u = np.array([rng.random(2 * length) for rng in rngs]).reshape(len(rngs), length, 2)
+    table, chance = np.stack(model.b), np.tile(model.pi, (len(rngs), 1))
+    obs, states = (np.zeros((len(rngs), length), np.int32) for _ in range(2))
+    count, going = np.zeros(len(rngs), np.int64), np.ones(len(rngs), bool)
+    for t in range(length):
+        going = going & (chance.sum(1) > 0)
+        if not going.any():
+            break
+        states[going, t] = _chosen(chance[going], u[going, t, 0])
+        obs[going, t] = _chosen(table[states[going, t]], u[going, t, 1])
+        count[going] = t + 1
+        chance = model.a[0][states[:, t]]
+    return [(o[:n].tolist(), s[:n].tolist()) for o, s, n in zip(obs, states, count, strict=True)]
+
+
+#: Uniforms that a block of side-by-side walks holds.
+WALK_CELLS = 2_000_000
+
+
 def _sample(batches: Iterator[pa.RecordBatch], model: Hmm, length: int, seed: int, kind: pa.DataType, rule: Rule | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("id").to_pylist()
-        got = [walk(generator(seed, i), model, length, rule=rule) for i in ids]
+        if rule is None and isinstance(model, DiscreteHmm) and not model.silent and not any(model.order(i) for i in range(model.n)):
+            rows = max(1, WALK_CELLS // max(2 * length, 1))
+            got = [x for k in range(0, len(ids), rows) for x in walks(model, [generator(seed, i) for i in ids[k : k + rows]], length)]
+        else:
+            got = [walk(generator(seed, i), model, length, rule=rule) for i in ids]
         labels = [[str(model.labels[q]) for q in s] if model.labels else None for _, s in got]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([o for o, _ in got], pa.list_(kind)), pa.array([s for _, s in got], pa.list_(pa.int32())), pa.array(labels, pa.list_(pa.string()))], names=["seq_id", "obs", "states", "state_labels"])
 

@@ -130,3 +130,14 @@ def test_backward_draws_side_by_side():
                 p = alpha[k, t] if after is None else alpha[k, t] * PLAIN.a[0][:, after]
                 after = min(int(np.searchsorted(np.cumsum(p), u[k, t] * p.sum(), "right")), 2)
                 assert got[k, t] == after
+
+
+def test_walks_side_by_side():
+    """They are the walks of one row after the other, also where a model ends."""
+    ending = PLAIN.copy()
+    ending.a = ending.a.copy()
+    ending.a[0, 2] = 0
+    for model in (PLAIN, ending):
+        for length in (0, 1, 17):
+            one = [sampling.walk(sampling.generator(5, i), model, length) for i in range(40)]
+            assert sampling.walks(model, [sampling.generator(5, i) for i in range(40)], length) == one
