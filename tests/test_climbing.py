@@ -235,3 +235,28 @@ def test_descaled_steps_of_outliers():
     alpha, scale, logp = chain.forward(NORMAL, e, np.array([3]))
     beta = chain.backward(NORMAL, e, np.array([3]), scale)
     assert np.isfinite(logp).all() and np.allclose((alpha * beta).sum(2), 1)
+
+
+def test_gradient_search_counts_are_the_gradient(spark):
+    """Counts with the labels less those without are the derivatives of the objective, by finite differences."""
+    s = sampling.sample(spark, PLAIN, 12, 8, seed=8).select("seq_id", "obs", F.transform("states", lambda q: (q > 0).cast("int")).alias("l")).persist()
+
+    def both(m):
+        return training._gathered([m, m], training.statistics(s, [m, m], restrict="l", held=[True, False]))
+
+    def value(m):
+        held, free = both(m)
+        return held.of["logp"][0] - free.of["logp"][0]
+
+    held, free = both(PLAIN)
+    h = 1e-5
+    for name, (i, j) in (("a", (0, 1)), ("a", (2, 0)), ("b1", (0, 3))):
+        moved = []
+        for sign in (1, -1):
+            m = PLAIN.copy()
+            row = m.a[0, i] if name == "a" else m.b[1]
+            row[j] *= math.exp(sign * h)
+            moved.append(value(m))
+        want = (held.of[name] - free.of[name])[(i, j) if name == "a" else j]
+        assert (moved[0] - moved[1]) / (2 * h) == pytest.approx(want, rel=1e-3, abs=1e-6)
+    s.unpersist()
