@@ -23,6 +23,8 @@ from hiddenpath.llm.common import blocks
 
 #: Bytes of text that a language's automaton is built from at most, and those of all languages together (each has 200 at least).
 SAMPLE_CHARS, ALL_CHARS = 24_000, 200_000
+#: Languages at most: with 200 bytes each, their automata take some 33 KB each in every task, 165 MB together.
+MOST_LANGUAGES = 5_000
 #: Characters that one document gives to a sample at most.
 PASSAGE = 4_000
 #: Characters parsed side by side; no result depends on it.
@@ -140,7 +142,7 @@ def train(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
 
     A language gets ``sample_chars`` characters, or its share of ALL_CHARS if there are many languages. Documents are taken in the
     order of a hash of doc_id; each gives PASSAGE characters at most, from a place that the hash names. Rows without text
-    or lang are not used; rows that repeat count once.
+    or lang are not used; rows that repeat count once. More than MOST_LANGUAGES values are refused, none is left out.
     """
     h = F.xxhash64("doc_id")
     rows = docs.where("lang is not null and text <> ''").select("lang", "text", (F.pmod(h, F.lit(1_000_000)) / 1_000_000.0).alias("at"), h.alias("h"))
@@ -149,6 +151,8 @@ def train(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
     languages = sizes.count()
     if not languages:
         return build_model({})
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"{languages} languages; the automata of {MOST_LANGUAGES} at most fit a task")
     sample_chars = min(sample_chars, max(200, ALL_CHARS // languages))
     # in the mean three times what is needed, and two passages, so that no language falls short
     share = sizes.select("lang", F.least(F.lit(1.0), (3 * sample_chars + 2 * PASSAGE) / F.col("n")).alias("share"))

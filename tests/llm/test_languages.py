@@ -111,3 +111,11 @@ def test_chunks_gone_through_in_order(monkeypatch):
         monkeypatch.setattr(lang_id, "ROUNDS", rounds)
         seen.append(lang_id.count_phrases(model.codes[got], at, model, 16).tolist())
     assert seen[0] == seen[1] == seen[2] == seen[3]
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "MOST_LANGUAGES", 2)
+    d = spark.createDataFrame([(k, "some text", f"l{k}") for k in range(3)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        lang_id.train(d)
+    assert lang_id.train(d.where("doc_id < 2")).languages == ["l0", "l1"]
