@@ -239,6 +239,75 @@ def align(model: PairHmm, x: np.ndarray, y: np.ndarray, end: int | None = None,
     return path, float(logp)
 
 
+def align_block(model: PairHmm, xs: list[np.ndarray], ys: list[np.ndarray]) -> list[tuple[list[int], float]]:
+    """:func:`align` of whole pairs side by side, for models of one track and class.
+
+    Shorter sequences are filled up with a symbol that no state emits, so cells beyond their ends stay impossible.
+    """
+    rows, n, m = len(xs), model.n, model.m
+    lx, ly = np.array([len(v) for v in xs]), np.array([len(v) for v in ys])
+    length, width = int(lx.max()), int(ly.max())
+    x, y = np.full((rows, length), m), np.full((rows, width), m)
+    for to, vs in ((x, xs), (y, ys)):
+        for k, v in enumerate(vs):
+            to[k, : len(v)] = np.where((v >= 0) & (v < m), v, m)
+    with np.errstate(divide="ignore"):
+        la, lpi = np.log(model.a[0]), np.log(model.pi)
+        tables = [np.pad(np.log(b).reshape(m, m) if dx and dy else np.log(b), [(0, 1)] * (1 + bool(dx and dy)), constant_values=-np.inf) for b, (dx, dy) in zip(model.b, model.steps, strict=True)]
+    ring = max(dx + dy for dx, dy in model.steps) + 1
+    score = np.full((ring, n, rows, length + 1), -np.inf)
+    back = np.full((length + width + 1, n, rows, length + 1), -1, np.int8)
+    final = np.full((rows, n), -np.inf)
+    for d in range(1, length + width + 1):
+        now = d % ring
+        score[now] = -np.inf
+        for s, (dx, dy) in enumerate(model.steps):
+            first, last = max(dx, d - width), min(length, d - dy)
+            if first > last or d - dx - dy < 0:
+                continue
+            old = (d - dx - dy) % ring
+            best, via = np.full((rows, last - first + 1), -np.inf), np.zeros((rows, last - first + 1), np.int8)
+            for p in np.flatnonzero(la[:, s] > -np.inf):
+                got = score[old, p, :, first - dx : last - dx + 1] + la[p, s]
+                better = got > best
+                best[better], via[better] = got[better], p
+            if d == dx + dy:
+                best[:, dx - first], via[:, dx - first] = lpi[s], -1
+            u, v = x[:, first - 1 : last] if dx else None, y[:, d - last - 1 : d - first][:, ::-1] if dy else None
+            score[now, s, :, first : last + 1] = best + (tables[s][u, v] if dx and dy else tables[s][u if dx else v])
+            back[d, s, :, first : last + 1] = via
+        done = np.flatnonzero(lx + ly == d)
+        final[done] = score[now][:, done, lx[done]].T
+    logp = np.where(lx + ly > 0, final.max(1), 0.0)
+    q = np.where(np.isfinite(logp) & (lx + ly > 0), final.argmax(1), -1)
+    u, v, steps, out = lx.copy(), ly.copy(), np.array(model.steps), [[] for _ in range(rows)]
+    while (live := np.flatnonzero(q >= 0)).size:
+        for k, state in zip(live.tolist(), q[live].tolist(), strict=True):
+            out[k].append(state)
+        before = back[u[live] + v[live], q[live], live, u[live]]
+        u[live], v[live] = u[live] - steps[q[live], 0], v[live] - steps[q[live], 1]
+        q[live] = before
+    return [(p[::-1], float(s)) for p, s in zip(out, logp, strict=True)]
+
+
+#: Cells of the tables of a block of pairs.
+BLOCK_CELLS = 24_000_000
+
+
+def _blocks(model: PairHmm, lx: np.ndarray, ly: np.ndarray) -> Iterator[list[int]]:
+    """Pairs of like lengths, as many as BLOCK_CELLS hold."""
+    block: list[int] = []
+    width = 0
+    for k in np.lexsort((ly, lx)).tolist():
+        length, width = int(lx[k]), max(width, int(ly[k]))
+        if block and (len(block) + 1) * (length + width + 1) * (length + 1) * model.n > BLOCK_CELLS:
+            yield block
+            block, width = [], int(ly[k])
+        block.append(k)
+    if block:
+        yield block
+
+
 def path_log_likelihood(model: PairHmm, x: np.ndarray, y: np.ndarray, path: list[int]) -> float:
     """Log probability of a path with both sequences; -inf where it is impossible or doesn't take all of them."""
     t = _Tables(model, x, y)
@@ -275,10 +344,18 @@ def _align(batches: Iterator[pa.RecordBatch], model: PairHmm, segment: str | Non
         xs, ys = (_sequences(batch.column(c)) for c in ("x", "y"))
         parts = batch.column(segment).to_pylist() if segment else [None] * batch.num_rows
         paths, logp = [None] * batch.num_rows, [None] * batch.num_rows
-        for r, (x, y, p) in enumerate(zip(xs, ys, parts, strict=True)):
-            if x is not None and y is not None:
-                how = {} if p is None else {"lo": (p["u0"], p["v0"]), "hi": (p["u1"], p["v1"]), "before": p["before"], "end": p["end"]}
-                paths[r], logp[r] = align(model, x, y, most_cells=most_cells, **how)
+        left = [r for r, (x, y) in enumerate(zip(xs, ys, strict=True)) if x is not None and y is not None]
+        if not segment and model.chooser is None and isinstance(model.m, int) and not model.tracks and model.n < 127:
+            small = [r for r in left if (len(xs[r]) + 1) * (len(ys[r]) + 1) * model.n <= min(most_cells, BLOCK_CELLS // 8) and xs[r].ndim == ys[r].ndim == 1]
+            for block in _blocks(model, np.array([len(xs[r]) for r in small]), np.array([len(ys[r]) for r in small])) if small else ():
+                for k, (path, value) in zip(block, align_block(model, [xs[small[k]] for k in block], [ys[small[k]] for k in block]), strict=True):
+                    paths[small[k]], logp[small[k]] = path, value
+            done = set(small)
+            left = [r for r in left if r not in done]
+        for r in left:
+            p = parts[r]
+            how = {} if p is None else {"lo": (p["u0"], p["v0"]), "hi": (p["u1"], p["v1"]), "before": p["before"], "end": p["end"]}
+            paths[r], logp[r] = align(model, xs[r], ys[r], most_cells=most_cells, **how)
         yield pa.RecordBatch.from_arrays([batch.column("pair_id"), pa.array(paths, pa.list_(pa.int32())), pa.array(logp, pa.float64())], names=["pair_id", "path", "logp"])
 
 

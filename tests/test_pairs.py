@@ -133,3 +133,19 @@ def test_stored_models():
         model(1, PLAIN, classes=2)
     with pytest.raises(ValueError, match="item"):
         model(1, [(1, 1), (0, 0)])
+
+
+@pytest.mark.parametrize("steps", [PLAIN, WIDE])
+def test_pairs_side_by_side(spark, monkeypatch, steps):
+    """Blocks of pairs of all lengths give what each pair gives by itself."""
+    m = model(17, steps)
+    rng = np.random.default_rng(9)
+    xs, ys = ([rng.integers(-1, 4, k) if k % 5 == 4 else rng.integers(0, 3, k) for k in rng.integers(0, 14, 60)] for _ in range(2))
+    want = [pairs.align(m, x, y) for x, y in zip(xs, ys)]
+    got = pairs.align_block(m, xs, ys)
+    assert [p for p, _ in got] == [p for p, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want])
+    monkeypatch.setattr(pairs, "BLOCK_CELLS", 4000)
+    assert sorted(k for b in pairs._blocks(m, np.array(list(map(len, xs))), np.array(list(map(len, ys)))) for k in b) == list(range(60))
+    d = spark.createDataFrame([(k, x.tolist(), y.tolist()) for k, (x, y) in enumerate(zip(xs, ys))], "pair_id int, x array<int>, y array<int>")
+    rows = {r.pair_id: r for r in pairs.align_pairs(d, m).collect()}
+    assert [rows[k].path for k in range(60)] == [p for p, _ in want] and [rows[k].logp for k in range(60)] == pytest.approx([v for _, v in want])
