@@ -246,7 +246,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
     named = F.array(*[F.struct(F.get("z", k).alias("z"), F.lit(-k).alias("k"), F.lit(f).alias("family")) for k, f in enumerate(model.families) if f != UNKNOWN])
     rows = rows.select("doc_id", "row", "paragraph", "w", "z", unknown.alias("none"), F.array_max(named).alias("best")).where(F.col("none") <= 1 - LEAST_EVIDENCE)
     # the window that speaks most for a notice stands for its paragraph; few rows are left to be shuffled
-    best = F.max(F.struct(-F.col("none"), F.col("best.z"), "w", "none", "best", "z")).alias("x")
+    best = F.max(F.struct((-F.col("none")).alias("notice"), F.col("best.z").alias("evidence"), "w", "none", "best", "z")).alias("x")
     rows = rows.groupBy("row", "doc_id", "paragraph").agg(best).select("doc_id", "paragraph", "x.w", "x.z", "x.none", "x.best")
     rows = rows.select("doc_id", "paragraph", "w", "none", "best", chance(F.col("best.z")).alias("p"))
     sure = F.col("p") >= LEAST_PROBABILITY
