@@ -14,7 +14,8 @@ Exact copies of a smaller doc_id's text are removed whole; the steps below see o
 3. Refinement settles windows, of a block and then of a bucket. Positions are sorted by ``FIRST_GRAM`` bytes into initial
    buckets; these are refined by the bucket identifiers at a later offset, again and again, each time with the
    identifiers that the refinement before has given, until buckets tell ``length`` bytes apart. A window is removed
-   where its final bucket has a smaller document.
+   where its final bucket has a smaller document. What has grown over ``PART_BYTES`` is refined in portions of
+   whole anchors; of an anchor with more than that, each document's windows are refined once each, by contents.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ KEYS, SPLIT = 2, 8
 SLOTS = 1
 #: Bytes of runs that a task gathers before it packs and sends them, and windows of hot anchors that it remembers.
 GATHERED, REMEMBERED = 12_000_000, 500_000
-#: Text bytes whose windows are expanded side by side.
-WINDOW_BYTES = 1_000_000
+#: Text bytes whose windows are expanded side by side, and bytes of runs that are refined at once.
+WINDOW_BYTES, PART_BYTES = 1_000_000, 1_000_000
 #: At most so many anchors can hold more than this share of all entries; so the list sent to tasks is bounded.
 HOT_SHARE = 10_000
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -355,7 +356,9 @@ def refine(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) ->
     gram = raw.astype(np.uint64)
     for k in (1, 2, 4):  # FIRST_GRAM bytes as one number
         gram = gram[: max(len(gram) - k, 0)] | (gram[k:] << np.uint64(8 * k))
-    ids[pos] = np.unique(gram[pos], return_inverse=True)[1].reshape(-1)
+    gram = gram[pos]
+    ids[pos] = np.unique(gram, return_inverse=True)[1].reshape(-1)
+    del gram
     while True:
         alone = np.bincount(ids[pos], minlength=1)[ids[pos]] < 2
         if width == length:
@@ -372,7 +375,101 @@ def refine(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) ->
         width += step
 
 
-def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _anchors_of(raw: np.ndarray, begin: np.ndarray, length: int, most: int) -> np.ndarray:
+    """The anchor of each run: all windows of a run have that of its first."""
+    found, some = [np.zeros(0, np.uint64)], max(1, most // length)
+    for k in range(0, len(begin), some):
+        first = raw[begin[k : k + some, None] + np.arange(length)]
+        found.append(anchors(first.reshape(-1), np.arange(0, first.size + 1, length), length)[2])
+    return np.concatenate(found)
+
+
+def _portions(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours of ``most`` together; a larger one makes a range of its own."""
+    total, a = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def _taken(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of some stretches, and where each begins and ends there."""
+    stop = np.cumsum(end - begin)
+    return raw[_expand(begin, end)[0]], stop - (end - begin), stop
+
+
+def _repeated(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the stretches that a smaller document has, and their stretches."""
+    pos, run, ids = refine(raw, begin, end, length)
+    if not len(pos):
+        return pos, run
+    gone = _least(ids, doc[run]) < doc[run]
+    return pos[gone], run[gone]
+
+
+def _repeated_of_anchor(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, length: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for runs of one anchor of any size: of each document's equal windows one is refined, and stands for the others."""
+    pieces = -(-(end - begin - length + 1) // most)
+    nth, own = _expand(np.zeros(len(begin), np.int64), pieces)
+    start = begin[own] + nth * most
+    stop = np.minimum(start + most, end[own] - length + 1)
+    windows = list(_portions(stop - start, most))
+
+    def told(a: int, b: int) -> tuple[np.ndarray, ...]:
+        pos, which = _expand(start[a:b], stop[a:b])
+        run = own[a + which]
+        low = start[a:b].min()
+        prints = span_hashes(raw[low : stop[a:b].max() + length - 1], pos - low, pos - low + length)
+        return pos, run, prints, mix(prints + mix(doc[run].view(np.uint64)))
+
+    parts = []
+    for a, b in windows:
+        pos, run, prints, key = told(a, b)
+        once = np.unique(key, return_index=True)[1]
+        parts.append((pos[once], run[once], prints[once], key[once]))
+    pos, run, prints, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+    once = np.unique(key, return_index=True)[1]
+    once = once[np.argsort(pos[once])]
+    pos, run, prints, key = pos[once], run[once], prints[once], key[once]
+    classes = (prints % np.uint64(max(1, -(-len(pos) * length // most)))).astype(np.int64)
+    order, gone = np.argsort(classes, kind="stable"), []
+    at = _runs_of(classes[order])
+    for x, y in zip(at[:-1], at[1:], strict=True):
+        some = order[x:y]
+        p, r = pos[some], run[some]
+        a, b = _joined(p, r)
+        text, lo, hi = _taken(raw, p[a], p[b - 1] + length)
+        found, which = _repeated(text, lo, hi, doc[r[a]], length)
+        gone.append(key[some][a[which] + found - lo[which]])
+    dead = np.concatenate(gone)
+    for a, b in windows if len(dead) else ():
+        pos, run, _, key = told(a, b)
+        hit = np.isin(key, dead)
+        yield pos[hit], run[hit]
+
+
+def _repeated_in_portions(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, length: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for runs of any size and number, which are refined at once if they are few, else by whole anchors."""
+    if len(raw) <= most:
+        yield _repeated(raw, begin, end, doc, length)
+        return
+    anchor = mix(_anchors_of(raw, begin, length, most))
+    order = np.argsort(anchor, kind="stable")
+    at = _runs_of(anchor[order])
+    sizes = np.add.reduceat((end - begin)[order], at[:-1])
+    for a, b in _portions(sizes, most):
+        own = np.sort(order[at[a] : at[b]])
+        if sizes[a] > most:
+            for pos, run in _repeated_of_anchor(raw, begin[own], end[own], doc[own], length, most):
+                yield pos, own[run]
+        else:
+            text, lo, hi = _taken(raw, begin[own], end[own])
+            pos, run = _repeated(text, lo, hi, doc[own], length)
+            yield pos - lo[run] + begin[own[run]], own[run]
+
+
+def _settle(batches: Iterator[pa.RecordBatch], length: int, most: int = PART_BYTES) -> Iterator[tuple[np.ndarray, ...]]:
     """Removed stretches of each part of a bucket: document, text fingerprint, start and end."""
     for rows in _by_bucket(batches):
         held = []
@@ -385,13 +482,10 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np
             raw = np.concatenate([h[6][h[1][k] : h[1][k + 1]] for h in held])
             end = np.cumsum(lens)
             begin = end - lens
-            pos, run, ids = refine(raw, begin, end, length)
-            if not len(pos):
-                continue
-            gone = _least(ids, doc[run]) < doc[run]
-            p, r = pos[gone], run[gone]
-            a, b = _joined(p, r)
-            yield doc[r[a]], th[r[a]], p[a] - begin[r[a]] + at[r[a]], p[b - 1] + length - begin[r[a]] + at[r[a]]
+            for p, r in _repeated_in_portions(raw, begin, end, doc, length, most):
+                if len(p):
+                    a, b = _joined(p, r)
+                    yield doc[r[a]], th[r[a]], p[a] - begin[r[a]] + at[r[a]], p[b - 1] + length - begin[r[a]] + at[r[a]]
 
 
 def _remains(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:

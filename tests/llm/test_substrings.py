@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -90,3 +91,55 @@ def test_against_sql(spark, tmp_path):
     want = con.sql(oracles.ORACLE_SQL["op9_suffix_array_dedup"])
     got = queries.op9_suffix_array_dedup(spark, str(tmp_path))
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall()) == [(i, *r) for i, *r in brute(rows, 50)]
+
+
+def part_of(texts, length):
+    """The runs of some texts, each of a document of its own, as they come to one part of a bucket."""
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    start, end, _, row = suffix_dedup.anchors(raw, at, length)
+    stop = end + length - 1
+    gathered = suffix_dedup._Gathered()
+    gathered.add(np.zeros(len(start), np.int64), row, row, start - at[row], stop - start, raw[suffix_dedup._expand(start, stop)[0]])
+    return suffix_dedup._rows(gathered.packed())
+
+
+def covered(texts, length, most):
+    gone = [np.zeros(len(t), bool) for t in texts]
+    for found in suffix_dedup._settle(iter([part_of(texts, length)]), length, most):
+        for doc, th, a, b in zip(*found, strict=True):
+            assert doc == th
+            gone[doc][a:b] = True
+    return gone
+
+
+@pytest.mark.parametrize("length", [24, 50])
+def test_large_parts_in_portions_against_brute_force(length):
+    rng = random.Random(length)
+    for _ in range(6):
+        words = ["".join(rng.choices("abc", k=rng.choice((3, 9, 30, 60)))) for _ in range(5)]
+        texts = ["".join(w * rng.randint(1, 12) for w in rng.choices(words, k=4)) + "d" * rng.randint(0, 90) for _ in range(30)]
+        want = [np.zeros(len(t), bool) for t in texts]
+        seen = set()
+        for t, gone in zip(texts, want, strict=True):
+            windows = [t[k : k + length] for k in range(len(t) - length + 1)]
+            for k, w in enumerate(windows):
+                gone[k : k + length] |= w in seen
+            seen.update(windows)
+        for most in (length, 300, 4000, 10**9):
+            assert all((a == b).all() for a, b in zip(covered(texts, length, most), want, strict=True))
+
+
+def test_a_part_that_one_anchor_has_swollen_takes_bounded_memory():
+    texts = ["mit " * (9000 + k) for k in range(60)] + ["".join(random.Random(k).choices("abcdefgh ", k=10_000)) for k in range(30)] * 2
+    batch = part_of(texts, 50)
+    tracemalloc.start()
+    got = {}
+    for doc, _, a, b in suffix_dedup._settle(iter([batch]), 50):
+        for d, n in zip(doc.tolist(), (b - a).tolist(), strict=True):
+            got[d] = got.get(d, 0) + n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(got) == set(range(1, 60)) | set(range(90, 120))
+    assert all(got[d] >= len(texts[d]) for d in got)
+    assert peak < 260_000_000
