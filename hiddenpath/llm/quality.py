@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from hiddenpath.llm.common import cut
 
 WINDOW = 8
+#: Words of a probe, and the places, modulo PROBE_EVERY, where one stands: their differences are all numbers modulo PROBE_EVERY, and
+#: PROBE_EVERY - 1 + PROBE is at most WINDOW, so a document that holds a window twice holds a probe twice.
+PROBE, PROBE_EVERY, PROBE_AT = 4, 5, (0, 1, 2)
 #: Fewest words of a document, and most percent of its words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Largest distance of the character classes, and of both histograms together: the second bound is this and, since
@@ -60,8 +63,8 @@ def _plain_words(text: Column) -> Column:
 
 
 def _marks(text: Column) -> Column:
-    """The characters of ``text`` that are counted one by one: one pass over it, and the counts look at few characters."""
-    return F.regexp_replace(text, r"""[^\p{Lu}0-9!?.,;:'"()\-#*$%&|<>]+""", "")
+    """The characters of ``text`` that are counted one by one. Most characters go by a plain range; the costlier class, and the counts, look at few."""
+    return F.regexp_replace(F.regexp_replace(text, r"[a-z ]+", ""), r"""[^\p{Lu}0-9!?.,;:'"()\-#*$%&|<>]+""", "")
 
 
 def _class_counts(length: Column, blanks: Column, marks: Column) -> Column:
@@ -92,9 +95,9 @@ def learn_references(docs: DataFrame) -> References:
     counted = counted.select("lang", "n", "plain", F.when(F.col("blanks") >= LEAST_WORDS - 1, classes).alias("classes"))
     # names of words are letters alone, so the keys of shares and of all longer words are told from them
     steps = F.transform("classes", lambda c, i: F.concat_ws(":", i, F.floor(STEPS * c / F.col("n"))))
-    names = F.transform(F.filter("plain", lambda w: w != ""), lambda w: F.when(F.length(w) <= LONGEST, w).otherwise("*"))
-    keys = F.concat(names, F.coalesce(steps, F.array().cast("array<string>")))
-    counts = cut(counted.select("lang", F.explode(keys).alias("key")).groupBy("lang", "key").count())
+    keys = F.concat("plain", F.coalesce(steps, F.array().cast("array<string>")))
+    named = counted.select("lang", F.explode(keys).alias("key")).where("key <> ''").select("lang", F.when(F.length("key") <= LONGEST, F.col("key")).otherwise("*").alias("key"))
+    counts = cut(named.groupBy("lang", "key").count())
 
     shares = counts.where(F.col("key").contains(":")).select("lang", F.substring_index("key", ":", 1).cast("int").alias("class"), F.substring_index("key", ":", -1).cast("int").alias("step"), "count")
     pooled = shares.groupBy("class", "step").agg(F.sum("count").alias("count")).select(F.lit(None).cast("string").alias("lang"), "class", "step", "count")
@@ -163,11 +166,16 @@ def apply_quality_rules(docs: DataFrame, references: References | None = None) -
     # few steps, as each one that has a lambda copies the arrays that it passes on
     t, w = F.col("t"), F.col("w")
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("t"), _language(F.col("lang")).alias("language"))
-    plain = F.filter(_plain_words(t), lambda a: a != "")
-    x = base.select("*", _words(t).alias("w"), plain.alias("plain"), F.char_length(_without_blanks(t)).cast("long").alias("word_chars"), _marks(t).alias("marks"))
+    plain = F.array_remove(_plain_words(t), "")
+    x = base.select("*", _words(t).alias("w"), plain.alias("plain"), _marks(t).alias("marks"))
+    x = x.select("*", F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"))
     lines = F.filter(F.split(t, "\n"), lambda a: a.rlike(r"[^\x20\x09-\x0D]"))
-    starts = F.sequence(F.lit(0), F.size(w) - WINDOW)
-    prints = F.when(F.size(w) > WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice(w, i + 1, WINDOW))))
+
+    def prints(starts: Column, width: int) -> Column:
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i + 1, width)))
+
+    # of two places with one window, some offset in it has both among the probed places, with a probe inside the window
+    probed = F.concat(*[F.sequence(F.lit(k), F.size(w) - PROBE, F.lit(PROBE_EVERY)) for k in PROBE_AT])
     common = F.concat(F.lit("|"), F.array_join(F.filter("plain", lambda a: a.isin(known)) if known else F.array(), "||"), F.lit("|"))
     x = x.select(
         "row",
@@ -176,13 +184,16 @@ def apply_quality_rules(docs: DataFrame, references: References | None = None) -
         "word_chars",
         _count_symbols(F.col("marks")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        prints.alias("h"),
+        "w",
+        F.when(F.size(w) > WINDOW, prints(probed, PROBE)).alias("probes"),
         F.char_length(t).alias("n_text"),
         _class_counts(F.char_length(t), F.char_length(t) - F.col("word_chars"), F.col("marks")).alias("counts"),
         F.size("plain").alias("n_plain"),
         common.alias("common"),
     )
-    # only documents that hold a window twice sort their windows
+    # only documents that hold a probe twice look at all windows, and only those that hold a window twice sort them
+    windows = F.when(F.size(F.array_distinct("probes")) < F.size("probes"), prints(F.sequence(F.lit(0), F.size(w) - WINDOW), WINDOW))
+    x = x.select("*", windows.alias("h")).drop("w", "probes")
     order = F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda v, i: F.struct(v.alias("h"), i.alias("i")))))
     found = F.transform(_by_language(ref.words, "string"), lambda c: (F.char_length("common") - F.char_length(F.replace(F.col("common"), F.concat(F.lit("|"), c, F.lit("|"))))) / (F.char_length(c) + 2))
     chars = F.transform("counts", lambda v: F.try_divide(v, F.col("n_text")))

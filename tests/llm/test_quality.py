@@ -107,3 +107,22 @@ def test_odd_rows(spark):
 def test_pipeline_stage_with_clashing_names(spark, docs):
     now = corpus_pipeline.quality_rules(spark, docs, "")
     assert now.columns == docs.columns and 0 < now.count() < docs.count()
+
+
+def test_windows_found_by_probes_at_all_places(spark):
+    every, at, width, size = quality.PROBE_EVERY, quality.PROBE_AT, quality.PROBE, quality.WINDOW
+    assert {(a - b) % every for a in at for b in at} == set(range(every)) and every - 1 + width <= size
+    rows = []
+    for first in range(6):
+        for gap in range(14):
+            for n in (size - 1, size, size + 3):
+                again = [f"r{k}" for k in range(n)]
+                rows.append((len(rows), " ".join([f"a{k}" for k in range(first)] + again + [f"b{k}" for k in range(gap)] + again), "en"))
+        rows += [(len(rows) + k, " ".join(["x", "y", "z"][: k + 1] * 9)[: 18 + 2 * first], "en") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["n"] for r in quality.apply_quality_rules(docs, quality.References({}, {}, {})).select("doc_id", "quality.n_repeat_words").toDF("doc_id", "n").collect()}
+    for i, text, _ in rows:
+        w = text.split()
+        seen = Counter(tuple(w[k : k + size]) for k in range(len(w) - size + 1))
+        hit = {k + j for k in range(len(w) - size + 1) if seen[tuple(w[k : k + size])] > 1 for j in range(size)}
+        assert got[i] == len(hit), text
