@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from hiddenpath.functions import chain
 from hiddenpath.model import EPS
 
-#: Cells (places x states) of a table that is traced back at once; larger alignments are halved first.
+#: Cells (places x states) of a table that is traced back at once; larger alignments go by strips or are halved first.
 MOST_CELLS = 4_000_000
 
 #: Classes of the steps that leave the cells (u, v): arrays of u and v to an array of classes.
@@ -239,6 +239,14 @@ def align(model: PairHmm, x: np.ndarray, y: np.ndarray, end: int | None = None,
     return path, float(logp)
 
 
+def _logs(model: PairHmm) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Log chances of a model of one track and class; its tables have an impossible symbol more."""
+    m = model.m
+    with np.errstate(divide="ignore"):
+        tables = [np.pad(np.log(b).reshape(m, m) if dx and dy else np.log(b), [(0, 1)] * (1 + bool(dx and dy)), constant_values=-np.inf) for b, (dx, dy) in zip(model.b, model.steps, strict=True)]
+        return np.log(model.a[0]), np.log(model.pi), tables
+
+
 def align_block(model: PairHmm, xs: list[np.ndarray], ys: list[np.ndarray]) -> list[tuple[list[int], float]]:
     """:func:`align` of whole pairs side by side, for models of one track and class.
 
@@ -251,9 +259,7 @@ def align_block(model: PairHmm, xs: list[np.ndarray], ys: list[np.ndarray]) -> l
     for to, vs in ((x, xs), (y, ys)):
         for k, v in enumerate(vs):
             to[k, : len(v)] = np.where((v >= 0) & (v < m), v, m)
-    with np.errstate(divide="ignore"):
-        la, lpi = np.log(model.a[0]), np.log(model.pi)
-        tables = [np.pad(np.log(b).reshape(m, m) if dx and dy else np.log(b), [(0, 1)] * (1 + bool(dx and dy)), constant_values=-np.inf) for b, (dx, dy) in zip(model.b, model.steps, strict=True)]
+    la, lpi, tables = _logs(model)
     ring = max(dx + dy for dx, dy in model.steps) + 1
     score = np.full((ring, n, rows, length + 1), -np.inf)
     back = np.full((length + width + 1, n, rows, length + 1), -1, np.int8)
@@ -290,17 +296,144 @@ def align_block(model: PairHmm, xs: list[np.ndarray], ys: list[np.ndarray]) -> l
     return [(p[::-1], float(s)) for p, s in zip(out, logp, strict=True)]
 
 
+#: Strips of antidiagonals that a table is cut into, if their own tables are small enough, and at most.
+STRIPS, MOST_STRIPS = 32, 64
+
+
+def strip_height(model: PairHmm, lengths: int, most_cells: int) -> int | None:
+    """Antidiagonals of a strip for sequences of ``lengths`` items together; None where MOST_STRIPS strips would have tables of over ``most_cells`` cells."""
+    reach = max(dx + dy for dx, dy in model.steps)
+    most = int((most_cells / model.n) ** 0.5) - reach - 1
+    height = max(1, min(-(-lengths // STRIPS), most))
+    return height if height <= most and lengths <= MOST_STRIPS * height else None
+
+
+class _Emitted:
+    """Log emissions of sequences side by side: ``x`` and ``y`` have a column per pair, ``y`` backwards; ``u`` and ``v`` slice them."""
+
+    def __init__(self, model: PairHmm, tables: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> None:
+        self.steps = model.steps
+        self.by = [(t.reshape(-1), x * (model.m + 1), y) if dx and dy else (t[x if dx else y],) for t, (dx, dy) in zip(tables, model.steps, strict=True)]
+        self.codes = np.empty(x.shape, np.int64)
+
+    def add(self, s: int, u: slice, v: slice, to: np.ndarray, spare: np.ndarray) -> None:
+        got = self.by[s]
+        if len(got) == 3:
+            codes = np.add(got[1][u], got[2][v], out=self.codes[: len(to)])
+            to += np.take(got[0], codes, out=spare, mode="clip")
+        else:
+            to += got[0][u if self.steps[s][0] else v]
+
+
+def _entered(old: np.ndarray, la: np.ndarray, s: int, to: np.ndarray, spare: np.ndarray) -> None:
+    """The best of the states' scores ``old`` with their steps into state ``s``."""
+    np.add(old[0], la[0, s], out=to)
+    for p in range(1, len(la)):
+        if la[p, s] > -np.inf:
+            np.maximum(to, np.add(old[p], la[p, s], out=spare), out=to)
+
+
+def _sweep_block(model: PairHmm, logs: tuple, x: np.ndarray, y: np.ndarray, lx: np.ndarray, ly: np.ndarray, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the states in the last cell of each pair, and those of all cells on the antidiagonals 0, height, 2 height, ... and
+    those before them that states reach back to: of shape (strips, reach, states, places of x, pairs)."""
+    la, lpi, tables = logs
+    n, length, width, rows = model.n, len(x), len(y), x.shape[1]
+    reach = max(dx + dy for dx, dy in model.steps)
+    emitted = _Emitted(model, tables, x, y[::-1])
+    score = np.full((reach + 1, n, length + 1, rows), -np.inf)
+    kept = np.full((-(-(length + width) // height), reach, n, length + 1, rows), -np.inf)
+    spare, final = np.empty((length + 1, rows)), np.full((rows, n), -np.inf)
+    for d in range(1, length + width + 1):
+        now = d % (reach + 1)
+        for s, (dx, dy) in enumerate(model.steps):
+            first, last = max(dx, d - width), min(length, d - dy)
+            if first > last or d - dx - dy < 0:
+                continue
+            best, free = score[now, s, first : last + 1], spare[: last - first + 1]
+            _entered(score[(d - dx - dy) % (reach + 1), :, first - dx : last - dx + 1], la, s, best, free)
+            if d == dx + dy:
+                best[dx - first] = lpi[s]
+            emitted.add(s, slice(first - 1, last), slice(width - d + first, width - d + last + 1), best, free)
+        if d % height == 0 and d // height < len(kept):
+            for j in range(min(reach, d + 1)):
+                kept[d // height, reach - 1 - j] = score[(d - j) % (reach + 1)]
+        done = np.flatnonzero(lx + ly == d)
+        final[done] = score[now][:, lx[done], done].T
+    return final, kept
+
+
+def align_strips(model: PairHmm, xs: list[np.ndarray], ys: list[np.ndarray], height: int) -> list[tuple[list[int], float]]:
+    """:func:`align_block` in linear space: one sweep keeps the scores of every ``height``-th antidiagonal, then the strips between these
+    are gone through from the last to the first, each only in the cells that the best path can have come through.
+
+    A strip's table has about ``height`` squared cells. Paths and scores are those of the whole table: of equal predecessors the smallest wins.
+    """
+    logs = la, lpi, tables = _logs(model)
+    rows, n, m, steps = len(xs), model.n, model.m, model.steps
+    lx, ly = np.array([len(v) for v in xs]), np.array([len(v) for v in ys])
+    length, width = int(lx.max()), int(ly.max())
+    x, y = np.full((length, rows), m, np.int64), np.full((width, rows), m, np.int64)
+    for to, vs in ((x, xs), (y, ys)):
+        for k, v in enumerate(vs):
+            to[: len(v), k] = np.where((v >= 0) & (v < m), v, m)
+    final, kept = _sweep_block(model, logs, x, y, lx, ly, height)
+    logp = np.where(lx + ly > 0, final.max(1), 0.0)
+    state, d, u = np.where(np.isfinite(logp) & (lx + ly > 0), final.argmax(1), -1), lx + ly, lx.copy()
+    reach, everyone = max(dx + dy for dx, dy in steps), np.arange(rows)
+    side = height + reach + 1  # places of x, up to that of each pair's path
+    table, spare, out = np.empty((reach + height, n, side, rows)), np.empty((side, rows)), [[] for _ in range(rows)]
+    moves = [[(p, float(la[p, s])) for p in range(n) if la[p, s] > -np.inf] for s in range(n)]
+    for k in range(len(kept) - 1, -1, -1):
+        least = k * height  # the strip's antidiagonals come after this one
+        left = u - side + 1
+        places = left + np.arange(side)[:, None]
+        table[:] = -np.inf
+        table[:reach] = np.where(places >= 0, kept[k][:, :, np.maximum(places, 0), everyone], -np.inf)
+        at = places - 1
+        there = least + height - left - 1 - np.arange(side + height - 1)[:, None]  # items of y, backwards, of the last antidiagonal on
+        codes = [np.where((i >= 0) & (i < len(v)), v[np.clip(i, 0, max(len(v) - 1, 0)), everyone] if len(v) else m, m) for v, i in ((x, at), (y, there))]
+        emitted = _Emitted(model, tables, *codes)
+        for t in range(reach, reach + height):
+            for s, (dx, dy) in enumerate(steps):
+                best, free = table[t, s, dx:], spare[dx:]
+                _entered(table[t - dx - dy, :, : side - dx], la, s, best, free)
+                if least + t - reach + 1 == dx + dy:
+                    begun = np.flatnonzero((left <= 0) & (dx - left < side))
+                    best[-left[begun], begun] = lpi[s]
+                back = reach + height - 1 - t
+                emitted.add(s, slice(dx, None), slice(back + dx, back + side), best, free)
+        for r in np.flatnonzero((state >= 0) & (d > least)).tolist():
+            t, i, q, path = int(d[r]) - least + reach - 1, side - 1, int(state[r]), out[r]
+            begins, low = reach - 1 - least, int(left[r])
+            while t >= reach and q >= 0:
+                path.append(q)
+                dx, dy = steps[q]
+                t, i = t - dx - dy, i - dx
+                if t == begins and low + i == 0:
+                    q = -1
+                    break
+                top, via = -np.inf, 0
+                for p, step in moves[q]:
+                    if (got := table.item(t, p, i, r) + step) > top:
+                        top, via = got, p
+                q = via
+            d[r], u[r], state[r] = t + least - reach + 1, low + i, q
+    return [(p[::-1], float(s)) for p, s in zip(out, logp, strict=True)]
+
+
 #: Cells of the tables of a block of pairs.
 BLOCK_CELLS = 24_000_000
 
 
-def _blocks(model: PairHmm, lx: np.ndarray, ly: np.ndarray) -> Iterator[list[int]]:
-    """Pairs of like lengths, as many as BLOCK_CELLS hold."""
+def _blocks(model: PairHmm, lx: np.ndarray, ly: np.ndarray, cells: Callable[[int, int], float] | None = None, most: int | None = None) -> Iterator[list[int]]:
+    """Pairs of like lengths, as many as ``most`` cells hold (BLOCK_CELLS); ``cells`` tells those of a pair, without: its whole table's."""
+    cells = cells or (lambda length, width: (length + width + 1) * (length + 1) * model.n)
+    most = BLOCK_CELLS if most is None else most
     block: list[int] = []
     width = 0
     for k in np.lexsort((ly, lx)).tolist():
         length, width = int(lx[k]), max(width, int(ly[k]))
-        if block and (len(block) + 1) * (length + width + 1) * (length + 1) * model.n > BLOCK_CELLS:
+        if block and (len(block) + 1) * cells(length, width) > most:
             yield block
             block, width = [], int(ly[k])
         block.append(k)
@@ -308,6 +441,13 @@ def _blocks(model: PairHmm, lx: np.ndarray, ly: np.ndarray) -> Iterator[list[int
         yield block
 
 
+def _strip_cells(model: PairHmm, length: int, width: int, most_cells: int) -> float:
+    """Cells that :func:`align_strips` holds for a pair; infinite where :func:`strip_height` is None."""
+    reach = max(dx + dy for dx, dy in model.steps)
+    height = strip_height(model, length + width, most_cells)
+    return np.inf if height is None else model.n * ((-(-(length + width) // height) * reach + reach + 3) * (length + 1) + (height + reach + 1) ** 2)
+
+
 def path_log_likelihood(model: PairHmm, x: np.ndarray, y: np.ndarray, path: list[int]) -> float:
     """Log probability of a path with both sequences; -inf where it is impossible or doesn't take all of them."""
     t = _Tables(model, x, y)
@@ -351,6 +491,13 @@ def _align(batches: Iterator[pa.RecordBatch], model: PairHmm, segment: str | Non
                 for k, (path, value) in zip(block, align_block(model, [xs[small[k]] for k in block], [ys[small[k]] for k in block]), strict=True):
                     paths[small[k]], logp[small[k]] = path, value
             done = set(small)
+            cells, most = partial(_strip_cells, model, most_cells=most_cells), BLOCK_CELLS // 4  # doubles
+            long = [r for r in left if r not in done and xs[r].ndim == ys[r].ndim == 1 and cells(len(xs[r]), len(ys[r])) <= most]
+            for block in _blocks(model, np.array([len(xs[r]) for r in long]), np.array([len(ys[r]) for r in long]), cells, most) if long else ():
+                x, y = [xs[long[k]] for k in block], [ys[long[k]] for k in block]
+                for k, (path, value) in zip(block, align_strips(model, x, y, strip_height(model, max(map(len, x)) + max(map(len, y)), most_cells)), strict=True):
+                    paths[long[k]], logp[long[k]] = path, value
+            done.update(long)
             left = [r for r in left if r not in done]
         for r in left:
             p = parts[r]
@@ -376,7 +523,8 @@ def align_pairs(pairs: DataFrame, model: PairHmm, segment: str | None = None, mo
     pair an empty path and -Infinity.
 
     ``x`` and ``y`` are arrays of codes, or of tracks of codes. ``segment`` names a struct column ``u0, v0, u1, v1, before, end`` that bounds
-    each row's alignment as in :func:`align`; a null struct aligns all. A task's table has ``most_cells`` cells at most, whatever the lengths.
+    each row's alignment as in :func:`align`; a null struct aligns all. A pair's table has ``most_cells`` cells at most, whatever the lengths:
+    larger ones go by strips, side by side (:func:`align_strips`), where the model is plain and their kept antidiagonals fit a block, else by halves.
     """
     names = ["pair_id", "x", "y", *([segment] if segment else [])]
     return pairs.select(*names).mapInArrow(partial(_align, model=model, segment=segment, most_cells=most_cells), f"pair_id {pairs.schema['pair_id'].dataType.simpleString()}, path array<int>, logp double")

@@ -5,9 +5,11 @@ import math
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hiddenpath.operators import pairs
+from hiddenpath.plans import catalog
 
 
 def model(seed, steps, m=3, classes=1, chooser=None, tracks=None):
@@ -149,3 +151,75 @@ def test_pairs_side_by_side(spark, monkeypatch, steps):
     d = spark.createDataFrame([(k, x.tolist(), y.tolist()) for k, (x, y) in enumerate(zip(xs, ys))], "pair_id int, x array<int>, y array<int>")
     rows = {r.pair_id: r for r in pairs.align_pairs(d, m).collect()}
     assert [rows[k].path for k in range(60)] == [p for p, _ in want] and [rows[k].logp for k in range(60)] == pytest.approx([v for _, v in want])
+
+
+def long_rows(rng, lengths):
+    return [rng.integers(-1, 4, k) if j % 7 == 4 else rng.integers(0, 3, k) for j, k in enumerate(lengths)]
+
+
+def batch_of(xs, ys):
+    return pa.RecordBatch.from_pydict({"pair_id": list(range(len(xs))), "x": [v.tolist() for v in xs], "y": [v.tolist() for v in ys]})
+
+
+@pytest.mark.parametrize("steps", [PLAIN, WIDE, [(1, 1), (2, 0), (0, 1)], [(4, 4), (0, 3), (1, 0)]])
+def test_strips_give_the_whole_table(steps):
+    """Paths and scores by strips of all heights are those of the whole table, to the last bit and with its choice of equal paths."""
+    rng = np.random.default_rng(21)
+    even = model(1, steps)
+    even.pi, even.a, even.b = np.full(even.n, 0.25), np.full_like(even.a, 0.25), [np.full(len(b), 0.125) for b in even.b]  # equal paths everywhere
+    barred = model(2, steps)
+    barred.a[0, 0, 1] = barred.pi[0] = 0
+    for m in (model(0, steps), even, barred):
+        xs, ys = (long_rows(rng, rng.integers(0, 40, 25)) for _ in range(2))
+        want = [pairs.align(m, x, y) for x, y in zip(xs, ys)]
+        for height in (1, 2, 3, 7, 16, 100):
+            assert pairs.align_strips(m, xs, ys, height) == want
+
+
+def test_long_pairs_are_swept_once(monkeypatch):
+    """Pairs of over ``most_cells`` cells are swept side by side, not each by itself and twice; what is too long for strips is halved."""
+    m, rng = model(23, PLAIN), np.random.default_rng(22)
+    xs, ys = (long_rows(rng, rng.integers(90, 140, 20)) for _ in range(2))
+    xs[3], ys[5] = rng.integers(0, 3, 700), rng.integers(0, 3, 700)
+    want = [pairs.align(m, x, y) for x, y in zip(xs, ys)]
+    calls, sweep = [], pairs._sweep
+    monkeypatch.setattr(pairs, "_sweep", lambda *a, **k: calls.append(1) or sweep(*a, **k))
+
+    def got(most):
+        (out,) = pairs._align(iter([batch_of(xs, ys)]), m, None, most)
+        return list(zip(out.column("path").to_pylist(), out.column("logp").to_pylist()))
+
+    assert got(3000) == want and not calls
+    monkeypatch.setattr(pairs, "BLOCK_CELLS", 800_000)
+    assert got(3000) == want and not calls
+    few = got(700)  # strips of 11 antidiagonals: the two pairs with 700 items have too many of them
+    assert [s for _, s in few] == pytest.approx([s for _, s in want]) and 0 < len(calls) < 300
+    assert all(few[k] == want[k] for k in range(20) if k not in (3, 5))
+
+
+def test_strips_are_linear_in_memory():
+    m = model(9, PLAIN)
+    rng = np.random.default_rng(6)
+    height = pairs.strip_height(m, 2000, 60_000)
+    peaks = []
+    for size in (1000, 2000):
+        x, y = rng.integers(0, 3, size), rng.integers(0, 3, size)
+        tracemalloc.start()
+        ((path, logp),) = pairs.align_strips(m, [x], [y], pairs.strip_height(m, 2 * size, 60_000))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert pairs.path_log_likelihood(m, x, y, path) == pytest.approx(logp)
+    assert height == 63 and peaks[0] < 4e6 and peaks[1] < 3 * peaks[0]
+    assert pairs.strip_height(m, 20_000, 60_000) is None and pairs.strip_height(m, 2000, 20) is None
+
+
+def test_linear_alignment_of_the_tables(spark):
+    """The registered query gives the lengths and scores of whole tables."""
+    d = "/root/testdata/sf0.001"
+    got = {r.pair_id: (r.steps, r.logp) for r in catalog.pair_alignment_linear(spark, d).collect()}
+    o, e = (spark.read.parquet(f"{d}/{t}.parquet").toPandas() for t in ("orders", "events"))
+    o, e = o.sort_values(["o_orderdate", "o_orderkey"]), e.sort_values(["ts", "event_id"])
+    xs = {k: [("F", "O", "P").index(v) for v in g.o_orderstatus] for k, g in o.groupby(o.o_custkey // 100)}
+    ys = {k: [catalog.EVENTS.index(v) for v in g.event_type] for k, g in e.groupby(e.user_id // 15)}
+    want = {k: pairs.align(catalog._LONG_PAIR, np.array(xs[k]), np.array(ys[k])) for k in xs.keys() & ys.keys()}
+    assert got == {k: (len(path), pytest.approx(logp, abs=1e-4)) for k, (path, logp) in want.items()} and got
